@@ -131,7 +131,7 @@ RIDGE_ALPHA = 1.0
 # Report wording.
 NO_RISK_LINE = "- No major risk factors detected. The client is in good shape."
 NO_REPORT = "No report available."
-REPORT_TITLE = "# Smart Insurance Advisor - Personal Report"
+REPORT_TITLE = "# Personal Cost Report"
 
 # ---------------------------------------------------------------------------
 # Stand-in ensemble (fixed-coefficient linear scorers)

@@ -92,11 +92,15 @@ def feature_columns(age, sex, bmi, children, smoker, region) -> dict[str, Column
 
 # ---------------------------------------------------------------- front-end rules
 
-def bmi_from_height_weight(height_cm, weight_kg) -> Column:
-    """weight / (height/100)², 25 when either input is not positive, 1 dp."""
+def bmi_raw(height_cm, weight_kg) -> Column:
+    """weight / (height/100)², 25 when either input is not positive."""
     h = col(height_cm) / 100
-    raw = F.when((h > 0) & (col(weight_kg) > 0), col(weight_kg) / (h * h)).otherwise(F.lit(C.BMI_DEFAULT))
-    return F.round(raw, 1)
+    return F.when((h > 0) & (col(weight_kg) > 0), col(weight_kg) / (h * h)).otherwise(F.lit(C.BMI_DEFAULT))
+
+
+def bmi_from_height_weight(height_cm, weight_kg) -> Column:
+    """BMI from the form inputs, shown with 1 dp."""
+    return F.round(bmi_raw(height_cm, weight_kg), 1)
 
 
 def bmi_class(bmi) -> Column:

@@ -21,7 +21,10 @@ from actuaria.operators.models import predict
 
 # ---------------------------------------------------------------- F2 / I1
 
-def with_features(df: DataFrame, prefix: str = "", overrides: dict | None = None) -> DataFrame:
+FP = "f_"  # feature-column prefix: raw profile columns keep their names
+
+
+def with_features(df: DataFrame, prefix: str = FP, overrides: dict | None = None) -> DataFrame:
     """add the ten model features (optionally prefixed) from the raw
     profile columns; ``overrides`` replaces raw inputs with expressions."""
     raw = {c: F.col(c) for c in C.PROFILE_COLUMNS}
@@ -31,13 +34,13 @@ def with_features(df: DataFrame, prefix: str = "", overrides: dict | None = None
     return df.select("*", *[feats[f].alias(f"{prefix}{f}") for f in C.FEATURES])
 
 
-def score_cost(df: DataFrame, model, out_col: str = "cost", prefix: str = "") -> DataFrame:
+def score_cost(df: DataFrame, model, out_col: str = "cost", prefix: str = FP) -> DataFrame:
     """Primary-model prediction floored at zero."""
     raw = f"_raw_{out_col}"
     return predict(df, model, raw, prefix).withColumn(out_col, floor_zero(raw)).drop(raw)
 
 
-def drop_features(df: DataFrame, prefix: str = "") -> DataFrame:
+def drop_features(df: DataFrame, prefix: str = FP) -> DataFrame:
     return df.drop(*[f"{prefix}{f}" for f in C.FEATURES])
 
 
@@ -101,18 +104,19 @@ def scenario_rows(df: DataFrame, key: str) -> DataFrame:
 
 # ---------------------------------------------------------------- I6 (linear)
 
-def feature_means(features_df: DataFrame) -> DataFrame:
+def feature_means(features_df: DataFrame, prefix: str = FP) -> DataFrame:
     """One-row background: mean of every model feature."""
-    return features_df.agg(*[F.avg(F.col(f).cast("double")).alias(f"_mu_{f}") for f in C.FEATURES])
+    return features_df.agg(*[F.avg(F.col(f"{prefix}{f}").cast("double")).alias(f"_mu_{f}") for f in C.FEATURES])
 
 
-def linear_shap(df: DataFrame, model: FixedLinear, background: DataFrame, out_col: str = "shap") -> DataFrame:
+def linear_shap(df: DataFrame, model: FixedLinear, background: DataFrame, out_col: str = "shap",
+                prefix: str = FP) -> DataFrame:
     """Exact attributions of a raw-scale linear scorer: β_i·(x_i − E[x_i]),
     as ``array<double>`` in feature order."""
     if model.log_target:
         raise ValueError("linear attributions are defined on the raw scale only")
     joined = df.join(F.broadcast(background))  # exactly one row
-    vals = [F.lit(float(model.coefficients.get(f, 0.0))) * (F.col(f).cast("double") - F.col(f"_mu_{f}"))
+    vals = [F.lit(float(model.coefficients.get(f, 0.0))) * (F.col(f"{prefix}{f}").cast("double") - F.col(f"_mu_{f}"))
             for f in C.FEATURES]
     return joined.withColumn(out_col, F.array(*vals)).drop(*[f"_mu_{f}" for f in C.FEATURES])
 

@@ -1,3 +1,3 @@
 """Imports every query module so that the registry is complete."""
-from actuaria.plans import q_profile  # noqa: F401
+from actuaria.plans import q_profile, q_scoring  # noqa: F401
 from actuaria.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -27,12 +27,21 @@ class Preprocessed:
     mappings: DataFrame       # (column, class, code)
 
 
-def preprocess(policy: DataFrame, fit_on: str = "all", clip_cols=CONTINUOUS) -> Preprocessed:
+def preprocess(policy: DataFrame, fit_on: str = "all", clip_cols=CONTINUOUS,
+               materialize: bool = True) -> Preprocessed:
+    """Each fitted step reads its input twice (fit, then apply); the input
+    and the encoded, split frame are checkpointed to the shared folder so
+    the source is scanned once per pass instead of once per dependent step,
+    and a lost executor recomputes from the checkpoint, not from the scan."""
+    if materialize:
+        policy = policy.checkpoint(eager=True)
     clipped = clip_outliers(policy, list(clip_cols))
-    mappings = label_mapping(clipped, ["sex", "smoker"])
+    mappings = label_mapping(policy, ["sex", "smoker"])
     encoded = label_encode(clipped, ["sex", "smoker"])
     encoded = one_hot(encoded, "region", C.REGIONS)
     split = assign_split(encoded)
+    if materialize:
+        split = split.checkpoint(eager=True)
     fit_rows = split if fit_on == "all" else split.where(F.col("split") == "train")
     stats = fit_scaler(fit_rows, CONTINUOUS)
     scaled = apply_scaler(split, stats, CONTINUOUS)

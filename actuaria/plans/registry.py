@@ -26,7 +26,10 @@ def register(name: str, sql: str | None = None):
 def with_ctes(*ctes: str, select: str) -> str:
     """``WITH <policy ctes>, <ctes> <select>``."""
     parts = [POLICY_SQL.strip()] + [c.strip() for c in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + select.strip()
+    select = select.strip()
+    if select.upper().startswith("WITH"):
+        select = f"SELECT * FROM (\n{select}\n)"
+    return "WITH " + ",\n".join(parts) + "\n" + select
 
 
 # ---------------------------------------------------------------- shared SQL fragments
@@ -102,3 +105,24 @@ def linear_sql(model, prefix: str = "f_") -> str:
     for f in C.FEATURES:
         expr = f"({expr} + CAST({prefix}{f} AS DOUBLE) * {float(model.coefficients.get(f, 0.0))!r})"
     return f"(exp({expr}) - 1)" if model.log_target else expr
+
+
+def feature_sql(prefix: str = "f_", age: str = "age", sex: str = "sex", bmi: str = "bmi",
+                children: str = "children", smoker: str = "smoker", region: str = "region") -> str:
+    """The ten F2 feature expressions (comma separated) over raw SQL expressions."""
+    a = f"((CAST({age} AS DOUBLE) - 39.21) / 14.04)"
+    b = f"((CAST({bmi} AS DOUBLE) - 30.65) / 6.05)"
+    s = f"(CASE WHEN {smoker} = 'yes' THEN 1 ELSE 0 END)"
+    cols = {
+        "age": a,
+        "sex": f"CASE WHEN {sex} = 'male' THEN 1 ELSE 0 END",
+        "bmi": b,
+        "children": f"((CAST({children} AS DOUBLE) - 1.09) / 1.21)",
+        "smoker": s,
+        "region_northwest": f"CASE WHEN {region} = 'northwest' THEN 1 ELSE 0 END",
+        "region_southeast": f"CASE WHEN {region} = 'southeast' THEN 1 ELSE 0 END",
+        "region_southwest": f"CASE WHEN {region} = 'southwest' THEN 1 ELSE 0 END",
+        "smoker_bmi": f"{s} * {b}",
+        "smoker_age": f"{s} * {a}",
+    }
+    return ",\n  ".join(f"{v} AS {prefix}{k}" for k, v in cols.items())
