@@ -115,10 +115,16 @@ def linear_shap(df: DataFrame, model: FixedLinear, background: DataFrame, out_co
     as ``array<double>`` in feature order."""
     if model.log_target:
         raise ValueError("linear attributions are defined on the raw scale only")
-    joined = df.join(F.broadcast(background))  # exactly one row
-    vals = [F.lit(float(model.coefficients.get(f, 0.0))) * (F.col(f"{prefix}{f}").cast("double") - F.col(f"_mu_{f}"))
+    if isinstance(background, dict):  # literal means (e.g. for a stream)
+        joined = df
+        mu = {f: F.lit(float(background[f"_mu_{f}"])) for f in C.FEATURES}
+    else:
+        joined = df.join(F.broadcast(background))  # exactly one row
+        mu = {f: F.col(f"_mu_{f}") for f in C.FEATURES}
+    vals = [F.lit(float(model.coefficients.get(f, 0.0))) * (F.col(f"{prefix}{f}").cast("double") - mu[f])
             for f in C.FEATURES]
-    return joined.withColumn(out_col, F.array(*vals)).drop(*[f"_mu_{f}" for f in C.FEATURES])
+    out = joined.withColumn(out_col, F.array(*vals))
+    return out if isinstance(background, dict) else out.drop(*[f"_mu_{f}" for f in C.FEATURES])
 
 
 def base_value(model: FixedLinear, background: DataFrame) -> DataFrame:
