@@ -10,9 +10,10 @@ with a distributed prefix sum:
    value held by a third of the rows is still one row per map task;
 2. approximate bucket boundaries per group over those distinct values
    (bounded sketch), so every bucket holds a similar number of distinct values;
-3. bucket offsets from a window over the (groups × buckets) bucket totals,
-   then running counts inside each bucket — the windows are partitioned by
-   bucket, never by the whole column;
+3. bucket offsets from a window over the small (groups × buckets) bucket
+   totals; the bucket holding each target rank is found there, so only
+   those few buckets (≤ 2 per probability) are ranked, by a window
+   partitioned by bucket — never by the whole column;
 4. the two order statistics around each target rank are picked by an
    equi-join on the group plus a rank-range condition.
 
@@ -35,8 +36,25 @@ def to_long(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = (),
     return long.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
 
 
+def count_below(sorted_arr, v, n: int):
+    """Number of elements of a sorted ``n``-element array that are < v, as a
+    balanced binary search of CASE expressions (log2(n) comparisons, code
+    generated; no per-element lambda)."""
+    def search(lo: int, hi: int):
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(sorted_arr[mid] < v, search(mid + 1, hi)).otherwise(search(lo, mid))
+    return search(0, n)
+
+
+def auto_buckets(n_distinct: int, per_bucket: int = 50_000, lo: int = 16, hi: int = 512) -> int:
+    """Buckets so that a ranked bucket holds about ``per_bucket`` distinct values."""
+    return int(min(hi, max(lo, -(-n_distinct // per_bucket))))
+
+
 def percentiles_long(long: DataFrame, probs: Sequence[float], by: Sequence[str],
-                     value_col: str = "value", buckets: int = 256,
+                     value_col: str = "value", buckets: int | None = None,
                      accuracy: int = 10000, method: str = "exact") -> DataFrame:
     """Quantiles of ``value_col`` for every ``by`` group → (by..., p, value)."""
     by = list(by)
@@ -49,28 +67,25 @@ def percentiles_long(long: DataFrame, probs: Sequence[float], by: Sequence[str],
                 .select(*by, "p", value_col))
 
     v = F.col(value_col)
-    counts = long.groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    # distinct values with counts, written once: every later branch (bounds,
+    # bucket totals, the ranked buckets) reads this instead of the source
+    counts = long.groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")).checkpoint(eager=True)
+    if buckets is None:
+        buckets = auto_buckets(counts.count())
 
     fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bounds = counts.groupBy(*by).agg(
         F.percentile_approx(value_col, fractions, accuracy).alias("_bounds"),
         F.sum("_cnt").alias("_n"))
 
-    bucketed = counts.join(bounds, by, "inner").withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < v)))
+    bucketed = counts.join(bounds.select(*by, "_bounds"), by, "inner").withColumn(
+        "_bucket", count_below(F.col("_bounds"), v, buckets - 1)).drop("_bounds")
 
+    # small side: (groups × buckets) totals and their running offsets
     bucket_totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("_cnt").alias("_bcnt"))
     w_off = (Window.partitionBy(*by).orderBy("_bucket")
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = bucket_totals.withColumn(
-        "_off", F.coalesce(F.sum("_bcnt").over(w_off), F.lit(0))).drop("_bcnt")
-
-    w_in = (Window.partitionBy(*by, "_bucket").orderBy(value_col)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (bucketed.join(offsets, [*by, "_bucket"], "inner")
-              .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_cnt").over(w_in), F.lit(0)))
-              .withColumn("_end", F.col("_start") + F.col("_cnt"))
-              .select(*by, value_col, "_start", "_end"))
+    offsets = bucket_totals.withColumn("_off", F.coalesce(F.sum("_bcnt").over(w_off), F.lit(0)))
 
     targets = (bounds.select(*by, "_n")
                .withColumn("p", F.explode(F.array(*[F.lit(p) for p in probs])))
@@ -78,6 +93,19 @@ def percentiles_long(long: DataFrame, probs: Sequence[float], by: Sequence[str],
                .withColumn("_lo", F.floor("_h"))
                .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
                .select(*by, "p", "_h", "_lo", "_hi"))
+    # each target rank lives in exactly one bucket: small × small join
+    ranks = targets.select(*by, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
+    located = ranks.join(offsets, by).where(
+        (F.col("_off") <= F.col("_r")) & (F.col("_r") < F.col("_off") + F.col("_bcnt")))
+    needed = located.select(*by, "_bucket", "_off").distinct()
+
+    # only the rows of the needed buckets are ranked
+    w_in = (Window.partitionBy(*by, "_bucket").orderBy(value_col)
+            .rowsBetween(Window.unboundedPreceding, -1))
+    ranked = (bucketed.join(F.broadcast(needed), [*by, "_bucket"], "inner")
+              .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_cnt").over(w_in), F.lit(0)))
+              .withColumn("_end", F.col("_start") + F.col("_cnt"))
+              .select(*by, value_col, "_start", "_end"))
 
     def covers(r):
         return (F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end"))

@@ -4,14 +4,13 @@ Exact search without all pairs
 ------------------------------
 Base and query points live in the weighted space (feature × √weight).
 Base points are bucketed into square cells on two grid dimensions (the two
-heaviest features).  A query first searches the (2r+1)² cells around its
-own cell (an equi-join on (stratum, cell)), keeps its k best candidates
-(``row_number() <= k``, which Spark plans as a partial + final
-``WindowGroupLimit``), and is *resolved* when its k-th distance is below
-the distance from the query to the edge of the searched square: any point
-outside that square is at least that far away in the grid dimensions alone.
-Unresolved queries repeat with a doubled radius; a query whose square covers
-its stratum's bounding box is resolved by construction, so the loop ends.
+heaviest features); candidates are found by an equi-join on (stratum, cell)
+and cut to the k best per query (``row_number() <= k``, planned as a
+partial + final ``WindowGroupLimit``).  Pass 1 searches the 3×3 cells
+around each query; its k-th distance D bounds the true k-th distance, and
+any point within D of the query lies in the cells covering [q − D, q + D]
+in both grid dimensions — pass 2 searches exactly those cells, so its top k
+is exact.  Two passes, no iteration.
 
 Identical base vectors (a hot duplicate group) are reduced to their k
 lowest keys before the search, so the number of candidates a query sees is
@@ -50,11 +49,17 @@ def _dist(n_dims: int, q: str = "q_", b: str = "w_"):
 
 def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len(C.KNN_FEATURES),
         qid: str = "query_id", bid: str = "neighbor_id", stratum: str = "stratum",
-        cell: float = 0.25, grid: tuple[int, int] = (0, 1), max_rounds: int = 32) -> DataFrame:
+        cell: float = 0.5, grid: tuple[int, int] = (0, 1)) -> DataFrame:
     """Exact k nearest base points per query within the query's stratum.
 
     ``queries``: (qid, stratum, w_0..w_{d-1}); ``base``: (bid, stratum, w_0..).
     Returns (qid, rank INT, bid, distance DOUBLE).
+
+    Pass 1 searches the 3×3 cells around each query; its k-th distance D is
+    an upper bound of the true k-th distance.  Every true neighbour is then
+    within D in each grid dimension, so pass 2 searches exactly the cells
+    covering [q − D, q + D]² (the stratum's whole box when pass 1 found
+    fewer than k points) and its top k is exact.
     """
     gx, gy = grid
     wcols = [f"w_{i}" for i in range(n_dims)]
@@ -72,40 +77,33 @@ def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len
     q = queries.select(qid, stratum, *[F.col(c).alias(f"q_{i}") for i, c in enumerate(wcols)])
     q = (q.withColumn("qcx", F.floor(F.col(f"q_{gx}") / cell))
          .withColumn("qcy", F.floor(F.col(f"q_{gy}") / cell))
-         .join(bbox, stratum, "left"))
-    pending = q.checkpoint(eager=True)
-    done = []
-    r = 1
-    for _ in range(max_rounds):
-        offs = F.sequence(F.lit(-r), F.lit(r))
-        probe = (pending.withColumn("dx", F.explode(offs)).withColumn("dy", F.explode(offs))
-                 .withColumn("cx", F.col("qcx") + F.col("dx")).withColumn("cy", F.col("qcy") + F.col("dy")))
-        cand = probe.join(base, (F.col(stratum) == F.col("_bs")) & (F.col("cx") == F.col("bcx"))
-                          & (F.col("cy") == F.col("bcy")))
+         .join(bbox, stratum, "inner")  # a stratum without base rows has no neighbours
+         .checkpoint(eager=True))
+
+    def search(probe_cells: DataFrame) -> DataFrame:
+        cand = probe_cells.join(base, (F.col(stratum) == F.col("_bs")) & (F.col("cx") == F.col("bcx"))
+                                & (F.col("cy") == F.col("bcy")))
         cand = cand.select(qid, bid, _dist(n_dims).alias("distance"))
         w = Window.partitionBy(qid).orderBy(F.round("distance", TIE_DIGITS), bid)
-        top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        margin = F.least(
-            F.col(f"q_{gx}") - (F.col("qcx") - r) * cell, (F.col("qcx") + r + 1) * cell - F.col(f"q_{gx}"),
-            F.col(f"q_{gy}") - (F.col("qcy") - r) * cell, (F.col("qcy") + r + 1) * cell - F.col(f"q_{gy}"))
-        covers = ((F.col("qcx") - r <= F.col("minx")) & (F.col("qcx") + r >= F.col("maxx"))
-                  & (F.col("qcy") - r <= F.col("miny")) & (F.col("qcy") + r >= F.col("maxy")))
-        stat = top.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_kth"))
-        judged = (pending.join(stat, qid, "left")
-                  .withColumn("_ok", F.col("minx").isNull() | covers
-                              | ((F.coalesce("_n", F.lit(0)) >= k) & (F.col("_kth") + 1e-9 < margin))))
-        judged = judged.checkpoint(eager=True)
-        resolved = judged.where("_ok").select(qid)
-        done.append(top.join(resolved, qid, "left_semi").select(qid, F.col("rank").cast("int").alias("rank"),
-                                                                  bid, "distance").checkpoint(eager=True))
-        pending = judged.where(~F.col("_ok")).drop("_n", "_kth", "_ok")
-        if pending.isEmpty():
-            break
-        r *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    near = F.sequence(F.lit(-1), F.lit(1))
+    first = search(q.select(qid, stratum, *[f"q_{i}" for i in range(n_dims)],
+                            F.explode(F.transform(near, lambda o: F.col("qcx") + o)).alias("cx"), "qcy")
+                   .withColumn("cy", F.explode(F.transform(near, lambda o: F.col("qcy") + o))).drop("qcy"))
+    bound = first.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
+    ranged = q.join(bound, qid, "left").withColumn("_full", F.coalesce(F.col("_n"), F.lit(0)) < k)
+    d = F.col("_d") + F.lit(1e-9)
+    lo_x = F.when(F.col("_full"), F.col("minx")).otherwise(F.floor((F.col(f"q_{gx}") - d) / cell))
+    hi_x = F.when(F.col("_full"), F.col("maxx")).otherwise(F.floor((F.col(f"q_{gx}") + d) / cell))
+    lo_y = F.when(F.col("_full"), F.col("miny")).otherwise(F.floor((F.col(f"q_{gy}") - d) / cell))
+    hi_y = F.when(F.col("_full"), F.col("maxy")).otherwise(F.floor((F.col(f"q_{gy}") + d) / cell))
+    probe = ranged.select(qid, stratum, *[f"q_{i}" for i in range(n_dims)],
+                          F.explode(F.sequence(F.greatest(lo_x, F.col("minx")), F.least(hi_x, F.col("maxx"))))
+                          .alias("cx"),
+                          F.greatest(lo_y, F.col("miny")).alias("_ly"), F.least(hi_y, F.col("maxy")).alias("_hy"))
+    probe = probe.withColumn("cy", F.explode(F.sequence("_ly", "_hy"))).drop("_ly", "_hy")
+    return search(probe).select(qid, F.col("rank").cast("int").alias("rank"), bid, "distance")
 
 
 def first_rows_per_stratum(df: DataFrame, key: str, stratum: str = "stratum",
@@ -116,7 +114,7 @@ def first_rows_per_stratum(df: DataFrame, key: str, stratum: str = "stratum",
 
 
 def distance_scale(base: DataFrame, key: str, stratum: str = "stratum", k: int = C.KNN_K,
-                   n_dims: int = len(C.KNN_FEATURES), cell: float = 0.25) -> DataFrame:
+                   n_dims: int = len(C.KNN_FEATURES), cell: float = 0.5) -> DataFrame:
     """K4: per stratum, the 95th percentile of the k-th neighbour distance
     (self included) of its first 200 rows; 1.0 when that is 0, 10.0 when the
     stratum has fewer than 2 rows.  → (stratum, n, scale)."""
