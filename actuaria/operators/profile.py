@@ -145,9 +145,10 @@ def _bin_index(x, lo, hi, bins: int):
     return F.when(hi == lo, F.lit(0)).otherwise(idx)
 
 
-def histogram(df: DataFrame, column: str, bins: int, digits: int = 4) -> DataFrame:
+def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins over [min, max], last bin closed on the right,
-    empty bins reported with count 0."""
+    empty bins reported with count 0.  Edges are lo + i·(hi − lo)/bins,
+    unrounded."""
     x = F.col(column).cast("double")
     data = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     stats = data.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -158,8 +159,8 @@ def histogram(df: DataFrame, column: str, bins: int, digits: int = 4) -> DataFra
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return (all_bins.join(counts, "bin", "left")
             .select("bin",
-                    F.round(F.col("lo") + F.col("bin") * width, digits).alias("bin_lo"),
-                    F.round(F.col("lo") + (F.col("bin") + 1) * width, digits).alias("bin_hi"),
+                    (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
+                    (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 

@@ -57,8 +57,8 @@ hs AS (SELECT min(x) AS lo, max(x) AS hi FROM hv),
 hb AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least({bins - 1}, CAST(floor((x - lo) / {w}) AS INTEGER)) END AS bin
        FROM hv, hs),
 hc AS (SELECT bin, count(*) AS c FROM hb GROUP BY bin)
-SELECT CAST(b.bin AS INTEGER) AS bin, round(lo + b.bin * {w}, {d}) AS bin_lo,
-  round(lo + (b.bin + 1) * {w}, {d}) AS bin_hi, CAST(coalesce(hc.c, 0) AS BIGINT) AS "count"
+SELECT CAST(b.bin AS INTEGER) AS bin, lo + b.bin * {w} AS bin_lo,
+  lo + (b.bin + 1) * {w} AS bin_hi, CAST(coalesce(hc.c, 0) AS BIGINT) AS "count"
 FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(0, {bins})) b CROSS JOIN hs
 LEFT JOIN hc ON hc.bin = b.bin
 """
