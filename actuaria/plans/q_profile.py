@@ -170,7 +170,7 @@ _UP_COLS = ["row_id", "age", "sex", "bmi", "children", "smoker", "region", "erro
 
 @register("e4_missing_upload", with_ctes(UPLOAD_SQL, select=f"""
 SELECT "column", n_missing, round(CASE WHEN n > 0 THEN n_missing * 100.0 / n ELSE 0.0 END, 4) AS pct_missing,
-  sum(n_missing) OVER () AS total_missing
+  CAST(sum(n_missing) OVER () AS BIGINT) AS total_missing
 FROM ({G.union([f"SELECT '{c}' AS \"column\", CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, count(*) AS n FROM parsed" for c in _UP_COLS])})
 """))
 def e4_missing_upload(spark, sf):
@@ -199,7 +199,7 @@ def _describe_cat_sql(src, cols):
     return f"""
 WITH vc AS (SELECT "column", value, count(*) AS c FROM ({G.value_counts_long(src, cols)}) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY c DESC, value) AS rn FROM vc)
-SELECT "column", sum(c) AS "count", count(*) AS "unique", max(CASE WHEN rn = 1 THEN value END) AS top,
+SELECT "column", CAST(sum(c) AS BIGINT) AS "count", count(*) AS "unique", max(CASE WHEN rn = 1 THEN value END) AS top,
   max(CASE WHEN rn = 1 THEN c END) AS freq
 FROM r GROUP BY "column"
 """
@@ -324,7 +324,7 @@ def e18_corr_lower_policy(spark, sf):
 
 
 @register("e19_corr_target_policy", with_ctes(ENC_SQL, select=f"""
-SELECT feature, corr, row_number() OVER (ORDER BY corr DESC, feature) AS rank FROM (
+SELECT feature, corr, CAST(row_number() OVER (ORDER BY corr DESC, feature) AS INTEGER) AS rank FROM (
 {G.union([f"SELECT '{c}' AS feature, round(corr(CAST({c} AS DOUBLE), CAST(charges AS DOUBLE)), 6) AS corr FROM enc"
           for c in ENC_COLS[:-1]])})
 """))
