@@ -102,7 +102,9 @@ def percentiles_long(long: DataFrame, probs: Sequence[float], by: Sequence[str],
     # only the rows of the needed buckets are ranked
     w_in = (Window.partitionBy(*by, "_bucket").orderBy(value_col)
             .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (bucketed.join(F.broadcast(needed), [*by, "_bucket"], "inner")
+    # ``needed`` has ≤ 2·|probs| rows per group; its size grows with the
+    # number of groups, so the join strategy is left to AQE's runtime size check
+    ranked = (bucketed.join(needed, [*by, "_bucket"], "inner")
               .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_cnt").over(w_in), F.lit(0)))
               .withColumn("_end", F.col("_start") + F.col("_cnt"))
               .select(*by, value_col, "_start", "_end"))

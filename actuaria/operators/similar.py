@@ -47,9 +47,23 @@ def _dist(n_dims: int, q: str = "q_", b: str = "w_"):
     return F.sqrt(total)
 
 
+def auto_cell(base: DataFrame, stratum: str, x: str, y: str, per_cell: int = 64) -> float:
+    """Cell side so that the densest stratum holds about ``per_cell`` base
+    points per cell on average (one small aggregate; the grid then shrinks
+    as the data grows, keeping candidates per query bounded)."""
+    st = base.groupBy(stratum).agg(
+        F.count(F.lit(1)).alias("n"),
+        ((F.max(x) - F.min(x)) * (F.max(y) - F.min(y))).alias("area")).collect()  # one row per stratum
+    dens = [r["n"] / r["area"] for r in st if r["area"] and r["area"] > 0]
+    if not dens:
+        return 1.0
+    return max(1e-6, math.sqrt(per_cell / max(dens)))
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len(C.KNN_FEATURES),
         qid: str = "query_id", bid: str = "neighbor_id", stratum: str = "stratum",
-        cell: float = 0.5, grid: tuple[int, int] = (0, 1)) -> DataFrame:
+        cell: float | None = None, grid: tuple[int, int] = (0, 1),
+        per_cell: int = 64) -> DataFrame:
     """Exact k nearest base points per query within the query's stratum.
 
     ``queries``: (qid, stratum, w_0..w_{d-1}); ``base``: (bid, stratum, w_0..).
@@ -67,10 +81,12 @@ def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len
     dup = Window.partitionBy(stratum, *wcols).orderBy(bid)
     base = (base.select(bid, stratum, *wcols)
             .withColumn("_dup", F.row_number().over(dup)).where(F.col("_dup") <= k).drop("_dup")
-            .withColumn("bcx", F.floor(F.col(f"w_{gx}") / cell))
+            .checkpoint(eager=True))
+    if cell is None:
+        cell = auto_cell(base, stratum, f"w_{gx}", f"w_{gy}", per_cell)
+    base = (base.withColumn("bcx", F.floor(F.col(f"w_{gx}") / cell))
             .withColumn("bcy", F.floor(F.col(f"w_{gy}") / cell))
             .withColumnRenamed(stratum, "_bs"))
-    base = base.checkpoint(eager=True)
     bbox = base.groupBy(F.col("_bs").alias(stratum)).agg(
         F.min("bcx").alias("minx"), F.max("bcx").alias("maxx"),
         F.min("bcy").alias("miny"), F.max("bcy").alias("maxy"))
@@ -114,7 +130,7 @@ def first_rows_per_stratum(df: DataFrame, key: str, stratum: str = "stratum",
 
 
 def distance_scale(base: DataFrame, key: str, stratum: str = "stratum", k: int = C.KNN_K,
-                   n_dims: int = len(C.KNN_FEATURES), cell: float = 0.5) -> DataFrame:
+                   n_dims: int = len(C.KNN_FEATURES), cell: float | None = None) -> DataFrame:
     """K4: per stratum, the 95th percentile of the k-th neighbour distance
     (self included) of its first 200 rows; 1.0 when that is 0, 10.0 when the
     stratum has fewer than 2 rows.  → (stratum, n, scale)."""
