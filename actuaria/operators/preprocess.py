@@ -159,11 +159,13 @@ def assign_split(df: DataFrame, key: str = C.KEY, test_fraction: float = C.TEST_
                  seed: int = C.SPLIT_SEED, split_col: str = "split") -> DataFrame:
     """Exact, deterministic train/test split.
 
-    The test set is the ceil(f·n) rows that come first in the order
-    (md5(key:seed), key).  Rows are bucketed by the first 20 bits of the
-    hash; bucket totals (≤ 2²⁰ rows) locate the boundary bucket, and only
-    inside buckets is a row number needed — the window is partitioned by
-    bucket, so no single task ever sees the whole table.
+    The test set is the k = ceil(f·n) rows that come first in the order
+    (md5(key:seed), key).  Rows are bucketed by the first 20 bits of the hash;
+    the bucket totals (≤ 2²⁰ rows) locate the bucket holding the k-th row and
+    its rank r inside that bucket.  Only that bucket's rows (≈ n/2²⁰) are
+    ranked, giving the k-th pair (u*, key*); a row is in the test set iff
+    (md5, key) ≤ (u*, key*).  The final assignment is a narrow comparison
+    against one broadcast row: the table itself is never shuffled or sorted.
     """
     h = _hash_order(key, seed)
     hashed = df.withColumn("_u", h).withColumn(
@@ -176,16 +178,14 @@ def assign_split(df: DataFrame, key: str = C.KEY, test_fraction: float = C.TEST_
            .withColumn("_after", F.sum("_c").over(w_cum))
            .withColumn("_before", F.col("_after") - F.col("_c")))
     boundary = cum.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_after"))).select(
-        F.col("_b").alias("_bstar"), (F.col("_k") - F.col("_before")).alias("_r"))
-    # zero or one row: k = 0 leaves every row in train
-    boundary = boundary.unionByName(
-        cum.agg(F.max("_k").alias("_k")).where(F.col("_k") == 0).select(
-            F.lit(-1).alias("_bstar"), F.lit(0).cast("long").alias("_r")))
-    joined = hashed.join(F.broadcast(boundary))  # exactly one row
-    rn = F.row_number().over(Window.partitionBy("_b").orderBy("_u", key))
-    is_test = (F.when(F.col("_b") < F.col("_bstar"), True)
-               .when(F.col("_b") > F.col("_bstar"), False)
-               .otherwise(rn <= F.col("_r")))
+        F.col("_b").alias("_bstar"), (F.col("_k") - F.col("_before")).alias("_r"))  # zero or one row
+    edge = hashed.select("_u", "_b", key).join(F.broadcast(boundary), F.col("_b") == F.col("_bstar"))
+    w_edge = Window.orderBy("_u", key)  # rows of one hash bucket only
+    thr = (edge.withColumn("_rn", F.row_number().over(w_edge)).where(F.col("_rn") == F.col("_r"))
+           .select(F.col("_u").alias("_tu"), F.col(key).alias("_tk")))
+    joined = hashed.join(F.broadcast(thr), how="left")  # at most one row
+    is_test = F.coalesce((F.col("_u") < F.col("_tu"))
+                         | ((F.col("_u") == F.col("_tu")) & (F.col(key) <= F.col("_tk"))), F.lit(False))
     return joined.withColumn(split_col, F.when(is_test, "test").otherwise("train")).select(
         *df.columns, split_col)
 

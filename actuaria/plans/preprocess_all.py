@@ -35,16 +35,18 @@ def preprocess(policy: DataFrame, fit_on: str = "all", clip_cols=CONTINUOUS,
     and a lost executor recomputes from the checkpoint, not from the scan."""
     if materialize:
         policy = policy.checkpoint(eager=True)
-    clipped = clip_outliers(policy, list(clip_cols))
-    mappings = label_mapping(policy, ["sex", "smoker"])
-    encoded = label_encode(clipped, ["sex", "smoker"])
-    encoded = one_hot(encoded, "region", C.REGIONS)
-    split = assign_split(encoded)
+    # the split depends on keys only, so it is assigned first and written once;
+    # clip, encode and scale are then narrow steps over that table
+    split = assign_split(policy)
     if materialize:
         split = split.checkpoint(eager=True)
-    fit_rows = split if fit_on == "all" else split.where(F.col("split") == "train")
+    clipped = clip_outliers(split, list(clip_cols))
+    mappings = label_mapping(split, ["sex", "smoker"])
+    encoded = label_encode(clipped, ["sex", "smoker"])
+    encoded = one_hot(encoded, "region", C.REGIONS)
+    fit_rows = encoded if fit_on == "all" else encoded.where(F.col("split") == "train")
     stats = fit_scaler(fit_rows, CONTINUOUS)
-    scaled = apply_scaler(split, stats, CONTINUOUS)
+    scaled = apply_scaler(encoded, stats, CONTINUOUS)
     return Preprocessed(scaled.select(*PROCESSED_COLUMNS), stats, mappings)
 
 
