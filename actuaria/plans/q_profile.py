@@ -135,8 +135,8 @@ def s5_parse_upload(spark, sf):
 @register("s9_feature_matrix", with_ctes(
     SPLIT_SQL, PROCESSED_SQL,
     select="SELECT policy_id, round(age, 6) AS age, sex, round(bmi, 6) AS bmi, round(children, 6) AS children, "
-           "smoker, region_northwest, region_southeast, region_southwest, round(smoker * bmi, 6) AS smoker_bmi, "
-           "round(smoker * age, 6) AS smoker_age FROM processed"))
+           "smoker, region_northwest, region_southeast, region_southwest, round(smoker * bmi, 6) + 0.0 AS smoker_bmi, "
+           "round(smoker * age, 6) + 0.0 AS smoker_age FROM processed"))
 def s9_feature_matrix(spark, sf):
     """The ordered ten-feature matrix (key kept)."""
     df = with_interactions(preprocess(policy(spark, sf)).frame)

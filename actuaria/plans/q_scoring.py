@@ -89,7 +89,8 @@ def scored_profiles(spark, sf, with_bars: bool = True):
 # ------------------------------------------------------------------ F
 
 @register("f1_interactions", with_ctes(SPLIT_SQL, PROCESSED_SQL, select="""
-SELECT policy_id, round(smoker * bmi, 6) AS smoker_bmi, round(smoker * age, 6) AS smoker_age FROM processed
+SELECT policy_id, round(smoker * bmi, 6) + 0.0 AS smoker_bmi, round(smoker * age, 6) + 0.0 AS smoker_age
+FROM processed
 """))
 def f1_interactions(spark, sf):
     df = with_interactions(preprocess(policy(spark, sf)).frame)
@@ -97,7 +98,7 @@ def f1_interactions(spark, sf):
 
 
 @register("f2_build_features", with_ctes(FF_SQL, select="SELECT policy_id, " + ", ".join(
-    f"round(f_{f}, 6) AS {f}" if f in ("age", "bmi", "children", "smoker_bmi", "smoker_age") else f"f_{f} AS {f}"
+    f"round(f_{f}, 6) + 0.0 AS {f}" if f in ("age", "bmi", "children", "smoker_bmi", "smoker_age") else f"f_{f} AS {f}"
     for f in C.FEATURES) + " FROM ff"))
 def f2_build_features(spark, sf):
     feats = S.with_features(policy(spark, sf))
