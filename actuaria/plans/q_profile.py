@@ -623,3 +623,43 @@ SELECT policy_id, round(age, 6) AS age, sex, round(bmi, 6) AS bmi, round(childre
 """))
 def p13_preprocess_all(spark, sf):
     return _round_cols(preprocess(policy(spark, sf)).frame, ["age", "bmi", "children"])
+
+
+def events_as_text(spark, sf):
+    """Event values and users as text with bad cells placed by a fixed rule
+    on the key (every row kept): id % 97 = 3 → 'n/a', 5 → empty value,
+    11 → padded text; id % 89 = 7 → user '1e2'."""
+    ev = table(spark, sf, "events")
+    k97, k89 = F.col("event_id") % 97, F.col("event_id") % 89
+    return ev.select(
+        "event_id",
+        F.when(k97 == 3, F.lit("n/a")).when(k97 == 5, F.lit(None).cast("string"))
+        .when(k97 == 11, F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")))
+        .otherwise(F.col("value").cast("string")).alias("value"),
+        F.when(k89 == 7, F.lit("1e2")).otherwise(F.col("user_id").cast("string")).alias("user_id"))
+
+
+@register("s5_parse_events", """
+WITH t AS (
+ SELECT event_id,
+  CASE WHEN event_id % 97 = 3 THEN 'n/a' WHEN event_id % 97 = 5 THEN NULL
+       WHEN event_id % 97 = 11 THEN ' ' || CAST(value AS VARCHAR) || ' ' ELSE CAST(value AS VARCHAR) END AS value,
+  CASE WHEN event_id % 89 = 7 THEN '1e2' ELSE CAST(user_id AS VARCHAR) END AS user_id
+ FROM events),
+d AS (
+ SELECT *,
+  CASE WHEN isnan(TRY_CAST(trim(value) AS DOUBLE)) OR isinf(TRY_CAST(trim(value) AS DOUBLE)) THEN NULL
+       ELSE TRY_CAST(trim(value) AS DOUBLE) END AS d_value,
+  CASE WHEN isnan(TRY_CAST(trim(user_id) AS DOUBLE)) OR isinf(TRY_CAST(trim(user_id) AS DOUBLE)) THEN NULL
+       ELSE TRY_CAST(trim(user_id) AS DOUBLE) END AS d_user
+ FROM t)
+SELECT event_id, d_value AS value,
+  CASE WHEN abs(d_user) < 2147483648.0 THEN CAST(trunc(d_user) AS INTEGER) END AS user_id,
+  CASE WHEN value IS NULL OR trim(value) = '' THEN 'missing value'
+       WHEN d_value IS NULL THEN 'invalid value: ' || value
+       WHEN user_id IS NULL OR trim(user_id) = '' THEN 'missing user_id'
+       WHEN d_user IS NULL OR NOT abs(d_user) < 2147483648.0 THEN 'invalid user_id: ' || user_id END AS error
+FROM d
+""")
+def s5_parse_events(spark, sf):
+    return B.parse_columns(events_as_text(spark, sf), {"value": "double", "user_id": "int"}, "event_id")

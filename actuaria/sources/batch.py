@@ -141,3 +141,20 @@ def to_json_records(df: DataFrame, key: str, out_col: str = "record") -> DataFra
     """Nested result rows as JSON text (key kept for joins)."""
     others = [c for c in df.columns if c != key]
     return df.select(key, F.to_json(F.struct(*others)).alias(out_col))
+
+
+def parse_columns(df: DataFrame, types: dict, key: str) -> DataFrame:
+    """S5, generic: parse text columns to ``int`` / ``double`` row by row;
+    ``error`` names the first missing or unparsable cell (in ``types`` order)."""
+    parsers = {"int": parse_int, "double": parse_double}
+    error = None
+    out = []
+    for c, t in types.items():
+        raw = F.col(c).cast("string")
+        val = parsers[t](raw)
+        out.append(val.alias(c))
+        missing, bad = raw.isNull() | (F.trim(raw) == ""), val.isNull()
+        m_txt, b_txt = F.lit(f"missing {c}"), F.concat(F.lit(f"invalid {c}: "), raw)
+        error = (F.when(missing, m_txt).when(bad, b_txt) if error is None
+                 else error.when(missing, m_txt).when(bad, b_txt))
+    return df.select(key, *out, error.alias("error"))
