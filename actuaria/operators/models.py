@@ -69,10 +69,20 @@ def _label(df: DataFrame, target: str, log_target: bool) -> DataFrame:
     return df.withColumn("label", F.log1p(y) if log_target else y)
 
 
+def training_rows(train: DataFrame, target: str, log_target: bool, features=C.FEATURES,
+                  extra: tuple = ()) -> DataFrame:
+    """(label, features vector[, extra]) written once to the shared checkpoint
+    folder: the estimators make several passes, which then read these rows
+    instead of re-deriving the preprocessing chain, and a lost executor
+    recomputes from the files."""
+    data = assemble(_label(train, target, log_target), features).select("label", "features", *extra)
+    return data.checkpoint(eager=True)
+
+
 def fit_ols(train: DataFrame, target: str = C.TARGET, log_target: bool = True,
             features=C.FEATURES) -> FittedModel:
     """M1: ordinary least squares (normal equations, no penalty)."""
-    data = assemble(_label(train, target, log_target), features)
+    data = training_rows(train, target, log_target, features)
     lr = LinearRegression(featuresCol="features", labelCol="label", solver="normal",
                           regParam=0.0, elasticNetParam=0.0, standardization=False)
     return FittedModel("linear_regression", lr.fit(data), log_target, list(features))
@@ -85,13 +95,12 @@ def fit_ridge(train: DataFrame, alpha: float = C.RIDGE_ALPHA, target: str = C.TA
     MLlib minimises 1/(2n)·Σr² + λ/2·||w||² on an internally scaled label,
     so λ = α·σ_pop(y)/n reproduces the closed form.
     """
-    data = assemble(_label(train, target, log_target), features).cache()
+    data = training_rows(train, target, log_target, features)
     stats = data.agg(F.stddev_pop("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
     lam = alpha * float(stats["sd"]) / float(stats["n"])
     lr = LinearRegression(featuresCol="features", labelCol="label", solver="normal",
                           regParam=lam, elasticNetParam=0.0, standardization=False)
     model = lr.fit(data)
-    data.unpersist()
     return FittedModel("ridge_regression", model, log_target, list(features))
 
 
@@ -166,10 +175,9 @@ def random_search(train: DataFrame, style: str, n_iter: int = C.SEARCH_ITERATION
     """
     from actuaria.operators.preprocess import hash_fold
     draws = [cap_trees(p, max_trees) for p in sample_params(grid_for(style), n_iter, seed)]
-    data = assemble(_label(train, target, False))
-    if fold_col not in data.columns:
-        data = data.withColumn(fold_col, hash_fold(C.KEY, folds))
-    data = data.cache()
+    if fold_col not in train.columns:
+        train = train.withColumn(fold_col, hash_fold(C.KEY, folds))
+    data = training_rows(train, target, False, extra=(fold_col,))
     base = gbt_estimator(style, draws[0], seed)
     maps = []
     for p in draws:
@@ -183,14 +191,13 @@ def random_search(train: DataFrame, style: str, n_iter: int = C.SEARCH_ITERATION
     cvm = cv.fit(data)
     metrics = list(cvm.avgMetrics)
     best = max(range(len(metrics)), key=lambda i: metrics[i])
-    data.unpersist()
     fitted = FittedModel(style, cvm.bestModel, False)
     return fitted, draws[best], metrics[best], list(zip(draws, metrics))
 
 
 def fit_gbt(train: DataFrame, style: str, params: dict, target: str = C.TARGET,
             seed: int = C.SPLIT_SEED) -> FittedModel:
-    data = assemble(_label(train, target, False))
+    data = training_rows(train, target, False)
     return FittedModel(style, gbt_estimator(style, params, seed).fit(data), False)
 
 
