@@ -20,11 +20,9 @@ from __future__ import annotations
 from math import factorial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from actuaria import config as C
 from actuaria.session import scratch_path
 
 
@@ -101,27 +99,28 @@ def shap_matrix(X: np.ndarray, flat: dict, n_features: int) -> np.ndarray:
     return phi
 
 
-def tree_shap(df: DataFrame, fitted, key: str, prefix: str = "f_", out_col: str = "shap") -> DataFrame:
+def tree_shap(df: DataFrame, fitted, prefix: str = "f_", out_col: str = "shap") -> DataFrame:
     """Append ``array<double>`` attributions (feature order) and the
-    model's expected value ``base_value`` to every row (key kept)."""
+    model's expected value ``base_value`` to every row; all input columns
+    pass through, so the operator stays narrow (no join back)."""
     spark = df.sparkSession
     flat = flatten_trees(spark, fitted)
     bc = spark.sparkContext.broadcast(flat)
     cols = [f"{prefix}{f}" for f in fitted.features]
     nf = len(cols)
-    key_type = df.schema[key].dataType
 
     def run(batches):
         fl = bc.value
         for pdf in batches:
-            X = pdf[cols].to_numpy(dtype=float)
+            X = pdf[cols].to_numpy(dtype=float, na_value=np.nan)
             phi = shap_matrix(X, fl, nf)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), out_col: list(phi),
-                                "base_value": np.full(len(pdf), fl["expected"])})
+            pdf[out_col] = list(phi)
+            pdf["base_value"] = fl["expected"]
+            yield pdf
 
-    schema = T.StructType([T.StructField(key, key_type), T.StructField(out_col, T.ArrayType(T.DoubleType())),
-                           T.StructField("base_value", T.DoubleType())])
-    return df.select(key, *cols).mapInPandas(run, schema)
+    schema = T.StructType(list(df.schema.fields) + [
+        T.StructField(out_col, T.ArrayType(T.DoubleType())), T.StructField("base_value", T.DoubleType())])
+    return df.mapInPandas(run, schema)
 
 
-__all__ = ["flatten_trees", "shap_matrix", "tree_shap", "C"]
+__all__ = ["flatten_trees", "shap_matrix", "tree_shap"]

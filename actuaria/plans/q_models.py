@@ -134,9 +134,18 @@ def i5_tree_shap_policy(spark, sf):
     train, _ = training_frames(spark, sf)
     fitted = Mo.fit_gbt(train, "xgboost", QUICK)
     prof = S.with_features(policy(spark, sf))
-    shap = X.tree_shap(prof, fitted, C.KEY)
-    pred = Mo.predict(prof, fitted, "raw_prediction", prefix="f_").select(C.KEY, "raw_prediction")
-    out = shap.join(pred, C.KEY)
+    pred = Mo.predict(prof, fitted, "raw_prediction", prefix="f_")
+    out = X.tree_shap(pred, fitted)
     total = F.aggregate("shap", F.lit(0.0), lambda a, x: a + x)
     return out.select(C.KEY, "shap", "base_value", "raw_prediction",
                       F.abs(total + F.col("base_value") - F.col("raw_prediction")).alias("additivity_error"))
+
+
+@register("i9_batch_predict_gbt")
+def i9_batch_predict_gbt(spark, sf):
+    """I9 with a fitted boosted model: cost and the top tree attribution per
+    upload row, error rows kept."""
+    from actuaria.plans.q_profile import parsed_upload
+    train, _ = training_frames(spark, sf)
+    fitted = Mo.fit_gbt(train, "xgboost", QUICK)
+    return S.batch_predict(parsed_upload(spark, sf), fitted, lambda d: X.tree_shap(d, fitted))

@@ -126,3 +126,24 @@ def test_model_store_roundtrip(spark, gbt, train):
     a = [r["p"] for r in Mo.predict(train, gbt, "p", prefix="").orderBy(C.KEY).collect()]
     b = [r["p"] for r in Mo.predict(train, loaded, "p", prefix="").orderBy(C.KEY).collect()]
     assert a == b
+
+
+def test_tree_batch_predict_top_driver_is_largest_attribution(spark, gbt):
+    from actuaria.operators import score as S
+    from actuaria.sources import batch as B
+    from actuaria.sources.tables import policy_table
+    parsed = B.parse_profiles(B.policy_as_upload(policy_table(spark, "/root/testdata/sf0.001")))
+    res = S.batch_predict(parsed, gbt, lambda d: X.tree_shap(d, gbt))
+    shap = X.tree_shap(S.with_features(parsed), gbt).select("row_id", "shap")
+    rows = {r["row_id"]: r for r in res.join(shap, "row_id").collect()}
+    names = {C.DISPLAY_NAMES[f]: i for i, f in enumerate(C.FEATURES)}
+    checked = 0
+    for r in rows.values():
+        if r["error"] is not None:
+            assert r["predicted_cost"] is None
+            continue
+        mags = [abs(v) for v in r["shap"]]
+        assert mags[names[r["top_shap_feature"]]] == pytest.approx(max(mags))
+        assert r["predicted_cost"] >= 0
+        checked += 1
+    assert checked > 100

@@ -68,3 +68,8 @@ def test_boxplot_whiskers_inside_fences(policy_small):
     lo, hi = r["q1"] - 1.5 * r["iqr"], r["q3"] + 1.5 * r["iqr"]
     assert r["n_outliers"] == int(((pdf < lo) | (pdf > hi)).sum())
     assert isinstance(pd.__version__, str) and F is not None
+
+
+def test_column_selection_by_type(policy_small):
+    assert E.numeric_columns(policy_small) == ["policy_id", "age", "bmi", "children", "charges"]
+    assert E.string_columns(policy_small) == ["sex", "smoker", "region"]
