@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from actuaria import config as C
 from actuaria.functions.columns import kurtosis_unbiased, skewness_unbiased, value_map
-from actuaria.operators.quantiles import percentiles_long, quantile_table, to_long
+from actuaria.operators.quantiles import percentiles_long, quantile_table, to_long  # noqa: F401
 
 
 # ---------------------------------------------------------------- E15 helpers
@@ -375,5 +375,3 @@ def cost_bands(df: DataFrame, digits: int = 4) -> DataFrame:
         F.round(F.regr_slope("charges", "age"), digits).alias("age_slope"),
         F.round(F.regr_intercept("charges", "age"), digits).alias("age_intercept"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["quantile_table"]

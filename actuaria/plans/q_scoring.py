@@ -6,7 +6,6 @@ number has a DuckDB twin; the same operators accept fitted MLlib models.
 """
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from actuaria import config as C
@@ -483,5 +482,3 @@ def r3_no_risk_line(spark, sf):
     lines = R.savings_or_fallback()
     return df.where(F.size(R.saving_lines()) == 0).select(C.KEY, F.element_at(lines, 1).alias("line"))
 
-
-__all__ = ["scored_profiles", "test_predictions", "batch_results", "Window"]

@@ -17,7 +17,7 @@ from actuaria.plans.q_similar import neighbour_records
 from actuaria.plans.registry import register, with_ctes
 from actuaria.session import scratch_path
 from actuaria.sources import batch as B
-from actuaria.streaming.profiles import UPLOAD_SCHEMA, start_scoring
+from actuaria.streaming.profiles import start_scoring
 
 BATCH_ORACLE = with_ctes(FF_SQL, BG_SQL, UPLOAD_SQL, BATCH_SQL, select="SELECT * FROM batch")
 
@@ -91,5 +91,3 @@ def k3b_lsh_embeddings(spark, sf):
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= C.KNN_K)
 
-
-__all__ = ["UPLOAD_SCHEMA"]

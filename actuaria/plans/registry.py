@@ -34,10 +34,6 @@ def with_ctes(*ctes: str, select: str) -> str:
 
 # ---------------------------------------------------------------- shared SQL fragments
 
-def _z(c: str, mean: float, std: float) -> str:
-    return f"(CAST({c} AS DOUBLE) - {mean!r}) / {std!r}"
-
-
 # F2 features with the fixed serving scaler, from the raw policy columns.
 FEAT_SQL = """
 feat AS (
