@@ -149,3 +149,18 @@ def i9_batch_predict_gbt(spark, sf):
     train, _ = training_frames(spark, sf)
     fitted = Mo.fit_gbt(train, "xgboost", QUICK)
     return S.batch_predict(parsed_upload(spark, sf), fitted, lambda d: X.tree_shap(d, fitted))
+
+
+@register("m11_leaderboard_fitted")
+def m11_leaderboard_fitted(spark, sf):
+    """M11 over five fitted models (three boosted families on the raw target,
+    OLS and ridge on log1p with expm1 back), all floored at zero, ranked by
+    test R²."""
+    train, test = training_frames(spark, sf)
+    models = [Mo.fit_gbt(train, s, QUICK) for s in ("xgboost", "lightgbm", "gradient_boosting")]
+    models += [Mo.fit_ridge(train), Mo.fit_ols(train)]
+    scored = test.select(C.KEY, F.col(C.TARGET).alias("actual"), *C.FEATURES)
+    for m in models:
+        scored = Mo.predict(scored, m, f"p_{m.name}", prefix="").withColumn(
+            f"p_{m.name}", F.greatest(F.col(f"p_{m.name}"), F.lit(0.0)))
+    return M.leaderboard(scored, "actual", {m.name: f"p_{m.name}" for m in models})

@@ -147,3 +147,25 @@ def test_tree_batch_predict_top_driver_is_largest_attribution(spark, gbt):
         assert r["predicted_cost"] >= 0
         checked += 1
     assert checked > 100
+
+
+def test_leaderboard_boosted_beats_linear(spark):
+    import __spark_entry__ as E
+    rows = {r["model"]: r for r in E.queries()["m11_leaderboard_fitted"](spark, "/root/testdata/sf0.01").collect()}
+    assert min(rows[m]["r2"] for m in ("xgboost", "lightgbm", "gradient_boosting")) > \
+        max(rows[m]["r2"] for m in ("linear_regression", "ridge_regression"))
+    assert sorted(r["rank"] for r in rows.values()) == [1, 2, 3, 4, 5]
+    assert sum(r["is_best"] for r in rows.values()) == 1
+
+
+def test_interactions_raise_linear_r2(spark, train):
+    from actuaria.plans.q_models import training_frames
+    _, test = training_frames(spark, "/root/testdata/sf0.01")
+    base8 = C.FEATURES[:8]
+    scores = []
+    for feats in (base8, C.FEATURES):
+        m = Mo.fit_ols(train, features=feats)
+        p = Mo.predict(test, m, "p", prefix="").withColumn("p", F.greatest("p", F.lit(0.0)))
+        from actuaria.operators.evaluate import regression_metrics
+        scores.append(regression_metrics(p, "charges", "p").first()["r2"])
+    assert scores[1] > scores[0]
