@@ -1,10 +1,10 @@
 """Preprocessing (P1–P12): quantiles, IQR bounds and clipping, label and
 one-hot encoding, scaling, inverse decoding and the deterministic split.
 
-Fitted statistics (bounds, scaler moments, label maps) are small frames
-with one row per column; they are joined back to the data, where the
-optimizer broadcasts them (their size is bounded by the number of columns
-or categories, not by the data).
+Fitted statistics (bounds, scaler moments) are fitted like MLlib models:
+one distributed aggregate, one row back to the driver, then applied as
+literals (constant-folded, no join).  Label maps are bounded by the number
+of categories and joined back, AQE choosing the strategy at run time.
 """
 from __future__ import annotations
 
@@ -52,13 +52,13 @@ def clip_outliers(df: DataFrame, cols: Sequence[str], k: float = C.IQR_K,
     one_row = b.agg(*[x for c in cols for x in (
         F.max(F.when(F.col("column") == c, F.col("lower"))).alias(f"_lo_{c}"),
         F.max(F.when(F.col("column") == c, F.col("upper"))).alias(f"_hi_{c}"))])
-    joined = df.join(F.broadcast(one_row))  # exactly one row
-    out = joined
+    s = one_row.first().asDict()  # fitted bounds: one row
+    out = df
     for c in cols:
         x = F.col(c).cast("double")
         out = out.withColumn(c, F.when(x.isNull(), F.lit(None).cast("double"))
-                             .otherwise(F.greatest(F.col(f"_lo_{c}"), F.least(F.col(f"_hi_{c}"), x))))
-    return out.select(*df.columns)
+                             .otherwise(F.greatest(F.lit(s[f"_lo_{c}"]), F.least(F.lit(s[f"_hi_{c}"]), x))))
+    return out
 
 
 # ---------------------------------------------------------------- P4–P6
@@ -116,12 +116,13 @@ def scaler_row(stats: DataFrame, cols: Sequence[str]) -> DataFrame:
 def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
     """z = (x − μ)/σ with fitted stats; σ = 0 divides by 1."""
     one = scaler_row(stats, cols)
-    out = df.join(F.broadcast(one))  # exactly one row
+    s = one.first().asDict()  # fitted moments: one row
+    out = df
     for c in cols:
-        sd = F.col(f"_sd_{c}")
-        out = out.withColumn(c, (F.col(c).cast("double") - F.col(f"_mu_{c}"))
-                             / F.when(sd == 0, F.lit(1.0)).otherwise(sd))
-    return out.select(*df.columns)
+        sd = s[f"_sd_{c}"]
+        out = out.withColumn(c, (F.col(c).cast("double") - F.lit(s[f"_mu_{c}"]))
+                             / F.lit(1.0 if sd == 0 else sd))
+    return out
 
 
 def scale_constants(df: DataFrame, cols: Sequence[str] = ("age", "bmi", "children")) -> DataFrame:
@@ -178,15 +179,14 @@ def assign_split(df: DataFrame, key: str = C.KEY, test_fraction: float = C.TEST_
            .withColumn("_after", F.sum("_c").over(w_cum))
            .withColumn("_before", F.col("_after") - F.col("_c")))
     boundary = cum.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_after"))).select(
-        F.col("_b").alias("_bstar"), (F.col("_k") - F.col("_before")).alias("_r"))  # zero or one row
-    edge = hashed.select("_u", "_b", key).join(F.broadcast(boundary), F.col("_b") == F.col("_bstar"))
+        F.struct(F.col("_b").alias("b"), (F.col("_k") - F.col("_before")).alias("r"))).scalar()  # ≤ 1 row
+    edge = hashed.select("_u", "_b", key).where(F.col("_b") == boundary["b"])
     w_edge = Window.orderBy("_u", key)  # rows of one hash bucket only
-    thr = (edge.withColumn("_rn", F.row_number().over(w_edge)).where(F.col("_rn") == F.col("_r"))
-           .select(F.col("_u").alias("_tu"), F.col(key).alias("_tk")))
-    joined = hashed.join(F.broadcast(thr), how="left")  # at most one row
-    is_test = F.coalesce((F.col("_u") < F.col("_tu"))
-                         | ((F.col("_u") == F.col("_tu")) & (F.col(key) <= F.col("_tk"))), F.lit(False))
-    return joined.withColumn(split_col, F.when(is_test, "test").otherwise("train")).select(
+    thr = (edge.withColumn("_rn", F.row_number().over(w_edge)).where(F.col("_rn") == boundary["r"])
+           .select(F.struct(F.col("_u").alias("u"), F.col(key).alias("k")))).scalar()  # ≤ 1 row
+    is_test = F.coalesce((F.col("_u") < thr["u"])
+                         | ((F.col("_u") == thr["u"]) & (F.col(key) <= thr["k"])), F.lit(False))
+    return hashed.withColumn(split_col, F.when(is_test, "test").otherwise("train")).select(
         *df.columns, split_col)
 
 

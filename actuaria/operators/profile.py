@@ -3,8 +3,8 @@
 Every function is DataFrame → DataFrame.  Wide per-column statistics are
 computed in one pass by unpivoting to (column, value) and aggregating by
 column, so the number of jobs does not grow with the number of columns.
-One-row statistics (min/max for bins, fences) are joined back as a
-broadcast of exactly one row per column.
+One-row statistics (min/max for bins) enter expressions as scalar
+subqueries (``DataFrame.scalar()``): computed once, no join.
 """
 from __future__ import annotations
 
@@ -152,8 +152,8 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     x = F.col(column).cast("double")
     data = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     stats = data.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    counts = (data.join(F.broadcast(stats))
-              .select(_bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+    s = stats.select(F.struct("lo", "hi")).scalar()  # one-row statistic, no join
+    counts = (data.select(_bin_index(F.col("x"), s["lo"], s["hi"], bins).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     all_bins = stats.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
@@ -306,20 +306,22 @@ def quality_checks(df: DataFrame, key: str = C.KEY) -> DataFrame:
     return one.unionByName(dups)
 
 
-def _bin_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.agg(*[x for c in cols for x in (F.min(F.col(c).cast("double")).alias(f"{c}__lo"),
-                                              F.max(F.col(c).cast("double")).alias(f"{c}__hi"))])
+def _bin_stats(df: DataFrame, cols: Sequence[str]):
+    """min / max of each column as one struct-valued scalar subquery."""
+    agg = df.agg(*[x for c in cols for x in (F.min(F.col(c).cast("double")).alias(f"{c}__lo"),
+                                             F.max(F.col(c).cast("double")).alias(f"{c}__hi"))])
+    return agg.select(F.struct(*agg.columns)).scalar()
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, hue: str, bins: int = 20, digits: int = 4) -> DataFrame:
     """2-D binned counts and mean y per hue (bounded output, all rows)."""
-    stats = _bin_stats(df, [x, y])
+    s = _bin_stats(df, [x, y])
     data = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
-                     F.col(hue).alias("hue")).join(F.broadcast(stats))
+                     F.col(hue).alias("hue"))
     binned = data.select(
         "hue", "_y",
-        _bin_index(F.col("_x"), F.col(f"{x}__lo"), F.col(f"{x}__hi"), bins).alias("bin_x"),
-        _bin_index(F.col("_y"), F.col(f"{y}__lo"), F.col(f"{y}__hi"), bins).alias("bin_y"))
+        _bin_index(F.col("_x"), s[f"{x}__lo"], s[f"{x}__hi"], bins).alias("bin_x"),
+        _bin_index(F.col("_y"), s[f"{y}__lo"], s[f"{y}__hi"], bins).alias("bin_y"))
     return binned.groupBy("hue", "bin_x", "bin_y").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("_y"), digits).alias("mean_y")
     ).select(F.lit(x).alias("x_var"), F.lit(y).alias("y_var"), "hue", "bin_x", "bin_y", "n", "mean_y")
@@ -329,11 +331,10 @@ def pair_bins(df: DataFrame, cols: Sequence[str], hue: str, bins: int = 10) -> D
     """Pair plot re-aimed as binned counts for every column pair (and
     the diagonal histograms) by hue, in one exploded aggregate."""
     cols = list(cols)
-    stats = _bin_stats(df, cols)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(hue).alias("hue")).join(
-        F.broadcast(stats))
+    s = _bin_stats(df, cols)
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(hue).alias("hue"))
     binned = data.select("hue", *[
-        _bin_index(F.col(c), F.col(f"{c}__lo"), F.col(f"{c}__hi"), bins).alias(f"{c}__b") for c in cols])
+        _bin_index(F.col(c), s[f"{c}__lo"], s[f"{c}__hi"], bins).alias(f"{c}__b") for c in cols])
     pairs = F.array(*[F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
                                F.col(f"{a}__b").alias("bin_x"), F.col(f"{b}__b").alias("bin_y"))
                       for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j])

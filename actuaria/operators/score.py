@@ -4,7 +4,7 @@ All per-profile work is narrow: features, every model score, both what-if
 variants and the attribution arrays are columns of the same row, so a
 table of profiles is scored in a single stage with no shuffle.  The only
 wide step is the one-row background mean used by linear attributions,
-broadcast as exactly one row.
+embedded as a scalar subquery.
 """
 from __future__ import annotations
 
@@ -119,12 +119,12 @@ def linear_shap(df: DataFrame, model: FixedLinear, background: DataFrame, out_co
         joined = df
         mu = {f: F.lit(float(background[f"_mu_{f}"])) for f in C.FEATURES}
     else:
-        joined = df.join(F.broadcast(background))  # exactly one row
-        mu = {f: F.col(f"_mu_{f}") for f in C.FEATURES}
+        joined = df
+        s = background.select(F.struct(*[f"_mu_{f}" for f in C.FEATURES])).scalar()  # one row
+        mu = {f: s[f"_mu_{f}"] for f in C.FEATURES}
     vals = [F.lit(float(model.coefficients.get(f, 0.0))) * (F.col(f"{prefix}{f}").cast("double") - mu[f])
             for f in C.FEATURES]
-    out = joined.withColumn(out_col, F.array(*vals))
-    return out if isinstance(background, dict) else out.drop(*[f"_mu_{f}" for f in C.FEATURES])
+    return joined.withColumn(out_col, F.array(*vals))
 
 
 def base_value(model: FixedLinear, background: DataFrame) -> DataFrame:

@@ -336,8 +336,8 @@ FROM policy GROUP BY smoker
 """))
 def e20_smoker_summary_policy(spark, sf):
     pol = policy(spark, sf)
-    ratio = E.mean_ratio(pol, "smoker", "charges", "yes", "no")
-    return E.group_summary(pol, "smoker", "charges").join(F.broadcast(ratio))  # one-row ratio
+    ratio = E.mean_ratio(pol, "smoker", "charges", "yes", "no").scalar()  # one-row ratio
+    return E.group_summary(pol, "smoker", "charges").withColumn("mean_ratio", ratio)
 
 
 @register("e20_priority_summary_orders", """
