@@ -7,7 +7,8 @@ Base points are bucketed into square cells on two grid dimensions (the two
 heaviest features); candidates are found by an equi-join on (stratum, cell)
 and cut to the k best per query (``row_number() <= k``, planned as a
 partial + final ``WindowGroupLimit``).  Pass 1 searches the 3×3 cells
-around each query; its k-th distance D bounds the true k-th distance, and
+around each query (sparse queries retry with a doubled ring until they see
+k points); its k-th distance D bounds the true k-th distance, and
 any point within D of the query lies in the cells covering [q − D, q + D]
 in both grid dimensions — pass 2 searches exactly those cells, so its top k
 is exact.  Two passes, no iteration.
@@ -69,11 +70,12 @@ def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len
     ``queries``: (qid, stratum, w_0..w_{d-1}); ``base``: (bid, stratum, w_0..).
     Returns (qid, rank INT, bid, distance DOUBLE).
 
-    Pass 1 searches the 3×3 cells around each query; its k-th distance D is
-    an upper bound of the true k-th distance.  Every true neighbour is then
-    within D in each grid dimension, so pass 2 searches exactly the cells
-    covering [q − D, q + D]² (the stratum's whole box when pass 1 found
-    fewer than k points) and its top k is exact.
+    Pass 1 searches the 3×3 cells around each query (queries that find fewer
+    than k points retry with a doubled ring); its k-th distance D is an upper
+    bound of the true k-th distance.  Every true neighbour is within D in each
+    grid dimension, so pass 2 searches exactly the cells covering
+    [q − D, q + D]² and its top k is exact.  Only a stratum with fewer than k
+    points is searched whole.
     """
     gx, gy = grid
     wcols = [f"w_{i}" for i in range(n_dims)]
@@ -103,12 +105,33 @@ def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len
         w = Window.partitionBy(qid).orderBy(F.round("distance", TIE_DIGITS), bid)
         return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    near = F.sequence(F.lit(-1), F.lit(1))
-    first = search(q.select(qid, stratum, *[f"q_{i}" for i in range(n_dims)],
-                            F.explode(F.transform(near, lambda o: F.col("qcx") + o)).alias("cx"), "qcy")
-                   .withColumn("cy", F.explode(F.transform(near, lambda o: F.col("qcy") + o))).drop("qcy"))
-    bound = first.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
-    ranged = q.join(bound, qid, "left").withColumn("_full", F.coalesce(F.col("_n"), F.lit(0)) < k)
+    # pass 1: the (2r+1)² cells around each query; queries that find fewer
+    # than k points (sparse regions) retry with a doubled ring, only they do
+    bounds = []
+    pending = q
+    r = 1
+    while True:
+        ring = F.sequence(F.lit(-r), F.lit(r))
+        first = search(pending.select(qid, stratum, *[f"q_{i}" for i in range(n_dims)],
+                                      F.explode(F.transform(ring, lambda o: F.col("qcx") + o)).alias("cx"), "qcy")
+                       .withColumn("cy", F.explode(F.transform(ring, lambda o: F.col("qcy") + o))).drop("qcy"))
+        stat = first.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
+        covers = ((F.col("qcx") - r <= F.col("minx")) & (F.col("qcx") + r >= F.col("maxx"))
+                  & (F.col("qcy") - r <= F.col("miny")) & (F.col("qcy") + r >= F.col("maxy")))
+        judged = (pending.join(stat, qid, "left")
+                  .withColumn("_n", F.coalesce("_n", F.lit(0)))
+                  .withColumn("_ok", (F.col("_n") >= k) | covers)
+                  .withColumn("_full", F.col("_n") < k)   # only when the ring covers the whole stratum
+                  .checkpoint(eager=True))
+        bounds.append(judged.where("_ok").drop("_ok"))
+        pending = judged.where(~F.col("_ok")).drop("_n", "_d", "_ok", "_full")
+        if pending.isEmpty():
+            break
+        r *= 2
+    ranged = bounds[0]
+    for b in bounds[1:]:
+        ranged = ranged.unionByName(b)
+    # pass 2: every cell that the k-th distance bound D can reach
     d = F.col("_d") + F.lit(1e-9)
     lo_x = F.when(F.col("_full"), F.col("minx")).otherwise(F.floor((F.col(f"q_{gx}") - d) / cell))
     hi_x = F.when(F.col("_full"), F.col("maxx")).otherwise(F.floor((F.col(f"q_{gx}") + d) / cell))

@@ -69,3 +69,17 @@ def test_similarity_clamped(spark):
     df = spark.createDataFrame([(0.0, 1.0), (100.0, 1.0), (0.5, 0.0)], "distance double, scale double")
     vals = [r[0] for r in df.select(K.similarity()).collect()]
     assert vals[0] == 100.0 and vals[1] == 5.0 and 5.0 <= vals[2] <= 100.0
+
+
+def test_isolated_query_uses_ring_growth(spark):
+    # one query far from a dense cluster plus a far-away sparse point: exact answer, no whole-stratum scan needed
+    rng = np.random.default_rng(11)
+    base = [(i, "a", tuple(float(x) for x in rng.normal(scale=0.3, size=2))) for i in range(300)]
+    base.append((999, "a", (40.0, 40.0)))
+    queries = [(1, "a", (20.0, 20.0)), (2, "a", (39.0, 41.0)), (3, "a", (0.0, 0.0))]
+    qs, bs = _frames(spark, queries, base, 2)
+    got = K.knn(qs, bs, k=5, n_dims=2, cell=0.1).collect()
+    res = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        res.setdefault(r["query_id"], []).append(r["neighbor_id"])
+    assert res == _brute(queries, base, 5)
