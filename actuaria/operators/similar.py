@@ -7,7 +7,7 @@ Base points are bucketed into square cells on two grid dimensions (the two
 heaviest features); candidates are found by an equi-join on (stratum, cell)
 and cut to the k best per query (``row_number() <= k``, planned as a
 partial + final ``WindowGroupLimit``).  Pass 1 searches the 3×3 cells
-around each query (sparse queries retry with a doubled ring until they see
+around each query (sparse queries retry with a 4× wider ring until they see
 k points); its k-th distance D bounds the true k-th distance, and
 any point within D of the query lies in the cells covering [q − D, q + D]
 in both grid dimensions — pass 2 searches exactly those cells, so its top k
@@ -71,7 +71,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len
     Returns (qid, rank INT, bid, distance DOUBLE).
 
     Pass 1 searches the 3×3 cells around each query (queries that find fewer
-    than k points retry with a doubled ring); its k-th distance D is an upper
+    than k points retry with a 4× wider ring); its k-th distance D is an upper
     bound of the true k-th distance.  Every true neighbour is within D in each
     grid dimension, so pass 2 searches exactly the cells covering
     [q − D, q + D]² and its top k is exact.  Only a stratum with fewer than k
@@ -106,7 +106,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len
         return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     # pass 1: the (2r+1)² cells around each query; queries that find fewer
-    # than k points (sparse regions) retry with a doubled ring, only they do
+    # than k points (sparse regions) retry with a 4× wider ring, only they do
     bounds = []
     pending = q
     r = 1
@@ -127,7 +127,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len
         pending = judged.where(~F.col("_ok")).drop("_n", "_d", "_ok", "_full")
         if pending.isEmpty():
             break
-        r *= 2
+        r *= 4
     ranged = bounds[0]
     for b in bounds[1:]:
         ranged = ranged.unionByName(b)
