@@ -91,3 +91,12 @@ def k3b_lsh_embeddings(spark, sf):
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= C.KNN_K)
 
+
+
+@register("s6_batch_results_csv", BATCH_ORACLE)
+def s6_batch_results_csv(spark, sf):
+    """Batch results written as CSV with a header (empty cell = null) and
+    read back with their schema."""
+    res = batch_results(spark, sf)
+    path = B.write_results(res, scratch_path(spark, "batch-csv"), "csv")
+    return spark.read.schema(res.schema).option("header", True).csv(path)
