@@ -70,9 +70,11 @@ def interaction(a, b) -> Column:
 def feature_columns(age, sex, bmi, children, smoker, region) -> dict[str, Column]:
     """The ten ordered model features from raw profile columns.
 
-    Unknown ``sex`` → 0 (female), unknown ``smoker`` → 0, unknown region →
-    the all-zero northeast baseline.  Interactions use the *scaled* values.
+    Words are compared lower-cased; unknown ``sex`` → 0 (female), unknown
+    ``smoker`` → 0, unknown region → the all-zero northeast baseline.
+    Interactions use the *scaled* values.
     """
+    sex, smoker, region = F.lower(col(sex)), F.lower(col(smoker)), F.lower(col(region))
     age_s = scale_const(age, "age")
     bmi_s = scale_const(bmi, "bmi")
     smoker_enc = is_value(smoker, "yes")

@@ -85,7 +85,7 @@ def what_if(df: DataFrame, model, cost_col: str = "cost", bmi_target: float = C.
     out = score_cost(out, model, "_cost_quit", "q__")
     out = score_cost(out, model, "_cost_bmi", "b__")
     out = drop_features(drop_features(out, "q__"), "b__")
-    quit = F.when(F.col("smoker") == "yes", _scenario(F.col(cost_col), F.col("_cost_quit")))
+    quit = F.when(F.lower("smoker") == "yes", _scenario(F.col(cost_col), F.col("_cost_quit")))
     bmi = F.when(F.col("bmi") > bmi_target, _scenario(F.col(cost_col), F.col("_cost_bmi")))
     return out.withColumn("scenarios", F.struct(quit.alias("quit_smoking"), bmi.alias("healthy_bmi"))) \
               .drop("_cost_quit", "_cost_bmi")

@@ -34,23 +34,6 @@ def with_ctes(*ctes: str, select: str) -> str:
 
 # ---------------------------------------------------------------- shared SQL fragments
 
-# F2 features with the fixed serving scaler, from the raw policy columns.
-FEAT_SQL = """
-feat AS (
- SELECT *,
-  (CAST(age AS DOUBLE) - 39.21) / 14.04 AS f_age,
-  CASE WHEN sex = 'male' THEN 1 ELSE 0 END AS f_sex,
-  (CAST(bmi AS DOUBLE) - 30.65) / 6.05 AS f_bmi,
-  (CAST(children AS DOUBLE) - 1.09) / 1.21 AS f_children,
-  CASE WHEN smoker = 'yes' THEN 1 ELSE 0 END AS f_smoker,
-  CASE WHEN region = 'northwest' THEN 1 ELSE 0 END AS f_region_northwest,
-  CASE WHEN region = 'southeast' THEN 1 ELSE 0 END AS f_region_southeast,
-  CASE WHEN region = 'southwest' THEN 1 ELSE 0 END AS f_region_southwest,
-  (CASE WHEN smoker = 'yes' THEN 1 ELSE 0 END) * ((CAST(bmi AS DOUBLE) - 30.65) / 6.05) AS f_smoker_bmi,
-  (CASE WHEN smoker = 'yes' THEN 1 ELSE 0 END) * ((CAST(age AS DOUBLE) - 39.21) / 14.04) AS f_smoker_age
- FROM policy)
-"""
-
 # Deterministic split: the ceil(0.2·n) first rows by (md5(key:42), key).
 SPLIT_SQL = """
 split AS (
@@ -108,16 +91,16 @@ def feature_sql(prefix: str = "f_", age: str = "age", sex: str = "sex", bmi: str
     """The ten F2 feature expressions (comma separated) over raw SQL expressions."""
     a = f"((CAST({age} AS DOUBLE) - 39.21) / 14.04)"
     b = f"((CAST({bmi} AS DOUBLE) - 30.65) / 6.05)"
-    s = f"(CASE WHEN {smoker} = 'yes' THEN 1 ELSE 0 END)"
+    s = f"(CASE WHEN lower({smoker}) = 'yes' THEN 1 ELSE 0 END)"
     cols = {
         "age": a,
-        "sex": f"CASE WHEN {sex} = 'male' THEN 1 ELSE 0 END",
+        "sex": f"CASE WHEN lower({sex}) = 'male' THEN 1 ELSE 0 END",
         "bmi": b,
         "children": f"((CAST({children} AS DOUBLE) - 1.09) / 1.21)",
         "smoker": s,
-        "region_northwest": f"CASE WHEN {region} = 'northwest' THEN 1 ELSE 0 END",
-        "region_southeast": f"CASE WHEN {region} = 'southeast' THEN 1 ELSE 0 END",
-        "region_southwest": f"CASE WHEN {region} = 'southwest' THEN 1 ELSE 0 END",
+        "region_northwest": f"CASE WHEN lower({region}) = 'northwest' THEN 1 ELSE 0 END",
+        "region_southeast": f"CASE WHEN lower({region}) = 'southeast' THEN 1 ELSE 0 END",
+        "region_southwest": f"CASE WHEN lower({region}) = 'southwest' THEN 1 ELSE 0 END",
         "smoker_bmi": f"{s} * {b}",
         "smoker_age": f"{s} * {a}",
     }

@@ -119,3 +119,9 @@ def test_batch_header_only(spark, tmp_path):
     p = _write_csv(str(tmp_path), f"{COLS}\n")
     _, s = _batch(spark, p)
     assert (s["total"], s["mean_prediction"], s["min_prediction"], s["max_prediction"]) == (0, 0.0, 0.0, 0.0)
+
+
+def test_profile_words_are_case_insensitive(spark):
+    out = _score(spark, [(1, 45, "female", 30.0, 2, "yes", "northwest"), (2, 45, "FEMALE", 30.0, 2, "Yes", "NorthWest")])
+    assert out[1]["cost"] == out[2]["cost"]
+    assert out[1]["scenarios"] == out[2]["scenarios"]
