@@ -167,7 +167,7 @@ def cap_trees(params: dict, max_trees: int | None) -> dict:
 
 def random_search(train: DataFrame, style: str, n_iter: int = C.SEARCH_ITERATIONS,
                   folds: int = C.CV_FOLDS, fold_col: str = "fold", max_trees: int | None = None,
-                  target: str = C.TARGET, parallelism: int = 2, seed: int = C.SPLIT_SEED):
+                  target: str = C.TARGET, parallelism: int = 4, seed: int = C.SPLIT_SEED):
     """M7–M9: random search with k-fold CV on R², refit on all training rows.
 
     The grid draw is the full published space; ``max_trees`` only bounds
