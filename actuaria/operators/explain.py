@@ -8,7 +8,11 @@ all of them.  With v = tree weight × leaf value the leaf contributes
     φ_i += v · (o_i − z_i) · Σ_{S ⊆ F∖{i}} |S|!(|F|−|S|−1)!/|F|! · Π_{j∈S} o_j · Π_{j∈F∖S∖{i}} z_j
 
 The subset sum is the coefficient vector of Π_{j≠i}(z_j + o_j·t) dotted with
-the Shapley weights, so each leaf costs O(|F|²) vector operations per batch.
+the Shapley weights.  Because o is binary, a leaf's contribution depends on
+a row only through its |F| inclusion bits: every leaf's contributions for
+all 2^|F| bit patterns are tabulated once per model, and a batch only
+computes pattern indices, gathers, and scatters to features with one matrix
+product per path position.
 
 The trees are read once from the model's saved parquet (their size is the
 model's, not the data's), flattened to per-leaf arrays, broadcast, and
@@ -73,29 +77,69 @@ def _shapley_weights(m: int) -> np.ndarray:
     return np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
 
 
-def shap_matrix(X: np.ndarray, flat: dict, n_features: int) -> np.ndarray:
-    """Attributions for a batch (n × n_features) of raw model inputs."""
+def _poly_contrib(o: np.ndarray, z: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Contributions (…, L, m) of leaves with inclusion flags o (…, L, m)."""
+    m = z.shape[-1]
+    out = np.zeros(o.shape)
+    for a in range(m):
+        poly = np.ones(o.shape[:-1] + (1,))          # coefficients of Π_{b≠a}(z_b + o_b·t)
+        for b in range(m):
+            if b == a:
+                continue
+            grown = np.zeros(poly.shape[:-1] + (poly.shape[-1] + 1,))
+            grown[..., :-1] += poly * z[..., b:b + 1]
+            grown[..., 1:] += poly * o[..., b:b + 1]
+            poly = grown
+        out[..., a] = v * (o[..., a] - z[..., a]) * (poly @ w)
+    return out
+
+
+def pack_leaves(flat: dict, n_features: int, chunk: int = 256, table_max_m: int = 8) -> list[dict]:
+    """Group leaves by path length m and stack them into arrays (once per
+    model).  A leaf's contribution depends on a row only through its m
+    inclusion bits, so for m ≤ ``table_max_m`` every leaf gets a table of its
+    contributions for all 2^m bit patterns; rows then only look values up."""
+    groups: dict[int, list] = {}
+    for leaf in flat["leaves"]:
+        if len(leaf["features"]):
+            groups.setdefault(len(leaf["features"]), []).append(leaf)
+    packs = []
+    for m, leaves in sorted(groups.items()):
+        for i in range(0, len(leaves), chunk):
+            part = leaves[i:i + chunk]
+            feats = np.stack([lf["features"] for lf in part])
+            onehot = np.zeros((m, len(part), n_features))
+            for a in range(m):
+                onehot[a, np.arange(len(part)), feats[:, a]] = 1.0
+            pk = {"m": m, "features": feats,
+                  "lo": np.stack([lf["lo"] for lf in part]), "hi": np.stack([lf["hi"] for lf in part]),
+                  "z": np.stack([lf["z"] for lf in part]), "v": np.array([lf["v"] for lf in part]),
+                  "onehot": onehot, "w": _shapley_weights(m), "table": None}
+            if m <= table_max_m:
+                bits = ((np.arange(2 ** m)[:, None] >> np.arange(m)) & 1).astype(float)   # P×m
+                o = np.broadcast_to(bits[None, :, :], (len(part), 2 ** m, m))             # L×P×m
+                z = np.broadcast_to(pk["z"][:, None, :], o.shape)
+                pk["table"] = _poly_contrib(o, z, pk["v"][:, None], pk["w"])             # L×P×m
+            packs.append(pk)
+    return packs
+
+
+def shap_matrix(X: np.ndarray, flat: dict, n_features: int, packs: list | None = None) -> np.ndarray:
+    """Attributions for a batch (n × n_features) of raw model inputs,
+    vectorised over rows and over the leaves of each pack."""
     n = X.shape[0]
     phi = np.zeros((n, n_features))
-    for leaf in flat["leaves"]:
-        feats = leaf["features"]
-        m = len(feats)
-        if m == 0:
-            continue
-        xs = X[:, feats]
-        o = ((xs > leaf["lo"]) & (xs <= leaf["hi"])).astype(float)
-        z = leaf["z"]
-        wts = _shapley_weights(m)
+    for pk in packs if packs is not None else pack_leaves(flat, n_features):
+        m = pk["m"]
+        xs = X[:, pk["features"]]                                        # n×L×m
+        inside = (xs > pk["lo"]) & (xs <= pk["hi"])
+        if pk["table"] is not None:
+            idx = (inside.astype(np.int64) << np.arange(m)).sum(axis=2)   # n×L pattern index
+            contrib = pk["table"][np.arange(len(pk["v"]))[None, :], idx]  # n×L×m
+        else:
+            contrib = _poly_contrib(inside.astype(float), np.broadcast_to(pk["z"], xs.shape), pk["v"], pk["w"])
         for a in range(m):
-            poly = np.ones((n, 1))
-            for b in range(m):
-                if b == a:
-                    continue
-                grown = np.zeros((n, poly.shape[1] + 1))
-                grown[:, :-1] += poly * z[b]
-                grown[:, 1:] += poly * o[:, b:b + 1]
-                poly = grown
-            phi[:, feats[a]] += leaf["v"] * (o[:, a] - z[a]) * (poly @ wts)
+            phi += contrib[:, :, a] @ pk["onehot"][a]
     return phi
 
 
@@ -105,17 +149,17 @@ def tree_shap(df: DataFrame, fitted, prefix: str = "f_", out_col: str = "shap")
     pass through, so the operator stays narrow (no join back)."""
     spark = df.sparkSession
     flat = flatten_trees(spark, fitted)
-    bc = spark.sparkContext.broadcast(flat)
     cols = [f"{prefix}{f}" for f in fitted.features]
     nf = len(cols)
+    bc = spark.sparkContext.broadcast({"packs": pack_leaves(flat, nf), "expected": flat["expected"]})
 
     def run(batches):
-        fl = bc.value
+        model = bc.value
         for pdf in batches:
             X = pdf[cols].to_numpy(dtype=float, na_value=np.nan)
-            phi = shap_matrix(X, fl, nf)
+            phi = shap_matrix(X, None, nf, model["packs"])
             pdf[out_col] = list(phi)
-            pdf["base_value"] = fl["expected"]
+            pdf["base_value"] = model["expected"]
             yield pdf
 
     schema = T.StructType(list(df.schema.fields) + [
