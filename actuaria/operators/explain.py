@@ -94,11 +94,16 @@ def _poly_contrib(o: np.ndarray, z: np.ndarray, v: np.ndarray, w: np.ndarray) ->
     return out
 
 
-def pack_leaves(flat: dict, n_features: int, chunk: int = 256, table_max_m: int = 8) -> list[dict]:
+def pack_leaves(flat: dict, n_features: int, chunk: int = 256, table_max_m: int = 8,
+                table_budget_bytes: int = 64 << 20) -> list[dict]:
     """Group leaves by path length m and stack them into arrays (once per
     model).  A leaf's contribution depends on a row only through its m
-    inclusion bits, so for m ≤ ``table_max_m`` every leaf gets a table of its
-    contributions for all 2^m bit patterns; rows then only look values up."""
+    inclusion bits, so for m ≤ ``table_max_m`` a leaf gets a table of its
+    contributions for all 2^m bit patterns and rows only look values up.
+    Tables are built shortest paths first while their total size stays within
+    ``table_budget_bytes`` (they are broadcast); other packs are evaluated
+    with the polynomial directly."""
+    used = 0
     groups: dict[int, list] = {}
     for leaf in flat["leaves"]:
         if len(leaf["features"]):
@@ -108,14 +113,13 @@ def pack_leaves(flat: dict, n_features: int, chunk: int = 256, table_max_m: int
         for i in range(0, len(leaves), chunk):
             part = leaves[i:i + chunk]
             feats = np.stack([lf["features"] for lf in part])
-            onehot = np.zeros((m, len(part), n_features))
-            for a in range(m):
-                onehot[a, np.arange(len(part)), feats[:, a]] = 1.0
             pk = {"m": m, "features": feats,
                   "lo": np.stack([lf["lo"] for lf in part]), "hi": np.stack([lf["hi"] for lf in part]),
                   "z": np.stack([lf["z"] for lf in part]), "v": np.array([lf["v"] for lf in part]),
-                  "onehot": onehot, "w": _shapley_weights(m), "table": None}
-            if m <= table_max_m:
+                  "w": _shapley_weights(m), "table": None}
+            size = len(part) * (2 ** m) * m * 8
+            if m <= table_max_m and used + size <= table_budget_bytes:
+                used += size
                 bits = ((np.arange(2 ** m)[:, None] >> np.arange(m)) & 1).astype(float)   # P×m
                 o = np.broadcast_to(bits[None, :, :], (len(part), 2 ** m, m))             # L×P×m
                 z = np.broadcast_to(pk["z"][:, None, :], o.shape)
@@ -131,6 +135,11 @@ def shap_matrix(X: np.ndarray, flat: dict, n_features: int, packs: list | None =
     phi = np.zeros((n, n_features))
     for pk in packs if packs is not None else pack_leaves(flat, n_features):
         m = pk["m"]
+        if "onehot" not in pk:  # scatter matrices are rebuilt where used, not broadcast
+            L = len(pk["v"])
+            pk["onehot"] = np.zeros((m, L, n_features))
+            for a in range(m):
+                pk["onehot"][a, np.arange(L), pk["features"][:, a]] = 1.0
         xs = X[:, pk["features"]]                                        # n×L×m
         inside = (xs > pk["lo"]) & (xs <= pk["hi"])
         if pk["table"] is not None:

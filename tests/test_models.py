@@ -169,3 +169,11 @@ def test_interactions_raise_linear_r2(spark, train):
         from actuaria.operators.evaluate import regression_metrics
         scores.append(regression_metrics(p, "charges", "p").first()["r2"])
     assert scores[1] > scores[0]
+
+
+def test_attribution_table_and_polynomial_paths_agree(spark, gbt, train):
+    flat = X.flatten_trees(spark, gbt)
+    pdf = train.select(*C.FEATURES).limit(50).toPandas().to_numpy(float)
+    with_tables = X.shap_matrix(pdf, None, 10, X.pack_leaves(flat, 10))
+    without = X.shap_matrix(pdf, None, 10, X.pack_leaves(flat, 10, table_budget_bytes=0))
+    assert np.allclose(with_tables, without, atol=1e-9)
