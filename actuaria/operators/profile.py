@@ -164,6 +164,22 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
+def histograms(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
+    """E10 for several columns in one job: (column, bin, bin_lo, bin_hi, count).
+    Per-column ranges are a small (columns-row) frame joined on the column name."""
+    long = to_long(df, cols)
+    ranges = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    counts = (long.join(ranges, "column")
+              .select("column", _bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+              .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    all_bins = ranges.select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return (all_bins.join(counts, ["column", "bin"], "left")
+            .select("column", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
+                    (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
+                    F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+
+
 def boxplot_long(long: DataFrame, by: Sequence[str], digits: int = 6) -> DataFrame:
     """E11/E12 core: quartiles, whiskers (furthest points inside 1.5·IQR) and
     outlier count for every ``by`` group of a (by..., value) frame."""

@@ -111,6 +111,23 @@ def s3_s2_split_roundtrip_test(spark, sf):
                                         "region_northwest", "region_southeast", "region_southwest"]])
 
 
+@register("s3_s2_split_roundtrip_csv", with_ctes(
+    SPLIT_SQL, PROCESSED_SQL,
+    select="SELECT policy_id, round(age, 6) AS age, sex, round(bmi, 6) AS bmi, round(children, 6) AS children, "
+           "smoker, charges, region_northwest, region_southeast, region_southwest FROM processed "
+           "WHERE split = 'test'"))
+def s3_s2_split_roundtrip_csv(spark, sf):
+    """S3 as CSV (header, partitioned by split), S2 scan of the test split
+    with the explicit schema."""
+    path = scratch_path(spark, "processed-csv")
+    frame = preprocess(policy(spark, sf)).frame
+    B.write_split(frame, path, fmt="csv")
+    df = B.read_split(spark, path, "test", schema=frame.schema, fmt="csv")
+    return df.select(C.KEY, *[F.round(c, 6).alias(c) if c in ("age", "bmi", "children") else F.col(c)
+                              for c in ["age", "sex", "bmi", "children", "smoker", "charges",
+                                        "region_northwest", "region_southeast", "region_southwest"]])
+
+
 @register("s4_batch_scan_csv", with_ctes(
     UPLOAD_SQL, select="SELECT row_id, age, sex, bmi, children, smoker, region FROM upload"))
 def s4_batch_scan_csv(spark, sf):
@@ -246,6 +263,13 @@ def e10_hist_lineitem_price(spark, sf):
     return E.histogram(table(spark, sf, "lineitem"), "l_extendedprice", C.BINS_FEATURE)
 
 
+@register("e10_hist_policy_columns", with_ctes(select=G.union([
+    f"SELECT * FROM (SELECT '{c}' AS \"column\", * FROM (" + G.histogram(f"SELECT CAST({c} AS DOUBLE) AS x FROM policy",
+                                                                       C.BINS_FEATURE) + "))" for c in NUM])))
+def e10_hist_policy_columns(spark, sf):
+    return E.histograms(policy(spark, sf), NUM, C.BINS_FEATURE)
+
+
 @register("e11_boxplot_policy", with_ctes(select="SELECT * FROM (" + G.boxplot(
     G.long_values("policy", NUM), ["column"]) + ")"))
 def e11_boxplot_policy(spark, sf):
