@@ -61,10 +61,11 @@ def profile_results(spark, sf):
     similar = patients.select(
         F.col("query_id").alias(C.KEY),
         F.struct(F.transform("_p", lambda p: p.dropFields("rank")).alias("patients"),
-                 F.struct("count", "min", "max", "mean", "median").alias("summary")).alias("similar"))
+                 F.struct(F.col("count").cast("int").alias("count"), "min", "max", "mean", "median")
+                 .alias("summary")).alias("similar"))
     return prof.join(similar, C.KEY, "left").select(
-        C.KEY, F.round("cost", 2).alias("cost"), "confidence", "scenarios", "shap_bars", "shap_top",
-        "advice", "similar")
+        F.col(C.KEY).alias("profile_id"), F.round("cost", 2).alias("cost"), "confidence", "scenarios",
+        "shap_bars", "shap_top", "advice", "similar")
 
 
 @register("i11_profile_result")
@@ -74,7 +75,7 @@ def i11_profile_result(spark, sf):
 
 @register("s7_profile_record_json")
 def s7_profile_record_json(spark, sf):
-    return B.to_json_records(profile_results(spark, sf), C.KEY)
+    return B.to_json_records(profile_results(spark, sf), "profile_id")
 
 
 @register("k3b_lsh_embeddings")
