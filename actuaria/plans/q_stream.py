@@ -43,12 +43,32 @@ def s6_batch_results_json(spark, sf):
     return spark.read.schema(res.schema).json(path)
 
 
-def profile_results(spark, sf):
+def fitted_profiles(spark, sf):
+    """Test-split profiles scored like the reference's request path with
+    fitted models: the xgboost-style GBT gives cost, scenarios and tree
+    attributions; the three boosted families give the band."""
+    from actuaria.operators import explain as X
+    from actuaria.operators import models as Mo
+    from actuaria.plans.q_models import QUICK, training_frames
+    train, _ = training_frames(spark, sf)
+    members = [Mo.fit_gbt(train, s, QUICK) for s in ("xgboost", "lightgbm", "gradient_boosting")]
+    primary = members[0]
+    test = assign_split(policy(spark, sf)).where(F.col("split") == "test").drop("split")
+    prof = S.score_cost(S.with_features(test), primary, "cost")
+    prof = S.what_if(prof, primary)
+    prof = X.tree_shap(prof, primary)
+    prof = prof.withColumn("shap_bars", S.shap_bars("shap")).withColumn("shap_top", S.top_drivers("shap_bars"))
+    return S.confidence_band(prof, members)
+
+
+def profile_results(spark, sf, fitted: bool = False):
     """One nested record per test-split profile: cost, confidence band,
     scenarios, bars, top drivers, advice text and similar profiles."""
-    prof = scored_profiles(spark, sf)
-    prof = S.confidence_band(prof, C.ENSEMBLE)
     test = assign_split(policy(spark, sf)).where(F.col("split") == "test").select(C.KEY)
+    if fitted:
+        prof = fitted_profiles(spark, sf)
+    else:
+        prof = S.confidence_band(scored_profiles(spark, sf), C.ENSEMBLE)
     prof = prof.join(test, C.KEY, "left_semi").withColumn("advice", advice_text())
     rec = neighbour_records(spark, sf)
     patients = rec.groupBy("query_id").agg(
@@ -73,6 +93,11 @@ def i11_profile_result(spark, sf):
     return profile_results(spark, sf)
 
 
+@register("i11_profile_result_fitted")
+def i11_profile_result_fitted(spark, sf):
+    return profile_results(spark, sf, fitted=True)
+
+
 @register("s7_profile_record_json")
 def s7_profile_record_json(spark, sf):
     return B.to_json_records(profile_results(spark, sf), "profile_id")

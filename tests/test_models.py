@@ -177,3 +177,12 @@ def test_attribution_table_and_polynomial_paths_agree(spark, gbt, train):
     with_tables = X.shap_matrix(pdf, None, 10, X.pack_leaves(flat, 10))
     without = X.shap_matrix(pdf, None, 10, X.pack_leaves(flat, 10, table_budget_bytes=0))
     assert np.allclose(with_tables, without, atol=1e-9)
+
+
+def test_fitted_smoker_profile_costs_more_than_twice(spark, gbt):
+    from actuaria.operators import score as S
+    rows = [(1, 45, "female", 30.0, 2, "no", "northwest"), (2, 45, "female", 30.0, 2, "yes", "northwest")]
+    df = spark.createDataFrame(rows, "profile_id long, age int, sex string, bmi double, children int, "
+                                     "smoker string, region string")
+    out = {r["profile_id"]: r["cost"] for r in S.score_cost(S.with_features(df), gbt, "cost").collect()}
+    assert out[2] > 2 * out[1] > 0
