@@ -52,9 +52,9 @@ def is_value(c, value: str) -> Column:
     return F.when(col(c) == F.lit(value), 1).otherwise(0)
 
 
-def scale_const(c, feature: str) -> Column:
-    """(x − mean) / std with the fixed serving constants."""
-    s = C.SCALER[feature]
+def scale_const(c, feature: str, scaler: dict | None = None) -> Column:
+    """(x − mean) / std with the fixed serving constants (or a fitted scaler)."""
+    s = (scaler or C.SCALER)[feature]
     return (col(c) - F.lit(s["mean"])) / F.lit(s["std"])
 
 
@@ -67,7 +67,7 @@ def interaction(a, b) -> Column:
     return col(a) * col(b)
 
 
-def feature_columns(age, sex, bmi, children, smoker, region) -> dict[str, Column]:
+def feature_columns(age, sex, bmi, children, smoker, region, scaler: dict | None = None) -> dict[str, Column]:
     """The ten ordered model features from raw profile columns.
 
     Words are compared lower-cased; unknown ``sex`` → 0 (female), unknown
@@ -75,14 +75,14 @@ def feature_columns(age, sex, bmi, children, smoker, region) -> dict[str, Column
     Interactions use the *scaled* values.
     """
     sex, smoker, region = F.lower(col(sex)), F.lower(col(smoker)), F.lower(col(region))
-    age_s = scale_const(age, "age")
-    bmi_s = scale_const(bmi, "bmi")
+    age_s = scale_const(age, "age", scaler)
+    bmi_s = scale_const(bmi, "bmi", scaler)
     smoker_enc = is_value(smoker, "yes")
     return {
         "age": age_s,
         "sex": is_value(sex, "male"),
         "bmi": bmi_s,
-        "children": scale_const(children, "children"),
+        "children": scale_const(children, "children", scaler),
         "smoker": smoker_enc,
         "region_northwest": is_value(region, "northwest"),
         "region_southeast": is_value(region, "southeast"),

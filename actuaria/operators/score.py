@@ -24,13 +24,17 @@ from actuaria.operators.models import predict
 FP = "f_"  # feature-column prefix: raw profile columns keep their names
 
 
-def with_features(df: DataFrame, prefix: str = FP, overrides: dict | None = None) -> DataFrame:
+def with_features(df: DataFrame, prefix: str = FP, overrides: dict | None = None,
+                  scaler: dict | None = None) -> DataFrame:
     """add the ten model features (optionally prefixed) from the raw
-    profile columns; ``overrides`` replaces raw inputs with expressions."""
+    profile columns; ``overrides`` replaces raw inputs with expressions.
+    ``scaler`` ({feature: {mean, std}}) defaults to the fixed serving
+    constants; models fitted here are served with the scaler of their own
+    training run (``Preprocessed.scaler_dict()``)."""
     raw = {c: F.col(c) for c in C.PROFILE_COLUMNS}
     raw.update(overrides or {})
     feats = feature_columns(raw["age"], raw["sex"], raw["bmi"], raw["children"],
-                            raw["smoker"], raw["region"])
+                            raw["smoker"], raw["region"], scaler)
     return df.select("*", *[feats[f].alias(f"{prefix}{f}") for f in C.FEATURES])
 
 
@@ -75,13 +79,14 @@ def _scenario(current: Column, new: Column) -> Column:
         F.round(savings).cast("int").alias("savings")))
 
 
-def what_if(df: DataFrame, model, cost_col: str = "cost", bmi_target: float = C.HEALTHY_BMI) -> DataFrame:
+def what_if(df: DataFrame, model, cost_col: str = "cost", bmi_target: float = C.HEALTHY_BMI,
+            scaler: dict | None = None) -> DataFrame:
     """Re-score smokers as non-smokers and BMI > 25 as BMI 25, keep a
     scenario only when it saves money.  Both variants are scored as extra
     columns of the same row (no fan-out, no shuffle).  Adds
     ``scenarios struct<quit_smoking, healthy_bmi>``."""
-    out = with_features(df, "q__", {"smoker": F.lit("no")})
-    out = with_features(out, "b__", {"bmi": F.lit(float(bmi_target))})
+    out = with_features(df, "q__", {"smoker": F.lit("no")}, scaler)
+    out = with_features(out, "b__", {"bmi": F.lit(float(bmi_target))}, scaler)
     out = score_cost(out, model, "_cost_quit", "q__")
     out = score_cost(out, model, "_cost_bmi", "b__")
     out = drop_features(drop_features(out, "q__"), "b__")
@@ -172,11 +177,12 @@ def mean_abs_attribution(df: DataFrame, shap_col: str = "shap", digits: int = 6)
 
 # ---------------------------------------------------------------- I9 / I10
 
-def batch_predict(parsed: DataFrame, model, explain, row_id: str = "row_id") -> DataFrame:
+def batch_predict(parsed: DataFrame, model, explain, row_id: str = "row_id",
+                  scaler: dict | None = None) -> DataFrame:
     """Parsed upload → cost (2 dp), top attribution name and signed
     impact (2 dp), or the row's error.  ``explain(df) → df + shap array``."""
     ok = F.col("error").isNull()
-    feats = with_features(parsed)
+    feats = with_features(parsed, scaler=scaler)
     scored = score_cost(feats, model, "_cost")
     explained = explain(scored)
     top = F.element_at(shap_bars("shap"), 1)

@@ -26,6 +26,10 @@ class Preprocessed:
     scaler: DataFrame         # (column, mean, std)
     mappings: DataFrame       # (column, class, code)
 
+    def scaler_dict(self) -> dict:
+        """The fitted scaler as {feature: {mean, std}} (three rows) for serving."""
+        return {r["column"]: {"mean": r["mean"], "std": r["std"] or 1.0} for r in self.scaler.collect()}
+
 
 def preprocess(policy: DataFrame, fit_on: str = "all", clip_cols=CONTINUOUS,
                materialize: bool = True) -> Preprocessed:

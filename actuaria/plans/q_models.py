@@ -27,10 +27,13 @@ QUICK = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "subsample":
          "colsample_bytree": 0.9, "min_samples_split": 5}
 
 
-def training_frames(spark, sf):
-    """Processed rows with the two interaction features, split in two."""
-    df = with_interactions(preprocess(policy(spark, sf)).frame)
-    return df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
+def training_frames(spark, sf, with_scaler: bool = False):
+    """Processed rows with the two interaction features, split in two (and
+    the fitted scaler, used to serve the models trained on these rows)."""
+    pre = preprocess(policy(spark, sf))
+    df = with_interactions(pre.frame)
+    out = (df.where(F.col("split") == "train"), df.where(F.col("split") == "test"))
+    return (*out, pre.scaler_dict()) if with_scaler else out
 
 
 def _fit_eval(spark, sf, style):
@@ -132,9 +135,9 @@ def s8_model_roundtrip(spark, sf):
 def i5_tree_shap_policy(spark, sf):
     """Tree attributions of a fitted boosted model for every policy profile
     (serving-time features); ``additivity_error`` = |Σφ + E[f] − f(x)|."""
-    train, _ = training_frames(spark, sf)
+    train, _, scaler = training_frames(spark, sf, with_scaler=True)
     fitted = Mo.fit_gbt(train, "xgboost", QUICK)
-    prof = S.with_features(policy(spark, sf))
+    prof = S.with_features(policy(spark, sf), scaler=scaler)
     pred = Mo.predict(prof, fitted, "raw_prediction", prefix="f_")
     out = X.tree_shap(pred, fitted)
     total = F.aggregate("shap", F.lit(0.0), lambda a, x: a + x)
@@ -147,9 +150,9 @@ def i9_batch_predict_gbt(spark, sf):
     """I9 with a fitted boosted model: cost and the top tree attribution per
     upload row, error rows kept."""
     from actuaria.plans.q_profile import parsed_upload
-    train, _ = training_frames(spark, sf)
+    train, _, scaler = training_frames(spark, sf, with_scaler=True)
     fitted = Mo.fit_gbt(train, "xgboost", QUICK)
-    return S.batch_predict(parsed_upload(spark, sf), fitted, lambda d: X.tree_shap(d, fitted))
+    return S.batch_predict(parsed_upload(spark, sf), fitted, lambda d: X.tree_shap(d, fitted), scaler=scaler)
 
 
 @register("m11_leaderboard_fitted")

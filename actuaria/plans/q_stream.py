@@ -50,12 +50,12 @@ def fitted_profiles(spark, sf):
     from actuaria.operators import explain as X
     from actuaria.operators import models as Mo
     from actuaria.plans.q_models import QUICK, training_frames
-    train, _ = training_frames(spark, sf)
+    train, _, scaler = training_frames(spark, sf, with_scaler=True)
     members = [Mo.fit_gbt(train, s, QUICK) for s in ("xgboost", "lightgbm", "gradient_boosting")]
     primary = members[0]
     test = assign_split(policy(spark, sf)).where(F.col("split") == "test").drop("split")
-    prof = S.score_cost(S.with_features(test), primary, "cost")
-    prof = S.what_if(prof, primary)
+    prof = S.score_cost(S.with_features(test, scaler=scaler), primary, "cost")
+    prof = S.what_if(prof, primary, scaler=scaler)
     prof = X.tree_shap(prof, primary)
     prof = prof.withColumn("shap_bars", S.shap_bars("shap")).withColumn("shap_top", S.top_drivers("shap_bars"))
     return S.confidence_band(prof, members)

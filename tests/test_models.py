@@ -13,10 +13,15 @@ from actuaria.plans.preprocess_all import preprocess, with_interactions
 
 
 @pytest.fixture(scope="module")
-def train(spark):
+def prep(spark):
     # the reference's model checks run on ~1.3k rows; sf0.01 gives 1.2k training rows
     from actuaria.sources.tables import policy_table
-    df = with_interactions(preprocess(policy_table(spark, "/root/testdata/sf0.01")).frame)
+    return preprocess(policy_table(spark, "/root/testdata/sf0.01"))
+
+
+@pytest.fixture(scope="module")
+def train(prep):
+    df = with_interactions(prep.frame)
     return df.where(F.col("split") == "train").cache()
 
 
@@ -179,10 +184,11 @@ def test_attribution_table_and_polynomial_paths_agree(spark, gbt, train):
     assert np.allclose(with_tables, without, atol=1e-9)
 
 
-def test_fitted_smoker_profile_costs_more_than_twice(spark, gbt):
+def test_fitted_smoker_profile_costs_more_than_twice(spark, gbt, prep):
     from actuaria.operators import score as S
     rows = [(1, 45, "female", 30.0, 2, "no", "northwest"), (2, 45, "female", 30.0, 2, "yes", "northwest")]
     df = spark.createDataFrame(rows, "profile_id long, age int, sex string, bmi double, children int, "
                                      "smoker string, region string")
-    out = {r["profile_id"]: r["cost"] for r in S.score_cost(S.with_features(df), gbt, "cost").collect()}
+    feats = S.with_features(df, scaler=prep.scaler_dict())  # served with its own training scaler
+    out = {r["profile_id"]: r["cost"] for r in S.score_cost(feats, gbt, "cost").collect()}
     assert out[2] > 2 * out[1] > 0
