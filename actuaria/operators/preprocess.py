@@ -84,13 +84,17 @@ def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None,
-            drop_first: bool = True, prefix: str | None = None) -> DataFrame:
+            drop_first: bool = True, prefix: str | None = None, max_categories: int = 1000) -> DataFrame:
     """0/1 INT columns appended after the others, categories sorted,
     the first dropped.  Categories are fixed by the caller or read from the
-    data's distinct values (a bounded, schema-defining lookup)."""
+    data's distinct values — a schema-defining lookup, refused beyond
+    ``max_categories`` (one column per category)."""
     if categories is None:
-        categories = [r[0] for r in df.select(column).distinct().where(F.col(column).isNotNull())
-                      .orderBy(column).collect()]
+        found = (df.select(column).distinct().where(F.col(column).isNotNull())
+                 .orderBy(column).limit(max_categories + 1).collect())
+        if len(found) > max_categories:
+            raise ValueError(f"{column}: more than {max_categories} categories; pass them explicitly")
+        categories = [r[0] for r in found]
     cats = sorted(categories)
     if drop_first:
         cats = cats[1:]

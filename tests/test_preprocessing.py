@@ -121,3 +121,8 @@ def test_decode_inverts_constant_scaling(policy_small):
         assert (a["age"], a["sex"], a["children"], a["smoker"], a["region"]) == \
                (b["age"], b["sex"], b["children"], b["smoker"], b["region"])
         assert a["bmi"] == pytest.approx(b["bmi"], abs=0.05)
+
+
+def test_one_hot_refuses_high_cardinality(policy_small):
+    with pytest.raises(ValueError):
+        P.one_hot(policy_small, "policy_id", max_categories=10)
