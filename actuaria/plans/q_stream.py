@@ -30,11 +30,34 @@ def t_stream_batch_predict(spark, sf):
     B.policy_as_upload(policy(spark, sf)).repartition(4).write.json(src)
     bg = S.feature_means(S.with_features(policy(spark, sf))).first().asDict()  # one-row model input
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
-    q = start_scoring(spark, src, sink, ckpt, PRIMARY, bg)
+    q = start_scoring(spark, src, sink, ckpt, PRIMARY, lambda d: S.linear_shap(d, PRIMARY, bg))
     q.awaitTermination()
     return spark.read.parquet(sink)
 
 
+def stream_with_fitted_model(spark, sf):
+    """T-stream with a fitted boosted model and tree attributions: (stream
+    result, the same model's batch result)."""
+    from actuaria.operators import explain as X
+    from actuaria.operators import models as Mo
+    from actuaria.plans.q_models import QUICK, training_frames
+    from actuaria.plans.q_profile import parsed_upload
+    train, _, scaler = training_frames(spark, sf, with_scaler=True)
+    fitted = Mo.fit_gbt(train, "xgboost", QUICK)
+    src = scratch_path(spark, "stream-src")
+    B.policy_as_upload(policy(spark, sf)).repartition(4).write.json(src)
+    sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
+    q = start_scoring(spark, src, sink, ckpt, fitted, lambda d: X.tree_shap(d, fitted), scaler=scaler)
+    q.awaitTermination()
+    batch = S.batch_predict(parsed_upload(spark, sf), fitted, lambda d: X.tree_shap(d, fitted), scaler=scaler)
+    return spark.read.parquet(sink), batch
+
+
+@register("t_stream_batch_predict_gbt")
+def t_stream_batch_predict_gbt(spark, sf):
+    return stream_with_fitted_model(spark, sf)[0]
+
+
 @register("s6_batch_results_json", BATCH_ORACLE)
 def s6_batch_results_json(spark, sf):
     """Batch results written as JSON lines and read back with their schema."""

@@ -26,16 +26,17 @@ def profile_stream(spark: SparkSession, source_dir: str, fmt: str = "json",
     return reader.load(source_dir)
 
 
-def scored_stream(stream: DataFrame, model, background: dict) -> DataFrame:
-    """The batch scoring function applied to a streaming frame; the linear
-    attribution background is a fixed set of means (a static model input)."""
-    return S.batch_predict(parse_profiles(stream), model,
-                           lambda d: S.linear_shap(d, model, background))
+def scored_stream(stream: DataFrame, model, explain, scaler: dict | None = None) -> DataFrame:
+    """The batch scoring function applied to a streaming frame.  ``explain``
+    adds the attribution array: ``linear_shap`` with a fixed background (a
+    static model input) or ``tree_shap`` for a fitted boosted model."""
+    return S.batch_predict(parse_profiles(stream), model, explain, scaler=scaler)
 
 
 def start_scoring(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, model,
-                  background: dict, fmt: str = "json", available_now: bool = True) -> StreamingQuery:
-    out = scored_stream(profile_stream(spark, source_dir, fmt), model, background)
+                  explain, fmt: str = "json", available_now: bool = True,
+                  scaler: dict | None = None) -> StreamingQuery:
+    out = scored_stream(profile_stream(spark, source_dir, fmt), model, explain, scaler)
     writer = (out.writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
