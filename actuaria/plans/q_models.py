@@ -60,6 +60,21 @@ def m1_ols_one_feature(spark, sf):
     return df.select(*[F.round(c, 6).alias(c) for c in df.columns])
 
 
+@register("m2_ridge_one_feature", with_ctes(SPLIT_SQL, PROCESSED_SQL, select="""
+SELECT round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept FROM (
+  SELECT regr_sxy(ln(1 + charges), age) / (regr_sxx(ln(1 + charges), age) + 1.0) AS slope,
+         avg(ln(1 + charges)) AS my, avg(age) AS mx
+  FROM processed WHERE split = 'train')
+"""))
+def m2_ridge_one_feature(spark, sf):
+    """M2 on one feature: the MLlib fit with λ = α·σ_pop(y)/n equals the
+    closed form Sxy / (Sxx + α) that SQL computes."""
+    train, _ = training_frames(spark, sf)
+    m = Mo.fit_ridge(train, alpha=C.RIDGE_ALPHA, features=["age"]).model
+    df = spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
+    return df.select(*[F.round(c, 6).alias(c) for c in df.columns])
+
+
 def _coef_frame(spark, fitted):
     m = fitted.model
     rows = [(f, float(c)) for f, c in zip(fitted.features, m.coefficients)] + [("intercept", float(m.intercept))]
