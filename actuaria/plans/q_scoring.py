@@ -398,6 +398,20 @@ def m14_decile_errors(spark, sf):
     return M.decile_errors(test_predictions(spark, sf), "actual", "p_primary")
 
 
+@register("m14_actual_vs_predicted_bins", with_ctes(FF_SQL, SPLIT_SQL, TEST_PRED_SQL, select="""
+WITH r AS (SELECT CAST(least(min(actual), min(p_primary)) AS DOUBLE) AS lo,
+                  CAST(greatest(max(actual), max(p_primary)) AS DOUBLE) AS hi FROM tp)
+SELECT CASE WHEN hi = lo THEN 0 ELSE least(19, CAST(floor((actual - lo) / ((hi - lo) / 20.0)) AS INTEGER)) END
+         AS bin_actual,
+       CASE WHEN hi = lo THEN 0 ELSE least(19, CAST(floor((p_primary - lo) / ((hi - lo) / 20.0)) AS INTEGER)) END
+         AS bin_predicted,
+       count(*) AS n, round(avg(actual - p_primary), 4) AS mean_error
+FROM tp, r GROUP BY ALL
+"""))
+def m14_actual_vs_predicted_bins(spark, sf):
+    return M.joint_bins(test_predictions(spark, sf), "actual", "p_primary", 20)
+
+
 @register("m15_target_skew", with_ctes(SPLIT_SQL, select="""
 SELECT 'charges' AS target, count(*) AS n, round(skewness(charges), 6) AS skewness
 FROM policy JOIN split USING (policy_id) WHERE split = 'train'
