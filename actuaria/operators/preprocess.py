@@ -25,15 +25,19 @@ def quartiles(df: DataFrame, cols: Sequence[str], method: str = "exact") -> Data
     return quantile_table(df, cols, [0.25, 0.75], ["q1", "q3"], method=method)
 
 
+def _iqr_bounds(long: DataFrame, k: float, method: str) -> DataFrame:
+    q = percentiles_long(long, [0.25, 0.75], ["column"], method=method)
+    q = q.groupBy("column").agg(F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
+                                F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"))
+    return (q.withColumn("lower", F.col("q1") - k * (F.col("q3") - F.col("q1")))
+            .withColumn("upper", F.col("q3") + k * (F.col("q3") - F.col("q1"))))
+
+
 def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = C.IQR_K,
                    method: str = "exact") -> DataFrame:
     """(column, q1, q3, lower, upper, n_outliers) with strict < / > counts."""
     long = to_long(df, cols)
-    q = percentiles_long(long, [0.25, 0.75], ["column"], method=method)
-    q = q.groupBy("column").agg(F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
-                                F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"))
-    q = (q.withColumn("lower", F.col("q1") - k * (F.col("q3") - F.col("q1")))
-         .withColumn("upper", F.col("q3") + k * (F.col("q3") - F.col("q1"))))
+    q = _iqr_bounds(long, k, method)
     counts = long.join(q.select("column", "lower", "upper"), "column").groupBy("column").agg(
         F.sum(((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).cast("long"))
         .alias("n_outliers"))
@@ -48,7 +52,7 @@ def clip_outliers(df: DataFrame, cols: Sequence[str], k: float = C.IQR_K,
     cols = list(cols)
     if not cols:
         return df
-    b = outlier_bounds(df, cols, k, method)
+    b = _iqr_bounds(to_long(df, cols), k, method)  # bounds only: no outlier counting pass
     one_row = b.agg(*[x for c in cols for x in (
         F.max(F.when(F.col("column") == c, F.col("lower"))).alias(f"_lo_{c}"),
         F.max(F.when(F.col("column") == c, F.col("upper"))).alias(f"_hi_{c}"))])
