@@ -70,3 +70,12 @@ def test_boxplot_whiskers_inside_fences(policy_small):
 def test_column_selection_by_type(policy_small):
     assert E.numeric_columns(policy_small) == ["policy_id", "age", "bmi", "children", "charges"]
     assert E.string_columns(policy_small) == ["sex", "smoker", "region"]
+
+
+def test_empty_and_null_inputs(spark):
+    from actuaria.operators.quantiles import quantile_table
+    empty = spark.createDataFrame([], "x double")
+    assert quantile_table(empty, ["x"], [0.5], ["q50"]).count() == 0
+    nulls = spark.createDataFrame([(None,), (None,)], "x double")
+    rows = E.histogram(nulls, "x", 4).collect()
+    assert len(rows) == 4 and sum(r["count"] for r in rows) == 0

@@ -83,3 +83,10 @@ def test_isolated_query_uses_ring_growth(spark):
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         res.setdefault(r["query_id"], []).append(r["neighbor_id"])
     assert res == _brute(queries, base, 5)
+
+
+def test_knn_empty_inputs(spark):
+    qs, bs = _frames(spark, [(1, "x", (0.0, 0.0))], [(1, "y", (1.0, 1.0))], 2)
+    assert K.knn(qs, bs, k=5, n_dims=2).count() == 0          # query stratum has no base rows
+    empty_q = qs.where("query_id < 0")
+    assert K.knn(empty_q, bs, k=5, n_dims=2).count() == 0     # no queries
