@@ -130,9 +130,15 @@ def s7_profile_record_json(spark, sf):
 def k3b_lsh_embeddings(spark, sf):
     """Approximate neighbours of every embedding among the embeddings
     with the same label, by random-projection LSH, then ranked exactly."""
-    emb = spark.read.parquet(f"{sf}/embeddings.parquet").select(
-        "vec_id", "label", array_to_vector("embedding").alias("vec"))
-    pairs = K.lsh_candidates(emb, emb, "vec", "vec", threshold=1.5, bucket_length=0.5, num_tables=6)
+    raw = spark.read.parquet(f"{sf}/embeddings.parquet")
+    emb = raw.select("vec_id", "label", array_to_vector("embedding").alias("vec"))
+    # identical (label, vector) groups: only the k + 1 lowest ids can be returned
+    # (k neighbours plus the query itself), so a hot duplicate group cannot make a
+    # hash bucket quadratic
+    dup = Window.partitionBy("label", "embedding").orderBy("vec_id")
+    base = (raw.withColumn("_d", F.row_number().over(dup)).where(F.col("_d") <= C.KNN_K + 1)
+            .select("vec_id", "label", array_to_vector("embedding").alias("vec")))
+    pairs = K.lsh_candidates(emb, base, "vec", "vec", threshold=1.5, bucket_length=0.5, num_tables=6)
     pairs = pairs.where((F.col("datasetA.label") == F.col("datasetB.label"))
                         & (F.col("datasetA.vec_id") != F.col("datasetB.vec_id")))
     pairs = pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("neighbor_id"),
