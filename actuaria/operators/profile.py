@@ -81,15 +81,17 @@ def missing_patterns(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- E6–E9
 
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
-    """Count, mean, std (ddof=1), min, 25/50/75 % (exact, linear), max."""
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6,
+                     method: str = "exact") -> DataFrame:
+    """Count, mean, std (ddof=1), min, 25/50/75 % (exact, linear — or
+    ``method="approx"`` for a bounded sketch), max."""
     cols = list(cols or numeric_columns(df))
     long = to_long(df, cols)
     moments = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    qs = percentiles_long(long, [0.25, 0.5, 0.75], ["column"])
+    qs = percentiles_long(long, [0.25, 0.5, 0.75], ["column"], method=method)
     qs = qs.groupBy("column").agg(*[
         F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
         for p, n in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]])
@@ -180,11 +182,11 @@ def histograms(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
-def boxplot_long(long: DataFrame, by: Sequence[str], digits: int = 6) -> DataFrame:
+def boxplot_long(long: DataFrame, by: Sequence[str], digits: int = 6, method: str = "exact") -> DataFrame:
     """E11/E12 core: quartiles, whiskers (furthest points inside 1.5·IQR) and
     outlier count for every ``by`` group of a (by..., value) frame."""
     by = list(by)
-    q = percentiles_long(long, [0.25, 0.5, 0.75], by)
+    q = percentiles_long(long, [0.25, 0.5, 0.75], by, method=method)
     q = q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                              for p, n in [(0.25, "q1"), (0.5, "median"), (0.75, "q3")]])
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
@@ -202,19 +204,20 @@ def boxplot_long(long: DataFrame, by: Sequence[str], digits: int = 6) -> DataFra
                       r("whisker_lo"), r("whisker_hi"), "n_outliers")
 
 
-def boxplot_stats(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
+def boxplot_stats(df: DataFrame, cols: Sequence[str], digits: int = 6, method: str = "exact") -> DataFrame:
     """Box-plot statistics per numeric column."""
-    return boxplot_long(to_long(df, cols), ["column"], digits)
+    return boxplot_long(to_long(df, cols), ["column"], digits, method)
 
 
-def grouped_boxplot(df: DataFrame, value: str, keys: Sequence[str], digits: int = 6) -> DataFrame:
+def grouped_boxplot(df: DataFrame, value: str, keys: Sequence[str], digits: int = 6,
+                    method: str = "exact") -> DataFrame:
     """Box-plot statistics of ``value`` by each key, all keys in one job
     (keys are unpivoted to (grouping, group_value))."""
     keyed = df.select(F.col(value).cast("double").alias("value"),
                       *[F.col(k).cast("string").alias(k) for k in keys])
     long = keyed.unpivot(["value"], list(keys), "grouping", "group_value")
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return boxplot_long(long, ["grouping", "group_value"], digits)
+    return boxplot_long(long, ["grouping", "group_value"], digits, method)
 
 
 # ---------------------------------------------------------------- E13–E14
@@ -272,13 +275,13 @@ def target_correlations(df: DataFrame, cols: Sequence[str], target: str, digits:
 
 # ---------------------------------------------------------------- E20–E25
 
-def group_summary(df: DataFrame, group: str, value: str, digits: int = 4) -> DataFrame:
+def group_summary(df: DataFrame, group: str, value: str, digits: int = 4, method: str = "exact") -> DataFrame:
     """Mean, median (exact), std (ddof=1), count of ``value`` by ``group``."""
     v = F.col(value).cast("double")
     base = df.select(F.col(group), v.alias("value"))
     agg = base.groupBy(group).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                   F.count("value").alias("count"))
-    med = percentiles_long(base.where(F.col("value").isNotNull()), [0.5], [group]).select(
+    med = percentiles_long(base.where(F.col("value").isNotNull()), [0.5], [group], method=method).select(
         group, F.col("value").alias("median"))
     out = agg.join(med, group, "left")
     return out.select(group, F.round("mean", digits).alias("mean"), F.round("median", digits).alias("median"),

@@ -79,3 +79,12 @@ def test_empty_and_null_inputs(spark):
     nulls = spark.createDataFrame([(None,), (None,)], "x double")
     rows = E.histogram(nulls, "x", 4).collect()
     assert len(rows) == 4 and sum(r["count"] for r in rows) == 0
+
+
+def test_approx_method_is_close(spark):
+    from actuaria.sources.tables import table
+    li = table(spark, "/root/testdata/sf0.01", "lineitem")
+    exact = {r["column"]: r for r in E.describe_numeric(li, ["l_extendedprice"]).collect()}
+    approx = {r["column"]: r for r in E.describe_numeric(li, ["l_extendedprice"], method="approx").collect()}
+    for k in ("p25", "p50", "p75"):
+        assert approx["l_extendedprice"][k] == pytest.approx(exact["l_extendedprice"][k], rel=1e-3)
