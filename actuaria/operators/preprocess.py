@@ -174,7 +174,8 @@ def assign_split(df: DataFrame, key: str = C.KEY, test_fraction: float = C.TEST_
     its rank r inside that bucket.  Only that bucket's rows (≈ n/2²⁰) are
     ranked, giving the k-th pair (u*, key*); a row is in the test set iff
     (md5, key) ≤ (u*, key*).  The final assignment is a narrow comparison
-    against one broadcast row: the table itself is never shuffled or sorted.
+    against that pair (two small fitted values): the table itself is never
+    shuffled or sorted.
     """
     h = _hash_order(key, seed)
     hashed = df.withColumn("_u", h).withColumn(
@@ -187,13 +188,16 @@ def assign_split(df: DataFrame, key: str = C.KEY, test_fraction: float = C.TEST_
            .withColumn("_after", F.sum("_c").over(w_cum))
            .withColumn("_before", F.col("_after") - F.col("_c")))
     boundary = cum.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_after"))).select(
-        F.struct(F.col("_b").alias("b"), (F.col("_k") - F.col("_before")).alias("r"))).scalar()  # ≤ 1 row
-    edge = hashed.select("_u", "_b", key).where(F.col("_b") == boundary["b"])
-    w_edge = Window.orderBy("_u", key)  # rows of one hash bucket only
-    thr = (edge.withColumn("_rn", F.row_number().over(w_edge)).where(F.col("_rn") == boundary["r"])
-           .select(F.struct(F.col("_u").alias("u"), F.col(key).alias("k")))).scalar()  # ≤ 1 row
-    is_test = F.coalesce((F.col("_u") < thr["u"])
-                         | ((F.col("_u") == thr["u"]) & (F.col(key) <= thr["k"])), F.lit(False))
+        "_b", (F.col("_k") - F.col("_before")).alias("_r")).first()  # at most one row
+    if boundary is None:  # k = 0: every row is train
+        is_test = F.lit(False)
+    else:
+        edge = hashed.select("_u", "_b", key).where(F.col("_b") == F.lit(boundary["_b"]))
+        w_edge = Window.orderBy("_u", key)  # rows of one hash bucket only
+        thr = (edge.withColumn("_rn", F.row_number().over(w_edge)).where(F.col("_rn") == F.lit(boundary["_r"]))
+               .select("_u", key).first())  # the k-th (hash, key) pair
+        is_test = (F.col("_u") < F.lit(thr["_u"])) | (
+            (F.col("_u") == F.lit(thr["_u"])) & (F.col(key) <= F.lit(thr[key])))
     return hashed.withColumn(split_col, F.when(is_test, "test").otherwise("train")).select(
         *df.columns, split_col)
 

@@ -3,8 +3,9 @@
 Every function is DataFrame → DataFrame.  Wide per-column statistics are
 computed in one pass by unpivoting to (column, value) and aggregating by
 column, so the number of jobs does not grow with the number of columns.
-One-row statistics (min/max for bins) enter expressions as scalar
-subqueries (``DataFrame.scalar()``): computed once, no join.
+One-row statistics (min/max for bins) are fitted once — one aggregate,
+one row to the driver — and enter expressions as literals: no join, and
+no repeated subquery per reference.
 """
 from __future__ import annotations
 
@@ -153,11 +154,12 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     unrounded."""
     x = F.col(column).cast("double")
     data = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    stats = data.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    s = stats.select(F.struct("lo", "hi")).scalar()  # one-row statistic, no join
-    counts = (data.select(_bin_index(F.col("x"), s["lo"], s["hi"], bins).alias("bin"))
+    r = data.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()  # fitted range: one row
+    lo, hi = F.lit(r["lo"]).cast("double"), F.lit(r["hi"]).cast("double")
+    counts = (data.select(_bin_index(F.col("x"), lo, hi, bins).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-    all_bins = stats.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    all_bins = df.sparkSession.range(bins).select(
+        F.col("id").cast("int").alias("bin"), lo.alias("lo"), hi.alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return (all_bins.join(counts, "bin", "left")
             .select("bin",
@@ -325,11 +327,11 @@ def quality_checks(df: DataFrame, key: str = C.KEY) -> DataFrame:
     return one.unionByName(dups)
 
 
-def _bin_stats(df: DataFrame, cols: Sequence[str]):
-    """min / max of each column as one struct-valued scalar subquery."""
-    agg = df.agg(*[x for c in cols for x in (F.min(F.col(c).cast("double")).alias(f"{c}__lo"),
-                                             F.max(F.col(c).cast("double")).alias(f"{c}__hi"))])
-    return agg.select(F.struct(*agg.columns)).scalar()
+def _bin_stats(df: DataFrame, cols: Sequence[str]) -> dict:
+    """min / max of each column, fitted once (one aggregate, one row) as literals."""
+    r = df.agg(*[x for c in cols for x in (F.min(F.col(c).cast("double")).alias(f"{c}__lo"),
+                                           F.max(F.col(c).cast("double")).alias(f"{c}__hi"))]).first()
+    return {k: F.lit(v).cast("double") for k, v in r.asDict().items()}
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, hue: str, bins: int = 20, digits: int = 4) -> DataFrame:

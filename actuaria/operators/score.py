@@ -4,7 +4,7 @@ All per-profile work is narrow: features, every model score, both what-if
 variants and the attribution arrays are columns of the same row, so a
 table of profiles is scored in a single stage with no shuffle.  The only
 wide step is the one-row background mean used by linear attributions,
-embedded as a scalar subquery.
+fitted once and applied as literals.
 """
 from __future__ import annotations
 
@@ -120,13 +120,10 @@ def linear_shap(df: DataFrame, model: FixedLinear, background: DataFrame, out_co
     as ``array<double>`` in feature order."""
     if model.log_target:
         raise ValueError("linear attributions are defined on the raw scale only")
-    if isinstance(background, dict):  # literal means (e.g. for a stream)
-        joined = df
-        mu = {f: F.lit(float(background[f"_mu_{f}"])) for f in C.FEATURES}
-    else:
-        joined = df
-        s = background.select(F.struct(*[f"_mu_{f}" for f in C.FEATURES])).scalar()  # one row
-        mu = {f: s[f"_mu_{f}"] for f in C.FEATURES}
+    if not isinstance(background, dict):
+        background = background.first().asDict()  # fitted means: one row
+    joined = df
+    mu = {f: F.lit(float(background[f"_mu_{f}"])) for f in C.FEATURES}
     vals = [F.lit(float(model.coefficients.get(f, 0.0))) * (F.col(f"{prefix}{f}").cast("double") - mu[f])
             for f in C.FEATURES]
     return joined.withColumn(out_col, F.array(*vals))
