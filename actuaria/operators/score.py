@@ -123,7 +123,8 @@ def linear_shap(df: DataFrame, model: FixedLinear, background: DataFrame, out_co
     if not isinstance(background, dict):
         background = background.first().asDict()  # fitted means: one row
     joined = df
-    mu = {f: F.lit(float(background[f"_mu_{f}"])) for f in C.FEATURES}
+    mu = {f: F.lit(None if background[f"_mu_{f}"] is None else float(background[f"_mu_{f}"])).cast("double")
+          for f in C.FEATURES}  # empty background: null means
     vals = [F.lit(float(model.coefficients.get(f, 0.0))) * (F.col(f"{prefix}{f}").cast("double") - mu[f])
             for f in C.FEATURES]
     return joined.withColumn(out_col, F.array(*vals))
