@@ -25,6 +25,7 @@ class Preprocessed:
     frame: DataFrame          # processed rows with a split column
     scaler: DataFrame         # (column, mean, std)
     mappings: DataFrame       # (column, class, code)
+    source: DataFrame | None = None   # raw rows with their split (checkpointed)
 
     def scaler_dict(self) -> dict:
         """The fitted scaler as {feature: {mean, std}} (three rows) for serving."""
@@ -51,7 +52,7 @@ def preprocess(policy: DataFrame, fit_on: str = "all", clip_cols=CONTINUOUS,
     fit_rows = encoded if fit_on == "all" else encoded.where(F.col("split") == "train")
     stats = fit_scaler(fit_rows, CONTINUOUS)
     scaled = apply_scaler(encoded, stats, CONTINUOUS)
-    return Preprocessed(scaled.select(*PROCESSED_COLUMNS), stats, mappings)
+    return Preprocessed(scaled.select(*PROCESSED_COLUMNS), stats, mappings, split)
 
 
 def with_interactions(processed: DataFrame) -> DataFrame:

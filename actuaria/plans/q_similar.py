@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from actuaria import config as C
 from actuaria.functions.columns import match_tier
 from actuaria.operators import similar as K
-from actuaria.operators.preprocess import assign_split, decode_features
+from actuaria.operators.preprocess import decode_features
 from actuaria.operators.score import with_features
 from actuaria.plans.preprocess_all import preprocess
 from actuaria.plans.q_profile import policy
@@ -53,12 +53,13 @@ ksim AS (SELECT k.*, greatest(5.0, least(100.0, 100.0 * exp(-k.distance / greate
 
 def knn_inputs(spark, sf):
     """(base, queries) in the weighted space, plus the processed base frame."""
-    pre = preprocess(policy(spark, sf)).frame
+    prep = preprocess(policy(spark, sf))
+    pre = prep.frame
     base = K.weighted(pre.where(F.col("split") == "train")).select(
         F.col(C.KEY).alias("neighbor_id"),
         F.when(F.col("smoker") == 1, "yes").otherwise("no").alias("stratum"),
         *[f"w_{i}" for i in range(len(C.KNN_FEATURES))])
-    test = assign_split(policy(spark, sf)).where(F.col("split") == "test")
+    test = prep.source.where(F.col("split") == "test")  # raw rows, split already fitted
     q = K.weighted(with_features(test), ["f_" + c for c in C.KNN_FEATURES]).select(
         F.col(C.KEY).alias("query_id"),
         F.when(F.col("smoker") == "yes", "yes").otherwise("no").alias("stratum"),
