@@ -36,6 +36,16 @@ def training_frames(spark, sf, with_scaler: bool = False):
     return (*out, pre.scaler_dict()) if with_scaler else out
 
 
+def training_setup(spark, sf):
+    """(train, test, fitted scaler, raw rows with their split) from one
+    preprocessing run; the raw rows are the checkpointed table, so serving
+    paths do not re-derive the policy table or re-fit the split."""
+    pre = preprocess(policy(spark, sf))
+    df = with_interactions(pre.frame)
+    return (df.where(F.col("split") == "train"), df.where(F.col("split") == "test"),
+            pre.scaler_dict(), pre.source)
+
+
 def _fit_eval(spark, sf, style):
     train, test = training_frames(spark, sf)
     fitted = Mo.fit_gbt(train, style, QUICK)
@@ -150,9 +160,9 @@ def s8_model_roundtrip(spark, sf):
 def i5_tree_shap_policy(spark, sf):
     """Tree attributions of a fitted boosted model for every policy profile
     (serving-time features); ``additivity_error`` = |Σφ + E[f] − f(x)|."""
-    train, _, scaler = training_frames(spark, sf, with_scaler=True)
+    train, _, scaler, source = training_setup(spark, sf)
     fitted = Mo.fit_gbt(train, "xgboost", QUICK)
-    prof = S.with_features(policy(spark, sf), scaler=scaler)
+    prof = S.with_features(source, scaler=scaler)
     pred = Mo.predict(prof, fitted, "raw_prediction", prefix="f_")
     out = X.tree_shap(pred, fitted)
     total = F.aggregate("shap", F.lit(0.0), lambda a, x: a + x)

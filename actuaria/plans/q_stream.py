@@ -72,11 +72,11 @@ def fitted_profiles(spark, sf):
     attributions; the three boosted families give the band."""
     from actuaria.operators import explain as X
     from actuaria.operators import models as Mo
-    from actuaria.plans.q_models import QUICK, training_frames
-    train, _, scaler = training_frames(spark, sf, with_scaler=True)
+    from actuaria.plans.q_models import QUICK, training_setup
+    train, _, scaler, source = training_setup(spark, sf)
     members = [Mo.fit_gbt(train, s, QUICK) for s in ("xgboost", "lightgbm", "gradient_boosting")]
     primary = members[0]
-    test = assign_split(policy(spark, sf)).where(F.col("split") == "test").drop("split")
+    test = source.where(F.col("split") == "test").drop("split")
     prof = S.score_cost(S.with_features(test, scaler=scaler), primary, "cost")
     prof = S.what_if(prof, primary, scaler=scaler)
     prof = X.tree_shap(prof, primary)
