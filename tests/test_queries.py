@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from actuaria.plans import catalog
 from actuaria.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -42,7 +43,7 @@ def test_every_query_has_unique_name_and_oracle_keys_are_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
