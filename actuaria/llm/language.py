@@ -42,9 +42,9 @@ CLEAR = 0.6
 
 
 def _letters() -> np.ndarray:
-    """Byte table: ASCII other than letters becomes a space."""
+    """Byte table: ASCII other than letters becomes a space (0 stays, it ends texts)."""
     table = np.arange(256, dtype=np.uint8)
-    for b in range(128):
+    for b in range(1, 128):
         if not chr(b).isalpha():
             table[b] = 32
     return table
@@ -56,17 +56,17 @@ LETTERS = _letters()
 def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket numbers (n-grams x orders) of all texts, each text's first row
     and its number of rows."""
-    parts = [f" {t.lower()} ".encode() for t in texts]
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    raw = LETTERS[np.frombuffer(b"".join(parts) + b"   ", dtype=np.uint8)].astype(np.uint32)
+    # three zero bytes end each text, so that no n-gram reaches into its neighbour
+    parts = [f" {t.lower()} ".replace("\0", " ").encode() + b"\0\0\0" for t in texts]
+    raw = LETTERS[np.frombuffer(b"".join(parts) + b"\0\0\0", dtype=np.uint8)].astype(np.uint32)
     used = np.concatenate([[True], (raw[1:] != 32) | (raw[:-1] != 32)])  # one space for a run of them
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    kept = np.add.reduceat(used[:at[-1]].astype(np.int64), at[:-1]) if len(sizes) else sizes
-    used[at[-1]:] = True
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+    kept = (np.add.reduceat((used & (raw != 0))[:at[-1]].astype(np.int64), at[:-1]) if parts
+            else np.zeros(0, np.int64))
     raw = raw[used]
-    four = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+    four = ((raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:])[raw[:-3] != 0]
     out = np.empty((len(four), len(ORDERS)), dtype=np.int32)
-    for k, n in enumerate(ORDERS):  # n-grams may reach over a text's end into the space that follows
+    for k, n in enumerate(ORDERS):
         gram = four >> np.uint32(8 * (4 - n))
         out[:, k] = ((gram * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32) + (k << BUCKET_BITS)
     return out, np.concatenate([[0], np.cumsum(kept)])[:-1], kept
