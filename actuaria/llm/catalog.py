@@ -1,12 +1,17 @@
 """Registered queries of the training-data operators and their DuckDB twins."""
 from __future__ import annotations
 
-from actuaria.llm import language, secrets, tokens
+from actuaria.llm import fixity, language, secrets, tokens, topk
 
 QUERIES = {
     "op2_secret_scan": secrets.secret_scan,
+    "op5_topk_search": topk.nearest_embeddings,
+    "op8_fixity_audit": fixity.fixity_audit,
     "op9_language_id": language.identify_documents,
     "op10_token_counts": tokens.count_documents,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_topk_search": topk.NEAREST_SQL,
+    "op8_fixity_audit": fixity.FIXITY_SQL,
+}
