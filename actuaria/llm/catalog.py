@@ -1,11 +1,14 @@
 """Registered queries of the training-data operators and their DuckDB twins."""
 from __future__ import annotations
 
-from actuaria.llm import fixity, language, secrets, tokens, topk
+from actuaria.llm import fingerprint, fixity, language, mixing, packing, secrets, tokens, topk
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.fingerprint_documents,
     "op2_secret_scan": secrets.secret_scan,
+    "op3_mixture_schedule": mixing.mix_documents,
     "op5_topk_search": topk.nearest_embeddings,
+    "op7_packing": packing.pack_documents,
     "op8_fixity_audit": fixity.fixity_audit,
     "op9_language_id": language.identify_documents,
     "op10_token_counts": tokens.count_documents,
