@@ -1,12 +1,13 @@
 """Registered queries of the training-data operators and their DuckDB twins."""
 from __future__ import annotations
 
-from actuaria.llm import fingerprint, fixity, jaccard, language, mixing, packing, secrets, tokens, topk
+from actuaria.llm import fingerprint, fixity, jaccard, language, mixing, packing, repeats, secrets, tokens, topk
 
 QUERIES = {
     "op1_fingerprints": fingerprint.fingerprint_documents,
     "op2_secret_scan": secrets.secret_scan,
     "op3_mixture_schedule": mixing.mix_documents,
+    "op4_repeat_removal": repeats.dedup_documents,
     "op5_topk_search": topk.nearest_embeddings,
     "op6_jaccard_join": jaccard.join_documents,
     "op7_packing": packing.pack_documents,

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actuaria.llm import rolling
 from actuaria.llm.common import read, staged
 from actuaria.llm.components import components
 
@@ -50,33 +51,10 @@ ENTRIES, SALTS, BLOOM_BITS, QUERIES = 1 << 20, 64, 1 << 26, 1024
 #: Bytes that are hashed at a time.
 SLICE = 1 << 22
 
-_rng = np.random.default_rng(20)
-_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTOR = _rng.integers(1, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_FACTOR = np.random.default_rng(21).integers(1, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUE = rolling.VALUE.copy()
 _VALUE[65:91] = _VALUE[97:123]  # A-Z as a-z
-_powers: dict = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if _powers.get("n", 0) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(n, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-        _powers["n"] = n
-    return _powers["up"], _powers["down"]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -94,27 +72,25 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 def _sets(texts: list[bytes]) -> list[np.ndarray]:
     raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    up, down = _power(max(len(raw), SLICE))
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[raw] * up[:len(raw)], out=total[1:])
+    ranges = rolling.Prefixes(raw, _VALUE, SLICE)
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))  # word starts and ends in turn
     start, end = edge[::2], edge[1::2]
-    words = _mix((total[end] - total[start]) * down[start])
+    words = ranges(start, end)
     first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     bound = np.searchsorted(start, first)
     n = max(len(words) - WORDS + 1, 0)
     sliding = np.zeros(n, dtype=np.uint64)
     for j in range(WORDS):
         sliding += words[j:j + n] * _FACTOR[j]
-    sliding = _mix(sliding)
+    sliding = rolling.mix(sliding)
     sets = []
     for a, b in zip(bound[:-1], bound[1:]):
         if b - a >= WORDS:
             sets.append(np.unique(sliding[a:b - WORDS + 1]))
         elif b > a:
             whole = (words[a:b] * _FACTOR[:b - a]).sum(dtype=np.uint64) ^ _FACTOR[WORDS] >> np.uint64(b - a)
-            sets.append(_mix(np.array([whole], dtype=np.uint64)))
+            sets.append(rolling.mix(np.array([whole], dtype=np.uint64)))
         else:
             sets.append(np.zeros(0, dtype=np.uint64))
     return sets
