@@ -6,10 +6,11 @@ collisions of 64-bit shingle hashes), without forming all pairs:
 
 1. Classes.  Documents with equal sets are one class, named by its least id.
 2. Live classes.  In a fixed order of all shingles (frequent ones last), two sets
-   that link share a shingle among the first ``n - ceil(0.75 n) + 1`` of each
-   (prefix filter).  Those prefixes are packed by shingle range; a shingle that
-   only one class has in its prefix is dropped.  What is left, the postings, is a
-   few per cent of the shingles; classes without any cannot link to anything.
+   that link share at least ``m`` shingles among the first ``n - ceil(0.75 n) + m``
+   of each (prefix filter).  Those prefixes are packed by shingle range; a shingle
+   that only one class has in its prefix is dropped.  What is left, the postings, is
+   a few per cent of the shingles; a class with too few of them cannot link to
+   anything.
 3. Groups.  A live class joins the group of the most frequent shingle in its
    postings, so copies of one text fall together; a large group is split into
    parts of about ``GROUP`` classes.
@@ -151,75 +152,90 @@ def in_order(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.
     return s[order], r[order]
 
 
+def shared_least(n):
+    """How many shingles of their prefixes two linked sets share at least, if the smaller has ``n``.
+
+    One is enough for a right result; asking for a twelfth with a prefix longer by as much turns away
+    texts that only share a passage."""
+    return 1 + n // 12
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-75 * n // 100) + 1
+    return min(n, n - -(-75 * n // 100) + shared_least(n))
+
+
+def early_length(n: int) -> int:
+    """The part of the prefix that matters if the set is the smaller one: 6 / 7 of it must be shared."""
+    return min(n, n - -(-6 * n // 7) + shared_least(n))
 
 
 def _prefixes(frequent: np.ndarray, rank: np.ndarray, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets = _batch_sets(batch)
-            rows = list(_distinct(ids, sets).values())
+            rows = sorted(_distinct(ids, sets).values(), key=lambda i: ids[i])
             if not rows:
                 continue
             parts = []
             for k, i in enumerate(rows):
                 s, r = in_order(sets[i], frequent, rank)
                 p = prefix_length(len(s))
-                # 6 / 7 of the smaller set must be shared: only its first seventh can hold the first common shingle
-                short = np.arange(p) < len(s) - -(-6 * len(s) // 7) + 1
-                parts.append((s[:p], r[:p], np.full(p, k, np.uint32), short))
-            shingle, often, who, short = (np.concatenate(x) for x in zip(*parts))
+                parts.append((s[:p], r[:p], np.full(p, k), np.arange(p) < early_length(len(s))))
+            shingle, often, who, early = (np.concatenate(x) for x in zip(*parts))
             node = np.array([ids[i] for i in rows], dtype=np.int64)
-            size = np.array([len(sets[i]) for i in rows], dtype=np.int64)
+            size = np.array([len(sets[i]) for i in rows], dtype=np.int32)
             where = ((shingle >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             where[often > 0] = -1 - node[who[often > 0]] % SALTS
-            order = np.lexsort((shingle, where))
-            shingle, often, who, short, where = (x[order] for x in (shingle, often, who, short, where))
-            cut = np.flatnonzero(np.diff(where)) + 1
-            for a, b in zip(np.append(0, cut), np.append(cut, len(where))):
-                used, local = np.unique(who[a:b], return_inverse=True)
+            order = np.argsort(where, kind="stable")  # within a range: by class, then in the common order
+            for at in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+                used, first, count = np.unique(who[at], return_index=True, return_counts=True)
+                soon = np.add.reduceat(early[at].astype(np.int32), first).astype(np.int32)
+                rare = where[at[0]] >= 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([where[a]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (
-                        shingle[a:b], often[a:b].astype(np.uint16), (local * 2 + short[a:b]).astype(np.uint32),
-                        node[used], size[used]))],
-                    names=["range", "shingle", "often", "who", "node", "size"])
+                    [pa.array([where[at[0]]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (
+                        shingle[at], often[at[:0] if rare else at].astype(np.uint16), node[used], size[used],
+                        count.astype(np.int32), soon))],
+                    names=["range", "shingle", "often", "node", "size", "count", "early"])
     return run
 
 
-PACKED = "range bigint, shingle binary, often binary, who binary, node binary, size binary"
-POSTINGS = "shingle bigint, often int, node bigint"
+PACKED = "range bigint, shingle binary, often binary, node binary, size binary, count binary, early binary"
+POSTINGS = "shingle bigint, often int, node bigint, size int"
 
 
 def _postings(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Postings of one range: entries whose shingle another class of a fitting size has in its prefix.
 
     Ranges below 0 hold salted frequent shingles, which are all kept."""
-    cols = {c: [] for c in ("shingle", "often", "node", "size", "short")}
+    cols = {c: [] for c in ("shingle", "often", "node", "size", "early")}
     for r in table.to_pylist():
-        who = np.frombuffer(r["who"], np.uint32)
+        n = np.frombuffer(r["count"], np.int32)
         cols["shingle"].append(np.frombuffer(r["shingle"], np.uint64))
-        cols["often"].append(np.frombuffer(r["often"], np.uint16))
-        cols["node"].append(np.frombuffer(r["node"], np.int64)[who >> 1])
-        cols["size"].append(np.frombuffer(r["size"], np.int64)[who >> 1])
-        cols["short"].append((who & 1).astype(bool))
+        cols["often"].append(np.frombuffer(r["often"], np.uint16) if r["often"] else np.zeros(n.sum(), np.uint16))
+        cols["node"].append(np.repeat(np.frombuffer(r["node"], np.int64), n))
+        cols["size"].append(np.repeat(np.frombuffer(r["size"], np.int32), n))
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cols["early"].append(place < np.repeat(np.frombuffer(r["early"], np.int32), n))
     c = {k: np.concatenate(v) for k, v in cols.items()}
     if key[0].as_py() >= 0:
         order = np.lexsort((c["size"], c["shingle"]))
         c = {k: v[order] for k, v in c.items()}
         new = np.concatenate([[True], c["shingle"][1:] != c["shingle"][:-1]])
-        # neighbours by size: the next larger set must fit, and the smaller one have the shingle early
-        fits = ~new[1:] & (4 * c["size"][:-1] >= 3 * c["size"][1:])
+        # the neighbour in size must fit, and a list must hold the shingle early somewhere
+        fits = ~new[1:] & (4 * c["size"][:-1].astype(np.int64) >= 3 * c["size"][1:].astype(np.int64))
         keep = np.zeros(len(new), dtype=bool)
         keep[1:] |= fits
         keep[:-1] |= fits
-        # a list without any early entry holds no first common shingle
         run = np.cumsum(new) - 1
-        early = np.bincount(run, weights=c["short"], minlength=run[-1] + 1 if len(run) else 0) > 0
-        keep &= early[run]
+        keep &= (np.bincount(run, weights=c["early"]) > 0)[run]
         c = {k: v[keep] for k, v in c.items()}
     return pa.table({"shingle": _long(c["shingle"]), "often": pa.array(c["often"].astype(np.int32)),
-                     "node": pa.array(c["node"])})
+                     "node": pa.array(c["node"]), "size": pa.array(c["size"])})
+
+
+def need(size: str = "size"):
+    """Least number of postings that a class linked with another one shares with it."""
+    return 1 + F.floor(F.ceil(F.col(size) * 75 / 100) / 12)
 
 
 # ---- comparing
@@ -305,9 +321,9 @@ def _across(queries: pa.Table, members: pa.Table) -> pa.Table:
 
 # ---- the join
 
-def _live_filter(live: DataFrame) -> np.ndarray:
-    """Bloom filter of the live classes' ids: a fixed number of bits, whatever the corpus."""
-    h = live.select(F.explode(F.array(F.xxhash64("node"), F.xxhash64("node", F.lit(1)))).alias("h"))
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of (node): a fixed number of bits, whatever the corpus."""
+    h = ids.select(F.explode(F.array(F.xxhash64("node"), F.xxhash64("node", F.lit(1)))).alias("h"))
     h = h.select(F.pmod("h", F.lit(BLOOM_BITS)).alias("h"))
     words = h.groupBy(F.shiftright("h", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
@@ -316,33 +332,49 @@ def _live_filter(live: DataFrame) -> np.ndarray:
     return bits
 
 
-def _live_sets(bits: np.ndarray):
-    def hit(h: np.ndarray) -> np.ndarray:
-        h = np.mod(h, BLOOM_BITS)
+def _maybe(bits: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows whose id (hashed in h0, h1) may be in the filter; a later join decides."""
+    def hit(name: str) -> np.ndarray:
+        h = np.mod(batch.column(name).to_numpy(), BLOOM_BITS)
         return (bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return batch.filter(pa.array(hit("h0") & hit("h1")))
+
 
+def _live_sets(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maybe = hit(batch.column("h0").to_numpy()) & hit(batch.column("h1").to_numpy())
-            if maybe.any():
-                ids, sets = _batch_sets(batch.filter(pa.array(maybe)))
+            batch = _maybe(bits, batch)
+            if batch.num_rows:
+                ids, sets = _batch_sets(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(
-                    [s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+                    [s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
     return run
 
 
+def _chosen_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``sets`` of roughly the given nodes, so that the later joins need not move the others."""
+    bits = _id_filter(nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _maybe(bits, batch).select(["node", "shingles"])
+
+    return (sets.select("node", "shingles", F.xxhash64("node").alias("h0"), F.xxhash64("node", F.lit(1)).alias("h1"))
+            .mapInArrow(run, "node bigint, shingles binary"))
+
+
 def _grouped(postings: DataFrame) -> DataFrame:
-    """(node, group, parts, token, leads): the group part of every live class."""
-    own = postings.groupBy("node").agg(F.max(F.struct("often", "shingle")).alias("t")).select(
-        "node", F.col("t.shingle").alias("token"))
+    """(node, size, group, alone, parts, token, leads): the group part of every live class."""
+    own = postings.groupBy("node", "size").agg(F.max(F.struct("often", "shingle")).alias("t")).select(
+        "node", "size", F.col("t.shingle").alias("token"))
     parts = (own.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
              .select("token", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"),
-                     F.ceil(F.col("n") / LEADERS).alias("of")))
-    many = staged(parts.filter("parts > 1"), "jaccard-large")  # a few: each stands for over GROUP classes
-    joined = own.join(many, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+                     F.ceil(F.col("n") / LEADERS).alias("of"), (F.col("n") == 1).alias("alone")))
+    joined = own.join(parts, "token")
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     leads = F.coalesce(F.pmod(F.xxhash64("node", F.lit(7)), F.col("of")) == 0, F.lit(False))
-    return joined.select("node", "token", "parts", F.xxhash64("token", part).alias("group"), leads.alias("leads"))
+    return joined.select("node", "size", "token", "parts", "alone", F.xxhash64("token", part).alias("group"),
+                         leads.alias("leads"))
 
 
 def _first_links(sets: DataFrame) -> DataFrame:
@@ -350,22 +382,26 @@ def _first_links(sets: DataFrame) -> DataFrame:
     all_parts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
                             lambda p: F.xxhash64(F.col("token"), p.cast("bigint")))
     at = F.when(F.col("leads"), F.array_union(F.array("group"), all_parts)).otherwise(F.array("group"))
-    return (sets.select(F.explode(at).alias("group"), "node", "shingles").groupBy("group")
+    return (sets.filter(~F.col("alone")).select(F.explode(at).alias("group"), "node", "shingles").groupBy("group")
             .applyInArrow(_inside, "a bigint, b bigint"))
 
 
 def _queries(postings: DataFrame, info: DataFrame) -> DataFrame:
-    """(node, group): classes to compare with other groups, because a posting holds several components."""
+    """(node, group): classes to compare with other groups, because postings hold several components.
+
+    Two linked classes share at least ``need`` postings; in at least half of these the same one of them
+    is not in the posting's main component, so asking for half as many common postings loses no link."""
     p = postings.select("shingle", "node").join(info, "node")
     sizes = p.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("top"))
     mixed = mixed.filter("k > 1").select("shingle", F.col("top.component").alias("main"))
     p = staged(p.join(mixed, "shingle"), "jaccard-mixed")
     targets = p.groupBy("shingle", "group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    asks = p.filter("component <> main").select("shingle", "node", F.col("group").alias("home"), "component")
+    asks = p.filter("component <> main").select("shingle", "node", "size", F.col("group").alias("home"), "component")
     return (asks.join(targets, "shingle")
             .filter("home <> group AND NOT (low = component AND high = component)")
-            .select("node", "group").distinct())
+            .groupBy("node", "size", "group").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") >= F.ceil(need() / 2)).select("node", "group"))
 
 
 def _second_links(queries: DataFrame, sets: DataFrame) -> DataFrame:
@@ -373,10 +409,12 @@ def _second_links(queries: DataFrame, sets: DataFrame) -> DataFrame:
     queries = staged(queries, "jaccard-queries")
     asked = queries.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks"))
     asked = staged(asked, "jaccard-asked")
+    home = sets.select("node", "group").join(asked, "group")
+    sets = _chosen_sets(sets, queries.select("node").unionByName(home.select("node")))
     left = (queries.join(sets.select("node", "shingles"), "node").join(asked, "group")
             .select(F.col("group").alias("at"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("part"),
                     F.col("node").alias("q_node"), F.col("shingles").alias("q_shingles")))
-    right = (sets.join(asked, "group")
+    right = (sets.join(home, "node")
              .select(F.col("group").alias("group"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
                      F.col("node").alias("node"), F.col("shingles").alias("shingles")))
     return left.groupBy("at", "part").cogroup(right.groupBy("group", "chunk")).applyInArrow(
@@ -402,17 +440,19 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     packed = rows.mapInArrow(_prefixes(frequent, rank, ranges), PACKED)
     found = packed.groupBy("range").applyInArrow(_postings, POSTINGS)
     named = members.join(classes, "sig").select(F.col("id").alias("node"), "class").distinct()
-    postings = staged(found.join(named, "node").select("shingle", "often", F.col("class").alias("node")).distinct(),
-                      "jaccard-postings")
+    postings = staged(found.join(named, "node").select("shingle", "often", "size", F.col("class").alias("node"))
+                      .distinct(), "jaccard-found")
+    enough = postings.groupBy("node", "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need())
+    postings = staged(postings.join(enough.select("node", "size"), ["node", "size"]), "jaccard-postings")
     groups = staged(_grouped(postings), "jaccard-groups")
-    bits = _live_filter(groups)
+    bits = _id_filter(groups)
     sets = (rows.select("id", "text", F.xxhash64("id").alias("h0"), F.xxhash64("id", F.lit(1)).alias("h1"))
-            .filter(F.col("id").isNotNull()).mapInArrow(_live_sets(bits), "node bigint, shingles binary"))
-    sets = staged(sets.join(groups, "node"), "jaccard-sets")
+            .filter(F.col("id").isNotNull()).mapInArrow(_live_sets(bits), "id bigint, shingles binary"))
+    sets = staged(sets.withColumnRenamed("id", "node").join(groups, "node"), "jaccard-sets")
     first = staged(_first_links(sets), "jaccard-links")
     half = components(first).withColumnRenamed("id", "node")
-    info = groups.select("node", "group").join(half, "node", "left").select(
-        "node", "group", F.coalesce("component", "node").alias("component"))
+    info = groups.select("node", "size", "group").join(half, "node", "left").select(
+        "node", "size", "group", F.coalesce("component", "node").alias("component"))
     second = _second_links(_queries(postings, staged(info, "jaccard-info")), sets)
     whole = components(staged(first.unionByName(second), "jaccard-links"))
     of = named_components(classes, whole)
