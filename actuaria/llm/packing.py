@@ -25,6 +25,8 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -40,6 +42,9 @@ from actuaria.llm.common import read, staged
 WINDOW, CHUNK, END, KEPT_WORDS = 2048, 1 << 22, 1, 400_000
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
+#: White space other than blank and line feed.
+OTHER_SPACE = re.compile(r"[^\S \n]")
+
 _encoders: dict = {}
 
 
@@ -65,10 +70,12 @@ class Encoder(dict):
                                        special_tokens={}).encode_ordinary
 
     def __missing__(self, piece: str) -> bytes:
+        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():  # letters and marks are always cut apart
+            return self[piece[:-1]] + self[piece[-1]]
         ids = self.whole(piece) if "<|" in piece else self.plain(piece)
         if len(self) >= KEPT_WORDS:
             self.clear()
-        self[piece] = out = np.array(ids, dtype="<u4").tobytes()
+        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def whole(self, text: str) -> list[int]:
@@ -77,8 +84,7 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         """Ids of the text as little-endian 32-bit numbers."""
         pieces = text.replace("\n", " \n").split(" ")
-        if "" in pieces[1:] or "\n" in pieces or not text.isprintable() and any(
-                c.isspace() and c not in " \n" for c in text):  # runs of white space: cut nowhere
+        if "" in pieces[1:] or "\n" in pieces or OTHER_SPACE.search(text):  # runs of white space: cut nowhere
             return np.array(self.whole(text), dtype="<u4").tobytes()
         first, rest = pieces[0], pieces[1:]
         return self[first] + b"".join([self[p if p[0] == "\n" else " " + p] for p in rest]) if rest else self[first]
