@@ -38,8 +38,14 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
+def compared(a: Column, b: Column, k: int = K) -> Column:
+    """The part of the union that both sketches vouch for: all of it where both hold their whole sets."""
+    whole = (F.size(a) < k) & (F.size(b) < k)
+    return F.when(whole, F.array_union(a, b)).otherwise(merged(a, b, k))
+
+
 def resemblance(a: Column, b: Column, union: Column) -> Column:
-    """Estimated Jaccard likeness of two sketched sets, given their merged sketch."""
+    """Estimated Jaccard likeness of two sketched sets, given :func:`compared`; exact for sets below ``k``."""
     both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
 
@@ -128,8 +134,8 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half)).alias("e"))
     edited = edited.select("doc_id", "own", "nxt", "n_chars", F.sha2(F.col("e"), 256).alias("edited_sha256"),
                            sketch(F.col("e"), k).alias("ed"))
-    edited = edited.withColumns({"u_ed": merged(F.col("own"), F.col("ed"), k),
-                                 "u_next": merged(F.col("own"), F.col("nxt"), k)})
+    edited = edited.withColumns({"u_ed": compared(F.col("own"), F.col("ed"), k),
+                                 "u_next": compared(F.col("own"), F.col("nxt"), k)})
     out = edited.select(
         "doc_id", "n_chars", "edited_sha256", "own", "ed",
         resemblance(F.col("own"), F.col("ed"), F.col("u_ed")).alias("near_edited"),

@@ -335,7 +335,7 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
 def _maybe(bits: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
     """The rows whose id (hashed in h0, h1) may be in the filter; a later join decides."""
     def hit(name: str) -> np.ndarray:
-        h = np.mod(batch.column(name).to_numpy(), BLOOM_BITS)
+        h = np.mod(batch.column(name).to_numpy(), len(bits) << 6)
         return (bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
     return batch.filter(pa.array(hit("h0") & hit("h1")))
 
