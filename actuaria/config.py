@@ -68,7 +68,6 @@ KNN_FEATURES = [
 ]
 KNN_WEIGHTS = [2.0, 2.5, 0.8, 0.5, 0.4, 0.4, 0.4]
 KNN_K = 5
-KNN_SCALE_SAMPLE = 200        # rows per stratum used to estimate the distance scale
 KNN_SCALE_PERCENTILE = 0.95
 KNN_SCALE_FALLBACK_SMALL = 10.0   # stratum with fewer than 2 rows
 KNN_SCALE_FALLBACK_ZERO = 1.0     # percentile came out as 0

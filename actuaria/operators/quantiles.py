@@ -36,21 +36,26 @@ def to_long(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = (),
     return long.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
 
 
-def count_below(sorted_arr, v, n: int):
-    """Number of elements of a sorted ``n``-element array that are < v, as a
-    balanced binary search of CASE expressions (log2(n) comparisons, code
-    generated; no per-element lambda)."""
-    def search(lo: int, hi: int):
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(sorted_arr[mid] < v, search(mid + 1, hi)).otherwise(search(lo, mid))
-    return search(0, n)
+def count_below(sorted_arr, v):
+    """Number of elements of a sorted array that are < v, by halving."""
+    n = F.size(sorted_arr)
+    halves = F.array(*[F.lit(1 << i) for i in range(24, -1, -1)])
+    return F.aggregate(halves, F.lit(0), lambda a, s: F.when(
+        (a + s <= n) & (F.get(sorted_arr, a + s - 1) < v), a + s).otherwise(a))
 
 
-def auto_buckets(n_distinct: int, per_bucket: int = 50_000, lo: int = 16, hi: int = 512) -> int:
-    """Buckets so that a ranked bucket holds about ``per_bucket`` distinct values."""
-    return int(min(hi, max(lo, -(-n_distinct // per_bucket))))
+def fraction_literal(parts: int):
+    """The inner fractions 1/parts, 2/parts ... as one constant array."""
+    return F.split(F.lit(",".join(repr(i / parts) for i in range(1, max(2, parts)))), ",").cast("array<double>")
+
+
+def auto_buckets(n_distinct: int, per_bucket: int = 50_000, lo: int = 16) -> int:
+    """Buckets so that a ranked bucket holds about ``per_bucket`` distinct values, however many there are."""
+    return int(max(lo, -(-n_distinct // per_bucket)))
+
+
+#: Copies of the per-group bounds, so that joining them moves no group to one task.
+SALTS = 32
 
 
 def percentiles_long(long: DataFrame, probs: Sequence[float], by: Sequence[str],
@@ -73,13 +78,17 @@ def percentiles_long(long: DataFrame, probs: Sequence[float], by: Sequence[str],
     if buckets is None:
         buckets = auto_buckets(counts.count())
 
-    fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    fractions = fraction_literal(buckets)
+    accuracy = max(accuracy, 4 * buckets)
     bounds = counts.groupBy(*by).agg(
         F.percentile_approx(value_col, fractions, accuracy).alias("_bounds"),
         F.sum("_cnt").alias("_n"))
 
-    bucketed = counts.join(bounds.select(*by, "_bounds"), by, "inner").withColumn(
-        "_bucket", count_below(F.col("_bounds"), v, buckets - 1)).drop("_bounds")
+    # a group may hold a third of all values: its bounds are copied per salt, its values are spread over them
+    salted = bounds.select(*by, "_bounds", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    bucketed = (counts.withColumn("_salt", F.pmod(F.xxhash64(v), F.lit(SALTS)).cast("int"))
+                .join(salted, [*by, "_salt"], "inner")
+                .withColumn("_bucket", count_below(F.col("_bounds"), v)).drop("_bounds", "_salt"))
 
     # small side: (groups × buckets) totals and their running offsets
     bucket_totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("_cnt").alias("_bcnt"))

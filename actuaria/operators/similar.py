@@ -2,20 +2,21 @@
 
 Exact search without all pairs
 ------------------------------
-Base and query points live in the weighted space (feature × √weight).
-Base points are bucketed into square cells on two grid dimensions (the two
-heaviest features); candidates are found by an equi-join on (stratum, cell)
-and cut to the k best per query (``row_number() <= k``, planned as a
-partial + final ``WindowGroupLimit``).  Pass 1 searches the 3×3 cells
-around each query (sparse queries retry with a 4× wider ring until they see
-k points); its k-th distance D bounds the true k-th distance, and
-any point within D of the query lies in the cells covering [q − D, q + D]
-in both grid dimensions — pass 2 searches exactly those cells, so its top k
-is exact.  Two passes, no iteration.
-
-Identical base vectors (a hot duplicate group) are reduced to their k
-lowest keys before the search, so the number of candidates a query sees is
-bounded by the grid resolution, not by how often a profile repeats.
+Base and query points live in the weighted space (feature × √weight).  The base
+rows of each stratum are cut into equally filled cells: slabs of the first grid
+dimension by approximate quantiles, then cells of the second one inside each
+slab.  Cells follow the data, so an outlier or a dense cluster does not change
+how many points a cell holds, no cell is empty, and a stratum with few rows has
+few cells.  A query first looks into its own cell and the two beside it; the k-th
+distance D found there bounds the true one.  It then visits the cells whose box
+in the grid dimensions is within D, slab by slab: the distance to the slab
+leaves so much for the second dimension.  Points are only ever joined to
+queries by (stratum, slab, cell).
+
+Identical base vectors (a hot duplicate group) are reduced to their k lowest keys
+before the search.  A (slab, cell) that still holds many rows, because many vectors
+share both grid values, is an ordinary equi-join key for the skew-join handling of
+adaptive execution.
 
 Distances are compared at 1e-9 resolution with ties going to the lower
 base key.
@@ -24,13 +25,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actuaria import config as C
+from actuaria.operators.quantiles import fraction_literal, percentiles_long
 
 TIE_DIGITS = 9
+#: Copies of the per-stratum cuts, so that joining them moves no stratum to one task.
+SALTS = 16
 
 
 def weighted(df: DataFrame, cols: Sequence[str] = C.KNN_FEATURES,
@@ -48,126 +53,126 @@ def _dist(n_dims: int, q: str = "q_", b: str = "w_"):
     return F.sqrt(total)
 
 
-def auto_cell(base: DataFrame, stratum: str, x: str, y: str, per_cell: int = 64) -> float:
-    """Cell side so that the densest stratum holds about ``per_cell`` base
-    points per cell on average (one small aggregate; the grid then shrinks
-    as the data grows, keeping candidates per query bounded)."""
-    st = base.groupBy(stratum).agg(
-        F.count(F.lit(1)).alias("n"),
-        ((F.max(x) - F.min(x)) * (F.max(y) - F.min(y))).alias("area")).collect()  # one row per stratum
-    dens = [r["n"] / r["area"] for r in st if r["area"] and r["area"] > 0]
-    if not dens:
-        return 1.0
-    return max(1e-6, math.sqrt(per_cell / max(dens)))
+def position(cuts, v):
+    """Number of elements of the ascending array ``cuts`` that are < v, by halving."""
+    n = F.size(cuts)
+    halves = F.array(*[F.lit(1 << i) for i in range(20, -1, -1)])
+    return F.aggregate(halves, F.lit(0), lambda a, s: F.when(
+        (a + s <= n) & (F.get(cuts, a + s - 1) < v), a + s).otherwise(a))
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len(C.KNN_FEATURES),
-        qid: str = "query_id", bid: str = "neighbor_id", stratum: str = "stratum",
-        cell: float | None = None, grid: tuple[int, int] = (0, 1),
-        per_cell: int = 64) -> DataFrame:
-    """Exact k nearest base points per query within the query's stratum.
+@dataclass
+class Cells:
+    """Base rows with their cell, the slabs with their second cuts, and the first cuts of each stratum."""
+    rows: DataFrame      # bid, _bs, slab, cell, w_0..
+    slabs: DataFrame     # _ss, slab, ycuts, minx, maxx
+    strata: DataFrame    # _ts, xcuts
+    gx: int
+    gy: int
 
-    ``queries``: (qid, stratum, w_0..w_{d-1}); ``base``: (bid, stratum, w_0..).
-    Returns (qid, rank INT, bid, distance DOUBLE).
 
-    Pass 1 searches the 3×3 cells around each query (queries that find fewer
-    than k points retry with a 4× wider ring); its k-th distance D is an upper
-    bound of the true k-th distance.  Every true neighbour is within D in each
-    grid dimension, so pass 2 searches exactly the cells covering
-    [q − D, q + D]² and its top k is exact.  Only a stratum with fewer than k
-    points is searched whole.
-    """
+def build_cells(base: DataFrame, k: int, n_dims: int, bid: str, stratum: str,
+                grid: tuple[int, int], per_cell: int) -> Cells:
+    """Cut the base rows of every stratum into cells of about ``per_cell`` rows."""
     gx, gy = grid
+    x, y = F.col(f"w_{gx}"), F.col(f"w_{gy}")
     wcols = [f"w_{i}" for i in range(n_dims)]
-    # identical vectors: only the k lowest keys can ever be chosen
-    dup = Window.partitionBy(stratum, *wcols).orderBy(bid)
-    base = (base.select(bid, stratum, *wcols)
+    dup = Window.partitionBy(stratum, *wcols).orderBy(bid)  # identical vectors: the k lowest keys
+    rows = (base.select(bid, F.col(stratum).alias("_bs"), *wcols).withColumnRenamed("_bs", stratum)
             .withColumn("_dup", F.row_number().over(dup)).where(F.col("_dup") <= k).drop("_dup")
             .checkpoint(eager=True))
-    if cell is None:
-        cell = auto_cell(base, stratum, f"w_{gx}", f"w_{gy}", per_cell)
-    base = (base.withColumn("bcx", F.floor(F.col(f"w_{gx}") / cell))
-            .withColumn("bcy", F.floor(F.col(f"w_{gy}") / cell))
-            .withColumnRenamed(stratum, "_bs"))
-    bbox = base.groupBy(F.col("_bs").alias(stratum)).agg(
-        F.min("bcx").alias("minx"), F.max("bcx").alias("maxx"),
-        F.min("bcy").alias("miny"), F.max("bcy").alias("maxy"))
-    q = queries.select(qid, stratum, *[F.col(c).alias(f"q_{i}") for i, c in enumerate(wcols)])
-    q = (q.withColumn("qcx", F.floor(F.col(f"q_{gx}") / cell))
-         .withColumn("qcy", F.floor(F.col(f"q_{gy}") / cell))
-         .join(bbox, stratum, "inner")  # a stratum without base rows has no neighbours
-         .checkpoint(eager=True))
-
-    def search(probe_cells: DataFrame) -> DataFrame:
-        cand = probe_cells.join(base, (F.col(stratum) == F.col("_bs")) & (F.col("cx") == F.col("bcx"))
-                                & (F.col("cy") == F.col("bcy")))
-        cand = cand.select(qid, bid, _dist(n_dims).alias("distance"))
+    total = rows.count()
+    side = max(1, math.ceil(math.sqrt(total / per_cell)))
+    fractions = F.concat(fraction_literal(side), F.array(F.lit(1.0)))
+    accuracy = max(10_000, 4 * side)
+
+    def cuts(v):
+        return F.array_sort(F.array_distinct(F.percentile_approx(v, fractions, accuracy)))
+
+    # one row per stratum / per (stratum, slab); both are far smaller than the base
+    strata = rows.groupBy(F.col(stratum).alias("_ts")).agg(cuts(x).alias("xcuts")).checkpoint(eager=True)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    slabbed = (rows.withColumn("_salt", F.pmod(F.xxhash64(bid), F.lit(SALTS)).cast("int"))
+               .join(strata.select(F.col("_ts").alias(stratum), "xcuts", salts), [stratum, "_salt"]))
+    slabbed = slabbed.withColumn("slab", position(F.col("xcuts"), x)).drop("xcuts", "_salt")
+    slabs = slabbed.groupBy(F.col(stratum).alias("_ss"), "slab").agg(
+        cuts(y).alias("ycuts"), F.min(x).alias("minx"), F.max(x).alias("maxx")).checkpoint(eager=True)
+    celled = (slabbed.join(slabs.select(F.col("_ss").alias(stratum), "slab", "ycuts"), [stratum, "slab"])
+              .withColumn("cell", position(F.col("ycuts"), y)).drop("ycuts")
+              .withColumnRenamed(stratum, "_bs").checkpoint(eager=True))
+    return Cells(celled, slabs, strata, gx, gy)
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len(C.KNN_FEATURES),
+        qid: str = "query_id", bid: str = "neighbor_id", stratum: str = "stratum",
+        grid: tuple[int, int] = (0, 1), per_cell: int = 64, cells: Cells | None = None) -> DataFrame:
+    """Exact k nearest base points per query within the query's stratum.
+
+    ``queries``: (qid, stratum, w_0..w_{d-1}); ``base``: (bid, stratum, w_0..), or its ``cells``.
+    Returns (qid, rank INT, bid, distance DOUBLE).
+    """
+    c = cells or build_cells(base, k, n_dims, bid, stratum, grid, per_cell)
+    qcols = [f"q_{i}" for i in range(n_dims)]
+    x, y = F.col(f"q_{c.gx}"), F.col(f"q_{c.gy}")
+    q = queries.select(qid, stratum, *[F.col(f"w_{i}").alias(f"q_{i}") for i in range(n_dims)])
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    q = (q.withColumn("_salt", F.pmod(F.xxhash64(qid), F.lit(SALTS)).cast("int"))
+         .join(c.strata.select(F.col("_ts").alias(stratum), "xcuts", salts), [stratum, "_salt"]).drop("_salt"))
+    # a value above the last cut lies in the last slab
+    own = F.least(position(F.col("xcuts"), x), F.size("xcuts") - 1)
+    q = q.withColumn("slab", own).checkpoint(eager=True)
+    slabs = c.slabs.withColumnRenamed("_ss", stratum)
+
+    def visit(probes: DataFrame) -> DataFrame:
+        """The k best of the points in the probed (stratum, slab, cell)."""
+        points = c.rows.withColumnRenamed("_bs", stratum)
+        cand = probes.join(points, [stratum, "slab", "cell"]).select(qid, bid, _dist(n_dims).alias("distance"))
         w = Window.partitionBy(qid).orderBy(F.round("distance", TIE_DIGITS), bid)
         return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    # pass 1: the (2r+1)² cells around each query; queries that find fewer
-    # than k points (sparse regions) retry with a 4× wider ring, only they do
-    bounds = []
-    pending = q
-    r = 1
-    while True:
-        ring = F.sequence(F.lit(-r), F.lit(r))
-        first = search(pending.select(qid, stratum, *[f"q_{i}" for i in range(n_dims)],
-                                      F.explode(F.transform(ring, lambda o: F.col("qcx") + o)).alias("cx"), "qcy")
-                       .withColumn("cy", F.explode(F.transform(ring, lambda o: F.col("qcy") + o))).drop("qcy"))
-        stat = first.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
-        covers = ((F.col("qcx") - r <= F.col("minx")) & (F.col("qcx") + r >= F.col("maxx"))
-                  & (F.col("qcy") - r <= F.col("miny")) & (F.col("qcy") + r >= F.col("maxy")))
-        judged = (pending.join(stat, qid, "left")
-                  .withColumn("_n", F.coalesce("_n", F.lit(0)))
-                  .withColumn("_ok", (F.col("_n") >= k) | covers)
-                  .withColumn("_full", F.col("_n") < k)   # only when the ring covers the whole stratum
-                  .checkpoint(eager=True))
-        bounds.append(judged.where("_ok").drop("_ok"))
-        pending = judged.where(~F.col("_ok")).drop("_n", "_d", "_ok", "_full")
-        if pending.isEmpty():
-            break
-        r *= 4
-    ranged = bounds[0]
-    for b in bounds[1:]:
-        ranged = ranged.unionByName(b)
-    # pass 2: every cell that the k-th distance bound D can reach
-    d = F.col("_d") + F.lit(1e-9)
-    lo_x = F.when(F.col("_full"), F.col("minx")).otherwise(F.floor((F.col(f"q_{gx}") - d) / cell))
-    hi_x = F.when(F.col("_full"), F.col("maxx")).otherwise(F.floor((F.col(f"q_{gx}") + d) / cell))
-    lo_y = F.when(F.col("_full"), F.col("miny")).otherwise(F.floor((F.col(f"q_{gy}") - d) / cell))
-    hi_y = F.when(F.col("_full"), F.col("maxy")).otherwise(F.floor((F.col(f"q_{gy}") + d) / cell))
-    probe = ranged.select(qid, stratum, *[f"q_{i}" for i in range(n_dims)],
-                          F.explode(F.sequence(F.greatest(lo_x, F.col("minx")), F.least(hi_x, F.col("maxx"))))
-                          .alias("cx"),
-                          F.greatest(lo_y, F.col("miny")).alias("_ly"), F.least(hi_y, F.col("maxy")).alias("_hy"))
-    probe = probe.withColumn("cy", F.explode(F.sequence("_ly", "_hy"))).drop("_ly", "_hy")
-    return search(probe).select(qid, F.col("rank").cast("int").alias("rank"), bid, "distance")
-
-
-def first_rows_per_stratum(df: DataFrame, key: str, stratum: str = "stratum",
-                           n: int = C.KNN_SCALE_SAMPLE) -> DataFrame:
-    """The n lowest keys of each stratum (top-k window, bounded per group)."""
-    w = Window.partitionBy(stratum).orderBy(key)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    def kth(found: DataFrame) -> DataFrame:
+        return found.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
+
+    # first look: the own cell and the two beside it; where they hold fewer than k points, the own slab
+    located = q.join(slabs, [stratum, "slab"]).withColumn("_last", F.size("ycuts") - 1)
+    cell = F.least(position(F.col("ycuts"), y), F.col("_last"))
+    beside = F.sequence(F.greatest(cell - 1, F.lit(0)), F.least(cell + 1, F.col("_last")))
+    bound = kth(visit(located.select(qid, stratum, "slab", *qcols, F.explode(beside).alias("cell")))).checkpoint(eager=True)
+    few = located.join(bound.where(F.col("_n") >= k), qid, "left_anti")
+    wide = kth(visit(few.select(qid, stratum, "slab", *qcols,
+                                F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("cell"))))
+    bound = bound.where(F.col("_n") >= k).unionByName(wide.where(F.col("_n") >= k))
+    # no bound (a slab with fewer than k points): everything in the stratum is within it
+    d = F.coalesce(F.col("_d"), F.lit(float("inf"))) + F.lit(1e-9)
+    ranged = q.join(bound.select(qid, "_d"), qid, "left").withColumn("_d", d)
+    last = F.size("xcuts") - 1
+    reach = F.sequence(F.least(position(F.col("xcuts"), x - F.col("_d")), last),
+                       F.least(position(F.col("xcuts"), x + F.col("_d")), last))
+    ranged = ranged.select(qid, stratum, *qcols, "_d", F.explode(reach).alias("slab")).join(slabs, [stratum, "slab"])
+    aside = F.greatest(F.col("minx") - x, x - F.col("maxx"), F.lit(0.0))
+    left = F.sqrt(F.greatest(F.col("_d") * F.col("_d") - aside * aside, F.lit(0.0)))
+    left = F.when(F.col("_d") == float("inf"), F.col("_d")).otherwise(left) + F.lit(1e-9)
+    ranged = ranged.where(aside <= F.col("_d")).withColumn("_r", left).withColumn("_last", F.size("ycuts") - 1)
+    cells_in = F.sequence(F.least(position(F.col("ycuts"), y - F.col("_r")), F.col("_last")),
+                          F.least(position(F.col("ycuts"), y + F.col("_r")), F.col("_last")))
+    probes = ranged.select(qid, stratum, "slab", *qcols, F.explode(cells_in).alias("cell"))
+    return visit(probes).select(qid, F.col("rank").cast("int").alias("rank"), bid, "distance")
 
 
 def distance_scale(base: DataFrame, key: str, stratum: str = "stratum", k: int = C.KNN_K,
-                   n_dims: int = len(C.KNN_FEATURES), cell: float | None = None) -> DataFrame:
+                   n_dims: int = len(C.KNN_FEATURES), cells: Cells | None = None) -> DataFrame:
     """K4: per stratum, the 95th percentile of the k-th neighbour distance
-    (self included) of its first 200 rows; 1.0 when that is 0, 10.0 when the
+    (self included) over all of its rows; 1.0 when that is 0, 10.0 when the
     stratum has fewer than 2 rows.  → (stratum, n, scale)."""
     sizes = base.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    sample = first_rows_per_stratum(base, key, stratum)
-    qs = sample.select(F.col(key).alias("query_id"), stratum, *[f"w_{i}" for i in range(n_dims)])
-    bs = base.select(F.col(key).alias("neighbor_id"), stratum, *[f"w_{i}" for i in range(n_dims)])
-    nn = knn(qs, bs, k, n_dims, cell=cell)
-    kth = nn.groupBy("query_id").agg(F.max("distance").alias("kth"))
-    per = kth.join(qs.select("query_id", stratum), "query_id").groupBy(stratum).agg(
-        F.percentile("kth", C.KNN_SCALE_PERCENTILE).alias("p"))  # ≤ 200 values per stratum
-    out = sizes.join(per, stratum, "left")
+    qs = base.select(F.col(key).alias("query_id"), stratum, *[f"w_{i}" for i in range(n_dims)])
+    nn = knn(qs, base.withColumnRenamed(key, "neighbor_id"), k, n_dims, cells=cells)
+    kth = nn.groupBy("query_id").agg(F.max("distance").alias("value"))
+    per = percentiles_long(kth.join(qs.select("query_id", stratum), "query_id").select(stratum, "value"),
+                           [C.KNN_SCALE_PERCENTILE], [stratum])
+    out = sizes.join(per.select(stratum, F.col("value").alias("q")), stratum, "left")
     scale = (F.when(F.col("n") < 2, F.lit(C.KNN_SCALE_FALLBACK_SMALL))
-             .when(F.col("p") == 0, F.lit(C.KNN_SCALE_FALLBACK_ZERO)).otherwise(F.col("p")))
+             .when(F.col("q") == 0, F.lit(C.KNN_SCALE_FALLBACK_ZERO)).otherwise(F.col("q")))
     return out.select(stratum, "n", scale.alias("scale"))
 
 
@@ -187,15 +192,31 @@ def neighbour_summary(records: DataFrame, qid: str = "query_id", charge: str = "
         F.round(F.percentile(charge, 0.5)).cast("int").alias("median"))
 
 
-def lsh_candidates(queries: DataFrame, base: DataFrame, vec_q: str, vec_b: str, threshold: float,
-                   bucket_length: float = 1.0, num_tables: int = 4, seed: int = C.SPLIT_SEED):
-    """Approximate neighbours by random-projection LSH (an
-    approximate operator by definition): pairs closer than ``threshold``
-    that share a bucket in at least one table, with their exact distance."""
+def lsh_neighbours(queries: DataFrame, base: DataFrame, k: int, group: str, bucket_length: float = 0.5,
+                   num_tables: int = 6, seed: int = C.SPLIT_SEED) -> DataFrame:
+    """Approximate k nearest neighbours by random-projection LSH.
+
+    Both sides: (id, group, vec).  Candidates are the base rows of the query's ``group`` that share a hash in
+    at least one table; all of them are ranked by their exact distance, none is cut by a threshold.  The
+    result is (query_id, rank, neighbor_id, distance, found): ``found`` says how many neighbours the buckets
+    gave the query, so a shortfall is seen.  The group is part of the bucket key, so rows of different
+    groups never meet."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                      bucketLength=bucket_length, numHashTables=num_tables, seed=seed)
-    b = base.withColumnRenamed(vec_b, "features")
-    model = lsh.fit(b)
-    q = queries.withColumnRenamed(vec_q, "features")
-    return model.approxSimilarityJoin(q, b, threshold, distCol="distance")
+    from pyspark.ml.functions import vector_to_array
+    lsh = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hashes", bucketLength=bucket_length,
+                                      numHashTables=num_tables, seed=seed)
+    model = lsh.fit(base)
+
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        return model.transform(df).select(F.col("id").alias(name), F.col(group).alias("_g"),
+                                          vector_to_array("vec").alias(f"_{name}"), F.posexplode("hashes").alias("_t", "_v")
+                                          ).withColumn("_b", vector_to_array("_v")[0]).drop("_v")
+
+    pairs = (hashed(queries, "query_id").join(hashed(base, "neighbor_id"), ["_g", "_t", "_b"])
+             .where(F.col("query_id") != F.col("neighbor_id")))
+    square = F.aggregate(F.zip_with("_query_id", "_neighbor_id", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                         lambda t, v: t + v)
+    scored = pairs.select("query_id", "neighbor_id", F.sqrt(square).alias("distance")).distinct()
+    w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("query_id")).cast("int"))

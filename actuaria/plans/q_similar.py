@@ -28,19 +28,18 @@ def _w_sql(cols):
 
 _D = " + ".join(f"(q.w_{i} - b.w_{i}) * (q.w_{i} - b.w_{i})" for i in range(len(C.KNN_FEATURES)))
 
+KQ_SQL = "WHERE split = 'test'),"
 KNN_SQL = f"""
 kb AS (SELECT policy_id AS neighbor_id, CASE WHEN smoker = 1 THEN 'yes' ELSE 'no' END AS stratum,
   {_w_sql(C.KNN_FEATURES)}, charges FROM processed WHERE split = 'train'),
 kq AS (SELECT policy_id AS query_id, CASE WHEN smoker = 'yes' THEN 'yes' ELSE 'no' END AS stratum,
   {_w_sql(['f_' + c for c in C.KNN_FEATURES])}
-  FROM (SELECT *, {feature_sql('f_')} FROM policy) JOIN split USING (policy_id) WHERE split = 'test'),
+  FROM (SELECT *, {feature_sql('f_')} FROM policy) JOIN split USING (policy_id) {KQ_SQL}
 kp AS (SELECT q.query_id, b.neighbor_id, q.stratum, sqrt({_D}) AS distance FROM kq q JOIN kb b USING (stratum)),
 knn AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), neighbor_id)
   AS INTEGER) AS rank FROM kp) WHERE rank <= 5),
 ks_n AS (SELECT stratum, count(*) AS n FROM kb GROUP BY stratum),
-ks_q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY neighbor_id) AS rn FROM kb)
-  WHERE rn <= 200),
-ks_p AS (SELECT q.neighbor_id AS query_id, q.stratum, sqrt({_D}) AS distance FROM ks_q q JOIN kb b USING (stratum)),
+ks_p AS (SELECT q.neighbor_id AS query_id, q.stratum, sqrt({_D}) AS distance FROM kb q JOIN kb b USING (stratum)),
 ks_r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9)) AS rk
   FROM ks_p) WHERE rk <= 5),
 ks AS (SELECT n.stratum, n.n, CASE WHEN n.n < 2 THEN 10.0 WHEN p.p = 0 THEN 1.0 ELSE p.p END AS scale
@@ -51,31 +50,44 @@ ksim AS (SELECT k.*, greatest(5.0, least(100.0, 100.0 * exp(-k.distance / greate
 """
 
 
-def knn_inputs(spark, sf):
-    """(base, queries) in the weighted space, plus the processed base frame."""
+#: The same with every policy as a query.
+KNN_ALL_SQL = KNN_SQL.replace(KQ_SQL, "),")
+
+
+def knn_inputs(spark, sf, queries: str = "test"):
+    """(base, queries) in the weighted space, plus the processed base frame; ``queries``: test or all."""
     prep = preprocess(policy(spark, sf))
     pre = prep.frame
     base = K.weighted(pre.where(F.col("split") == "train")).select(
         F.col(C.KEY).alias("neighbor_id"),
         F.when(F.col("smoker") == 1, "yes").otherwise("no").alias("stratum"),
         *[f"w_{i}" for i in range(len(C.KNN_FEATURES))])
-    test = prep.source.where(F.col("split") == "test")  # raw rows, split already fitted
-    q = K.weighted(with_features(test), ["f_" + c for c in C.KNN_FEATURES]).select(
+    asked = prep.source.where(F.col("split") == "test") if queries == "test" else prep.source
+    q = K.weighted(with_features(asked), ["f_" + c for c in C.KNN_FEATURES]).select(
         F.col(C.KEY).alias("query_id"),
         F.when(F.col("smoker") == "yes", "yes").otherwise("no").alias("stratum"),
         *[f"w_{i}" for i in range(len(C.KNN_FEATURES))])
     return base, q, pre
 
 
-def neighbours(spark, sf):
-    base, q, pre = knn_inputs(spark, sf)
-    nn = K.knn(q, base)
+def neighbours(spark, sf, queries: str = "test"):
+    """Neighbours with their similarity; the search and the distance scale share one set of cells."""
+    base, q, pre = knn_inputs(spark, sf, queries)
+    cells = K.build_cells(base, C.KNN_K, len(C.KNN_FEATURES), "neighbor_id", "stratum", (0, 1), 64)
+    nn = K.knn(q, base, cells=cells)
     nn = nn.join(q.select("query_id", "stratum"), "query_id")
-    scale = K.distance_scale(base.withColumnRenamed("neighbor_id", C.KEY), C.KEY)
-    sim = nn.join(scale.select("stratum", "scale"), "stratum").withColumn("similarity", K.similarity())
+    scale = K.distance_scale(base.withColumnRenamed("neighbor_id", C.KEY), C.KEY, cells=cells)
+    scales = {r["stratum"]: r["scale"] for r in scales_of(scale)}
+    of = F.create_map(*[F.lit(v) for pair in scales.items() for v in pair]) if scales else F.create_map()
+    sim = nn.withColumn("scale", of[F.col("stratum")]).withColumn("similarity", K.similarity())
     return sim, pre
 
 
+def scales_of(scale):
+    """One row per stratum (two for this table)."""
+    return scale.select("stratum", "scale").collect()
+
+
 @register("k1_strata_sizes", with_ctes(SPLIT_SQL, PROCESSED_SQL, select="""
 SELECT CASE WHEN smoker = 1 THEN 'yes' ELSE 'no' END AS stratum, count(*) AS n FROM processed
 WHERE split = 'train' GROUP BY ALL
@@ -132,8 +144,8 @@ rec AS (
 """
 
 
-def neighbour_records(spark, sf):
-    sim, pre = neighbours(spark, sf)
+def neighbour_records(spark, sf, queries: str = "test"):
+    sim, pre = neighbours(spark, sf, queries)
     dec = decode_features(pre.withColumnRenamed(C.KEY, "neighbor_id").drop("split"))
     rec = sim.join(dec, "neighbor_id")
     return rec.select("query_id", "rank", "age", "sex", "bmi", "children", "smoker", "region",

@@ -27,7 +27,7 @@ def t_stream_batch_predict(spark, sf):
     """The upload lands as JSON files; a file stream (availableNow) scores it
     into a parquet sink, which must equal the batch result."""
     src = scratch_path(spark, "stream-src")
-    B.policy_as_upload(policy(spark, sf)).repartition(4).write.json(src)
+    B.policy_as_upload(policy(spark, sf)).write.json(src)
     bg = S.feature_means(S.with_features(policy(spark, sf))).first().asDict()  # one-row model input
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     q = start_scoring(spark, src, sink, ckpt, PRIMARY, lambda d: S.linear_shap(d, PRIMARY, bg))
@@ -45,7 +45,7 @@ def stream_with_fitted_model(spark, sf):
     train, _, scaler = training_frames(spark, sf, with_scaler=True)
     fitted = Mo.fit_gbt(train, "xgboost", QUICK)
     src = scratch_path(spark, "stream-src")
-    B.policy_as_upload(policy(spark, sf)).repartition(4).write.json(src)
+    B.policy_as_upload(policy(spark, sf)).write.json(src)
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     q = start_scoring(spark, src, sink, ckpt, fitted, lambda d: X.tree_shap(d, fitted), scaler=scaler)
     q.awaitTermination()
@@ -131,21 +131,14 @@ def k3b_lsh_embeddings(spark, sf):
     """Approximate neighbours of every embedding among the embeddings
     with the same label, by random-projection LSH, then ranked exactly."""
     raw = spark.read.parquet(f"{sf}/embeddings.parquet")
-    emb = raw.select("vec_id", "label", array_to_vector("embedding").alias("vec"))
+    emb = raw.select(F.col("vec_id").alias("id"), "label", array_to_vector("embedding").alias("vec"))
     # identical (label, vector) groups: only the k + 1 lowest ids can be returned
     # (k neighbours plus the query itself), so a hot duplicate group cannot make a
     # hash bucket quadratic
     dup = Window.partitionBy("label", "embedding").orderBy("vec_id")
     base = (raw.withColumn("_d", F.row_number().over(dup)).where(F.col("_d") <= C.KNN_K + 1)
-            .select("vec_id", "label", array_to_vector("embedding").alias("vec")))
-    pairs = K.lsh_candidates(emb, base, "vec", "vec", threshold=1.5, bucket_length=0.5, num_tables=6)
-    pairs = pairs.where((F.col("datasetA.label") == F.col("datasetB.label"))
-                        & (F.col("datasetA.vec_id") != F.col("datasetB.vec_id")))
-    pairs = pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("neighbor_id"),
-                         "distance")
-    w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= C.KNN_K)
-
+            .select(F.col("vec_id").alias("id"), "label", array_to_vector("embedding").alias("vec")))
+    return K.lsh_neighbours(emb, base, C.KNN_K, "label")
 
 
 @register("s6_batch_results_csv", BATCH_ORACLE)

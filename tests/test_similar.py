@@ -71,14 +71,14 @@ def test_similarity_clamped(spark):
     assert vals[0] == 100.0 and vals[1] == 5.0 and 5.0 <= vals[2] <= 100.0
 
 
-def test_isolated_query_uses_ring_growth(spark):
+def test_isolated_query_is_exact(spark):
     # one query far from a dense cluster plus a far-away sparse point: exact answer, no whole-stratum scan needed
     rng = np.random.default_rng(11)
     base = [(i, "a", tuple(float(x) for x in rng.normal(scale=0.3, size=2))) for i in range(300)]
     base.append((999, "a", (40.0, 40.0)))
     queries = [(1, "a", (20.0, 20.0)), (2, "a", (39.0, 41.0)), (3, "a", (0.0, 0.0))]
     qs, bs = _frames(spark, queries, base, 2)
-    got = K.knn(qs, bs, k=5, n_dims=2, cell=0.1).collect()
+    got = K.knn(qs, bs, k=5, n_dims=2, per_cell=8).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         res.setdefault(r["query_id"], []).append(r["neighbor_id"])
@@ -90,3 +90,30 @@ def test_knn_empty_inputs(spark):
     assert K.knn(qs, bs, k=5, n_dims=2).count() == 0          # query stratum has no base rows
     empty_q = qs.where("query_id < 0")
     assert K.knn(empty_q, bs, k=5, n_dims=2).count() == 0     # no queries
+
+
+@pytest.mark.parametrize("shape", ["outlier", "cluster", "sparse stratum"])
+def test_cells_stay_small_under_skew(spark, shape):
+    rng = np.random.default_rng(7)
+    pts = rng.uniform(size=(20_000, 2))
+    strata = ["a"] * len(pts)
+    if shape == "outlier":
+        pts[0] = (1000.0, 1000.0)
+    elif shape == "cluster":
+        pts[:15_000] *= 1e-4
+    else:
+        pts = np.concatenate([pts, [(5.0, 5.0), (-5.0, 9.0), (20.0, 0.0)]])
+        strata += ["b"] * 3
+    base = [(i, s, tuple(map(float, p))) for i, (s, p) in enumerate(zip(strata, pts))]
+    queries = [(i, s, tuple(map(float, p))) for i, (s, p) in enumerate(zip(strata, pts)) if i % 400 == 0]
+    queries += [(10**6, strata[-1], (3.0, 3.0)), (10**6 + 1, "a", (900.0, -50.0))]
+    qs, bs = _frames(spark, queries, base, 2)
+    cells = K.build_cells(bs, 5, 2, "neighbor_id", "stratum", (0, 1), 64)
+    nn = K.knn(qs, bs, k=5, n_dims=2, cells=cells)
+    sizes = cells.rows.groupBy("_bs", "slab", "cell").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1024  # no cell holds much more than its share
+    assert cells.slabs.agg(F.sum(F.size("ycuts"))).first()[0] <= 2 * len(base) / 64 + 400  # and none is empty
+    res = {}
+    for r in sorted(nn.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        res.setdefault(r["query_id"], []).append(r["neighbor_id"])
+    assert res == _brute(queries, base, 5)
