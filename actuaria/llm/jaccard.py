@@ -50,7 +50,7 @@ WORDS, GROUP, LEADERS, FREQUENT = 5, 512, 32, 1 << 15
 #: queries that share one copy of a group.
 ENTRIES, SALTS, BLOOM_BITS, QUERIES = 1 << 20, 64, 1 << 26, 1024
 #: Bytes that are hashed at a time.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 _FACTOR = np.random.default_rng(21).integers(1, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])

@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Prefixes:
     """Hashes of any ranges of a buffer: equal bytes, wherever they lie, hash alike."""
 
-    def __init__(self, raw: np.ndarray, value: np.ndarray = VALUE, least: int = 1 << 22):
+    def __init__(self, raw: np.ndarray, value: np.ndarray = VALUE, least: int = 1 << 20):
         up, self.down = powers(max(len(raw) + 1, least))
         self.total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(value[raw] * up[:len(raw)], out=self.total[1:])
