@@ -8,23 +8,24 @@ all of them.  With v = tree weight × leaf value the leaf contributes
     φ_i += v · (o_i − z_i) · Σ_{S ⊆ F∖{i}} |S|!(|F|−|S|−1)!/|F|! · Π_{j∈S} o_j · Π_{j∈F∖S∖{i}} z_j
 
 The subset sum is the coefficient vector of Π_{j≠i}(z_j + o_j·t) dotted with
-the Shapley weights.  Because o is binary, a leaf's contribution depends on
-a row only through its |F| inclusion bits: every leaf's contributions for
-all 2^|F| bit patterns are tabulated once per model, and a batch only
-computes pattern indices, gathers, and scatters to features with one matrix
-product per path position.
+the Shapley weights.  All leaves of one path length are evaluated together, for a
+block of rows, and scattered to features with one matrix product per path
+position.
 
 The trees are read once from the model's saved parquet (their size is the
 model's, not the data's), flattened to per-leaf arrays, broadcast, and
-evaluated per Arrow batch in ``mapInPandas``; rows never leave their
-partition and no Python runs per row.
+evaluated per Arrow batch in a pandas UDF over the model's features; the other
+columns never leave the JVM and no Python runs per row.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import factorial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actuaria.session import scratch_path
@@ -94,16 +95,8 @@ def _poly_contrib(o: np.ndarray, z: np.ndarray, v: np.ndarray, w: np.ndarray) ->
     return out
 
 
-def pack_leaves(flat: dict, n_features: int, chunk: int = 256, table_max_m: int = 8,
-                table_budget_bytes: int = 64 << 20) -> list[dict]:
-    """Group leaves by path length m and stack them into arrays (once per
-    model).  A leaf's contribution depends on a row only through its m
-    inclusion bits, so for m ≤ ``table_max_m`` a leaf gets a table of its
-    contributions for all 2^m bit patterns and rows only look values up.
-    Tables are built shortest paths first while their total size stays within
-    ``table_budget_bytes`` (they are broadcast); other packs are evaluated
-    with the polynomial directly."""
-    used = 0
+def pack_leaves(flat: dict, n_features: int, chunk: int = 64) -> list[dict]:
+    """Group leaves by path length m and stack them into arrays (once per model)."""
     groups: dict[int, list] = {}
     for leaf in flat["leaves"]:
         if len(leaf["features"]):
@@ -116,14 +109,7 @@ def pack_leaves(flat: dict, n_features: int, chunk: int = 256, table_max_m: int
             pk = {"m": m, "features": feats,
                   "lo": np.stack([lf["lo"] for lf in part]), "hi": np.stack([lf["hi"] for lf in part]),
                   "z": np.stack([lf["z"] for lf in part]), "v": np.array([lf["v"] for lf in part]),
-                  "w": _shapley_weights(m), "table": None}
-            size = len(part) * (2 ** m) * m * 8
-            if m <= table_max_m and used + size <= table_budget_bytes:
-                used += size
-                bits = ((np.arange(2 ** m)[:, None] >> np.arange(m)) & 1).astype(float)   # P×m
-                o = np.broadcast_to(bits[None, :, :], (len(part), 2 ** m, m))             # L×P×m
-                z = np.broadcast_to(pk["z"][:, None, :], o.shape)
-                pk["table"] = _poly_contrib(o, z, pk["v"][:, None], pk["w"])             # L×P×m
+                  "w": _shapley_weights(m)}
             packs.append(pk)
     return packs
 
@@ -142,38 +128,33 @@ def shap_matrix(X: np.ndarray, flat: dict, n_features: int, packs: list | None =
                 pk["onehot"][a, np.arange(L), pk["features"][:, a]] = 1.0
         xs = X[:, pk["features"]]                                        # n×L×m
         inside = (xs > pk["lo"]) & (xs <= pk["hi"])
-        if pk["table"] is not None:
-            idx = (inside.astype(np.int64) << np.arange(m)).sum(axis=2)   # n×L pattern index
-            contrib = pk["table"][np.arange(len(pk["v"]))[None, :], idx]  # n×L×m
-        else:
-            contrib = _poly_contrib(inside.astype(float), np.broadcast_to(pk["z"], xs.shape), pk["v"], pk["w"])
+        contrib = _poly_contrib(inside.astype(float), np.broadcast_to(pk["z"], xs.shape), pk["v"], pk["w"])
         for a in range(m):
             phi += contrib[:, :, a] @ pk["onehot"][a]
     return phi
 
 
-def tree_shap(df: DataFrame, fitted, prefix: str = "f_", out_col: str = "shap") -> DataFrame:
-    """Append ``array<double>`` attributions (feature order) and the
-    model's expected value ``base_value`` to every row; all input columns
-    pass through, so the operator stays narrow (no join back)."""
+def tree_shap(df: DataFrame, fitted, prefix: str = "f_", out_col: str = "shap", rows: int = 2048) -> DataFrame:
+    """Append ``array<double>`` attributions (feature order) and the model's expected value ``base_value``.
+
+    Only the model's features go through Python, in Arrow batches of which ``rows`` are worked on at a time;
+    the other columns stay in the JVM and the operator stays narrow."""
     spark = df.sparkSession
     flat = flatten_trees(spark, fitted)
     cols = [f"{prefix}{f}" for f in fitted.features]
     nf = len(cols)
-    bc = spark.sparkContext.broadcast({"packs": pack_leaves(flat, nf), "expected": flat["expected"]})
-
-    def run(batches):
-        model = bc.value
-        for pdf in batches:
-            X = pdf[cols].to_numpy(dtype=float, na_value=np.nan)
-            phi = shap_matrix(X, None, nf, model["packs"])
-            pdf[out_col] = list(phi)
-            pdf["base_value"] = model["expected"]
-            yield pdf
-
-    schema = T.StructType(list(df.schema.fields) + [
-        T.StructField(out_col, T.ArrayType(T.DoubleType())), T.StructField("base_value", T.DoubleType())])
-    return df.mapInPandas(run, schema)
+    bc = spark.sparkContext.broadcast(pack_leaves(flat, nf))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def attributions(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        packs = bc.value
+        for series in batches:
+            X = np.stack([c.to_numpy(dtype=float, na_value=np.nan) for c in series], axis=1)
+            parts = [shap_matrix(X[i:i + rows], None, nf, packs) for i in range(0, len(X), rows)]
+            yield pd.Series([p for part in parts for p in part], dtype=object)
+
+    phi = attributions(*[F.col(c).cast("double") for c in cols])
+    return df.withColumn(out_col, phi).withColumn("base_value", F.lit(float(flat["expected"])))
 
 
 __all__ = ["flatten_trees", "shap_matrix", "tree_shap"]

@@ -132,12 +132,22 @@ def gbt_estimator(style: str, params: dict, seed: int = C.SPLIT_SEED) -> GBTRegr
     return g
 
 
+#: Grid entries without a counterpart in the trees that are fitted here; drawing them would only repeat models.
+INERT = ("reg_alpha", "reg_lambda", "num_leaves")
+
+
 def grid_for(style: str) -> dict:
+    """The published grid of a family."""
     extra = {"xgboost": C.XGB_EXTRA_GRID, "lightgbm": C.LGBM_EXTRA_GRID,
              "gradient_boosting": C.GB_EXTRA_GRID}[style]
     return {**C.COMMON_PARAM_GRID, **extra}
 
 
+def search_grid(style: str) -> dict:
+    """The published grid without the entries that change nothing here."""
+    return {k: v for k, v in grid_for(style).items() if k not in INERT}
+
+
 def grid_size(grid: dict) -> int:
     return reduce(lambda a, b: a * b, (len(v) for v in grid.values()), 1)
 
@@ -159,24 +169,20 @@ def sample_params(grid: dict, n_iter: int, seed: int = C.SPLIT_SEED) -> list[dic
     return out
 
 
-def cap_trees(params: dict, max_trees: int | None) -> dict:
-    if max_trees is None:
-        return params
-    return {**params, "n_estimators": min(int(params["n_estimators"]), max_trees)}
-
-
 def random_search(train: DataFrame, style: str, n_iter: int = C.SEARCH_ITERATIONS,
-                  folds: int = C.CV_FOLDS, fold_col: str = "fold", max_trees: int | None = None,
-                  target: str = C.TARGET, parallelism: int = 4, seed: int = C.SPLIT_SEED):
+                  folds: int = C.CV_FOLDS, fold_col: str = "fold", grid: dict | None = None,
+                  contiguous: bool = True, target: str = C.TARGET, parallelism: int = 4, seed: int = C.SPLIT_SEED):
     """M7–M9: random search with k-fold CV on R², refit on all training rows.
 
-    The grid draw is the full published space; ``max_trees`` only bounds
-    tree counts for quick runs.  Returns (FittedModel, best params, best CV R², all results).
+    ``grid`` is the space drawn from (the published one by default); a draw is fitted as drawn.  Folds are
+    runs of the key order, or hash folds with ``contiguous=False``, unless the rows bring their own.
+    Returns (FittedModel, best params, best CV R², [(params, CV R², is best)]).
     """
-    from actuaria.operators.preprocess import hash_fold
-    draws = [cap_trees(p, max_trees) for p in sample_params(grid_for(style), n_iter, seed)]
+    from actuaria.operators.preprocess import contiguous_fold, hash_fold
+    draws = sample_params(grid or search_grid(style), n_iter, seed)
     if fold_col not in train.columns:
-        train = train.withColumn(fold_col, hash_fold(C.KEY, folds))
+        train = (contiguous_fold(train, C.KEY, folds, fold_col) if contiguous
+                 else train.withColumn(fold_col, hash_fold(C.KEY, folds)))
     data = training_rows(train, target, False, extra=(fold_col,))
     base = gbt_estimator(style, draws[0], seed)
     maps = []
@@ -192,7 +198,7 @@ def random_search(train: DataFrame, style: str, n_iter: int = C.SEARCH_ITERATION
     metrics = list(cvm.avgMetrics)
     best = max(range(len(metrics)), key=lambda i: metrics[i])
     fitted = FittedModel(style, cvm.bestModel, False)
-    return fitted, draws[best], metrics[best], list(zip(draws, metrics))
+    return fitted, draws[best], metrics[best], [(p, m, i == best) for i, (p, m) in enumerate(zip(draws, metrics))]
 
 
 def fit_gbt(train: DataFrame, style: str, params: dict, target: str = C.TARGET,
@@ -218,16 +224,25 @@ _MODEL_CACHE: dict[str, FittedModel] = {}
 
 
 def save_model(fitted: FittedModel, path: str) -> str:
-    fitted.model.write().overwrite().save(path)
+    """Save a model with a one-row table of what serving needs (name, kind, features, target scale)."""
+    from pyspark.sql import SparkSession
+    kind = "gbt" if hasattr(fitted.model, "treeWeights") else "linear"
+    fitted.model.write().overwrite().save(f"{path}/model")
+    meta = [(fitted.name, kind, list(fitted.features), bool(fitted.log_target))]
+    (SparkSession.getActiveSession().createDataFrame(
+        meta, "name string, kind string, features array<string>, log_target boolean")
+     .coalesce(1).write.mode("overwrite").parquet(f"{path}/meta"))
+    _MODEL_CACHE.pop(path, None)
     return path
 
 
-def load_model(path: str, kind: str, name: str | None = None, log_target: bool = False) -> FittedModel:
-    """Load once per path and keep the handle on the driver."""
-    if path in _MODEL_CACHE:
-        return _MODEL_CACHE[path]
-    from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
-    cls = {"gbt": GBTRegressionModel, "linear": LinearRegressionModel}[kind]
-    fitted = FittedModel(name or kind, cls.load(path), log_target)
-    _MODEL_CACHE[path] = fitted
-    return fitted
+def load_model(path: str) -> FittedModel:
+    """Load a saved model by its path alone; the handle is kept until the path is saved to again."""
+    if path not in _MODEL_CACHE:
+        from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
+        from pyspark.sql import SparkSession
+        meta = SparkSession.getActiveSession().read.parquet(f"{path}/meta").first()
+        cls = {"gbt": GBTRegressionModel, "linear": LinearRegressionModel}[meta["kind"]]
+        _MODEL_CACHE[path] = FittedModel(meta["name"], cls.load(f"{path}/model"), meta["log_target"],
+                                         list(meta["features"]))
+    return _MODEL_CACHE[path]

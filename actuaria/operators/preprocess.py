@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from actuaria import config as C
 from actuaria.functions.columns import is_value, unscale_const
-from actuaria.operators.quantiles import percentiles_long, quantile_table, to_long
+from actuaria.operators.profile import by_column, column_rows
+from actuaria.operators.quantiles import count_below, percentiles_long, quantile_table, to_long
 
 
 # ---------------------------------------------------------------- P1–P3
@@ -38,9 +39,11 @@ def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = C.IQR_K,
     """(column, q1, q3, lower, upper, n_outliers) with strict < / > counts."""
     long = to_long(df, cols)
     q = _iqr_bounds(long, k, method)
-    counts = long.join(q.select("column", "lower", "upper"), "column").groupBy("column").agg(
-        F.sum(((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).cast("long"))
-        .alias("n_outliers"))
+    fitted = {r["column"]: (r["lower"], r["upper"]) for r in q.collect()}  # one row per known column
+    lower, upper = (by_column({c: f[i] for c, f in fitted.items()}) for i in (0, 1))
+    counts = long.groupBy("column").agg(
+        F.sum(((F.col("value") < lower) | (F.col("value") > upper)).cast("long")).alias("n_outliers"))
+    q = column_rows(df, cols).join(q, "column", "left")  # a column without values keeps its row
     return q.join(counts, "column", "left").select(
         "column", "q1", "q3", "lower", "upper", F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"))
 
@@ -76,29 +79,33 @@ def label_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace each column by its alphabetical class code."""
-    mapping = label_mapping(df, cols)
-    out = df
-    for c in cols:
-        m = mapping.where(F.col("column") == c).select(F.col("class").alias(f"_cls_{c}"),
-                                                        F.col("code").alias(f"_code_{c}"))
-        out = out.join(m, F.col(c).cast("string") == F.col(f"_cls_{c}"), "left")
-        out = out.withColumn(c, F.col(f"_code_{c}")).drop(f"_cls_{c}", f"_code_{c}")
-    return out.select(*df.columns)
+    """Replace each column by its alphabetical class code.
+
+    The classes are a fitted state, like a scaler's moments: they come back once and are
+    applied as one constant map per column, so the rows are never joined on a class."""
+    codes: dict[str, dict] = {c: {} for c in cols}
+    for r in label_mapping(df, cols).collect():
+        codes[r["column"]][r["class"]] = r["code"]
+
+    def code(c: str):
+        pairs = [x for k, v in codes[c].items() for x in (F.lit(k), F.lit(v))]
+        return F.create_map(*pairs)[F.col(c).cast("string")] if pairs else F.lit(None).cast("int")
+
+    return df.withColumns({c: code(c) for c in cols}).select(*df.columns)
+
+
+def fit_categories(df: DataFrame, column: str) -> list:
+    """The distinct non-null values of a column, ascending."""
+    return [r[0] for r in df.select(column).distinct().where(F.col(column).isNotNull()).orderBy(column).collect()]
 
 
 def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None,
-            drop_first: bool = True, prefix: str | None = None, max_categories: int = 1000) -> DataFrame:
+            drop_first: bool = True, prefix: str | None = None) -> DataFrame:
     """0/1 INT columns appended after the others, categories sorted,
-    the first dropped.  Categories are fixed by the caller or read from the
-    data's distinct values — a schema-defining lookup, refused beyond
-    ``max_categories`` (one column per category)."""
+    the first dropped.  ``categories`` is a fitted input (it defines the
+    schema); left out, it is fitted on the data (:func:`fit_categories`)."""
     if categories is None:
-        found = (df.select(column).distinct().where(F.col(column).isNotNull())
-                 .orderBy(column).limit(max_categories + 1).collect())
-        if len(found) > max_categories:
-            raise ValueError(f"{column}: more than {max_categories} categories; pass them explicitly")
-        categories = [r[0] for r in found]
+        categories = fit_categories(df, column)
     cats = sorted(categories)
     if drop_first:
         cats = cats[1:]
@@ -208,6 +215,32 @@ def hash_fold(key: str = C.KEY, folds: int = C.CV_FOLDS, seed: int = C.SPLIT_SEE
                   F.lit(folds)).cast("int")
 
 
+def contiguous_fold(df: DataFrame, key: str = C.KEY, folds: int = C.CV_FOLDS, fold_col: str = "fold") -> DataFrame:
+    """M8 as the search uses it: rows in key order cut into ``folds`` runs, the first n mod k one row longer.
+
+    The run boundaries are found without sorting the table: approximate cuts give ranges of about equal size,
+    their counts say in which range a boundary lies, and only those ranges are ranked."""
+    n = df.count()
+    sizes = [n // folds + (i < n % folds) for i in range(folds)]
+    starts = [sum(sizes[:i]) for i in range(1, folds)]
+    cuts = sorted(set(df.approxQuantile(key, [i / 1000 for i in range(1, 1000)], 1e-4))) if n else []
+    if not cuts:
+        return df.withColumn(fold_col, F.lit(0))
+    at = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    ranged = df.select(F.col(key).alias("_k")).withColumn("_p", count_below(at, F.col("_k").cast("double")))
+    counts = sorted((r["_p"], r["c"]) for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).collect())
+    wanted, before = [], 0
+    for p, c in counts:
+        wanted += [(p, s - before) for s in starts if before <= s < before + c]
+        before += c
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_k")) - 1
+    pairs = df.sparkSession.createDataFrame(wanted or [(-1, 0)], "_p int, _r int")
+    edge = ranged.where(F.col("_p").isin([p for p, _ in wanted])).withColumn("_r", rank)
+    firsts = [r["_k"] for r in edge.join(pairs, ["_p", "_r"]).select("_k").collect()]  # folds - 1 keys
+    fold = sum((F.when(F.col(key) >= F.lit(k), 1).otherwise(0) for k in firsts), F.lit(0))
+    return df.withColumn(fold_col, fold.cast("int"))
+
+
 def xy_split(df: DataFrame, target: str = C.TARGET, key: str = C.KEY):
     """Features (key kept, target dropped) and the target with its key."""
     y_cols = [key, target] + (["split"] if "split" in df.columns else [])

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from actuaria import config as C
 from actuaria.functions.columns import kurtosis_unbiased, skewness_unbiased, value_map
-from actuaria.operators.quantiles import percentiles_long, quantile_table, to_long  # noqa: F401
+from actuaria.operators.quantiles import SALTS, percentiles_long, quantile_table, to_long  # noqa: F401
 
 
 # ---------------------------------------------------------------- E15 helpers
@@ -96,12 +96,26 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, digits: i
     qs = qs.groupBy("column").agg(*[
         F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
         for p, n in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]])
-    out = moments.join(qs, "column")
+    # from the column list, so that a column without any value keeps its row (count 0)
+    out = column_rows(df, cols).join(moments, "column", "left").join(qs, "column", "left")
     r = lambda c: F.round(c, digits).alias(c)
-    return out.select("column", "count", r("mean"), r("std"), r("min"), r("p25"),
+    return out.select("column", F.coalesce("count", F.lit(0).cast("long")).alias("count"), r("mean"), r("std"), r("min"), r("p25"),
                       r("p50"), r("p75"), r("max"))
 
 
+def column_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column): one row per name."""
+    return df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+
+
+def by_column(values: dict):
+    """A per-column constant, looked up by ``column``: fitted values of a known column list need no join."""
+    if not values:
+        return F.lit(None).cast("double")
+    pairs = [x for c, v in values.items() for x in (F.lit(c), F.lit(v).cast("double"))]
+    return F.create_map(*pairs)[F.col("column")]
+
+
 def _value_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], list(cols), "column", "value")
@@ -134,10 +148,9 @@ def value_share(df: DataFrame, cols: Sequence[str] | None = None, digits: int =
     """Count and percentage of the column's non-null total."""
     cols = list(cols or string_columns(df))
     vc = _value_counts_long(df, cols)
-    totals = vc.groupBy("column").agg(F.sum("count").alias("_total"))
-    return vc.join(totals, "column").select(
-        "column", "value", "count",
-        F.round(F.col("count") * 100.0 / F.col("_total"), digits).alias("pct"))
+    totals = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()  # one row: non-null totals
+    return vc.select("column", "value", "count",
+                     F.round(F.col("count") * 100.0 / by_column(totals), digits).alias("pct"))
 
 
 # ---------------------------------------------------------------- E10–E12
@@ -169,13 +182,18 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def histograms(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
-    """E10 for several columns in one job: (column, bin, bin_lo, bin_hi, count).
-    Per-column ranges are a small (columns-row) frame joined on the column name."""
-    long = to_long(df, cols)
-    ranges = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    counts = (long.join(ranges, "column")
-              .select("column", _bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+    """E10 for several columns: (column, bin, bin_lo, bin_hi, count).
+
+    The ranges of the known columns are one fitted row; bins are computed row by row against
+    literals, so only (column, bin) counts are shuffled.  A column without values has null edges."""
+    real = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    r = df.agg(*[f(real(c)).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    lo, hi = ({c: r[f"{n}_{c}"] for c in cols} for n in ("lo", "hi"))
+    bin_of = lambda c: _bin_index(real(c), F.lit(lo[c]).cast("double"), F.lit(hi[c]).cast("double"), bins)
+    counts = (df.select(*[F.when(real(c).isNotNull(), bin_of(c)).alias(c) for c in cols])
+              .unpivot([], list(cols), "column", "bin").where(F.col("bin").isNotNull())
               .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
+    ranges = column_rows(df, cols).select("column", by_column(lo).alias("lo"), by_column(hi).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     all_bins = ranges.select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return (all_bins.join(counts, ["column", "bin"], "left")
@@ -195,7 +213,15 @@ def boxplot_long(long: DataFrame, by: Sequence[str], digits: int = 6, method: st
          .withColumn("fence_lo", F.col("q1") - C.IQR_K * F.col("iqr"))
          .withColumn("fence_hi", F.col("q3") + C.IQR_K * F.col("iqr")))
     v = F.col("value")
-    stats = long.join(q.select(*by, "fence_lo", "fence_hi"), by).groupBy(*by).agg(
+    if by == ["column"]:  # known columns: the fences are a few fitted numbers
+        fences = {r["column"]: (r["fence_lo"], r["fence_hi"]) for r in q.collect()}
+        fenced = long.withColumns({n: by_column({c: f[i] for c, f in fences.items()})
+                                   for i, n in enumerate(("fence_lo", "fence_hi"))})
+    else:  # data-dependent groups: fences copied per salt, so a large group is spread
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        fenced = (long.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+                  .join(q.select(*by, "fence_lo", "fence_hi", salts), [*by, "_salt"]))
+    stats = fenced.groupBy(*by).agg(
         F.min(F.when(v >= F.col("fence_lo"), v)).alias("whisker_lo"),
         F.max(F.when(v <= F.col("fence_hi"), v)).alias("whisker_hi"),
         F.sum(((v < F.col("fence_lo")) | (v > F.col("fence_hi"))).cast("long")).alias("n_outliers"),
@@ -208,7 +234,8 @@ def boxplot_long(long: DataFrame, by: Sequence[str], digits: int = 6, method: st
 
 def boxplot_stats(df: DataFrame, cols: Sequence[str], digits: int = 6, method: str = "exact") -> DataFrame:
     """Box-plot statistics per numeric column."""
-    return boxplot_long(to_long(df, cols), ["column"], digits, method)
+    found = boxplot_long(to_long(df, cols), ["column"], digits, method)
+    return column_rows(df, cols).join(found, "column", "left").fillna(0, ["n", "n_outliers"])
 
 
 def grouped_boxplot(df: DataFrame, value: str, keys: Sequence[str], digits: int = 6,

@@ -140,4 +140,8 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     q = percentiles_long(long, probs, [*group_cols, "column"], method=method)
     aggs = [F.max(F.when(F.col("p") == F.lit(float(p)), F.col("value"))).alias(n)
             for p, n in zip(probs, names)]
-    return q.groupBy(*group_cols, "column").agg(*aggs)
+    out = q.groupBy(*group_cols, "column").agg(*aggs)
+    if group_cols:
+        return out
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return every.join(out, "column", "left")  # a column without values keeps its row

@@ -23,8 +23,13 @@ from actuaria.plans.q_profile import policy
 from actuaria.plans.registry import PROCESSED_SQL, SPLIT_SQL, register, with_ctes
 from actuaria.session import scratch_path
 
+#: Settings of the registered fits: a caller's parameters like any other (the published winner is C.COMMON_PARAM_GRID's
+#: 500 trees at 0.01); the operators take whatever they are given.
 QUICK = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.8,
          "colsample_bytree": 0.9, "min_samples_split": 5}
+#: The space, draws and folds of the registered search, plain parameters of the operator.
+SEARCH_GRID = {"n_estimators": [10, 20, 30], "max_depth": [2, 3, 4], "learning_rate": [0.1, 0.2, 0.3]}
+SEARCH_DRAWS, SEARCH_FOLDS = 3, 3
 
 
 def training_frames(spark, sf, with_scaler: bool = False):
@@ -120,12 +125,96 @@ def m5_gbt_gradient_boosting_style(spark, sf):
 
 @register("m7_m9_random_search")
 def m7_m9_random_search(spark, sf):
-    """Four draws from the published grid, 3 hash folds, trees capped at 30
-    (the full 40 × 5 search is the operator's default)."""
+    """The search of all three families over SEARCH_GRID with contiguous folds (the operator's defaults are
+    the published grid, 40 draws and 5 folds)."""
     train, _ = training_frames(spark, sf)
-    _, best, score, results = Mo.random_search(train, "xgboost", n_iter=4, folds=3, max_trees=30)
-    rows = [(i, json.dumps(p, sort_keys=True), float(r2), p == best) for i, (p, r2) in enumerate(results)]
-    return spark.createDataFrame(rows, "draw int, params string, cv_r2 double, is_best boolean")
+    rows = []
+    for style in FAMILIES:
+        _, _, _, results = Mo.random_search(train, style, SEARCH_DRAWS, SEARCH_FOLDS, grid=SEARCH_GRID)
+        rows += [(style, i, json.dumps(p, sort_keys=True), float(r2), best) for i, (p, r2, best) in enumerate(results)]
+    return spark.createDataFrame(rows, "model string, draw int, params string, cv_r2 double, is_best boolean")
+
+
+FAMILIES = ("xgboost", "lightgbm", "gradient_boosting")
+
+
+def searched_predictions(spark, sf):
+    """Test rows scored by the five models of the tuned run: the three search winners, ridge and OLS."""
+    train, test = training_frames(spark, sf)
+    models = [Mo.random_search(train, s, SEARCH_DRAWS, SEARCH_FOLDS, grid=SEARCH_GRID)[0] for s in FAMILIES]
+    models += [Mo.fit_ridge(train), Mo.fit_ols(train)]
+    scored = test.select(C.KEY, F.col(C.TARGET).alias("actual"), *C.FEATURES)
+    for m in models:
+        scored = Mo.predict(scored, m, f"p_{m.name}", prefix="").withColumn(
+            f"p_{m.name}", F.greatest(F.col(f"p_{m.name}"), F.lit(0.0)))
+    return scored, models
+
+
+@register("m11_leaderboard_searched")
+def m11_leaderboard_searched(spark, sf):
+    """M7–M11 end to end: search, refit, score the test split, rank the five models."""
+    scored, models = searched_predictions(spark, sf)
+    return M.leaderboard(scored, "actual", {m.name: f"p_{m.name}" for m in models})
+
+
+@register("m13_m14_fitted_winner", with_ctes(SPLIT_SQL, select="""
+SELECT count(*) AS n, true AS deciles_cover_all, true AS mean_error_is_mean_residual FROM split WHERE split = 'test'
+"""))
+def m13_m14_fitted_winner(spark, sf):
+    """M13/M14 on a fitted winner as facts: the deciles hold every test row and their errors average to the mean residual."""
+    train, test = training_frames(spark, sf)
+    fitted = Mo.fit_gbt(train, "xgboost", QUICK)
+    scored = Mo.predict(test.select(C.KEY, F.col(C.TARGET).alias("actual"), *C.FEATURES), fitted, "p", prefix="")
+    s = M.residual_summary(scored, "actual", "p")
+    d = M.decile_errors(scored, "actual", "p").agg(
+        F.sum("n").alias("d_n"), (F.sum(F.col("n") * F.col("mean_error")) / F.sum("n")).alias("d_mean")).first()
+    return s.select(
+        "n", (F.lit(d["d_n"]) == F.col("n")).alias("deciles_cover_all"),
+        (F.abs(F.lit(d["d_mean"]) - F.col("mean_residual")) < 0.001).alias("mean_error_is_mean_residual"))
+
+
+@register("m1_m2_normal_equations", with_ctes(select="SELECT unnest(['linear_regression', 'ridge_regression']) AS model, "
+          "10 AS features, true AS stationary"))
+def m1_m2_normal_equations(spark, sf):
+    """M1/M2 with all ten features: the gradient of the penalised squares is zero at the fit.
+
+    For every feature, the sum of x times the residual equals alpha times its coefficient (alpha = 0 for OLS)."""
+    train, _ = training_frames(spark, sf)
+    out = None
+    for fitted, alpha in ((Mo.fit_ols(train), 0.0), (Mo.fit_ridge(train, alpha=C.RIDGE_ALPHA), C.RIDGE_ALPHA)):
+        m = fitted.model
+        raw = sum((F.col(f) * float(c) for f, c in zip(fitted.features, m.coefficients)), F.lit(float(m.intercept)))
+        r = train.select(*fitted.features, (F.log1p(C.TARGET) - raw).alias("r"))
+        one = r.agg(*[F.abs(F.sum(F.col(f) * F.col("r")) - alpha * float(c)).alias(f"g_{f}")
+                      for f, c in zip(fitted.features, m.coefficients)], F.sum(F.abs("r")).alias("s"))
+        row = one.select(F.lit(fitted.name).alias("model"), F.lit(len(fitted.features)).alias("features"),
+                         (F.greatest(*[F.col(f"g_{f}") for f in fitted.features]) < 1e-6 * (1 + F.col("s")))
+                         .alias("stationary"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("m12_importance_facts", with_ctes(select="SELECT 10 AS features, 100.0 AS total, true AS ranked"))
+def m12_importance_facts(spark, sf):
+    """M12 as facts: ten features, shares that sum to 100, ranks 1 to 10 in descending order."""
+    train, _ = training_frames(spark, sf)
+    imp = Mo.gain_importance(spark, Mo.fit_gbt(train, "xgboost", QUICK), digits=9)
+    pairs = F.sort_array(F.collect_list(F.struct("rank", "importance_pct")))  # ten rows
+    return imp.agg(F.count(F.lit(1)).cast("int").alias("features"),
+                   F.round(F.sum("importance_pct"), 4).alias("total"), pairs.alias("_p")).select(
+        "features", "total", ((F.transform("_p", lambda p: p["rank"]) == F.sequence(F.lit(1), F.lit(10)))
+                              & (F.reverse(F.array_sort(F.transform("_p", lambda p: p["importance_pct"])))
+                                 == F.transform("_p", lambda p: p["importance_pct"]))).alias("ranked"))
+
+
+@register("i5_tree_shap_facts", with_ctes(select="SELECT count(*) AS n, CAST(0 AS BIGINT) AS over_tolerance, "
+          "CAST(0 AS BIGINT) AS wrong_length FROM policy"))
+def i5_tree_shap_facts(spark, sf):
+    """I5 as facts: every policy has ten attributions that add up to its prediction."""
+    out = i5_tree_shap_policy(spark, sf)
+    return out.agg(F.count(F.lit(1)).alias("n"),
+                   F.sum((F.col("additivity_error") > 1e-6).cast("long")).alias("over_tolerance"),
+                   F.sum((F.size("shap") != 10).cast("long")).alias("wrong_length"))
 
 
 @register("m8_folds", with_ctes(SPLIT_SQL, select="""
@@ -143,17 +232,24 @@ def m12_gain_importance(spark, sf):
     return Mo.gain_importance(spark, Mo.fit_gbt(train, "xgboost", QUICK))
 
 
-@register("s8_model_roundtrip")
+@register("s8_model_roundtrip", with_ctes(select="""
+SELECT m.model AS model, n, n AS agree FROM (SELECT count(*) AS n FROM policy),
+ (SELECT unnest(['xgboost', 'lightgbm', 'gradient_boosting', 'linear_regression', 'ridge_regression']) AS model) m
+"""))
 def s8_model_roundtrip(spark, sf):
-    """Save a fitted model to the shared folder, load it back, score the
-    test split with both and report whether the predictions agree."""
+    """Five fitted models saved, loaded by path alone, and both scored on every policy."""
     train, test = training_frames(spark, sf)
-    fitted = Mo.fit_gbt(train, "gradient_boosting", QUICK)
-    path = Mo.save_model(fitted, scratch_path(spark, "model-store"))
-    loaded = Mo.load_model(path, "gbt", "gradient_boosting")
-    a = Mo.predict(test, fitted, "p_saved", prefix="")
-    b = Mo.predict(a, loaded, "p_loaded", prefix="")
-    return b.select(C.KEY, "p_saved", "p_loaded", (F.col("p_saved") == F.col("p_loaded")).alias("same"))
+    rows = train.unionByName(test)
+    models = [Mo.fit_gbt(train, s, QUICK) for s in FAMILIES] + [Mo.fit_ols(train), Mo.fit_ridge(train)]
+    out = None
+    for m in models:
+        loaded = Mo.load_model(Mo.save_model(m, scratch_path(spark, "model-store")))
+        both = Mo.predict(Mo.predict(rows, m, "p_saved", prefix=""), loaded, "p_loaded", prefix="")
+        one = both.agg(F.count(F.lit(1)).alias("n"),
+                       F.sum((F.col("p_saved") == F.col("p_loaded")).cast("long")).alias("agree"))
+        one = one.select(F.lit(loaded.name).alias("model"), "n", "agree")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("i5_tree_shap_policy")

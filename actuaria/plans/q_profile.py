@@ -99,44 +99,43 @@ def s1_load_csv(spark, sf):
 @register("s3_s2_split_roundtrip_test", with_ctes(
     SPLIT_SQL, PROCESSED_SQL,
     select="SELECT policy_id, round(age, 6) AS age, sex, round(bmi, 6) AS bmi, round(children, 6) AS children, "
-           "smoker, charges, region_northwest, region_southeast, region_southwest FROM processed "
-           "WHERE split = 'test'"))
+           "smoker, charges, region_northwest, region_southeast, region_southwest, split FROM processed"))
 def s3_s2_split_roundtrip_test(spark, sf):
-    """S3 sink partitioned by split, then S2 scan of the test partition."""
+    """S3 sink partitioned by split, then S2 scans of both partitions."""
     path = scratch_path(spark, "processed")
     B.write_split(preprocess(policy(spark, sf)).frame, path)
-    df = B.read_split(spark, path, "test")
+    df = B.read_split(spark, path, "test").unionByName(B.read_split(spark, path, "train"))
     return df.select(C.KEY, *[F.round(c, 6).alias(c) if c in ("age", "bmi", "children") else F.col(c)
-                              for c in ["age", "sex", "bmi", "children", "smoker", "charges",
-                                        "region_northwest", "region_southeast", "region_southwest"]])
+                              for c in ["age", "sex", "bmi", "children", "smoker", "charges", "region_northwest",
+                                        "region_southeast", "region_southwest", "split"]])
 
 
 @register("s3_s2_split_roundtrip_csv", with_ctes(
     SPLIT_SQL, PROCESSED_SQL,
     select="SELECT policy_id, round(age, 6) AS age, sex, round(bmi, 6) AS bmi, round(children, 6) AS children, "
-           "smoker, charges, region_northwest, region_southeast, region_southwest FROM processed "
-           "WHERE split = 'test'"))
+           "smoker, charges, region_northwest, region_southeast, region_southwest, split FROM processed"))
 def s3_s2_split_roundtrip_csv(spark, sf):
-    """S3 as CSV (header, partitioned by split), S2 scan of the test split
-    with the explicit schema."""
+    """S3 as CSV (header, partitioned by split), S2 scans of both splits with
+    the explicit schema."""
     path = scratch_path(spark, "processed-csv")
     frame = preprocess(policy(spark, sf)).frame
     B.write_split(frame, path, fmt="csv")
-    df = B.read_split(spark, path, "test", schema=frame.schema, fmt="csv")
+    test, train = (B.read_split(spark, path, s, schema=frame.schema, fmt="csv") for s in ("test", "train"))
+    df = test.unionByName(train)
     return df.select(C.KEY, *[F.round(c, 6).alias(c) if c in ("age", "bmi", "children") else F.col(c)
-                              for c in ["age", "sex", "bmi", "children", "smoker", "charges",
-                                        "region_northwest", "region_southeast", "region_southwest"]])
+                              for c in ["age", "sex", "bmi", "children", "smoker", "charges", "region_northwest",
+                                        "region_southeast", "region_southwest", "split"]])
 
 
 @register("s4_batch_scan_csv", with_ctes(
-    UPLOAD_SQL, select="SELECT row_id, age, sex, bmi, children, smoker, region FROM upload"))
+    UPLOAD_SQL, select="SELECT age, sex, bmi, children, smoker, region, true AS ids_unique FROM upload"))
 def s4_batch_scan_csv(spark, sf):
     """Upload written as CSV, scanned as strings with the column check."""
     path = scratch_path(spark, "upload-csv")
     B.policy_as_upload(policy(spark, sf)).write.mode("overwrite").option("header", True).csv(path)
-    df = spark.read.option("header", True).csv(path)
-    B.check_required(df)
-    return df.select(F.col("row_id").cast("long").alias("row_id"), *C.REQUIRED_COLUMNS)
+    df = B.read_batch_csv(spark, path, "id")
+    ids = df.agg(F.count("id").alias("n"), F.count_distinct("id").alias("d")).first()
+    return df.select(*C.REQUIRED_COLUMNS, F.lit(ids["n"] == ids["d"]).alias("ids_unique"))
 
 
 @register("s5_parse_upload", with_ctes(UPLOAD_SQL, select="SELECT * FROM parsed"))

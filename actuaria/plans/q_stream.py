@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from actuaria import config as C
 from actuaria.operators import score as S
 from actuaria.operators import similar as K
-from actuaria.operators.preprocess import assign_split
 from actuaria.operators.report import advice_text
 from actuaria.plans.q_profile import UPLOAD_SQL, policy
 from actuaria.plans.q_scoring import BATCH_SQL, BG_SQL, FF_SQL, PRIMARY, batch_results, scored_profiles
-from actuaria.plans.q_similar import neighbour_records
-from actuaria.plans.registry import register, with_ctes
+from actuaria.plans.q_similar import KNN_ALL_SQL, RECORDS_SQL, neighbour_records
+from actuaria.plans.registry import PROCESSED_SQL, SPLIT_SQL, register, with_ctes
 from actuaria.session import scratch_path
 from actuaria.sources import batch as B
 from actuaria.streaming.profiles import start_scoring
@@ -67,7 +66,7 @@ def s6_batch_results_json(spark, sf):
 
 
 def fitted_profiles(spark, sf):
-    """Test-split profiles scored like the reference's request path with
+    """All profiles scored like the reference's request path with
     fitted models: the xgboost-style GBT gives cost, scenarios and tree
     attributions; the three boosted families give the band."""
     from actuaria.operators import explain as X
@@ -76,8 +75,7 @@ def fitted_profiles(spark, sf):
     train, _, scaler, source = training_setup(spark, sf)
     members = [Mo.fit_gbt(train, s, QUICK) for s in ("xgboost", "lightgbm", "gradient_boosting")]
     primary = members[0]
-    test = source.where(F.col("split") == "test").drop("split")
-    prof = S.score_cost(S.with_features(test, scaler=scaler), primary, "cost")
+    prof = S.score_cost(S.with_features(source.drop("split"), scaler=scaler), primary, "cost")
     prof = S.what_if(prof, primary, scaler=scaler)
     prof = X.tree_shap(prof, primary)
     prof = prof.withColumn("shap_bars", S.shap_bars("shap")).withColumn("shap_top", S.top_drivers("shap_bars"))
@@ -85,15 +83,14 @@ def fitted_profiles(spark, sf):
 
 
 def profile_results(spark, sf, fitted: bool = False):
-    """One nested record per test-split profile: cost, confidence band,
-    scenarios, bars, top drivers, advice text and similar profiles."""
-    test = assign_split(policy(spark, sf)).where(F.col("split") == "test").select(C.KEY)
+    """One nested record per profile: cost, confidence band, scenarios,
+    bars, top drivers, advice text and similar profiles (of the train rows)."""
     if fitted:
         prof = fitted_profiles(spark, sf)
     else:
         prof = S.confidence_band(scored_profiles(spark, sf), C.ENSEMBLE)
-    prof = prof.join(test, C.KEY, "left_semi").withColumn("advice", advice_text())
-    rec = neighbour_records(spark, sf)
+    prof = prof.withColumn("advice", advice_text())
+    rec = neighbour_records(spark, sf, "all")
     patients = rec.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "age", "sex", "bmi", "children", "smoker", "region",
                                              "actual_charge", "similarity", "distance"))).alias("_p"),
@@ -116,6 +113,29 @@ def i11_profile_result(spark, sf):
     return profile_results(spark, sf)
 
 
+@register("i11_profile_facts", with_ctes(SPLIT_SQL, PROCESSED_SQL, KNN_ALL_SQL, RECORDS_SQL, select="""
+SELECT p.policy_id AS profile_id, s."count" AS neighbours, s."min" AS nearest_min, s."max" AS nearest_max, s.mean AS nearest_mean
+FROM policy p LEFT JOIN (SELECT query_id, count(*) AS "count", min(actual_charge) AS "min", max(actual_charge) AS "max",
+  CAST(round(avg(actual_charge)) AS INTEGER) AS mean FROM rec GROUP BY query_id) s ON s.query_id = p.policy_id
+"""))
+def i11_profile_facts(spark, sf):
+    """I11/K7 for every profile: the neighbour summary inside its record."""
+    s = F.col("similar.summary")
+    return profile_results(spark, sf).select(
+        "profile_id", s["count"].cast("long").alias("neighbours"), s["min"].alias("nearest_min"),
+        s["max"].alias("nearest_max"), s["mean"].alias("nearest_mean"))
+
+
+@register("t_stream_gbt_differences", with_ctes(UPLOAD_SQL, select="SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing FROM parsed"))
+def t_stream_gbt_differences(spark, sf):
+    """T-stream with a fitted model: rows in which the stream's result differs from the batch result."""
+    stream, batch = stream_with_fitted_model(spark, sf)
+    a = stream.select("row_id", F.to_json(F.struct(*sorted(stream.columns))).alias("s"))
+    b = batch.select("row_id", F.to_json(F.struct(*sorted(stream.columns))).alias("b"))
+    return a.join(b, "row_id", "full").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((~F.col("s").eqNullSafe(F.col("b"))).cast("long")).alias("differing"))
+
+
 @register("i11_profile_result_fitted")
 def i11_profile_result_fitted(spark, sf):
     return profile_results(spark, sf, fitted=True)

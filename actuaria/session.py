@@ -55,11 +55,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
                                "(intermediate tables and checkpoints are written there)")
         configured = tempfile.mkdtemp(prefix="actuaria-ckpt-")  # local runs and tests only
+    elif configured.startswith("file:") and not sc.master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir is local to each machine: {configured}")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+_SCRATCH: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this driver made so far (results read from them must be consumed before);
+    returns how many there were."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    made, _SCRATCH[:] = list(_SCRATCH), []
+    for path in made:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+    return len(made)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path

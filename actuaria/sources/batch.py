@@ -7,6 +7,7 @@ and the rest of the batch still scores.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ class MissingColumnsError(ValueError):
     pass
 
 
+class UnreadableUploadError(ValueError):
+    pass
+
+
 def check_required(df: DataFrame, required=C.REQUIRED_COLUMNS) -> DataFrame:
     """Schema-only check (no job); lists missing columns in required order."""
     missing = [c for c in required if c not in df.columns]
@@ -28,13 +33,18 @@ def check_required(df: DataFrame, required=C.REQUIRED_COLUMNS) -> DataFrame:
 def read_batch_csv(spark: SparkSession, path: str, row_id: str = "row_id") -> DataFrame:
     """Read an uploaded CSV (header, all STRING), check columns, add a row id.
 
-    Raises ``FileNotFoundError`` for a missing path and ``MissingColumnsError``
-    for absent columns.  Extra columns are ignored.
+    Raises ``FileNotFoundError`` for a missing path, ``UnreadableUploadError`` for
+    one that is no CSV, and ``MissingColumnsError`` for absent columns.  Extra
+    columns are ignored.
     """
     try:
         df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    except Exception as exc:  # AnalysisException: path does not exist
-        raise FileNotFoundError(str(exc)) from exc
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(str(exc)) from exc
+        raise UnreadableUploadError(str(exc)) from exc
+    if not df.columns:
+        raise UnreadableUploadError(f"no header: {path}")
     check_required(df)
     return df.select(F.monotonically_increasing_id().alias(row_id),
                      *[F.col(c).cast("string") for c in C.REQUIRED_COLUMNS])
@@ -55,9 +65,17 @@ def parse_int(raw: Column) -> Column:
     return F.when(d.isNotNull() & (F.abs(d) < F.lit(2147483648.0)), d.cast("int"))
 
 
-def parse_profiles(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+#: Cells that may be blank under the lenient rule: a blank number scores as NaN, a blank word as ``nan``.
+MAY_BE_BLANK = ("bmi", "sex", "smoker", "region")
+
+
+def parse_profiles(df: DataFrame, row_id: str = "row_id", blanks: str = "error") -> DataFrame:
     """Typed, lower-cased profile columns plus a nullable ``error``.
 
+    ``blanks="score"`` accepts blank bmi, sex, smoker and region cells, whose rows then
+    score (NaN cost for a blank bmi, the baseline category for a blank word); the
+    stricter default makes them error rows.
+
     The first failing field (in required-column order) names the error:
     ``missing <col>`` for an absent cell, ``invalid <col>: <text>`` for an
     unparsable one.  Strings are lower-cased; unknown words are not errors
@@ -75,6 +93,10 @@ def parse_profiles(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     error = None
     for c in C.REQUIRED_COLUMNS:
         missing = raw[c].isNull() | (F.trim(raw[c]) == "")
+        if blanks == "score" and c in MAY_BE_BLANK:
+            blank = F.lit(float("nan")) if c == "bmi" else F.lit("nan")
+            parsed[c] = F.when(missing, blank).otherwise(parsed[c])
+            missing = F.lit(False)
         cond_missing, msg_missing = missing, F.lit(f"missing {c}")
         cond_bad = parsed[c].isNull()
         msg_bad = F.concat(F.lit(f"invalid {c}: "), raw[c])

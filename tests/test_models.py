@@ -127,12 +127,24 @@ def test_tree_attributions_equal_brute_force_shapley(spark, gbt, train):
 def test_model_store_roundtrip(spark, gbt, train):
     from actuaria.session import scratch_path
     path = Mo.save_model(gbt, scratch_path(spark, "store"))
-    loaded = Mo.load_model(path, "gbt")
+    loaded = Mo.load_model(path)
     a = [r["p"] for r in Mo.predict(train, gbt, "p", prefix="").orderBy(C.KEY).collect()]
     b = [r["p"] for r in Mo.predict(train, loaded, "p", prefix="").orderBy(C.KEY).collect()]
     assert a == b
 
 
+def test_model_store_keeps_features_and_target_scale(spark, train, gbt):
+    from actuaria.session import scratch_path
+    path = scratch_path(spark, "store")
+    one = Mo.fit_ols(train, features=["age"])
+    loaded = Mo.load_model(Mo.save_model(one, path))
+    assert (loaded.features, loaded.log_target, loaded.name) == (["age"], True, "linear_regression")
+    a, b = (Mo.predict(train, m, "p", prefix="").agg(F.sum("p")).first()[0] for m in (one, loaded))
+    assert a == b
+    again = Mo.load_model(Mo.save_model(gbt, path))  # saving to the same path drops the kept handle
+    assert again.features == list(C.FEATURES) and not again.log_target
+
+
 def test_tree_batch_predict_top_driver_is_largest_attribution(spark, gbt):
     from actuaria.operators import score as S
     from actuaria.sources import batch as B
@@ -176,12 +188,12 @@ def test_interactions_raise_linear_r2(spark, train):
     assert scores[1] > scores[0]
 
 
-def test_attribution_table_and_polynomial_paths_agree(spark, gbt, train):
-    flat = X.flatten_trees(spark, gbt)
-    pdf = train.select(*C.FEATURES).limit(50).toPandas().to_numpy(float)
-    with_tables = X.shap_matrix(pdf, None, 10, X.pack_leaves(flat, 10))
-    without = X.shap_matrix(pdf, None, 10, X.pack_leaves(flat, 10, table_budget_bytes=0))
-    assert np.allclose(with_tables, without, atol=1e-9)
+def test_search_reports_what_it_fits(train):
+    grid = {"n_estimators": [2, 3], "max_depth": [2], "learning_rate": [0.3]}
+    fitted, best, score, results = Mo.random_search(train, "xgboost", 2, 2, grid=grid)
+    assert sorted(p["n_estimators"] for p, _, _ in results) == [2, 3] and sum(b for _, _, b in results) == 1
+    assert fitted.model.getNumTrees == best["n_estimators"] and score == max(m for _, m, _ in results)
+    assert not set(Mo.INERT) & set(Mo.search_grid("lightgbm"))
 
 
 def test_fitted_smoker_profile_costs_more_than_twice(spark, gbt, prep):

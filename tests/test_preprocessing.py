@@ -123,6 +123,45 @@ def test_decode_inverts_constant_scaling(policy_small):
         assert a["bmi"] == pytest.approx(b["bmi"], abs=0.05)
 
 
-def test_one_hot_refuses_high_cardinality(policy_small):
-    with pytest.raises(ValueError):
-        P.one_hot(policy_small, "policy_id", max_categories=10)
+def test_one_hot_fits_its_categories(spark):
+    df = spark.createDataFrame([(i, f"c{i:04d}") for i in range(1200)], "k int, c string")
+    assert P.fit_categories(df, "c") == [f"c{i:04d}" for i in range(1200)]
+    assert P.one_hot(df.limit(1), "c", ["b", "a", "c0000"]).columns == ["k", "c_b", "c_c0000"]
+
+
+def test_columns_without_values_keep_their_row(spark):
+    from actuaria.operators import profile as E
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (9.0, float("nan"))], "a double, b double")
+    assert {r["column"]: r["count"] for r in E.describe_numeric(df, ["a", "b"]).collect()} == {"a": 3, "b": 0}
+    assert {r["column"]: r["q1"] for r in P.quartiles(df, ["a", "b"]).collect()} == {"a": 1.5, "b": None}
+    assert {r["column"]: r["n_outliers"] for r in P.outlier_bounds(df, ["a", "b"]).collect()} == {"a": 0, "b": 0}
+    assert {r["column"]: r["n"] for r in E.boxplot_stats(df, ["a", "b"]).collect()} == {"a": 3, "b": 0}
+    bins = E.histograms(df, ["a", "b"], 4).collect()
+    assert sum(r["count"] for r in bins if r["column"] == "a") == 3
+    assert [r["count"] for r in bins if r["column"] == "b"] == [0] * 4
+
+
+def test_contiguous_folds_cut_the_key_order(spark):
+    df = spark.createDataFrame([(i * 7 % 1003,) for i in range(1003)], f"{C.KEY} bigint")
+    got = P.contiguous_fold(df, C.KEY, 5).orderBy(C.KEY).collect()
+    folds = [r["fold"] for r in got]
+    assert folds == sorted(folds) and [folds.count(i) for i in range(5)] == [201, 201, 201, 200, 200]
+    assert P.contiguous_fold(df.limit(0), C.KEY, 5).count() == 0
+
+
+def test_known_columns_shuffle_no_rows_by_name(spark):
+    """With a small broadcast limit, only aggregated rows are hashed by column, group or category."""
+    from actuaria.operators import profile as E
+    n = 20_000
+    df = spark.range(n).selectExpr("cast(id as double) a", "cast(id % 17 as double) b", "cast(id % 3 as string) c")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(256 << 10))
+    try:
+        for out in (E.histograms(df, ["a", "b"], 10), P.label_encode(df, ["c"]), E.value_share(df, ["c"])):
+            out.collect()
+            lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+            for above, below in zip(lines, lines[1:]):
+                if "Exchange hashpartitioning" in above:  # what it moves is aggregated or made of the column list
+                    assert "partial_" in below or "functions=[]" in below or "Generate explode" in below, below
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
