@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actuaria.llm import rolling
-from actuaria.llm.common import read, staged
+from actuaria.llm.common import in_parts, read, staged
 from actuaria.llm.components import components
 
 #: Shingle length; size of a group part; frequent shingles that are told to every task.
@@ -122,7 +122,7 @@ def _long(a: np.ndarray) -> pa.Array:
 # ---- pass 1: sizes and signatures of all documents, counts of repeated shingles
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         ids, sets = _batch_sets(batch)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -171,7 +171,7 @@ def early_length(n: int) -> int:
 
 def _prefixes(frequent: np.ndarray, rank: np.ndarray, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, sets = _batch_sets(batch)
             rows = sorted(_distinct(ids, sets).values(), key=lambda i: ids[i])
             if not rows:
@@ -342,7 +342,7 @@ def _maybe(bits: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _live_sets(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             batch = _maybe(bits, batch)
             if batch.num_rows:
                 ids, sets = _batch_sets(batch)
@@ -356,7 +356,7 @@ def _chosen_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     bits = _id_filter(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             yield _maybe(bits, batch).select(["node", "shingles"])
 
     return (sets.select("node", "shingles", F.xxhash64("node").alias("h0"), F.xxhash64("node", F.lit(1)).alias("h1"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actuaria.llm.common import read
+from actuaria.llm.common import in_parts, read
 
 BUCKET_BITS = 15
 ORDERS = (2, 3, 4)
@@ -145,7 +145,7 @@ def _runs(index: list[int], texts: list[str], size: int = 1 << 20) -> Iterator[l
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in in_parts(batches, 1024):
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
         for lang in sorted(set(langs)):
             own = [i for i, x in enumerate(langs) if x == lang]
@@ -192,7 +192,7 @@ def reliability(rows: DataFrame, model: LanguageModel) -> np.ndarray:
     """Share of the sampled rows whose bit comes out right, scaled to 0..1 with mean 1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, seen = np.zeros(model.code.shape[1]), 0
-        for batch in batches:
+        for batch in in_parts(batches, 1024):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for part in _runs(list(range(len(texts))), texts):
                 truth = model.code[[model.languages.index(langs[i]) for i in part]]
@@ -215,7 +215,7 @@ def classify(rows: DataFrame, model: LanguageModel) -> DataFrame:
     schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1024):
             lang, score = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()),

@@ -37,9 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from actuaria.llm.common import read, staged
+from actuaria.llm.common import in_parts, read, staged
 
-WINDOW, CHUNK, END, KEPT_WORDS = 2048, 1 << 22, 1, 400_000
+WINDOW, CHUNK, END, KEPT_WORDS = 2048, 1 << 22, 1, 250_000
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 #: White space other than blank and line feed.
@@ -135,7 +135,7 @@ def _tokenise(vocabulary: str, ranks: str, id_type: pa.DataType):
                 ("sequences", pa.int64()), ("before", pa.int64()), ("sequences_before", pa.int64()),
                 ("before_source", pa.list_(pa.string())), ("before_tokens", longs)]))
 
-        for batch in batches:
+        for batch in in_parts(batches):
             for i, s, t in zip(batch.column("doc_id").to_pylist(), batch.column("source").to_pylist(),
                                batch.column("text")):
                 ids = enc.ids(t.as_py()) + end

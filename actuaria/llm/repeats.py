@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actuaria.llm import rolling
-from actuaria.llm.common import read, staged
+from actuaria.llm.common import in_parts, read, staged
 
 #: Least repeat, anchor length.
 LEAST, GRAM = 200, 32
@@ -129,13 +129,6 @@ def batch_anchors(texts: dict[bytes, bytes]):
     return every, *(np.concatenate(c) for c in zip(*cols))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Batches of fewer rows, so that a worker holds few texts at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _texts(batch: pa.RecordBatch) -> dict[bytes, bytes]:
     """Distinct texts of a batch that are long enough, by digest."""
     out = {}
@@ -163,7 +156,7 @@ def _long(a: np.ndarray) -> pa.Array:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors with several contexts in a batch, with how many."""
-    for batch in _parts(batches):
+    for batch in in_parts(batches):
         _, h, c, _, _ = batch_anchors(_texts(batch))
         order = np.lexsort((c, h))
         h, c = h[order], c[order]
@@ -182,7 +175,7 @@ def _pack_anchors(hot: np.ndarray, ranges: int):
     """Anchors by hash range, one entry per context of a batch; contexts that a batch holds twice
     are marked, and the spans of their other occurrences come as rows with range null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in in_parts(batches):
             keys, h, c, who, at = batch_anchors(_texts(batch))
             if not len(h):
                 continue
@@ -264,7 +257,7 @@ def _anchor_groups(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences that their batch already knew to be repeated in full."""
-    for batch in _parts(batches, 1):
+    for batch in in_parts(batches, 1):
         for r in batch.to_pylist():
             c = _unpack([r | {"hash": b"", "context": b""}])
             n = len(c["at"])
@@ -279,7 +272,7 @@ CONTEXT = "hash bigint, key binary, at bigint, whole boolean, bytes binary"
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of each asked context of a text (rows key, text, asked); ``at`` is where it starts."""
-    for batch in _parts(batches, 512):
+    for batch in in_parts(batches, 512):
         rows = {k: [] for k in ("hash", "key", "at", "whole", "bytes")}
         for key, text, asked in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("asked").to_pylist()):
             raw = text.as_buffer().to_pybytes()
@@ -488,7 +481,7 @@ CUT = "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text (rows key, text, starts, stops)."""
-    for batch in _parts(batches, 512):
+    for batch in in_parts(batches, 512):
         rows = []
         for key, text, a, b in zip(batch.column("key").to_pylist(), batch.column("text"),
                                    batch.column("starts").to_pylist(), batch.column("stops").to_pylist()):

@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actuaria.llm.common import read
+from actuaria.llm.common import in_parts, read
 from actuaria.session import scratch_path
 
 
@@ -109,7 +109,7 @@ def scan(todo: DataFrame, rules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = _compiled(rules)
-        for batch in batches:
+        for batch in in_parts(batches):
             blob, kind, version, spans = [], [], [], []
             for b, text, keys in zip(batch.column("blob"), batch.column("content"), batch.column("todo")):
                 b, text = b.as_py(), text.as_py()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actuaria.llm.common import read, staged
+from actuaria.llm.common import in_parts, read, staged
 
 #: Code points per chunk, first overlap on each side of a joint, and words kept per worker.
 CHUNK, OVERLAP, KEPT_WORDS = 65_536, 256, 500_000
@@ -83,7 +83,7 @@ def _batched(values: list, size: int = 1 << 20) -> Iterator[list]:
 
 def _count_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column("text").to_pylist()
             small = [t for t in texts if t is not None]
             counts = iter([n for part in _batched(small) for n in count_texts(path, part)])
