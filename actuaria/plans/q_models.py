@@ -194,7 +194,7 @@ def m1_m2_normal_equations(spark, sf):
     return out
 
 
-@register("m12_importance_facts", with_ctes(select="SELECT 10 AS features, 100.0 AS total, true AS ranked"))
+@register("m12_importance_facts", with_ctes(select="SELECT 10 AS features, CAST(100 AS DOUBLE) AS total, true AS ranked"))
 def m12_importance_facts(spark, sf):
     """M12 as facts: ten features, shares that sum to 100, ranks 1 to 10 in descending order."""
     train, _ = training_frames(spark, sf)
