@@ -51,7 +51,7 @@ def test_query_matches_oracle(spark, con, name):
     rows = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
     if sql is None:
-        assert df.columns
+        assert df.columns and rows  # fact queries with twins stand beside these
         return
     cur = con.execute(sql)
     dcols = [d[0] for d in cur.description]
