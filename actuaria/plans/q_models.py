@@ -1,10 +1,10 @@
 """Registered queries: model fits and search (M1–M9, M12), model store
 and tree attributions (I5).
 
-Fits are MLlib jobs over the processed training split; tree counts are kept
-small for the check runs (the full search space is a parameter).  Outputs
-that depend on a fitted model have no SQL twin (rows-only check) except the
-one-feature OLS fit, which DuckDB's regression aggregates reproduce.
+Fits are MLlib jobs over the processed training split with the published
+settings; searches draw from the published grids.  Outputs that depend on a
+fitted model have no SQL twin (rows-only check) except the one-feature OLS
+fit, which DuckDB's regression aggregates reproduce.
 """
 from __future__ import annotations
 
@@ -23,13 +23,10 @@ from actuaria.plans.q_profile import policy
 from actuaria.plans.registry import PROCESSED_SQL, SPLIT_SQL, register, with_ctes
 from actuaria.session import scratch_path
 
-#: Settings of the registered fits: a caller's parameters like any other (the published winner is C.COMMON_PARAM_GRID's
-#: 500 trees at 0.01); the operators take whatever they are given.
-QUICK = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.8,
-         "colsample_bytree": 0.9, "min_samples_split": 5}
-#: The space, draws and folds of the registered search, plain parameters of the operator.
-SEARCH_GRID = {"n_estimators": [10, 20, 30], "max_depth": [2, 3, 4], "learning_rate": [0.1, 0.2, 0.3]}
-SEARCH_DRAWS, SEARCH_FOLDS = 3, 3
+#: Settings of the registered fits: the published winner (SURVEY: 500 trees, depth 3, rate 0.01, subsample 0.8, colsample
+#: 0.9) without the entries that change nothing here, and a split size from the published grid.
+PUBLISHED = {"n_estimators": 500, "max_depth": 3, "learning_rate": 0.01, "subsample": 0.8,
+             "colsample_bytree": 0.9, "min_samples_split": 5}
 
 
 def training_frames(spark, sf, with_scaler: bool = False):
@@ -53,7 +50,7 @@ def training_setup(spark, sf):
 
 def _fit_eval(spark, sf, style):
     train, test = training_frames(spark, sf)
-    fitted = Mo.fit_gbt(train, style, QUICK)
+    fitted = Mo.fit_gbt(train, style, PUBLISHED)
     pred = Mo.predict(test, fitted, "pred", prefix="")
     pred = pred.withColumn("pred", F.greatest("pred", F.lit(0.0)))
     return M.regression_metrics(pred, C.TARGET, "pred").select(F.lit(style).alias("model"), "*")
@@ -125,12 +122,12 @@ def m5_gbt_gradient_boosting_style(spark, sf):
 
 @register("m7_m9_random_search")
 def m7_m9_random_search(spark, sf):
-    """The search of all three families over SEARCH_GRID with contiguous folds (the operator's defaults are
-    the published grid, 40 draws and 5 folds)."""
+    """The search of all three families with the operator's defaults: the published grid of each, 40 draws,
+    5 contiguous folds."""
     train, _ = training_frames(spark, sf)
     rows = []
     for style in FAMILIES:
-        _, _, _, results = Mo.random_search(train, style, SEARCH_DRAWS, SEARCH_FOLDS, grid=SEARCH_GRID)
+        _, _, _, results = Mo.random_search(train, style)
         rows += [(style, i, json.dumps(p, sort_keys=True), float(r2), best) for i, (p, r2, best) in enumerate(results)]
     return spark.createDataFrame(rows, "model string, draw int, params string, cv_r2 double, is_best boolean")
 
@@ -141,7 +138,7 @@ FAMILIES = ("xgboost", "lightgbm", "gradient_boosting")
 def searched_predictions(spark, sf):
     """Test rows scored by the five models of the tuned run: the three search winners, ridge and OLS."""
     train, test = training_frames(spark, sf)
-    models = [Mo.random_search(train, s, SEARCH_DRAWS, SEARCH_FOLDS, grid=SEARCH_GRID)[0] for s in FAMILIES]
+    models = [Mo.random_search(train, s)[0] for s in FAMILIES]
     models += [Mo.fit_ridge(train), Mo.fit_ols(train)]
     scored = test.select(C.KEY, F.col(C.TARGET).alias("actual"), *C.FEATURES)
     for m in models:
@@ -163,7 +160,7 @@ SELECT count(*) AS n, true AS deciles_cover_all, true AS mean_error_is_mean_resi
 def m13_m14_fitted_winner(spark, sf):
     """M13/M14 on a fitted winner as facts: the deciles hold every test row and their errors average to the mean residual."""
     train, test = training_frames(spark, sf)
-    fitted = Mo.fit_gbt(train, "xgboost", QUICK)
+    fitted = Mo.fit_gbt(train, "xgboost", PUBLISHED)
     scored = Mo.predict(test.select(C.KEY, F.col(C.TARGET).alias("actual"), *C.FEATURES), fitted, "p", prefix="")
     s = M.residual_summary(scored, "actual", "p")
     d = M.decile_errors(scored, "actual", "p").agg(
@@ -198,7 +195,7 @@ def m1_m2_normal_equations(spark, sf):
 def m12_importance_facts(spark, sf):
     """M12 as facts: ten features, shares that sum to 100, ranks 1 to 10 in descending order."""
     train, _ = training_frames(spark, sf)
-    imp = Mo.gain_importance(spark, Mo.fit_gbt(train, "xgboost", QUICK), digits=9)
+    imp = Mo.gain_importance(spark, Mo.fit_gbt(train, "xgboost", PUBLISHED), digits=9)
     pairs = F.sort_array(F.collect_list(F.struct("rank", "importance_pct")))  # ten rows
     return imp.agg(F.count(F.lit(1)).cast("int").alias("features"),
                    F.round(F.sum("importance_pct"), 4).alias("total"), pairs.alias("_p")).select(
@@ -229,7 +226,7 @@ def m8_folds(spark, sf):
 @register("m12_gain_importance")
 def m12_gain_importance(spark, sf):
     train, _ = training_frames(spark, sf)
-    return Mo.gain_importance(spark, Mo.fit_gbt(train, "xgboost", QUICK))
+    return Mo.gain_importance(spark, Mo.fit_gbt(train, "xgboost", PUBLISHED))
 
 
 @register("s8_model_roundtrip", with_ctes(select="""
@@ -240,7 +237,7 @@ def s8_model_roundtrip(spark, sf):
     """Five fitted models saved, loaded by path alone, and both scored on every policy."""
     train, test = training_frames(spark, sf)
     rows = train.unionByName(test)
-    models = [Mo.fit_gbt(train, s, QUICK) for s in FAMILIES] + [Mo.fit_ols(train), Mo.fit_ridge(train)]
+    models = [Mo.fit_gbt(train, s, PUBLISHED) for s in FAMILIES] + [Mo.fit_ols(train), Mo.fit_ridge(train)]
     out = None
     for m in models:
         loaded = Mo.load_model(Mo.save_model(m, scratch_path(spark, "model-store")))
@@ -257,7 +254,7 @@ def i5_tree_shap_policy(spark, sf):
     """Tree attributions of a fitted boosted model for every policy profile
     (serving-time features); ``additivity_error`` = |Σφ + E[f] − f(x)|."""
     train, _, scaler, source = training_setup(spark, sf)
-    fitted = Mo.fit_gbt(train, "xgboost", QUICK)
+    fitted = Mo.fit_gbt(train, "xgboost", PUBLISHED)
     prof = S.with_features(source, scaler=scaler)
     pred = Mo.predict(prof, fitted, "raw_prediction", prefix="f_")
     out = X.tree_shap(pred, fitted)
@@ -272,7 +269,7 @@ def i9_batch_predict_gbt(spark, sf):
     upload row, error rows kept."""
     from actuaria.plans.q_profile import parsed_upload
     train, _, scaler = training_frames(spark, sf, with_scaler=True)
-    fitted = Mo.fit_gbt(train, "xgboost", QUICK)
+    fitted = Mo.fit_gbt(train, "xgboost", PUBLISHED)
     return S.batch_predict(parsed_upload(spark, sf), fitted, lambda d: X.tree_shap(d, fitted), scaler=scaler)
 
 
@@ -282,7 +279,7 @@ def m11_leaderboard_fitted(spark, sf):
     OLS and ridge on log1p with expm1 back), all floored at zero, ranked by
     test R²."""
     train, test = training_frames(spark, sf)
-    models = [Mo.fit_gbt(train, s, QUICK) for s in ("xgboost", "lightgbm", "gradient_boosting")]
+    models = [Mo.fit_gbt(train, s, PUBLISHED) for s in ("xgboost", "lightgbm", "gradient_boosting")]
     models += [Mo.fit_ridge(train), Mo.fit_ols(train)]
     scored = test.select(C.KEY, F.col(C.TARGET).alias("actual"), *C.FEATURES)
     for m in models:

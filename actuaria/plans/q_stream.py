@@ -39,10 +39,10 @@ def stream_with_fitted_model(spark, sf):
     result, the same model's batch result)."""
     from actuaria.operators import explain as X
     from actuaria.operators import models as Mo
-    from actuaria.plans.q_models import QUICK, training_frames
+    from actuaria.plans.q_models import PUBLISHED, training_frames
     from actuaria.plans.q_profile import parsed_upload
     train, _, scaler = training_frames(spark, sf, with_scaler=True)
-    fitted = Mo.fit_gbt(train, "xgboost", QUICK)
+    fitted = Mo.fit_gbt(train, "xgboost", PUBLISHED)
     src = scratch_path(spark, "stream-src")
     B.policy_as_upload(policy(spark, sf)).write.json(src)
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
@@ -71,9 +71,9 @@ def fitted_profiles(spark, sf):
     attributions; the three boosted families give the band."""
     from actuaria.operators import explain as X
     from actuaria.operators import models as Mo
-    from actuaria.plans.q_models import QUICK, training_setup
+    from actuaria.plans.q_models import PUBLISHED, training_setup
     train, _, scaler, source = training_setup(spark, sf)
-    members = [Mo.fit_gbt(train, s, QUICK) for s in ("xgboost", "lightgbm", "gradient_boosting")]
+    members = [Mo.fit_gbt(train, s, PUBLISHED) for s in ("xgboost", "lightgbm", "gradient_boosting")]
     primary = members[0]
     prof = S.score_cost(S.with_features(source.drop("split"), scaler=scaler), primary, "cost")
     prof = S.what_if(prof, primary, scaler=scaler)
