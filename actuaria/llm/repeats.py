@@ -27,8 +27,9 @@ Equal texts are one (they repeat in full); texts move by a digest of 128 bits.
 An anchor with very many different contexts (known from a count over all data) is
 never gathered: its entries are salted, and its windows are compared by a grouped
 count of their 128-bit hashes instead.  ``repeat_groups`` lists the groups with
-all occurrences; a repeat longer than a context appears as a chain of groups, each
-as long as the context shows it.
+all occurrences in all rows, also of contexts that are copied whole and of split
+anchors (whose groups come from counted hashes of their substrings); a repeat longer
+than a context appears as a chain of groups, each as long as the context shows it.
 
 Defined cases: null text: empty; texts shorter than LEAST: never touched; rows with
 equal ids are separate rows; matches never cross texts; an empty table gives an
@@ -171,9 +172,11 @@ PACKED = "range bigint, hash binary, context binary, who binary, at binary, keys
 SPANS = "key binary, start bigint, stop bigint"
 
 
-def _pack_anchors(hot: np.ndarray, ranges: int):
+def _pack_anchors(hot: np.ndarray, ranges: int, every: bool = False):
     """Anchors by hash range, one entry per context of a batch; contexts that a batch holds twice
-    are marked, and the spans of their other occurrences come as rows with range null."""
+    are marked, and the spans of their other occurrences come as rows with range null.
+
+    ``every``: these rows keep their hashes, and contexts of texts marked ``again`` count as held twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
             keys, h, c, who, at = batch_anchors(_texts(batch))
@@ -185,10 +188,13 @@ def _pack_anchors(hot: np.ndarray, ranges: int):
             first = np.flatnonzero(new)
             twice = np.diff(np.append(first, len(h))) > 1
             key = np.frombuffer(b"".join(keys), dtype="S16") if keys else np.zeros(0, "S16")
+            if every:
+                again = {k for k, a in zip(batch.column("key").to_pylist(), batch.column("again").to_pylist()) if a}
+                twice |= np.array([k in again for k in keys])[who[first]]
             rest = ~new
             for a in range(0, int(rest.sum()), 1 << 16):  # known to be repeated: spans only
                 some = np.flatnonzero(rest)[a:a + (1 << 16)]
-                yield _packed_row(None, h[some], c[some], who[some] * 2 + 1, at[some], key)
+                yield _packed_row(None, h[some], c[some], who[some] * 2 + 1, at[some], key, every)
             h, c, who, at = h[first], c[first], who[first], at[first]
             where = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             salted = np.isin(h, hot)
@@ -200,10 +206,10 @@ def _pack_anchors(hot: np.ndarray, ranges: int):
     return run
 
 
-def _packed_row(where, h, c, who, at, key) -> pa.RecordBatch:
+def _packed_row(where, h, c, who, at, key, every: bool = False) -> pa.RecordBatch:
     used, local = np.unique(who >> 1, return_inverse=True)
     blobs = [h, c, (local * 2 + (who & 1)).astype(np.uint32), at.astype(np.int64)]
-    if where is None:
+    if where is None and not every:
         blobs[0] = blobs[1] = np.zeros(0, np.uint64)
     keys = b"".join(bytes(k).ljust(16, b"\0") for k in key[used])
     return pa.RecordBatch.from_arrays(
@@ -224,18 +230,29 @@ def _unpack(rows: list[dict]) -> dict[str, np.ndarray]:
 
 
 FOUND = "key binary, at bigint, hash bigint, whole boolean, asked boolean"
+#: With the context's hash, which together with the anchor's names the context.
+FOUND_EVERY = FOUND + ", context bigint"
 
 
-def _found(key: np.ndarray, at, h, whole, asked) -> pa.Table:
+def _found(key: np.ndarray, at, h, whole, asked, context=None) -> pa.Table:
     raw = np.ascontiguousarray(key).tobytes()
+    named = {} if context is None else {"context": _long(np.ascontiguousarray(context))}
     return pa.table({"key": pa.array([raw[i:i + 16] for i in range(0, len(raw), 16)], pa.binary()),
                      "at": pa.array(at, pa.int64()), "hash": _long(np.ascontiguousarray(h)),
-                     "whole": pa.array(whole, pa.bool_()), "asked": pa.array(asked, pa.bool_())})
+                     "whole": pa.array(whole, pa.bool_()), "asked": pa.array(asked, pa.bool_())} | named)
 
 
 def _anchor_groups(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    return _of_anchors(key, table, False)
+
+
+def _anchor_groups_every(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    return _of_anchors(key, table, True)
+
+
+def _of_anchors(key: tuple[pa.Scalar, ...], table: pa.Table, every: bool) -> pa.Table:
     """Of the anchors of one range: occurrences whose whole context is repeated (``whole``), and one
-    occurrence of each context where an anchor has several (``asked``)."""
+    occurrence of each context where an anchor has several (``asked``), with ``every`` of each repeated one too."""
     c = _unpack(table.to_pylist())
     order = np.lexsort((c["at"], c["key"][:, 1], c["key"][:, 0], c["context"], c["hash"]))
     c = {k: v[order] for k, v in c.items()}
@@ -250,9 +267,20 @@ def _anchor_groups(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     whole = ((n > 1) | np.logical_or.reduceat(c["twice"], first))[run] if len(first) else new
     group = np.cumsum(_runs(c["hash"])) - 1
     several = np.bincount(group[first], minlength=group[-1] + 1 if len(group) else 0)[group] > 1
-    asked = new & (several | (key[0].as_py() < 0))
+    asked = new & (several | (key[0].as_py() < 0) | (whole & every))
     keep = whole | asked
-    return _found(c["key"][keep], c["at"][keep], c["hash"][keep], whole[keep], asked[keep])
+    return _found(c["key"][keep], c["at"][keep], c["hash"][keep], whole[keep], asked[keep],
+                  c["context"][keep] if every else None)
+
+
+def _marked_every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_marked``, with the anchor and the context of each occurrence."""
+    for batch in in_parts(batches, 1):
+        for r in batch.to_pylist():
+            c = _unpack([r])
+            n = len(c["at"])
+            yield from _found(c["key"], c["at"], c["hash"], np.ones(n, bool), np.zeros(n, bool),
+                              c["context"]).to_batches()
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +296,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- 2: contexts
 
 CONTEXT = "hash bigint, key binary, at bigint, whole boolean, bytes binary"
+CONTEXT_EVERY = "hash bigint, context bigint, whole boolean, bytes binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +314,20 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ("whole", pa.bool_()), ("bytes", pa.binary())]))
 
 
+def _contexts_every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of each asked context, named by anchor and context hash."""
+    for batch in in_parts(batches, 512):
+        rows = {k: [] for k in ("hash", "context", "whole", "bytes")}
+        for text, asked in zip(batch.column("text"), batch.column("asked").to_pylist()):
+            raw = text.as_buffer().to_pybytes()
+            for a in asked:
+                lo, size = a["at"] >> 20, a["at"] & 1023
+                for k, v in zip(rows, (a["hash"], a["context"], a["whole"], raw[lo:lo + size])):
+                    rows[k].append(v)
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([
+            ("hash", pa.int64()), ("context", pa.int64()), ("whole", pa.bool_()), ("bytes", pa.binary())]))
+
+
 # ---- 3: suffix arrays
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -399,18 +442,86 @@ def _suffix_arrays(table: pa.Table) -> pa.Table:
                      "stop": pa.array(first + length, pa.int64())})
 
 
+GROUPED = "repeat binary, length bigint, hash bigint, context bigint, start bigint"
+
+
+def _grouped_table(rows: dict[str, list]) -> pa.Table:
+    return pa.table(rows, schema=pa.schema([("repeat", pa.binary()), ("length", pa.int64()), ("hash", pa.int64()),
+                                            ("context", pa.int64()), ("start", pa.int64())]))
+
+
 def _groups(table: pa.Table) -> pa.Table:
-    """All maximal repeats of one group of anchors with the contexts that hold them."""
+    """All maximal repeats of one group of anchors: where they start in which contexts.
+
+    A context that is repeated whole is a repeat by itself, also where it is the only one of its anchor."""
     contexts = [b.as_py() for b in table.column("bytes")]
-    keys, at = table.column("key").to_pylist(), table.column("at").to_numpy()
-    rows = {k: [] for k in ("repeat", "length", "key", "start")}
-    for depth, members in maximal_repeats(contexts):
-        name = digest(contexts[members[0][0]][members[0][1]:members[0][1] + depth])
-        for c, s in members.tolist():
-            for k, v in zip(rows, (name, depth, keys[c], int(at[c]) + s)):
+    h, of = table.column("hash").to_pylist(), table.column("context").to_pylist()
+    rows = {k: [] for k in ("repeat", "length", "hash", "context", "start")}
+
+    def put(length: int, members: list) -> None:
+        name = digest(contexts[members[0][0]][members[0][1]:members[0][1] + length])
+        for c, s in members:
+            for k, v in zip(rows, (name, length, h[c], of[c], s)):
                 rows[k].append(v)
-    return pa.table(rows, schema=pa.schema([("repeat", pa.binary()), ("length", pa.int64()), ("key", pa.binary()),
-                                            ("start", pa.int64())]))
+
+    for depth, members in maximal_repeats(contexts):
+        put(depth, members.tolist())
+    for c, whole in enumerate(table.column("whole").to_pylist()):
+        if whole:
+            put(len(contexts[c]), [(c, 0)])
+    return _grouped_table(rows)
+
+
+SUBSTRINGS = "repeat binary, length bigint, hash bigint, context bigint, start bigint, whole boolean, left int, right int"
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Substrings of a split anchor's contexts (rows hash, context, whole, bytes, starts), with the bytes
+    beside them (-1 at the context's ends): from each start, of LEAST bytes or, where ``longer``, of all lengths."""
+    for batch in in_parts(batches, 64):
+        rows = {k: [] for k in ("repeat", "length", "hash", "context", "start", "whole", "left", "right")}
+        starts = batch.column("starts").to_pylist() if "starts" in batch.schema.names else None
+        for i, (h, c, whole, raw) in enumerate(zip(*(batch.column(k).to_pylist()
+                                                     for k in ("hash", "context", "whole", "bytes")))):
+            n = len(raw)
+            for s in range(n - LEAST + 1) if starts is None else starts[i]:
+                for stop in (s + LEAST,) if starts is None else range(s + LEAST, n + 1):
+                    for k, v in zip(rows, (digest(raw[s:stop]), stop - s, h, c, s, whole and s == 0 and stop == n,
+                                           raw[s - 1] if s else -1, raw[stop] if stop < n else -1)):
+                        rows[k].append(v)
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema(
+            [("repeat", pa.binary()), *((k, pa.int64()) for k in ("length", "hash", "context", "start")),
+             ("whole", pa.bool_()), ("left", pa.int32()), ("right", pa.int32())]))
+
+
+def _diverse(side: str):
+    return (F.min(side) != F.max(side)) | (F.min(side) < 0)
+
+
+def _split_groups(contexts: DataFrame) -> DataFrame:
+    """What ``_groups`` gives, for split anchors: no anchor's contexts are ever gathered.
+
+    A repeat whose first LEAST bytes are not repeated, or have one and the same byte to their left, is not
+    maximal; from the other starts all lengths are counted."""
+    w = contexts.mapInArrow(_substrings, SUBSTRINGS)
+    some = w.groupBy("repeat").agg(F.count(F.lit(1)).alias("n"), _diverse("left").alias("ok"))
+    at = w.join(some.filter("n > 1 AND ok").select("repeat"), "repeat").groupBy("hash", "context").agg(
+        F.collect_list("start").alias("starts"))
+    u = staged(contexts.join(at, ["hash", "context"]).mapInArrow(_substrings, SUBSTRINGS), "repeat-substrings")
+    kept = u.groupBy("repeat", "length").agg(
+        F.count(F.lit(1)).alias("n"), _diverse("left").alias("l"), _diverse("right").alias("r"))
+    names = ["repeat", "length", "hash", "context", "start"]
+    several = u.join(kept.filter("n > 1 AND l AND r").select("repeat", "length"), ["repeat", "length"]).select(names)
+    alone = contexts.filter("whole").mapInArrow(_whole_contexts, GROUPED)
+    return several.unionByName(alone)
+
+
+def _whole_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in in_parts(batches):
+        raw = batch.column("bytes").to_pylist()
+        yield from _grouped_table({
+            "repeat": [digest(b) for b in raw], "length": [len(b) for b in raw], "hash": batch.column("hash").to_pylist(),
+            "context": batch.column("context").to_pylist(), "start": [0] * len(raw)}).to_batches()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,17 +544,29 @@ def _asked_contexts(rows: DataFrame, found: DataFrame) -> DataFrame:
     return texts.join(asked, "key").select("key", "text", "asked").mapInArrow(_contexts, CONTEXT)
 
 
-def repeated_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Anchor occurrences (key, at, hash, whole, asked), the asked contexts, and the split anchors."""
+def _asked_every(rows: DataFrame, found: DataFrame) -> DataFrame:
+    asked = found.filter("asked").groupBy("key").agg(
+        F.collect_list(F.struct("at", "hash", "context", "whole")).alias("asked"))
+    return rows.join(asked, "key").select("text", "asked").mapInArrow(_contexts_every, CONTEXT_EVERY)
+
+
+def repeated_contexts(rows: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Anchor occurrences (key, at, hash, whole, asked), the asked contexts, and the split anchors.
+
+    ``every``, for rows (key, text, again) with distinct keys: all occurrences of repeated contexts with
+    the context's hash, and each of these contexts is asked for."""
     counts = rows.mapInArrow(_survey, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     hot = sorted(r["hash"] for r in counts.filter(F.col("n") >= HOT).collect())  # each stands for HOT contexts
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(64, -(-total // (64 * ENTRIES)))
-    packed = staged(rows.mapInArrow(_pack_anchors(np.array(hot, np.int64).view(np.uint64), ranges), PACKED), "anchors")
-    found = (packed.filter(F.col("range").isNotNull()).groupBy("range").applyInArrow(_anchor_groups, FOUND)
-             .unionByName(packed.filter(F.col("range").isNull()).mapInArrow(_marked, FOUND)))
+    packed = staged(rows.mapInArrow(_pack_anchors(np.array(hot, np.int64).view(np.uint64), ranges, every), PACKED),
+                    "anchors")
+    groups, marked, kind = ((_anchor_groups_every, _marked_every, FOUND_EVERY) if every
+                            else (_anchor_groups, _marked, FOUND))
+    found = (packed.filter(F.col("range").isNotNull()).groupBy("range").applyInArrow(groups, kind)
+             .unionByName(packed.filter(F.col("range").isNull()).mapInArrow(marked, kind)))
     found = staged(found, "anchors-found")
-    return found, staged(_asked_contexts(rows, found), "contexts"), hot
+    return found, staged((_asked_every if every else _asked_contexts)(rows, found), "contexts"), hot
 
 
 def _by_group(contexts: DataFrame, hot: list[int]) -> DataFrame:
@@ -528,12 +651,19 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
 
 
-def repeat_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(repeat, length, key, start): the maximal repeats with all occurrences among distinct contexts."""
-    rows = keyed(docs.withColumn("id", F.lit(0)), "id", text).select("key", "text")
-    _, contexts, hot = repeated_contexts(rows.filter(F.octet_length("text") >= LEAST))
-    return _by_group(contexts, hot).applyInArrow(
-        _groups, "repeat binary, length bigint, key binary, start bigint").distinct()
+def repeat_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(repeat, length, key, start, id): the maximal repeats with all occurrences in all rows."""
+    rows = keyed(docs, id, text).filter(F.octet_length("text") >= LEAST)
+    texts = staged(rows.groupBy("key").agg(F.first("text").alias("text"), (F.count(F.lit(1)) > 1).alias("again")),
+                   "repeat-texts")
+    found, contexts, hot = repeated_contexts(texts, every=True)
+    groups = _by_group(contexts, hot).applyInArrow(_groups, GROUPED)
+    if hot:
+        groups = groups.unionByName(_split_groups(contexts.filter(F.col("hash").isin(hot))))
+    occurrences = found.select("hash", "context", "key", F.shiftright("at", 20).alias("lo")).distinct()
+    at = (groups.distinct().join(occurrences, ["hash", "context"])
+          .select("repeat", "length", "key", (F.col("lo") + F.col("start")).alias("start")).distinct())
+    return at.join(rows.select("key", F.col("id").alias(id)), "key").select("repeat", "length", "key", "start", id)
 
 
 def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
