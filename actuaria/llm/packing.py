@@ -1,18 +1,19 @@
 """Mixture-controlled packing by deficit round-robin (operator 7).
 
-Documents become token ids once; runs of about ``CHUNK`` tokens are stored as one
-row (ids of the run, and where each document lies), with the totals per source
-before the run.  Each run is then packed by itself: every window of ``WINDOW``
+Documents become token ids once; blocks of about ``BLOCK`` tokens are stored as one
+row (ids of the block, and where each document lies).  From the totals per source a
+run of ``CHUNK`` tokens is known to take one interval of every source's running token
+order: the tokens of all sources are thought in one order, spaced evenly in each source,
+and a run is a stretch of that order (so it holds each source within about a token of
+its share, wherever the source's documents are stored).  The pieces are shuffled to
+their runs once, and each run is packed by itself: every window of ``WINDOW``
 tokens gives each source its share of the corpus as credit, serves the sources'
 queues in turn, and carries what a source is owed (or was served too much) to the
-next window.  What the runs before it owe follows from the totals, so deficits (at
-most one window's credit) are carried across runs and partitions without waiting
-for them.  A run's last,
-partial window is cut into sequences whose lengths are powers of two, so nothing
-is padded.
+next window; what the runs before it owe follows from the order.  A run is a whole
+number of windows; the corpus's last, partial window is cut into sequences whose
+lengths are powers of two, so nothing is padded.
 
-The texts are never shuffled; only totals per partition and source are.  A run is
-bounded by its tokens, and a single document of any length is at most one run.
+A run is bounded by its tokens; a document of any length is cut where a run ends.
 
 Words between spaces are encoded once per worker and kept in a bounded dictionary;
 that is sound because this vocabulary's pre-tokenizer always cuts before a white
@@ -24,12 +25,14 @@ gives an empty result; extra columns are ignored.
 """
 from __future__ import annotations
 
+import heapq
 import os
 import re
 import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from actuaria.llm.common import in_parts, read, staged
 
-WINDOW, CHUNK, END, KEPT_WORDS = 2048, 1 << 22, 1, 250_000
+WINDOW, CHUNK, BLOCK, END, KEPT_WORDS = 2048, 1 << 22, 1 << 20, 1, 250_000
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 #: White space other than blank and line feed.
@@ -97,9 +100,8 @@ def encoder(vocabulary: str, ranks: str) -> Encoder:
     return _encoders[key]
 
 
-RUNS = ("part int, run int, doc_id array<{id}>, source array<string>, length array<bigint>, ids binary, "
-        "total bigint, sequences bigint, before bigint, sequences_before bigint, "
-        "before_source array<string>, before_tokens array<bigint>")
+BLOCKS = ("part int, number int, doc_id array<{id}>, source array<string>, length array<bigint>, ids binary, "
+          "total bigint, before_source array<string>, before_tokens array<bigint>")
 
 
 def sequences_of(total: int) -> int:
@@ -112,34 +114,31 @@ def _tokenise(vocabulary: str, ranks: str, id_type: pa.DataType):
         enc, part = encoder(vocabulary, ranks), TaskContext.get().partitionId()
         end, number = np.array([END], dtype="<u4").tobytes(), 0
         served: dict[str, int] = {}
-        total = sequences = 0
         docs: list = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal docs, size, total, sequences, number
-            row = {"part": part, "run": number, "doc_id": [d[0] for d in docs], "source": [d[1] for d in docs],
+            nonlocal docs, size, number
+            row = {"part": part, "number": number, "doc_id": [d[0] for d in docs], "source": [d[1] for d in docs],
                    "length": [len(d[2]) // 4 for d in docs], "ids": b"".join(d[2] for d in docs), "total": size,
-                   "sequences": sequences_of(size), "before": total, "sequences_before": sequences,
                    "before_source": list(served), "before_tokens": list(served.values())}
             for d in docs:
                 served[d[1]] = served.get(d[1], 0) + len(d[2]) // 4
-            total, sequences, number = total + size, sequences + row["sequences"], number + 1
+            number += 1
             if np.frombuffer(row["ids"], "<u4").max() < 1 << 16:
                 row["ids"] = np.frombuffer(row["ids"], "<u4").astype("<u2").tobytes()
             docs, size = [], 0
             longs = pa.list_(pa.int64())
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([
-                ("part", pa.int32()), ("run", pa.int32()), ("doc_id", pa.list_(id_type)),
+                ("part", pa.int32()), ("number", pa.int32()), ("doc_id", pa.list_(id_type)),
                 ("source", pa.list_(pa.string())), ("length", longs), ("ids", pa.binary()), ("total", pa.int64()),
-                ("sequences", pa.int64()), ("before", pa.int64()), ("sequences_before", pa.int64()),
                 ("before_source", pa.list_(pa.string())), ("before_tokens", longs)]))
 
         for batch in in_parts(batches):
             for i, s, t in zip(batch.column("doc_id").to_pylist(), batch.column("source").to_pylist(),
                                batch.column("text")):
                 ids = enc.ids(t.as_py()) + end
-                if docs and size + len(ids) // 4 > CHUNK:
+                if docs and size + len(ids) // 4 > BLOCK:
                     yield close()
                 docs.append((i, s, ids))
                 size += len(ids) // 4
@@ -195,12 +194,6 @@ def round_robin(queues: dict[str, Queue], share: dict[str, float], owed: dict[st
     return quota
 
 
-def bounded(owed: float, share: float, window: int = WINDOW) -> float:
-    """A carried deficit, at most one window's credit either way (as round-robin keeps it within a run):
-    a run that lacks a source must not crowd out the others in the next one."""
-    return max(-share * window, min(share * window, owed))
-
-
 def pack_run(sources: list[str], lengths: list[int], share: dict[str, float], owed: dict[str, float],
              window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one run."""
@@ -224,30 +217,117 @@ PIECES = ("doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_token
           "offset bigint, source string")
 
 
-def _pack(share: dict[str, float], id_type: pa.DataType):
+def dealt(totals: dict[str, int], first: int) -> dict[str, int]:
+    """How many of the ``first`` tokens of the corpus in its dealt order are of each source.
+
+    The k-th of a source's n tokens stands at (2 k + 1) / 2 n, ties in the order of the sources: what is
+    dealt only grows with ``first``, and is each source's share to within rounding."""
+    whole = sum(totals.values())
+    n = {s: (2 * t * first + whole) // (2 * whole) for s, t in totals.items()}
+    short = first - sum(n.values())
+    if short > 0:
+        heap = [(Fraction(2 * n[s] + 1, 2 * totals[s]), s) for s in totals]
+        heapq.heapify(heap)
+        for _ in range(short):
+            s = heap[0][1]
+            n[s] += 1
+            heapq.heapreplace(heap, (Fraction(2 * n[s] + 1, 2 * totals[s]), s))
+    elif short < 0:
+        for _ in range(-short):
+            n[max((Fraction(2 * n[s] - 1, 2 * totals[s]), s) for s in totals if n[s])[1]] -= 1
+    return n
+
+
+class Runs:
+    """Which run of ``size`` tokens a token of a source is dealt to."""
+
+    def __init__(self, totals: dict[str, int], size: int):
+        self.totals, self.size, self.whole, self.known = totals, size, sum(totals.values()), {}
+
+    def before(self, run: int) -> dict[str, int]:
+        """Tokens of each source in the runs before this one."""
+        if run not in self.known:
+            if len(self.known) >= 1 << 12:
+                self.known.clear()
+            self.known[run] = dealt(self.totals, min(run * self.size, self.whole))
+        return self.known[run]
+
+    def pieces(self, source: str, at: int, length: int) -> Iterator[tuple[int, int, int]]:
+        """(run, start, length) of a document that begins at token ``at`` of its source."""
+        run = at * self.whole // (self.totals[source] * self.size)
+        start = 0
+        while start < length:
+            while run and self.before(run)[source] > at + start:
+                run -= 1
+            while self.before(run + 1)[source] <= at + start:
+                run += 1
+            n = min(length - start, self.before(run + 1)[source] - at - start)
+            yield run, start, n
+            start += n
+
+
+DEALT = ("run bigint, doc_id array<{id}>, source array<string>, at array<bigint>, start array<bigint>, "
+         "length array<bigint>, doc_tokens array<bigint>, ids binary")
+
+
+def _deal(totals: dict[str, int], size: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        runs, longs = Runs(totals, size), pa.list_(pa.int64())
+        names = ["run", "doc_id", "source", "at", "start", "length", "doc_tokens", "ids"]
+        types = [pa.int64(), pa.list_(id_type), pa.list_(pa.string()), longs, longs, longs, longs, pa.binary()]
+        for batch in in_parts(batches, 1):
             for row in batch.to_pylist():
-                sources, lengths = row["source"], row["length"]
-                wide = len(row["ids"]) == 4 * row["total"]
-                ids = memoryview(np.frombuffer(row["ids"], "<u4" if wide else "<u2").astype("<u4").tobytes())
-                first = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-                done = row["part_before"] + row["before"]
-                before = dict(zip(row["before_source"], row["before_tokens"]))
-                earlier = dict(zip(row["part_source"] or [], row["part_tokens"] or []))
-                owed = {s: bounded(share[s] * done - before.get(s, 0) - earlier.get(s, 0), share[s])
-                        for s in set(sources)}
-                base = row["part_sequences"] + row["sequences_before"]
-                out: list[list] = [[] for _ in range(8)]
-                for doc, start, n, sequence, offset in pack_run(sources, lengths, share, owed):
-                    at = 4 * (first[doc] + start)
-                    for column, value in zip(out, (row["doc_id"][doc], start, n, zlib.crc32(ids[at:at + 4 * n]),
-                                                   lengths[doc], base + sequence, offset, sources[doc])):
-                        column.append(value)
-                longs = [pa.int64()] * 6
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(out, [id_type, *longs, pa.string()])],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+                served = dict(zip(row["part_source"], row["part_tokens"]))
+                for s, n in zip(row["before_source"], row["before_tokens"]):
+                    served[s] += n
+                ids = memoryview(row["ids"])
+                width = len(ids) // row["total"]
+                out: dict[int, list[list]] = {}
+                first = 0
+                for doc, s, length in zip(row["doc_id"], row["source"], row["length"]):
+                    for number, start, n in runs.pieces(s, served[s], length):
+                        piece = ids[width * (first + start):width * (first + start + n)]
+                        for column, value in zip(out.setdefault(number, [[] for _ in range(7)]),
+                                                 (doc, s, served[s] + start, start, n, length, piece)):
+                            column.append(value)
+                    served[s] += length
+                    first += length
+                for number, columns in out.items():
+                    values = [number, *columns[:6], b"".join(columns[6])]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
+    return run
+
+
+def _pack(totals: dict[str, int], size: int, id_type: pa.DataType):
+    whole = sum(totals.values()) or 1
+    share = {s: n / whole for s, n in totals.items()}
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        docs, ids = [], []
+        for k, row in enumerate(table.to_pylist()):
+            wide = len(row["ids"]) == 4 * sum(row["length"])
+            ids.append(memoryview(np.frombuffer(row["ids"], "<u4" if wide else "<u2").astype("<u4").tobytes()))
+            first = 0
+            for doc, s, at, start, n, tokens in zip(*(row[c] for c in (
+                    "doc_id", "source", "at", "start", "length", "doc_tokens"))):
+                docs.append((s, at, n, doc, start, tokens, k, first))
+                first += n
+        docs.sort(key=lambda d: d[:2])
+        done = number * size
+        before = Runs(totals, size).before(number)
+        owed = {s: n * done / whole - before[s] for s, n in totals.items()}
+        out: list[list] = [[] for _ in range(8)]
+        for i, start, n, sequence, offset in pack_run([d[0] for d in docs], [d[2] for d in docs], share, owed):
+            s, _, _, doc, skipped, tokens, k, first = docs[i]
+            at = 4 * (first + start)
+            for column, value in zip(out, (doc, skipped + start, n, zlib.crc32(ids[k][at:at + 4 * n]), tokens,
+                                           number * (size // WINDOW) + sequence, offset, s)):
+                column.append(value)
+        longs = [pa.int64()] * 6
+        return pa.Table.from_arrays(
+            [pa.array(v, t) for v, t in zip(out, [id_type, *longs, pa.string()])],
+            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
     return run
 
 
@@ -255,32 +335,27 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str) -> DataFrame:
     """Pieces of all documents (doc_id, source, text) in sequences of at most ``WINDOW`` tokens."""
     from pyspark.sql.pandas.types import to_arrow_type
     kind = docs.schema["doc_id"].dataType
-    name = kind.simpleString()
+    name, arrow = kind.simpleString(), to_arrow_type(kind)
+    size = max(1, CHUNK // WINDOW) * WINDOW
     rows = docs.select(docs["doc_id"].alias("doc_id"),
                        F.when(docs["source"].isNull(), "null").otherwise(
                            F.concat(F.lit("="), docs["source"].cast("string"))).alias("source"),
                        F.coalesce(docs["text"], F.lit("")).alias("text"))
-    runs = staged(rows.mapInArrow(_tokenise(vocabulary, ranks, to_arrow_type(kind)), RUNS.format(id=name)), "pack-runs")
+    blocks = staged(rows.mapInArrow(_tokenise(vocabulary, ranks, arrow), BLOCKS.format(id=name)), "pack-blocks")
     # totals per partition and source, and what lies before each partition
-    each = runs.select("part", F.explode(F.arrays_zip("source", "length")).alias("d")).groupBy(
+    each = blocks.select("part", F.explode(F.arrays_zip("source", "length")).alias("d")).groupBy(
         "part", F.col("d.source").alias("source")).agg(F.sum("d.length").alias("n"))
     each = staged(each, "pack-totals")
-    totals = {r["source"]: r["n"] for r in each.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    whole = sum(totals.values()) or 1
-    share = {s: n / whole for s, n in totals.items()}
-    parts = runs.groupBy("part").agg(F.sum("total").alias("n"), F.sum("sequences").alias("q"))
-    until = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    parts = parts.select("part", F.coalesce(F.sum("n").over(until), F.lit(0)).alias("part_before"),
-                         F.coalesce(F.sum("q").over(until), F.lit(0)).alias("part_sequences"))
+    totals = {r["source"]: r["n"] for r in each.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").collect()}
     upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = (each.withColumn("earlier", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-               .groupBy("part").agg(F.collect_list(F.struct("source", "earlier")).alias("e"))
-               .select("part", F.col("e.source").alias("part_source"), F.col("e.earlier").alias("part_tokens")))
-    parts = staged(parts.join(earlier, "part", "left"), "pack-parts")  # small: one row per partition
-    joined = runs.join(parts, "part").select(
-        "doc_id", "source", "length", "ids", "total", "before", "sequences_before", "before_source", "before_tokens",
-        "part_before", "part_sequences", "part_source", "part_tokens")
-    return joined.mapInArrow(_pack(share, to_arrow_type(kind)), PIECES.format(id=name))
+    parts = (each.withColumn("earlier", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+             .groupBy("part").agg(F.collect_list(F.struct("source", "earlier")).alias("e"))
+             .select("part", F.col("e.source").alias("part_source"), F.col("e.earlier").alias("part_tokens")))
+    parts = staged(parts, "pack-parts")  # small: one row per partition
+    joined = blocks.join(parts, "part").select(
+        "doc_id", "source", "length", "ids", "total", "before_source", "before_tokens", "part_source", "part_tokens")
+    return (joined.mapInArrow(_deal(totals, size, arrow), DEALT.format(id=name)).groupBy("run")
+            .applyInArrow(_pack(totals, size, arrow), PIECES.format(id=name)))
 
 
 def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
