@@ -176,11 +176,12 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **targets) -> DataFrame:
-    """The documents, each as often as the mixture plays it, with their columns."""
+    """The documents, each as often as the mixture plays it, with their columns, in the order of the schedule."""
     made = plan(counted(docs), **targets)
     rows = docs.select(docs["doc_id"].alias("id"), source_key(docs["source"]).alias("source"),
                        F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
-    return realised(rows, made).select("doc.*")
+    order = ["play", "block_key", "row_key"]
+    return realised(rows, made).repartitionByRange(*order).sortWithinPartitions(*order).select("doc.*")
 
 
 def mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
