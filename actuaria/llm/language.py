@@ -158,12 +158,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(n[some], pa.int64())], names=["lang", "bucket", "n"])
 
 
+def equal_part(there: dict[str, int], sample_rows: int, least: int = 32) -> float:
+    """Rows of each language in a sample, where it has as many; what small languages leave free goes to the others."""
+    left, part = sample_rows, 0.0
+    for k, n in enumerate(sorted(there.values())):
+        part = left / (len(there) - k)
+        if n > part:
+            break
+        left -= n
+    return max(part, least)
+
+
 def fit(labelled: DataFrame, sample_rows: int = 20_000) -> LanguageModel:
-    """Fit on about ``sample_rows`` rows of (id, text, lang), chosen by a hash of the id."""
+    """Fit on about ``sample_rows`` rows of (id, text, lang), chosen by a hash of the id, as many of each language
+    as it has, up to an equal part of the sample."""
     rows = labelled.filter(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    there = rows.count()
-    if there > sample_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / there))
+    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(there.values()) > sample_rows:
+        limits = F.create_map(*(F.lit(x) for lang, n in there.items()
+                                for x in (lang, int((1 << 30) * min(1.0, equal_part(there, sample_rows) / n)))))
+        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < limits[F.col("lang")])
     total = rows.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n bigint")
     found = total.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (np.array(found.column(c).to_pylist()) for c in ("lang", "bucket", "n"))

@@ -30,6 +30,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID (operator 9): keeps documents with a recognised language."""
     rows = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
     model = language.fit(rows.filter(~language.held_out(F.col("id"))))
+    if not model.languages:  # nothing to learn from: no language can be told, so none is ambiguous
+        return docs.filter(docs["text"].rlike(r"\p{L}"))
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), docs["text"].alias("text"))
     known = language.classify(whole, model)
     return known.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= CLEAR)).select("doc.*")
