@@ -12,6 +12,7 @@ QUERIES = {
     "op6_jaccard_join": jaccard.join_documents,
     "op7_packing": packing.pack_documents,
     "op8_fixity_audit": fixity.fixity_audit,
+    "op8_record_audit": fixity.record_audit,
     "op9_language_id": language.identify_documents,
     "op10_token_counts": tokens.count_documents,
 }
@@ -19,4 +20,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op5_topk_search": topk.NEAREST_SQL,
     "op8_fixity_audit": fixity.FIXITY_SQL,
+    "op8_record_audit": fixity.RECORD_SQL,
 }

@@ -1,15 +1,19 @@
 """Merkle fixity audit of WARC records (operator 8).
 
 A replica is a table of records (file, pos, offset, length, payload digest).
-Records of a file are the leaves, in offset order; ``FAN`` consecutive leaves
-form a node that covers one ordered offset range, ``FAN`` nodes form the next
-level, up to one node per file, and file roots are combined by ranges of the
-file number up to the archive's root.  Every node is one grouped aggregate over
-at most ``FAN`` children, so no group grows with the archive.
+Records of a file are the leaves, keyed by what they are and not by where they lie:
+the id's place in its file's id range (for null ids, the rank among the file's
+records).  ``FAN`` consecutive keys form a node that covers one ordered id range,
+``FAN`` nodes form the next level, up to one node per file, and file roots are
+combined by ranges of the file number up to the archive's root.  Every node is one
+grouped aggregate over at most ``FAN`` children, so no group grows with the archive.
+A leaf hashes digests and lengths of the records of its key, not their offsets.
 
 The audit compares the roots of two replicas and joins the children of
 mismatching nodes only, level by level, down to the records: a damaged, missing
-or additional record costs one branch.
+or additional record costs one branch, also where it moves the records behind it.
+``record_report`` gives every record its status by identity (a record that only lies
+elsewhere is ``shifted``); ``audit_report`` compares what lies at each position.
 
 Defined cases: null urls and payloads count as empty; rows with a null id lie in
 files of their own, dealt by a hash; repeated rows are records of their own (told
@@ -50,15 +54,28 @@ def records(pages: DataFrame, id: str = "page_id", url: str = "url", body: str =
                        F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "length", "sha")
 
 
+def keyed_records(records: DataFrame) -> DataFrame:
+    """The records with their leaf (slot) and, among equal ids, their number (copy) in the order of the digests:
+    an id's records stay together, and no record's key depends on other ids."""
+    copy = F.row_number().over(Window.partitionBy("file", "id").orderBy("sha", "pos")) - 1
+    named = records.filter("id IS NOT NULL").withColumn("copy", copy.cast("long")).withColumn(
+        "slot", F.pmod(F.col("id"), F.lit(FILE_IDS)).cast("long"))
+    # null ids: a record is its digest; equal ones are counted, and leaves are ranges of digests
+    alike = F.row_number().over(Window.partitionBy("file", "sha").orderBy("pos")) - 1
+    unnamed = records.filter("id IS NULL").withColumn("copy", alike.cast("long")).withColumn(
+        "slot", F.pmod(F.xxhash64("sha"), F.lit(FILE_IDS)).cast("long"))
+    return named.unionByName(unnamed)
+
+
 def parents(nodes: DataFrame, number: Column, *tree: str) -> DataFrame:
     """The level above: ``FAN`` consecutive nodes make one; its hash covers the
-    children's numbers and hashes in order, and their offset range."""
+    children's numbers and hashes in order; ``start`` and ``stop`` are their offset range."""
     return (nodes.withColumn("up", number).groupBy(*tree, "up")
             .agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("kids"),
                  F.min("start").alias("start"), F.max("stop").alias("stop"))
             .select(*tree, F.col("up").alias("node"), "start", "stop",
-                    F.sha2(F.concat_ws("|", F.array_join(F.transform("kids", lambda k: F.concat_ws(
-                        ":", k["node"], k["hash"])), ","), F.col("start"), F.col("stop")), 256).alias("hash")))
+                    F.sha2(F.array_join(F.transform("kids", lambda k: F.concat_ws(
+                        ":", k["node"], k["hash"])), ","), 256).alias("hash")))
 
 
 def _depth(nodes: int) -> int:
@@ -73,10 +90,12 @@ def build_tree(leaves: DataFrame, depth: int, file_depth: int) -> list[DataFrame
 
     Every level has (file, node, start, stop, hash); above the files ``file`` is 0 and ``node`` numbers
     ranges of files."""
-    level = leaves.select("file", F.col("pos").alias("node"), F.col("offset").alias("start"),
-                          (F.col("offset") + F.col("length")).alias("stop"),
-                          F.sha2(F.concat_ws("|", "pos", "offset", "length", "sha"), 256).alias("hash"))
-    levels = [level]
+    each = F.sort_array(F.collect_list(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")),
+                                                   "copy", "length", "sha")))
+    level = (leaves.groupBy("file", F.col("slot").alias("node"))  # one record, save for equal or null ids
+             .agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"),
+                  F.sha2(F.array_join(each, ","), 256).alias("hash")))
+    levels = [staged(level, "merkle")]
     for _ in range(depth):
         levels.append(staged(parents(levels[-1], F.floor(F.col("node") / FAN).cast("long"), "file"), "merkle"))
     top = levels[-1].select(F.lit(0).cast("long").alias("file"), F.col("file").alias("node"), "start", "stop", "hash")
@@ -102,11 +121,11 @@ def children(nodes: DataFrame, files: bool) -> DataFrame:
     return kid.select(F.col("node").alias("file"), F.lit(0).cast("long").alias("node")) if files else kid
 
 
-def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Mismatching (file, pos) of two replicas' records, and the nodes opened at each level from the root."""
-    size = primary.select("file", "pos").unionByName(replica.select("file", "pos")).agg(
-        F.max("pos").alias("pos"), F.min("file").alias("low"), F.max("file").alias("high")).first()
-    depth = max(1, _depth((size["pos"] or 0) + 1))
+def _descend(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Mismatching leaves (file, slot) of two replicas' keyed records, and the nodes opened at each level from the root."""
+    size = primary.select("file").unionByName(replica.select("file")).agg(
+        F.min("file").alias("low"), F.max("file").alias("high")).first()
+    depth = max(1, _depth(FILE_IDS))
     # ranges of negative and positive file numbers meet in node 0 or -1; two more levels join them
     file_depth = max(1, _depth(max(abs(size["low"] or 0), abs(size["high"] or 0)) + 1))
     a, b = build_tree(primary, depth, file_depth), build_tree(replica, depth, file_depth)
@@ -116,23 +135,78 @@ def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, list[int]]
         found = staged(mismatches(a[at], b[at], within), "mismatch")
         opened.append(found.count())
         if not opened[-1]:
-            return found.select("file", F.col("node").alias("pos")), opened
+            return found.select("file", F.col("node").alias("slot")), opened
         if at:
             within = children(found, files=at == depth + 1)
-    return found.select("file", F.col("node").alias("pos")), opened
+    return found.select("file", F.col("node").alias("slot")), opened
+
+
+def _located(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """Keyed records of both replicas, the differing ones among them, and the nodes opened."""
+    a = staged(keyed_records(primary), "warc-keyed")
+    b = staged(keyed_records(replica), "warc-keyed")
+    leaves, opened = _descend(a, b)
+    keys = ["file", "slot", "who", "copy"]
+    who = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("sha")))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.join(leaves, ["file", "slot"], "left_semi").withColumn("who", who).select(
+            *keys, F.col("pos").alias(f"{name}_pos"), F.col("sha").alias(f"{name}_sha"))
+
+    bad = (side(a, "a").join(side(b, "b"), keys, "full").filter(~F.col("a_sha").eqNullSafe(F.col("b_sha")))
+           .select(*keys, "a_pos", "b_pos"))
+    return a.withColumn("who", who), b.withColumn("who", who), staged(bad, "mismatch"), opened
+
+
+def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Differing records (file, pos) of two replicas, with the position in the replica of an additional one, and
+    the nodes opened at each level from the root."""
+    _, _, bad, opened = _located(primary, replica)
+    return bad.select("file", F.coalesce("a_pos", "b_pos").alias("pos")), opened
+
+
+def record_report(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """Every record of either replica by its identity: intact, shifted (only its position or offset differs),
+    altered, missing (in the replica) or additional."""
+    a, b, bad, _ = _located(primary, replica)
+    keys = ["file", "slot", "who", "copy"]
+    r = b.select(*keys, F.col("id").alias("replica_id"), F.col("pos").alias("replica_pos"),
+                 F.col("offset").alias("replica_offset"), F.col("sha").alias("replica_sha"))
+    both = a.select(*keys, "id", "pos", "offset", "length", "sha").join(r, keys, "full")
+    moved = (F.col("pos") != F.col("replica_pos")) | (F.col("offset") != F.col("replica_offset"))
+    status = (F.when(F.col("replica_sha").isNull(), "missing").when(F.col("sha").isNull(), "additional")
+              .when(F.col("bad"), "altered").when(moved, "shifted").otherwise("intact"))
+    return both.join(bad.select(*keys, F.lit(True).alias("bad")), keys, "left").select(
+        "file", F.coalesce("id", "replica_id").alias("id"), "pos", "replica_pos", "offset", "replica_offset",
+        "length", "sha", "replica_sha", status.alias("status"))
+
+
+def _layout(rows: DataFrame, name: str) -> DataFrame:
+    """One digest a file of what lies where."""
+    return rows.groupBy("file").agg(F.sum(F.xxhash64("id", "pos", "offset", "length").cast("decimal(38,0)")).alias(name))
 
 
 def audit_report(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Every record of either replica with its status: intact, altered, missing (in the replica) or additional."""
+    """What lies at each position of either replica: intact, altered (other bytes, or the same ones at another
+    offset), missing (nothing in the replica) or additional.  Which records are damaged: :func:`record_report`.
+
+    Positions are compared only in files with a differing record or layout."""
     bad, _ = audit(primary, replica)
+    other = _layout(primary, "la").join(_layout(replica, "lb"), "file", "full").filter(
+        ~F.col("la").eqNullSafe(F.col("lb")))
+    files = staged(bad.select("file").unionByName(other.select("file")).distinct(), "mismatch")
     keys = ["file", "pos"]
-    r = replica.select(*keys, F.col("sha").alias("replica_sha"))
-    both = primary.select(*keys, "id", "offset", "length", "sha").join(r, keys, "full")
-    bad = bad.withColumn("bad", F.lit(True))
-    status = (F.when(F.col("bad").isNull(), "intact").when(F.col("replica_sha").isNull(), "missing")
-              .when(F.col("sha").isNull(), "additional").otherwise("altered"))
-    return both.join(bad, keys, "left").select(*keys, "id", "offset", "length", "sha", "replica_sha",
-                                               status.alias("status"))
+    r = replica.join(files, "file", "left_semi").select(
+        *keys, F.col("offset").alias("replica_offset"), F.col("length").alias("replica_length"),
+        F.col("sha").alias("replica_sha"))
+    both = primary.join(files, "file", "left_semi").select(*keys, "id", "offset", "length", "sha").join(r, keys, "full")
+    same = ((F.col("sha") == F.col("replica_sha")) & (F.col("offset") == F.col("replica_offset"))
+            & (F.col("length") == F.col("replica_length")))
+    status = (F.when(F.col("replica_sha").isNull(), "missing").when(F.col("sha").isNull(), "additional")
+              .when(same, "intact").otherwise("altered"))
+    clean = primary.join(files, "file", "left_anti").select(
+        *keys, "id", "offset", "length", "sha", F.col("sha").alias("replica_sha"), F.lit("intact").alias("status"))
+    return both.select(*keys, "id", "offset", "length", "sha", "replica_sha", status.alias("status")).unionByName(clean)
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -151,6 +225,13 @@ def fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "page_id")
 
 
+def record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query: as :func:`fixity_audit`, by the records' identity instead of their position."""
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    out = record_report(staged(records(pages), "warc-primary"), staged(records(damaged(pages)), "warc-replica"))
+    return out.withColumnRenamed("id", "page_id")
+
+
 def _records_sql(source: str) -> str:
     return f"""
  SELECT file, row_number() OVER (PARTITION BY file ORDER BY page_id, sha) - 1 AS pos, page_id, length, sha,
@@ -175,3 +256,11 @@ SELECT file, pos, a.page_id AS page_id, a."offset" AS "offset", a.length AS leng
       WHEN a.sha = b.sha AND a."offset" = b."offset" AND a.length = b.length THEN 'intact' ELSE 'altered' END AS status
 FROM a FULL JOIN b USING (file, pos)
 """
+
+RECORD_SQL = FIXITY_SQL[:FIXITY_SQL.index("SELECT file, pos, a.page_id")] + """
+SELECT coalesce(a.file, b.file) AS file, coalesce(a.page_id, b.page_id) AS page_id, a.pos AS pos, b.pos AS replica_pos,
+ a."offset" AS "offset", b."offset" AS replica_offset, a.length AS length, a.sha AS sha, b.sha AS replica_sha,
+ CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'additional' WHEN a.sha <> b.sha THEN 'altered'
+      WHEN a.pos <> b.pos OR a."offset" <> b."offset" THEN 'shifted' ELSE 'intact' END AS status
+FROM a FULL JOIN b ON a.page_id = b.page_id
+"""
