@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators and their DuckDB twins."""
 from __future__ import annotations
 
-from actuaria.llm import fingerprint, fixity, jaccard, language, mixing, packing, repeats, secrets, tokens, topk
+from actuaria.llm import fingerprint, fixity, jaccard, language, mixing, packing, repeats, secrets, simhash, tokens, topk
 
 QUERIES = {
     "op1_fingerprints": fingerprint.fingerprint_documents,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_record_audit": fixity.record_audit,
     "op9_language_id": language.identify_documents,
     "op10_token_counts": tokens.count_documents,
+    "op13_simhash": simhash.simhash_documents,
 }
 
 ORACLE: dict[str, str] = {
