@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators and their DuckDB twins."""
 from __future__ import annotations
 
-from actuaria.llm import fingerprint, fixity, jaccard, language, mixing, packing, periodic, repeats, secrets, simhash, tokens, topk
+from actuaria.llm import alignment, fingerprint, fixity, jaccard, language, mixing, packing, periodic, repeats, secrets, simhash, tokens, topk
 
 QUERIES = {
     "op1_fingerprints": fingerprint.fingerprint_documents,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language.identify_documents,
     "op10_token_counts": tokens.count_documents,
     "op11_periodic_runs": periodic.runs_documents,
+    "op12_token_alignment": alignment.align_documents,
     "op13_simhash": simhash.simhash_documents,
 }
 

@@ -242,8 +242,8 @@ DENSE = PROBE * len(flips(BITS, RADIUS))
 class Plan:
     """Partitions of one table and the estimates its classes take their thresholds from (a fixed size)."""
 
-    def __init__(self, groups: list[list[int]], counts: np.ndarray, cells: int = CELLS):
-        self.groups, self.cells = groups, cells
+    def __init__(self, groups: list[list[int]], counts: np.ndarray, cells: int = CELLS, dense: float = DENSE):
+        self.groups, self.cells, self.dense = groups, cells, dense
         self.cost = estimates(counts, [len(g) for g in groups], cells).astype(np.float32)
 
     def thresholds(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,13 +251,13 @@ class Plan:
         values = values_of(prints, self.groups)
         cost = np.stack([c[:, fold(v, self.cells)] for c, v in zip(self.cost, values)]).astype(np.float64)
         chosen, total = allocate(cost, RADIUS - len(self.groups) + 1)
-        return values, chosen, total > DENSE
+        return values, chosen, total > self.dense
 
     def expected(self, counts: np.ndarray) -> float:
         """Estimated cost of the whole table, from the cells of each partition alone."""
         m = len(self.groups)
         mean = np.stack([(c * n).sum(axis=1) / max(n.sum(), 1) for c, n in zip(self.cost, counts)])
-        return float(min(allocate(mean[:, :, None], RADIUS - m + 1)[1][0], DENSE))
+        return float(min(allocate(mean[:, :, None], RADIUS - m + 1)[1][0], self.dense))
 
 
 def plan_for(classes: DataFrame, sizes: tuple = (2, 3, 4)) -> Plan:

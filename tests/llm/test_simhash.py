@@ -91,19 +91,18 @@ def test_groups_hold_correlated_bits():
 
 @pytest.mark.parametrize("m", [2, 3, 4])
 @pytest.mark.parametrize("cells", [16, 1 << 16])
-def test_links_with_few_cells_and_a_dense_neighbourhood(spark, m, cells, monkeypatch):
+def test_links_with_few_cells_and_a_dense_neighbourhood(spark, m, cells):
     """All links, whatever the partitions and however coarse the estimates; dense classes probe the whole."""
     rng = random.Random(m)
     centre = rng.getrandbits(64)
     prints = {centre ^ sum(1 << b for b in rng.sample(range(14), rng.randrange(6))) for _ in range(1500)}
     prints |= {rng.getrandbits(64) for _ in range(500)}
-    monkeypatch.setattr(simhash, "DENSE", 400.0)
     classes = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(sorted(prints))],
                                     "print bigint, node bigint")
     groups = simhash.correlated_groups(simhash.bit_correlations(classes)[1], m)
-    plan = simhash.Plan(groups, simhash.cell_counts(classes, groups, cells), cells)
+    plan = simhash.Plan(groups, simhash.cell_counts(classes, groups, cells), cells, dense=400.0)
     every = np.array(sorted(prints), dtype=np.uint64)
-    assert plan.thresholds(every)[2].any()
+    assert 0 < plan.thresholds(every)[2].sum() < len(every)
     got = {(r.a, r.b) for r in simhash.links(classes, plan).collect()}
     near = np.bitwise_count(every[:, None] ^ every[None, :]) <= 2
     assert got == {(a, b) for a, b in zip(*np.nonzero(near)) if a > b}
