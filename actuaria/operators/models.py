@@ -1,27 +1,29 @@
-"""Models (M1–M9, M12, S8) on MLlib, plus the uniform scoring protocol.
+"""Models (M1–M9, M12, S8): linear fits on MLlib, boosted trees (``boosting``), and the uniform scoring protocol.
 
 ``predict(df, model, out_col)`` accepts either a ``FixedLinear`` (scored as
 a pure column expression, so it can be checked against SQL) or a
-``FittedModel`` wrapping any MLlib regression model.  Both read the ten
+``FittedModel`` wrapping boosted trees or any MLlib regression model.  All read the ten
 feature columns by name (optionally with a prefix, which is how what-if
 variants are scored side by side without a shuffle).
 """
 from __future__ import annotations
 
+import json
 import random
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.ml.evaluation import RegressionEvaluator
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actuaria import config as C
 from actuaria.config import FixedLinear
+from actuaria.operators import boosting, model_store
+from actuaria.operators.boosting import BoostedTrees
 
 
 @dataclass
@@ -46,6 +48,9 @@ def predict(df: DataFrame, model, out_col: str = "prediction", prefix: str = "")
     """Append the raw (unfloored) prediction of ``model`` as ``out_col``."""
     if isinstance(model, FixedLinear):
         return df.withColumn(out_col, linear_expression(model, prefix))
+    if isinstance(model.model, BoostedTrees):
+        raw = model.model.column(*[F.col(f"{prefix}{f}") for f in model.features])
+        return df.withColumn(out_col, F.expm1(raw) if model.log_target else raw)
     vec = f"_vec_{out_col}"
     assembled = VectorAssembler(inputCols=[f"{prefix}{f}" for f in model.features],
                                 outputCol=vec, handleInvalid="keep").transform(df)
@@ -104,38 +109,6 @@ def fit_ridge(train: DataFrame, alpha: float = C.RIDGE_ALPHA, target: str = C.TA
     return FittedModel("ridge_regression", model, log_target, list(features))
 
 
-def min_instances_for_split(min_samples_split: int) -> int:
-    """A node needs ≥ m rows to split ⇔ each child keeps ≥ ceil(m/2) rows (approximately)."""
-    return max(1, (int(min_samples_split) + 1) // 2)
-
-
-def gbt_estimator(style: str, params: dict, seed: int = C.SPLIT_SEED) -> GBTRegressor:
-    """M3–M5: one boosted-tree estimator per model family.
-
-    Mapped: n_estimators→maxIter, max_depth→maxDepth, learning_rate→stepSize,
-    subsample→subsamplingRate, colsample_bytree→featureSubsetStrategy,
-    min_samples_split→minInstancesPerNode.  L1/L2 leaf penalties and
-    leaf-wise growth have no MLlib counterpart (recorded gap); the LightGBM
-    family uses coarser histograms and a minimum leaf size instead.
-    """
-    g = GBTRegressor(featuresCol="features", labelCol="label", seed=seed,
-                     maxIter=int(params.get("n_estimators", 20)),
-                     maxDepth=int(params.get("max_depth", 3)),
-                     stepSize=float(params.get("learning_rate", 0.1)),
-                     subsamplingRate=float(params.get("subsample", 1.0)))
-    if style == "xgboost" and "colsample_bytree" in params:
-        g.setFeatureSubsetStrategy(str(float(params["colsample_bytree"])))
-    if style == "lightgbm":
-        g.setMaxBins(64).setMinInstancesPerNode(20)
-    if style == "gradient_boosting" and "min_samples_split" in params:
-        g.setMinInstancesPerNode(min_instances_for_split(params["min_samples_split"]))
-    return g
-
-
-#: Grid entries without a counterpart in the trees that are fitted here; drawing them would only repeat models.
-INERT = ("reg_alpha", "reg_lambda", "num_leaves")
-
-
 def grid_for(style: str) -> dict:
     """The published grid of a family."""
     extra = {"xgboost": C.XGB_EXTRA_GRID, "lightgbm": C.LGBM_EXTRA_GRID,
@@ -143,11 +116,6 @@ def grid_for(style: str) -> dict:
     return {**C.COMMON_PARAM_GRID, **extra}
 
 
-def search_grid(style: str) -> dict:
-    """The published grid without the entries that change nothing here."""
-    return {k: v for k, v in grid_for(style).items() if k not in INERT}
-
-
 def grid_size(grid: dict) -> int:
     return reduce(lambda a, b: a * b, (len(v) for v in grid.values()), 1)
 
@@ -169,47 +137,87 @@ def sample_params(grid: dict, n_iter: int, seed: int = C.SPLIT_SEED) -> list[dic
     return out
 
 
-def random_search(train: DataFrame, style: str, n_iter: int = C.SEARCH_ITERATIONS,
-                  folds: int = C.CV_FOLDS, fold_col: str = "fold", grid: dict | None = None,
-                  contiguous: bool = True, target: str = C.TARGET, parallelism: int = 4, seed: int = C.SPLIT_SEED):
-    """M7–M9: random search with k-fold CV on R², refit on all training rows.
+@dataclass
+class Search:
+    """Result of a random search of one family."""
+    fitted: FittedModel
+    best: dict
+    score: float
+    draws: list  # (params, CV R², is best)
 
-    ``grid`` is the space drawn from (the published one by default); a draw is fitted as drawn.  Folds are
-    runs of the key order, or hash folds with ``contiguous=False``, unless the rows bring their own.
-    Returns (FittedModel, best params, best CV R², [(params, CV R², is best)]).
-    """
+
+def with_folds(train: DataFrame, folds: int = C.CV_FOLDS, fold_col: str = "fold", contiguous: bool = True) -> DataFrame:
+    """Rows with their fold: runs of the key order, or hash folds; rows that bring folds keep them."""
     from actuaria.operators.preprocess import contiguous_fold, hash_fold
-    draws = sample_params(grid or search_grid(style), n_iter, seed)
-    if fold_col not in train.columns:
-        train = (contiguous_fold(train, C.KEY, folds, fold_col) if contiguous
-                 else train.withColumn(fold_col, hash_fold(C.KEY, folds)))
-    data = training_rows(train, target, False, extra=(fold_col,))
-    base = gbt_estimator(style, draws[0], seed)
-    maps = []
-    for p in draws:
-        est = gbt_estimator(style, p, seed)
-        maps.append({getattr(base, name): est.getOrDefault(getattr(est, name))
-                     for name in ("maxIter", "maxDepth", "stepSize", "subsamplingRate",
-                                  "featureSubsetStrategy", "maxBins", "minInstancesPerNode")})
-    cv = CrossValidator(estimator=base, estimatorParamMaps=maps,
-                        evaluator=RegressionEvaluator(metricName="r2", labelCol="label"),
-                        numFolds=folds, foldCol=fold_col, parallelism=parallelism, seed=seed)
-    cvm = cv.fit(data)
-    metrics = list(cvm.avgMetrics)
-    best = max(range(len(metrics)), key=lambda i: metrics[i])
-    fitted = FittedModel(style, cvm.bestModel, False)
-    return fitted, draws[best], metrics[best], [(p, m, i == best) for i, (p, m) in enumerate(zip(draws, metrics))]
-
-
-def fit_gbt(train: DataFrame, style: str, params: dict, target: str = C.TARGET,
-            seed: int = C.SPLIT_SEED) -> FittedModel:
-    data = training_rows(train, target, False)
-    return FittedModel(style, gbt_estimator(style, params, seed).fit(data), False)
+    if fold_col in train.columns:
+        return train
+    return (contiguous_fold(train, C.KEY, folds, fold_col) if contiguous
+            else train.withColumn(fold_col, hash_fold(C.KEY, folds)))
+
+
+def random_searches(train: DataFrame, styles, n_iter: int = C.SEARCH_ITERATIONS, folds: int = C.CV_FOLDS, fold_col: str = "fold",
+                    grid: dict | None = None, contiguous: bool = True, target: str = C.TARGET,
+                    seed: int = C.SPLIT_SEED) -> dict[str, Search]:
+    """M7–M9: random search with k-fold CV on R² for each family, the winners refitted on all training rows.
+
+    ``grid`` is the space drawn from (the published one of the family by default).  The rows are binned once; the models of
+    all draws, folds and families are grown together, then the winners.  The result is kept in the model store, so
+    that the same search on the same rows is not run again."""
+    styles = tuple(styles)
+    draws = {s: sample_params(grid or grid_for(s), n_iter, seed) for s in styles}
+    data = with_folds(train, folds, fold_col, contiguous).select(C.KEY, *C.FEATURES, target, fold_col).checkpoint(eager=True)
+    digest = model_store.digest(data)
+    key = model_store.key_of(digest, "search", draws, folds, seed, target)
+    path = model_store.find(train.sparkSession, key)
+    if path is None:
+        table = boosting.bin_rows(data, C.FEATURES, target, C.KEY, fold_col)
+        specs = [boosting.spec_for(s, p, seed) for s in styles for p in draws[s]]
+        r2 = boosting.cross_validated(table, specs, folds).mean(axis=1)
+        at = np.cumsum([0] + [len(draws[s]) for s in styles])
+        rows = [(s, i, json.dumps(draws[s][i]), float(r2[at[k] + i])) for k, s in enumerate(styles) for i in range(len(draws[s]))]
+        scores = train.sparkSession.createDataFrame(rows, "model string, draw int, params string, cv_r2 double")
+        path = model_store.publish(train.sparkSession, key, lambda p: scores.coalesce(1).write.parquet(f"{p}/scores"))
+    found = train.sparkSession.read.parquet(f"{path}/scores").orderBy("model", "draw").collect()
+    scores = {s: [r["cv_r2"] for r in found if r["model"] == s] for s in styles}
+    best = {s: max(range(len(draws[s])), key=lambda i: scores[s][i]) for s in styles}
+    fitted = fit_boosted(data, [(s, draws[s][best[s]]) for s in styles], target, seed, digest=digest)
+    return {s: Search(f, draws[s][best[s]], scores[s][best[s]],
+                      [(p, r, i == best[s]) for i, (p, r) in enumerate(zip(draws[s], scores[s]))])
+            for s, f in zip(styles, fitted)}
+
+
+def random_search(train: DataFrame, style: str, n_iter: int = C.SEARCH_ITERATIONS, folds: int = C.CV_FOLDS, **more):
+    """One family's search: (FittedModel, best params, best CV R², [(params, CV R², is best)])."""
+    s = random_searches(train, [style], n_iter, folds, **more)[style]
+    return s.fitted, s.best, s.score, s.draws
+
+
+def fit_boosted(train: DataFrame, wanted: list[tuple[str, dict]], target: str = C.TARGET, seed: int = C.SPLIT_SEED,
+                digest: str | None = None) -> list[FittedModel]:
+    """M3–M5: the models (family, params), from the model store where the same rows, parameters and seed were fitted before;
+    the others are grown together in one pass over the binned rows, and stored."""
+    spark = train.sparkSession
+    digest = digest or model_store.digest(train.select(C.KEY, *C.FEATURES, target))
+    keys = [model_store.key_of(digest, "boosted", style, params, target, seed) for style, params in wanted]
+    missing = [k for k in dict.fromkeys(keys) if model_store.find(spark, k) is None]
+    if missing:
+        table = boosting.bin_rows(train, C.FEATURES, target, C.KEY)
+        new = [wanted[keys.index(k)] for k in missing]
+        models = boosting.fit(table, [boosting.spec_for(style, params, seed) for style, params in new])
+        for k, (style, _), model in zip(missing, new, models):
+            fitted = FittedModel(style, model, False, list(C.FEATURES))
+            model_store.publish(spark, k, lambda path, fitted=fitted: save_model(fitted, path))
+    return [load_model(model_store.find(spark, k)) for k in keys]
+
+
+def fit_gbt(train: DataFrame, style: str, params: dict, target: str = C.TARGET, seed: int = C.SPLIT_SEED) -> FittedModel:
+    """One boosted model, fitted once per rows, parameters and seed."""
+    return fit_boosted(train, [(style, params)], target, seed)[0]
 
 
 def gain_importance(spark, fitted: FittedModel, digits: int = 4) -> DataFrame:
     """Normalised split-gain importance (%) per feature, ranked."""
-    imp = fitted.model.featureImportances.toArray()
+    imp = fitted.model.importance()
     total = float(sum(imp)) or 1.0
     rows = [(f, float(v) * 100.0 / total) for f, v in zip(fitted.features, imp)]
     df = spark.createDataFrame(rows, "feature string, importance_pct double")
@@ -224,25 +232,38 @@ _MODEL_CACHE: dict[str, FittedModel] = {}
 
 
 def save_model(fitted: FittedModel, path: str) -> str:
-    """Save a model with a one-row table of what serving needs (name, kind, features, target scale)."""
+    """Save a model with a one-row table of what serving needs (name, kind, features, target scale, start value)."""
     from pyspark.sql import SparkSession
-    kind = "gbt" if hasattr(fitted.model, "treeWeights") else "linear"
-    fitted.model.write().overwrite().save(f"{path}/model")
-    meta = [(fitted.name, kind, list(fitted.features), bool(fitted.log_target))]
-    (SparkSession.getActiveSession().createDataFrame(
-        meta, "name string, kind string, features array<string>, log_target boolean")
+    spark = SparkSession.getActiveSession()
+    boosted = isinstance(fitted.model, BoostedTrees)
+    if boosted:
+        trees = [(r["tree"], r["feature"], r["threshold"], r["left"], r["right"], r["value"], r["cover"], r["gain"])
+                 for r in fitted.model.rows()]
+        spark.createDataFrame(trees, TREES).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    else:
+        fitted.model.write().overwrite().save(f"{path}/model")
+    meta = [(fitted.name, "boosted" if boosted else "linear", list(fitted.features), bool(fitted.log_target),
+             fitted.model.start if boosted else 0.0)]
+    (spark.createDataFrame(meta, "name string, kind string, features array<string>, log_target boolean, start double")
      .coalesce(1).write.mode("overwrite").parquet(f"{path}/meta"))
     _MODEL_CACHE.pop(path, None)
     return path
 
 
+TREES = boosting.TREE.removeprefix("model int, ")
+
+
 def load_model(path: str) -> FittedModel:
     """Load a saved model by its path alone; the handle is kept until the path is saved to again."""
     if path not in _MODEL_CACHE:
-        from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
+        from pyspark.ml.regression import LinearRegressionModel
         from pyspark.sql import SparkSession
-        meta = SparkSession.getActiveSession().read.parquet(f"{path}/meta").first()
-        cls = {"gbt": GBTRegressionModel, "linear": LinearRegressionModel}[meta["kind"]]
-        _MODEL_CACHE[path] = FittedModel(meta["name"], cls.load(f"{path}/model"), meta["log_target"],
-                                         list(meta["features"]))
+        spark = SparkSession.getActiveSession()
+        meta = spark.read.parquet(f"{path}/meta").first()
+        if meta["kind"] == "boosted":
+            trees = spark.read.schema(TREES).parquet(f"{path}/model").toArrow().to_pylist()  # the size of the model
+            model = BoostedTrees.of(list(meta["features"]), meta["start"], trees)
+        else:
+            model = LinearRegressionModel.load(f"{path}/model")
+        _MODEL_CACHE[path] = FittedModel(meta["name"], model, meta["log_target"], list(meta["features"]))
     return _MODEL_CACHE[path]

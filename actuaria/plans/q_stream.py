@@ -71,9 +71,9 @@ def fitted_profiles(spark, sf):
     attributions; the three boosted families give the band."""
     from actuaria.operators import explain as X
     from actuaria.operators import models as Mo
-    from actuaria.plans.q_models import PUBLISHED, training_setup
+    from actuaria.plans.q_models import FAMILIES, PUBLISHED, training_setup
     train, _, scaler, source = training_setup(spark, sf)
-    members = [Mo.fit_gbt(train, s, PUBLISHED) for s in ("xgboost", "lightgbm", "gradient_boosting")]
+    members = Mo.fit_boosted(train, [(s, PUBLISHED) for s in FAMILIES])
     primary = members[0]
     prof = S.score_cost(S.with_features(source.drop("split"), scaler=scaler), primary, "cost")
     prof = S.what_if(prof, primary, scaler=scaler)

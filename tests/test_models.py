@@ -80,50 +80,56 @@ def test_ols_one_feature_matches_numpy(train):
     assert fitted.model.intercept == pytest.approx(icpt, rel=1e-9)
 
 
-def _cond_exp(nodes, x, subset):
+def _cond_exp(model, root, x, subset):
     """Path-dependent E[f | x_S] of one tree by direct recursion."""
-    def go(nid):
-        pred, cover, left, right, feat, thr = nodes[nid]
-        if left < 0:
-            return pred
-        if feat in subset:
-            return go(left if x[feat] <= thr[0] else right)
-        return (nodes[left][1] * go(left) + nodes[right][1] * go(right)) / cover
-    return go(0)
-
-
-def test_tree_attributions_equal_brute_force_shapley(spark, gbt, train):
-    flat = X.flatten_trees(spark, gbt)
-    pdf = train.select(*C.FEATURES).limit(3).toPandas().to_numpy(float)
-    phi = X.shap_matrix(pdf, flat, 10)
-    # brute force from the same saved trees
-    from actuaria.session import scratch_path
-    path = scratch_path(spark, "bf")
-    gbt.model.write().overwrite().save(path)
-    data = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
-        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold").collect()
-    trees = {}
-    for r in data:
-        trees.setdefault(r[0], {})[r[1]] = tuple(r[2:])
-    weights = gbt.model.treeWeights
+    def go(at):
+        if model.left[at] == at:
+            return model.value[at]
+        left, right = model.left[at], model.right[at]
+        if model.feature[at] in subset:
+            return go(left if x[model.feature[at]] <= model.threshold[at] else right)
+        return (model.cover[left] * go(left) + model.cover[right] * go(right)) / model.cover[at]
+    return go(root)
+
+
+@pytest.mark.parametrize("cells", [None, 4])
+def test_tree_attributions_equal_brute_force_shapley(spark, gbt, train, cells):
+    model = gbt.model
+    flat = X.flatten_trees(model)
+    rows = train.select(*C.FEATURES).limit(3).toPandas().to_numpy(float)
+    phi = X.shap_matrix(rows, *X.lookup_tables(flat, 10, cells))
     n = 10
-    for row_i, xrow in enumerate(pdf):
-        def v(S):
-            return sum(w * _cond_exp(trees[t], xrow, S) for t, w in enumerate(weights))
+    for row_i, xrow in enumerate(rows):
+        used = sorted(set(model.feature.tolist()))
+        value = {}
+
+        def v(s):
+            s = tuple(sorted(s))
+            if s not in value:
+                value[s] = sum(_cond_exp(model, r, xrow, s) for r in model.root)
+            return value[s]
         for i in range(n):
             others = [j for j in range(n) if j != i]
             tot = 0.0
             for size in range(n):
-                for S in combinations(others, size):
+                for subset in combinations(others, size):
                     wgt = factorial(size) * factorial(n - size - 1) / factorial(n)
-                    tot += wgt * (v(set(S) | {i}) - v(set(S)))
+                    tot += wgt * (v(set(subset) | {i}) - v(set(subset))) if i in used else 0.0
             assert phi[row_i, i] == pytest.approx(tot, abs=1e-6)
         pred = Mo.predict(spark.createDataFrame([tuple(float(a) for a in xrow)],
                                                 ", ".join(f"{f} double" for f in C.FEATURES)), gbt, "p", prefix="")
         assert phi[row_i].sum() + flat["expected"] == pytest.approx(pred.first()["p"], abs=1e-6)
 
 
+def test_tables_of_a_deep_model_add_up(train):
+    [deep] = Mo.fit_boosted(train, [("lightgbm", {"n_estimators": 25, "max_depth": 7, "num_leaves": 31})])
+    rows = train.select(*C.FEATURES).limit(200).toPandas().to_numpy(float)
+    flat = X.flatten_trees(deep.model)
+    for cells in (64, 1 << 13):
+        phi = X.shap_matrix(rows, *X.lookup_tables(flat, 10, cells))
+        assert np.allclose(phi.sum(axis=1) + flat["expected"], deep.model.predict(rows))
+
+
 def test_model_store_roundtrip(spark, gbt, train):
     from actuaria.session import scratch_path
     path = Mo.save_model(gbt, scratch_path(spark, "store"))
@@ -192,8 +198,46 @@ def test_search_reports_what_it_fits(train):
     grid = {"n_estimators": [2, 3], "max_depth": [2], "learning_rate": [0.3]}
     fitted, best, score, results = Mo.random_search(train, "xgboost", 2, 2, grid=grid)
     assert sorted(p["n_estimators"] for p, _, _ in results) == [2, 3] and sum(b for _, _, b in results) == 1
-    assert fitted.model.getNumTrees == best["n_estimators"] and score == max(m for _, m, _ in results)
-    assert not set(Mo.INERT) & set(Mo.search_grid("lightgbm"))
+    assert len(fitted.model.root) == best["n_estimators"] and score == max(m for _, m, _ in results)
+
+
+def test_a_second_query_starts_no_fit(spark, train, monkeypatch):
+    """The store answers by the rows' content, whatever their order and partitions, and by every parameter."""
+    from actuaria.operators import boosting
+    wanted = [("xgboost", {"n_estimators": 4, "max_depth": 2, "reg_alpha": 0.5}), ("gradient_boosting", {"n_estimators": 3})]
+    first = Mo.fit_boosted(train, wanted)
+    search = Mo.random_searches(train, ["xgboost"], 2, 2, grid={"n_estimators": [2, 4], "max_depth": [2], "learning_rate": [0.3]})
+    Mo._MODEL_CACHE.clear()
+
+    def no_fit(*a, **k):
+        raise AssertionError("fitted again")
+
+    monkeypatch.setattr(boosting, "grow", no_fit)
+    again = Mo.fit_boosted(train.repartition(5).orderBy("charges"), wanted)
+    assert [m.model.rows() for m in again] == [m.model.rows() for m in first] and again[0].name == "xgboost"
+    more = Mo.random_searches(train, ["xgboost"], 2, 2, grid={"n_estimators": [2, 4], "max_depth": [2], "learning_rate": [0.3]})
+    assert more["xgboost"].draws == search["xgboost"].draws
+    for other in (("xgboost", {"n_estimators": 4, "max_depth": 2}), ("xgboost", {**wanted[0][1], "reg_alpha": 0.1})):
+        with pytest.raises(AssertionError):
+            Mo.fit_boosted(train, [other])
+    with pytest.raises(AssertionError):
+        Mo.fit_boosted(train.limit(100), wanted[:1])
+
+
+def test_of_two_writers_of_a_key_one_entry_stays(spark):
+    from actuaria.operators import model_store
+    key = model_store.key_of("two writers", __import__("uuid").uuid4().hex)
+    assert model_store.find(spark, key) is None
+
+    def second(path):
+        spark.range(2).write.parquet(f"{path}/scores")
+
+    def first(path):
+        model_store.publish(spark, key, second)  # the other writer is faster
+        spark.range(7).write.parquet(f"{path}/scores")
+
+    path = model_store.publish(spark, key, first)
+    assert model_store.find(spark, key) == path and spark.read.parquet(f"{path}/scores").count() == 2
 
 
 def test_fitted_smoker_profile_costs_more_than_twice(spark, gbt, prep):

@@ -1,12 +1,15 @@
-"""The registered fits and searches do the published work (recorded, not run: a search fits 600 models)."""
+"""The registered fits and searches do the published work."""
+import json
+
 import pytest
 
 import __spark_entry__ as E
 from actuaria import config as C
+from actuaria.operators import boosting
 from actuaria.operators import models as Mo
 
 SF = "/root/testdata/sf0.001"
-SEARCHES = ["m7_m9_random_search", "m11_leaderboard_searched"]
+FAMILIES = ("xgboost", "lightgbm", "gradient_boosting")
 FITS = ["m3_gbt_xgboost_style", "m4_gbt_lightgbm_style", "m5_gbt_gradient_boosting_style", "m11_leaderboard_fitted",
         "m12_gain_importance", "m12_importance_facts", "m13_m14_fitted_winner", "s8_model_roundtrip",
         "i5_tree_shap_policy", "i5_tree_shap_facts", "i9_batch_predict_gbt", "t_stream_batch_predict_gbt",
@@ -17,48 +20,47 @@ class Stop(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", SEARCHES)
-def test_search_has_the_published_size(spark, monkeypatch, name):
+def test_search_is_the_published_one(spark, monkeypatch):
+    """40 draws of each family from its whole published grid, on 5 folds of the training rows, in one call."""
     seen = []
 
-    def fit(self, data):
-        grid = [{p.name: v for p, v in m.items()} for m in self.getEstimatorParamMaps()]
-        seen.append((self.getNumFolds(), grid))
+    def grow(table, specs, keep=True, whole_bytes=0):
+        seen.append((table, specs, keep))
         raise Stop
 
-    monkeypatch.setattr(Mo.CrossValidator, "fit", fit)
+    monkeypatch.setattr(boosting, "grow", grow)
+    monkeypatch.setattr(Mo.model_store, "find", lambda spark, key: None)
     with pytest.raises(Stop):
-        E.queries()[name](spark, SF).collect()
-    folds, grid = seen[0]
-    assert folds == C.CV_FOLDS == 5 and len(grid) == C.SEARCH_ITERATIONS == 40
-    assert {m["maxIter"] for m in grid} <= set(C.COMMON_PARAM_GRID["n_estimators"])
-    assert len({m["subsamplingRate"] for m in grid}) > 1 and len({m["featureSubsetStrategy"] for m in grid}) > 1
-
-
-@pytest.mark.parametrize("name", SEARCHES)
-def test_families_draw_from_their_own_grids(spark, monkeypatch, name):
-    seen = {}
+        E.queries()["m7_m9_random_search"](spark, SF).collect()
+    [(table, specs, keep)] = seen
+    draws = {s: Mo.sample_params(Mo.grid_for(s), 40) for s in FAMILIES}
+    assert specs == [boosting.spec_for(s, p, 42, fold) for s in FAMILIES for p in draws[s] for fold in range(5)]
+    assert len(specs) == 3 * C.SEARCH_ITERATIONS * C.CV_FOLDS == 600 and not keep and table.n == 120
+    assert {s.alpha for s in specs} == {0, 0.1, 0.5, 1.0} and {s.leaves for s in specs} >= {15, 31, 50, 70, 100}
+    assert {s.min_split for s in specs} == {2, 5, 10} and {s.lam for s in specs} == {0, 1, 1.5, 2, 3}
 
-    def search(train, style, n_iter=C.SEARCH_ITERATIONS, folds=C.CV_FOLDS, grid=None, **more):
-        seen[style] = Mo.sample_params(grid or Mo.search_grid(style), n_iter)
-        params = {"n_estimators": 1, "max_depth": 1}
-        return Mo.fit_gbt(train, style, params), params, 0.0, [(params, 0.0, True)]
 
-    monkeypatch.setattr(Mo, "random_search", search)
-    E.queries()[name](spark, SF).collect()
-    assert seen == {s: Mo.sample_params(Mo.search_grid(s), 40) for s in ("xgboost", "lightgbm", "gradient_boosting")}
+def test_leaderboard_ranks_the_winners_of_the_search(spark):
+    found = E.queries()["m7_m9_random_search"](spark, SF).collect()
+    for style in FAMILIES:
+        rows = [r for r in found if r["model"] == style]
+        assert [json.loads(r["params"]) for r in rows] == Mo.sample_params(Mo.grid_for(style), 40)
+        assert [r["is_best"] for r in rows].index(True) == max(range(40), key=lambda i: rows[i]["cv_r2"])
+    board = E.queries()["m11_leaderboard_searched"](spark, SF).collect()
+    assert {r["model"] for r in board} == {*FAMILIES, "ridge_regression", "linear_regression"}
 
 
 @pytest.mark.parametrize("name", FITS)
 def test_fit_has_the_published_settings(spark, monkeypatch, name):
     seen = []
 
-    def fit(train, style, params, *more, **named):
-        seen.append(params)
+    def fit(train, wanted, *more, **named):
+        seen.extend(p for _, p in wanted)
         raise Stop
 
-    monkeypatch.setattr(Mo, "fit_gbt", fit)
+    monkeypatch.setattr(Mo, "fit_boosted", fit)
     with pytest.raises(Stop):
         E.queries()[name](spark, SF).collect()
     assert (seen[0]["n_estimators"], seen[0]["learning_rate"], seen[0]["max_depth"]) == (500, 0.01, 3)
     assert (seen[0]["subsample"], seen[0]["colsample_bytree"]) == (0.8, 0.9)
+    assert (seen[0]["reg_alpha"], seen[0]["reg_lambda"], seen[0]["num_leaves"], seen[0]["min_samples_split"]) == (0.1, 1.5, 31, 5)
