@@ -70,33 +70,81 @@ def clip_outliers(df: DataFrame, cols: Sequence[str], k: float = C.IQR_K,
 
 # ---------------------------------------------------------------- P4–P6
 
+#: Classes of a column up to which its codes are literals; share of the rows from which a class counts as frequent;
+#: classes of a range that is ranked at once; categories that may become columns.
+LITERAL_CLASSES, FREQUENT, RANGE_CLASSES, MOST_CATEGORIES = 512, 1000, 200_000, 10_000
+
+
+def class_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, class, n) of every class, counted where the rows are before anything moves; written once."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "class")
+    return long.where(F.col("class").isNotNull()).groupBy("column", "class").agg(
+        F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+
+
+def ranked_classes(counts: DataFrame, range_classes: int = RANGE_CLASSES) -> DataFrame:
+    """(column, class, n, code): a dense rank without a column's classes in one task.
+
+    The classes are cut into ranges in their order, ranked inside their range, and moved by the classes of the
+    ranges before."""
+    parts = max(1, -(-counts.count() // range_classes))
+    # which range a class lies in depends on a sample: written once, so that every later step sees the same
+    ranged = counts.repartitionByRange(parts, "column", "class").withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    sizes = ranged.groupBy("column", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = sizes.select("column", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("column", "_part").orderBy("class")
+    return (ranged.withColumn("_rank", F.row_number().over(inside)).join(offsets, ["column", "_part"])
+            .select("column", "class", "n", (F.col("_off") + F.col("_rank") - 1).cast("int").alias("code")))
+
+
 def label_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """P5: (column, class, code) with classes sorted ascending, codes from 0."""
-    vals = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], list(cols), "column", "class").where(F.col("class").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("class")  # distinct classes per column
-    return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    return ranked_classes(class_counts(df, cols)).select("column", "class", "code")
 
 
-def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def label_encode(df: DataFrame, cols: Sequence[str], literal: int = LITERAL_CLASSES,
+                 range_classes: int = RANGE_CLASSES) -> DataFrame:
     """Replace each column by its alphabetical class code.
 
-    The classes are a fitted state, like a scaler's moments: they come back once and are
-    applied as one constant map per column, so the rows are never joined on a class."""
+    The classes are a fitted state, like a scaler's moments.  A column with up to ``literal`` of them gets its codes as
+    one constant map, and its rows are not joined.  A column with more is joined to its classes; those that hold more than a
+    thousandth of the rows (so at most a thousand) are literals all the same, so no join key is frequent."""
+    ranked = ranked_classes(class_counts(df, cols), range_classes).checkpoint(eager=True)
+    sizes = {r["column"]: (r["m"], r["rows"]) for r in ranked.groupBy("column").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("rows")).collect()}
+    many = [c for c in cols if sizes.get(c, (0, 0))[0] > literal]
+    often = F.lit(False)
+    for c in many:
+        often = often | ((F.col("column") == c) & (F.col("n") * FREQUENT > sizes[c][1]))
     codes: dict[str, dict] = {c: {} for c in cols}
-    for r in label_mapping(df, cols).collect():
+    for r in ranked.where(~F.col("column").isin(many) | often).collect():  # at most ``literal`` or FREQUENT a column
         codes[r["column"]][r["class"]] = r["code"]
 
-    def code(c: str):
+    def known(c: str):
         pairs = [x for k, v in codes[c].items() for x in (F.lit(k), F.lit(v))]
         return F.create_map(*pairs)[F.col(c).cast("string")] if pairs else F.lit(None).cast("int")
 
-    return df.withColumns({c: code(c) for c in cols}).select(*df.columns)
-
-
-def fit_categories(df: DataFrame, column: str) -> list:
-    """The distinct non-null values of a column, ascending."""
-    return [r[0] for r in df.select(column).distinct().where(F.col(column).isNotNull()).orderBy(column).collect()]
+    out, own = df, "_"
+    while any(c.startswith(own) for c in df.columns):
+        own += "_"
+    for k, c in enumerate(many):
+        dictionary = ranked.where((F.col("column") == c) & (F.col("n") * FREQUENT <= sizes[c][1])).select(
+            F.col("class").alias(f"{own}class{k}"), F.lit(0).alias(f"{own}salt{k}"), F.col("code").alias(f"{own}code{k}"))
+        alone = known(c).isNotNull() | F.col(c).isNull()  # frequent and missing classes find nothing, spread over the join
+        out = out.withColumns({f"{own}class{k}": F.when(alone, F.lit("")).otherwise(F.col(c).cast("string")),
+                               f"{own}salt{k}": F.when(alone, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(1024)).cast("int"))
+                               .otherwise(F.lit(0))}).join(dictionary, [f"{own}class{k}", f"{own}salt{k}"], "left")
+    made = {c: F.coalesce(known(c), F.col(f"{own}code{many.index(c)}")) if c in many else known(c) for c in cols}
+    return out.select(*[made[c].alias(c) if c in made else F.col(c) for c in df.columns])
+
+
+def fit_categories(df: DataFrame, column: str, most: int = MOST_CATEGORIES) -> list:
+    """The distinct non-null values of a column, ascending; they become columns, so there may be ``most`` of them."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} categories")
+    return sorted(found)
 
 
 def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None,

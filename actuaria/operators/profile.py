@@ -9,8 +9,11 @@ no repeated subquery per reference.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -280,8 +283,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6,
                        lower_only: bool = False) -> DataFrame:
     """Pearson correlation for every pair in **one** aggregate,
     unpivoted to (var_a, var_b, corr).  ``lower_only`` keeps pairs below the
-    diagonal (index of var_a > index of var_b)."""
+    diagonal (index of var_a > index of var_b).  From ``WIDE`` columns on the sums are taken as matrices."""
     cols = list(cols)
+    if len(cols) >= WIDE:
+        return wide_correlation_matrix(df, cols, digits, lower_only)
     pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols)) if (i > j if lower_only else True)]
     unique = sorted({(min(i, j), max(i, j)) for i, j in pairs})
     agg = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c_{i}_{j}")
@@ -292,6 +297,96 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6,
     return agg.select(F.inline(rows))
 
 
+#: Columns from which a correlation matrix is summed as matrices instead of one expression per pair.
+WIDE = 24
+
+
+@dataclass
+class Gram:
+    """Sums over the rows where both columns of a pair hold a value, about ``centre``: counts, x, x squared, x times y."""
+    centre: np.ndarray
+    n: np.ndarray
+    x: np.ndarray
+    xx: np.ndarray
+    xy: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Gram:
+        there = ~np.isnan(rows)
+        count = np.maximum(there.sum(axis=0), 1)
+        centre = np.where(there, rows, 0.0).sum(axis=0) / count
+        x, w = np.where(there, rows - centre, 0.0), there.astype(float)
+        return cls(centre, w.T @ w, x.T @ w, (x * x).T @ w, x.T @ x)
+
+    def about(self, centre: np.ndarray) -> Gram:
+        d = (self.centre - centre)[:, None]
+        return Gram(centre, self.n, self.x + self.n * d, self.xx + 2 * d * self.x + self.n * d * d,
+                    self.xy + d * self.x.T + self.x * d.T + self.n * d * d.T)
+
+    def __add__(self, other: Gram) -> Gram:
+        mine, theirs = np.diag(self.n), np.diag(other.n)
+        centre = (self.centre * mine + other.centre * theirs) / np.maximum(mine + theirs, 1)
+        a, b = self.about(centre), other.about(centre)
+        return Gram(centre, a.n + b.n, a.x + b.x, a.xx + b.xx, a.xy + b.xy)
+
+    def correlations(self) -> np.ndarray:
+        n = np.maximum(self.n, 1)
+        cov = self.xy - self.x * self.x.T / n
+        var = self.xx - self.x * self.x / n
+        both = var * var.T
+        return np.where(both > 0, cov / np.sqrt(np.where(both > 0, both, 1.0)), np.nan)
+
+    def pack(self) -> bytes:
+        return np.concatenate([self.centre, *(m.ravel() for m in (self.n, self.x, self.xx, self.xy))]).tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes, d: int) -> Gram:
+        a = np.frombuffer(raw)
+        return cls(a[:d], *(m.reshape(d, d) for m in np.split(a[d:], 4)))
+
+
+def wide_correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, lower_only: bool = False) -> DataFrame:
+    """E17/E18 for many columns: as ``correlation_matrix``, from one pass over blocks of rows.
+
+    A task turns its rows into sums of products, matrix by matrix; these are added up as a tree.  The plan does not
+    grow with the number of pairs."""
+    cols, d = list(cols), len(cols)
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+                part = Gram.of(x)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.pack()], pa.binary())], names=["gram"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for raw in batch.column("gram"):
+                part = Gram.unpack(raw.as_py(), d)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.pack()], pa.binary())], names=["gram"])
+
+    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in added(batches):
+            r = Gram.unpack(batch.column("gram")[0].as_py(), d).correlations()
+            for i in range(d):
+                at = [j for j in range(d) if i > j or not lower_only]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([cols[i]] * len(at), pa.string()), pa.array([cols[j] for j in at], pa.string()),
+                     pa.array([None if np.isnan(r[i, j]) else r[i, j] for j in at], pa.float64())], names=["var_a", "var_b", "corr"])
+
+    rows = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"c{k}") for k, c in enumerate(cols)])
+    parts = rows.mapInArrow(block, "gram binary")
+    some = parts.repartition(16).mapInArrow(added, "gram binary")
+    return some.coalesce(1).mapInArrow(matrix, "var_a string, var_b string, corr double").select(
+        "var_a", "var_b", F.round("corr", digits).alias("corr"))
+
+
 def target_correlations(df: DataFrame, cols: Sequence[str], target: str, digits: int = 6) -> DataFrame:
     """Correlation of each column with the target, ranked descending."""
     agg = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])

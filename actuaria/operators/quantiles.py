@@ -4,18 +4,16 @@
 in-memory map of the final aggregation task, which does not survive a
 high-cardinality column at scale.  This operator computes the same numbers
 (the "linear" definition: h = p·(n−1), value = x[⌊h⌋] + (h−⌊h⌋)·(x[⌊h⌋+1] − x[⌊h⌋]))
-with a distributed prefix sum:
+by descending to the target ranks:
 
 1. distinct (group, value) counts — a partial/final hash aggregate, so a
    value held by a third of the rows is still one row per map task;
-2. approximate bucket boundaries per group over those distinct values
-   (bounded sketch), so every bucket holds a similar number of distinct values;
-3. bucket offsets from a window over the small (groups × buckets) bucket
-   totals; the bucket holding each target rank is found there, so only
-   those few buckets (≤ 2 per probability) are ranked, by a window
-   partitioned by bucket — never by the whole column;
-4. the two order statistics around each target rank are picked by an
-   equi-join on the group plus a rank-range condition.
+2. while a range that holds a target rank has more than ``RANKED`` distinct values, it is cut at ``CUTS`` - 1
+   approximate quantiles (a small sketch, the same at every table size); the ranges' totals say in which
+   of them each target lies, and only those (≤ 2 per probability) go on.  A level divides a range by about
+   ``CUTS``, so the number of levels grows with the logarithm of the distinct values, and the plan of a level is constant;
+3. the ranges left are ranked, by a window partitioned by range — at most ``RANKED`` rows —, and the two order
+   statistics around each target rank are picked by an equi-join on the range plus a rank condition.
 
 ``method="approx"`` switches to ``percentile_approx`` for callers that
 accept an approximation.
@@ -44,23 +42,15 @@ def count_below(sorted_arr, v):
         (a + s <= n) & (F.get(sorted_arr, a + s - 1) < v), a + s).otherwise(a))
 
 
-def fraction_literal(parts: int):
-    """The inner fractions 1/parts, 2/parts ... as one constant array."""
-    return F.split(F.lit(",".join(repr(i / parts) for i in range(1, max(2, parts)))), ",").cast("array<double>")
-
-
-def auto_buckets(n_distinct: int, per_bucket: int = 50_000, lo: int = 16) -> int:
-    """Buckets so that a ranked bucket holds about ``per_bucket`` distinct values, however many there are."""
-    return int(max(lo, -(-n_distinct // per_bucket)))
-
-
+#: Distinct values of a range that is ranked as it is; parts that a larger one is cut into; accuracy of the cuts.
+RANKED, CUTS, ACCURACY = 50_000, 64, 2_000
 #: Copies of the per-group bounds, so that joining them moves no group to one task.
 SALTS = 32
 
 
 def percentiles_long(long: DataFrame, probs: Sequence[float], by: Sequence[str],
-                     value_col: str = "value", buckets: int | None = None,
-                     accuracy: int = 10000, method: str = "exact") -> DataFrame:
+                     value_col: str = "value", accuracy: int = 10000, method: str = "exact",
+                     ranked: int = RANKED, cuts: int = CUTS) -> DataFrame:
     """Quantiles of ``value_col`` for every ``by`` group → (by..., p, value)."""
     by = list(by)
     probs = [float(p) for p in probs]
@@ -72,59 +62,30 @@ def percentiles_long(long: DataFrame, probs: Sequence[float], by: Sequence[str],
                 .select(*by, "p", value_col))
 
     v = F.col(value_col)
-    # distinct values with counts, written once: every later branch (bounds,
-    # bucket totals, the ranked buckets) reads this instead of the source
-    counts = long.groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")).checkpoint(eager=True)
-    if buckets is None:
-        buckets = auto_buckets(counts.count())
-
-    fractions = fraction_literal(buckets)
-    accuracy = max(accuracy, 4 * buckets)
-    bounds = counts.groupBy(*by).agg(
-        F.percentile_approx(value_col, fractions, accuracy).alias("_bounds"),
-        F.sum("_cnt").alias("_n"))
-
-    # a group may hold a third of all values: its bounds are copied per salt, its values are spread over them
-    salted = bounds.select(*by, "_bounds", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    bucketed = (counts.withColumn("_salt", F.pmod(F.xxhash64(v), F.lit(SALTS)).cast("int"))
-                .join(salted, [*by, "_salt"], "inner")
-                .withColumn("_bucket", count_below(F.col("_bounds"), v)).drop("_bounds", "_salt"))
-
-    # small side: (groups × buckets) totals and their running offsets
-    bucket_totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("_cnt").alias("_bcnt"))
-    w_off = (Window.partitionBy(*by).orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = bucket_totals.withColumn("_off", F.coalesce(F.sum("_bcnt").over(w_off), F.lit(0)))
-
-    targets = (bounds.select(*by, "_n")
-               .withColumn("p", F.explode(F.array(*[F.lit(p) for p in probs])))
-               .withColumn("_h", F.col("p") * (F.col("_n") - 1))
-               .withColumn("_lo", F.floor("_h"))
-               .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
-               .select(*by, "p", "_h", "_lo", "_hi"))
-    # each target rank lives in exactly one bucket: small × small join
-    ranks = targets.select(*by, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    located = ranks.join(offsets, by).where(
-        (F.col("_off") <= F.col("_r")) & (F.col("_r") < F.col("_off") + F.col("_bcnt")))
-    needed = located.select(*by, "_bucket", "_off").distinct()
-
-    # only the rows of the needed buckets are ranked
-    w_in = (Window.partitionBy(*by, "_bucket").orderBy(value_col)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    # ``needed`` has ≤ 2·|probs| rows per group; its size grows with the
-    # number of groups, so the join strategy is left to AQE's runtime size check
-    ranked = (bucketed.join(needed, [*by, "_bucket"], "inner")
-              .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_cnt").over(w_in), F.lit(0)))
-              .withColumn("_end", F.col("_start") + F.col("_cnt"))
-              .select(*by, value_col, "_start", "_end"))
-
-    def covers(r):
-        return (F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end"))
-
-    hits = ranked.join(targets, by, "inner").where(covers("_lo") | covers("_hi"))
-    picked = hits.groupBy(*by, "p").agg(
-        F.max(F.when(covers("_lo"), v)).alias("_vlo"),
-        F.max(F.when(covers("_hi"), v)).alias("_vhi"),
+    # distinct values with counts, written once: every later step reads this instead of the source
+    rows = long.groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_range", F.lit("")).checkpoint(eager=True)
+    sizes = rows.groupBy(*by).agg(F.sum("_cnt").alias("_n"), F.count(F.lit(1)).alias("_m")).checkpoint(eager=True)
+    targets = (sizes.select(*by, "_n").withColumn("p", F.explode(F.array(*[F.lit(p) for p in probs])))
+               .withColumn("_h", F.col("p") * (F.col("_n") - 1)).withColumn("_lo", F.floor("_h"))
+               .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1)).select(*by, "p", "_h", "_lo", "_hi"))
+    # (group, range, rank in the range, rank in the group) of each order statistic wanted
+    ranks = targets.select(*by, F.lit("").alias("_range"), F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
+    ranks = ranks.withColumn("_t", F.col("_r"))
+    widest = sizes.agg(F.max("_m")).first()[0] or 0
+    while widest > ranked:
+        rows, ranks, new = _narrowed(rows, ranks, by, value_col, cuts)
+        if new >= widest:
+            raise RuntimeError("cuts no longer part the values")
+        widest = new
+
+    w = Window.partitionBy(*by, "_range").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_start", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+    hit = placed.join(ranks, [*by, "_range"]).where(
+        (F.col("_start") <= F.col("_t")) & (F.col("_t") < F.col("_start") + F.col("_cnt")))
+    found = hit.select(*by, "_r", value_col)
+    low, high = F.col("_r") == F.col("_lo"), F.col("_r") == F.col("_hi")
+    picked = found.join(targets, by).where(low | high).groupBy(*by, "p").agg(
+        F.max(F.when(low, v)).alias("_vlo"), F.max(F.when(high, v)).alias("_vhi"),
         F.max("_h").alias("_h"), F.max("_lo").alias("_lo"))
     return picked.select(
         *by, "p",
@@ -132,6 +93,27 @@ def percentiles_long(long: DataFrame, probs: Sequence[float], by: Sequence[str],
         .alias(value_col))
 
 
+def _narrowed(rows: DataFrame, ranks: DataFrame, by: list[str], name: str, cuts: int) -> tuple[DataFrame, DataFrame, int]:
+    """One level down: (rows of the ranges that hold a rank, ranks in these ranges, distinct values of the largest)."""
+    at, v = [*by, "_range"], F.col(name)
+    bounds = rows.groupBy(*at).agg(F.array_distinct(F.percentile_approx(
+        v, F.array(*[F.lit(k / cuts) for k in range(1, cuts)]), ACCURACY)).alias("_bounds"))
+    # a range may hold a third of all values: its bounds are copied per salt, its values are spread over them
+    salted = bounds.select(*at, "_bounds", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    cut = (rows.withColumn("_salt", F.pmod(F.xxhash64(v), F.lit(SALTS)).cast("int")).join(salted, [*at, "_salt"])
+           .withColumn("_part", count_below(F.col("_bounds"), v)).drop("_bounds", "_salt"))
+    totals = cut.groupBy(*at, "_part").agg(F.sum("_cnt").alias("_sum"), F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*at).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``cuts`` rows
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    located = ranks.join(offsets, at).where((F.col("_off") <= F.col("_t")) & (F.col("_t") < F.col("_off") + F.col("_sum")))
+    inner = F.concat("_range", F.lit("."), F.col("_part").cast("string"))
+    located = located.checkpoint(eager=True)
+    kept = cut.join(located.select(*at, "_part").distinct(), [*at, "_part"], "left_semi").select(
+        *by, name, "_cnt", inner.alias("_range")).checkpoint(eager=True)
+    left = located.select(*by, inner.alias("_range"), "_r", (F.col("_t") - F.col("_off")).alias("_t"))
+    return kept, left, located.agg(F.max("_m")).first()[0] or 0
+
+
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    names: Sequence[str], group_cols: Sequence[str] = (),
                    method: str = "exact") -> DataFrame:

@@ -3,20 +3,17 @@
 Exact search without all pairs
 ------------------------------
 Base and query points live in the weighted space (feature × √weight).  The base
-rows of each stratum are cut into equally filled cells: slabs of the first grid
-dimension by approximate quantiles, then cells of the second one inside each
-slab.  Cells follow the data, so an outlier or a dense cluster does not change
-how many points a cell holds, no cell is empty, and a stratum with few rows has
-few cells.  A query first looks into its own cell and the two beside it; the k-th
-distance D found there bounds the true one.  It then visits the cells whose box
-in the grid dimensions is within D, slab by slab: the distance to the slab
-leaves so much for the second dimension.  Points are only ever joined to
-queries by (stratum, slab, cell).
-
-Identical base vectors (a hot duplicate group) are reduced to their k lowest keys
-before the search.  A (slab, cell) that still holds many rows, because many vectors
-share both grid values, is an ordinary equi-join key for the skew-join handling of
-adaptive execution.
+rows of each stratum form a tree of boxes: a node with more than ``LEAF`` rows is cut, along the dimension in
+which its box is widest, at up to ``FAN`` - 1 quantiles, until every leaf is small.  Cuts follow the
+data in all dimensions, so neither outliers, nor dense clusters, nor many rows that agree in some dimensions
+make a leaf large: rows of equal vectors are reduced to their k lowest keys first, and different ones can be cut.
+
+A query first goes down to the nearest leaf; the k-th distance there (or that to the far corner of a box
+on the way that holds k rows) bounds the true one.  It then goes down again into every box within the
+bound, and meets the rows of the leaves it reaches.  Rows and queries only join on a leaf.
+
+The distance scale (K4) needs the k-th neighbour of every base row, and asks for all at once: leaves
+whose boxes are within the bound of one of the two are paired, each pair is compared once, for both its sides.
 
 Distances are compared at 1e-9 resolution with ties going to the lower
 base key.
@@ -31,11 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actuaria import config as C
-from actuaria.operators.quantiles import fraction_literal, percentiles_long
+from actuaria.operators.quantiles import percentiles_long
+from actuaria.session import scratch_path
 
 TIE_DIGITS = 9
-#: Copies of the per-stratum cuts, so that joining them moves no stratum to one task.
-SALTS = 16
+#: Rows of a leaf, and children of a node, at most.
+LEAF, FAN = 64, 4
+#: Slack of a bound, for the rounding of distances.
+SLACK = 2e-9
 
 
 def weighted(df: DataFrame, cols: Sequence[str] = C.KNN_FEATURES,
@@ -53,124 +53,196 @@ def _dist(n_dims: int, q: str = "q_", b: str = "w_"):
     return F.sqrt(total)
 
 
-def position(cuts, v):
-    """Number of elements of the ascending array ``cuts`` that are < v, by halving."""
-    n = F.size(cuts)
-    halves = F.array(*[F.lit(1 << i) for i in range(20, -1, -1)])
-    return F.aggregate(halves, F.lit(0), lambda a, s: F.when(
-        (a + s <= n) & (F.get(cuts, a + s - 1) < v), a + s).otherwise(a))
+@dataclass
+class BoxTree:
+    """Base rows with their leaf, and the boxes of all nodes, a table per level."""
+    rows: DataFrame            # bid, node, w_0..
+    levels: list[DataFrame]    # node, parent, n, far, lo_0.., hi_0..
+    dims: int
+    bid: str
+
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back, with its size known to the planner."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-@dataclass
-class Cells:
-    """Base rows with their cell, the slabs with their second cuts, and the first cuts of each stratum."""
-    rows: DataFrame      # bid, _bs, slab, cell, w_0..
-    slabs: DataFrame     # _ss, slab, ycuts, minx, maxx
-    strata: DataFrame    # _ts, xcuts
-    gx: int
-    gy: int
-
-
-def build_cells(base: DataFrame, k: int, n_dims: int, bid: str, stratum: str,
-                grid: tuple[int, int], per_cell: int) -> Cells:
-    """Cut the base rows of every stratum into cells of about ``per_cell`` rows."""
-    gx, gy = grid
-    x, y = F.col(f"w_{gx}"), F.col(f"w_{gy}")
+
+def root_of(stratum: str):
+    return F.concat(F.coalesce(F.col(stratum).cast("string"), F.lit("")), F.lit("/"))
+
+
+def _norm(terms):
+    total = F.lit(0.0)
+    for t in terms:
+        total = total + t * t
+    return F.sqrt(total)
+
+
+def build_tree(base: DataFrame, k: int, n_dims: int, bid: str, stratum: str, leaf: int = LEAF) -> BoxTree:
+    """The box tree of the base rows of every stratum; one aggregate and one join per level."""
+    leaf = max(leaf, k)
     wcols = [f"w_{i}" for i in range(n_dims)]
     dup = Window.partitionBy(stratum, *wcols).orderBy(bid)  # identical vectors: the k lowest keys
-    rows = (base.select(bid, F.col(stratum).alias("_bs"), *wcols).withColumnRenamed("_bs", stratum)
-            .withColumn("_dup", F.row_number().over(dup)).where(F.col("_dup") <= k).drop("_dup")
-            .checkpoint(eager=True))
-    total = rows.count()
-    side = max(1, math.ceil(math.sqrt(total / per_cell)))
-    fractions = F.concat(fraction_literal(side), F.array(F.lit(1.0)))
-    accuracy = max(10_000, 4 * side)
-
-    def cuts(v):
-        return F.array_sort(F.array_distinct(F.percentile_approx(v, fractions, accuracy)))
-
-    # one row per stratum / per (stratum, slab); both are far smaller than the base
-    strata = rows.groupBy(F.col(stratum).alias("_ts")).agg(cuts(x).alias("xcuts")).checkpoint(eager=True)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    slabbed = (rows.withColumn("_salt", F.pmod(F.xxhash64(bid), F.lit(SALTS)).cast("int"))
-               .join(strata.select(F.col("_ts").alias(stratum), "xcuts", salts), [stratum, "_salt"]))
-    slabbed = slabbed.withColumn("slab", position(F.col("xcuts"), x)).drop("xcuts", "_salt")
-    slabs = slabbed.groupBy(F.col(stratum).alias("_ss"), "slab").agg(
-        cuts(y).alias("ycuts"), F.min(x).alias("minx"), F.max(x).alias("maxx")).checkpoint(eager=True)
-    celled = (slabbed.join(slabs.select(F.col("_ss").alias(stratum), "slab", "ycuts"), [stratum, "slab"])
-              .withColumn("cell", position(F.col("ycuts"), y)).drop("ycuts")
-              .withColumnRenamed(stratum, "_bs").checkpoint(eager=True))
-    return Cells(celled, slabs, strata, gx, gy)
+    now = _kept(base.select(bid, stratum, *wcols).withColumn("_dup", F.row_number().over(dup)).where(F.col("_dup") <= k)
+                .select(bid, root_of(stratum).alias("node"), *wcols), "knn-rows")
+    fractions = F.array(*[F.lit(j / FAN) for j in range(1, FAN)])
+    done, levels = [], []
+    while True:
+        box = now.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), *[F.min(w).alias(f"lo_{i}") for i, w in enumerate(wcols)],
+            *[F.max(w).alias(f"hi_{i}") for i, w in enumerate(wcols)],
+            *[F.percentile_approx(w, fractions, 1000).alias(f"p_{i}") for i, w in enumerate(wcols)])
+        wide = F.array_max(F.array(*[F.struct((F.col(f"hi_{i}") - F.col(f"lo_{i}")).alias("s"), F.lit(i).alias("i"))
+                                     for i in range(n_dims)]))
+        box = box.withColumn("dim", F.when((F.col("n") > leaf) & (wide["s"] > 0), wide["i"]))
+        at = F.array(*[F.col(f"p_{i}") for i in range(n_dims)])[F.col("dim")]
+        lo, hi = (F.array(*[F.col(f"{c}_{i}") for i in range(n_dims)])[F.col("dim")] for c in ("lo", "hi"))
+        parts = F.least(F.lit(FAN), F.ceil(F.col("n") / leaf)).cast("int")
+        picked = F.transform(F.sequence(F.lit(1), parts - 1), lambda j: F.get(F.col("_at"), F.floor(j * FAN / parts).cast("int") - 1))
+        box = box.withColumn("_at", at).withColumn("_lo", lo).withColumn("_hi", hi)
+        cuts = F.array_sort(F.array_distinct(F.filter(picked, lambda c: c < F.col("_hi"))))
+        cuts = F.when(F.size(cuts) > 0, cuts).otherwise(F.array("_lo"))  # always two children at least
+        diagonal = _norm([F.col(f"hi_{i}") - F.col(f"lo_{i}") for i in range(n_dims)])
+        box = box.select("node", F.expr("left(node, length(node) - 1)").alias("parent"), "n", "dim",
+                         F.when(F.col("dim").isNotNull(), cuts).alias("cuts"),
+                         F.when(F.col("n") >= k, diagonal).otherwise(float("inf")).alias("far"),
+                         *[f"{c}_{i}" for c in ("lo", "hi") for i in range(n_dims)])
+        if levels:  # a box that holds k rows bounds the k-th distance of all rows inside
+            above = levels[-1].select(F.col("node").alias("parent"), F.col("far").alias("_far"))
+            box = box.join(above, "parent").withColumn("far", F.least("far", "_far")).drop("_far")
+        box = _kept(box, "knn-boxes")
+        levels.append(box.drop("dim", "cuts"))
+        cut = box.where("dim IS NOT NULL").select("node", "dim", "cuts")
+        if cut.isEmpty():
+            rows = now
+            for d in done:
+                rows = rows.unionByName(d)
+            return BoxTree(rows, levels, n_dims, bid)
+        value = F.array(*wcols)[F.col("dim")]
+        child = F.size(F.filter("cuts", lambda c: c < value))
+        moved = _kept(now.join(cut, "node", "left").withColumn("node", F.when(
+            F.col("dim").isNotNull(), F.concat("node", F.substring(F.lit("0123456789abcdef"), child + 1, F.lit(1))))
+            .otherwise(F.col("node"))).withColumn("open", F.col("dim").isNotNull()).drop("dim", "cuts"), "knn-rows")
+        done.append(moved.where("NOT open").drop("open"))
+        now = moved.where("open").drop("open")
+
+
+def _gap(n_dims: int, lo: str, hi: str, box_lo: str = "lo_", box_hi: str = "hi_"):
+    """Distance between two boxes (or of a point, where lo and hi are the same columns)."""
+    return _norm([F.greatest(F.col(f"{box_lo}{i}") - F.col(f"{hi}{i}"), F.col(f"{lo}{i}") - F.col(f"{box_hi}{i}"), F.lit(0.0))
+                  for i in range(n_dims)])
+
+
+def _within(tree: BoxTree, asking: DataFrame, lo: str, hi: str, bound: str) -> DataFrame:
+    """``asking`` (with ``node``, a root) once for every leaf whose box is within its ``bound``."""
+    near = _gap(tree.dims, lo, hi) <= F.col(bound)
+    columns = asking.columns
+    at = asking.join(tree.levels[0].drop("parent", "n", "far"), "node").where(near).select(*columns)
+    for level in tree.levels[1:]:  # a leaf has no children and stays
+        boxes = level.drop("n", "far").withColumnRenamed("node", "_child").withColumnRenamed("parent", "node")
+        at = (at.join(boxes, "node", "left").where(F.col("_child").isNull() | near)
+              .withColumn("node", F.coalesce("_child", "node")).select(*columns))
+    return at
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int = C.KNN_K, n_dims: int = len(C.KNN_FEATURES),
         qid: str = "query_id", bid: str = "neighbor_id", stratum: str = "stratum",
-        grid: tuple[int, int] = (0, 1), per_cell: int = 64, cells: Cells | None = None) -> DataFrame:
+        leaf: int = LEAF, tree: BoxTree | None = None) -> DataFrame:
     """Exact k nearest base points per query within the query's stratum.
 
-    ``queries``: (qid, stratum, w_0..w_{d-1}); ``base``: (bid, stratum, w_0..), or its ``cells``.
+    ``queries``: (qid, stratum, w_0..w_{d-1}); ``base``: (bid, stratum, w_0..), or its ``tree``.
     Returns (qid, rank INT, bid, distance DOUBLE).
     """
-    c = cells or build_cells(base, k, n_dims, bid, stratum, grid, per_cell)
+    t = tree or build_tree(base, k, n_dims, bid, stratum, leaf)
     qcols = [f"q_{i}" for i in range(n_dims)]
-    x, y = F.col(f"q_{c.gx}"), F.col(f"q_{c.gy}")
-    q = queries.select(qid, stratum, *[F.col(f"w_{i}").alias(f"q_{i}") for i in range(n_dims)])
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    q = (q.withColumn("_salt", F.pmod(F.xxhash64(qid), F.lit(SALTS)).cast("int"))
-         .join(c.strata.select(F.col("_ts").alias(stratum), "xcuts", salts), [stratum, "_salt"]).drop("_salt"))
-    # a value above the last cut lies in the last slab
-    own = F.least(position(F.col("xcuts"), x), F.size("xcuts") - 1)
-    q = q.withColumn("slab", own).checkpoint(eager=True)
-    slabs = c.slabs.withColumnRenamed("_ss", stratum)
-
-    def visit(probes: DataFrame) -> DataFrame:
-        """The k best of the points in the probed (stratum, slab, cell)."""
-        points = c.rows.withColumnRenamed("_bs", stratum)
-        cand = probes.join(points, [stratum, "slab", "cell"]).select(qid, bid, _dist(n_dims).alias("distance"))
-        w = Window.partitionBy(qid).orderBy(F.round("distance", TIE_DIGITS), bid)
-        return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    def kth(found: DataFrame) -> DataFrame:
-        return found.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
-
-    # first look: the own cell and the two beside it; where they hold fewer than k points, the own slab
-    located = q.join(slabs, [stratum, "slab"]).withColumn("_last", F.size("ycuts") - 1)
-    cell = F.least(position(F.col("ycuts"), y), F.col("_last"))
-    beside = F.sequence(F.greatest(cell - 1, F.lit(0)), F.least(cell + 1, F.col("_last")))
-    bound = kth(visit(located.select(qid, stratum, "slab", *qcols, F.explode(beside).alias("cell")))).checkpoint(eager=True)
-    few = located.join(bound.where(F.col("_n") >= k), qid, "left_anti")
-    wide = kth(visit(few.select(qid, stratum, "slab", *qcols,
-                                F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("cell"))))
-    bound = bound.where(F.col("_n") >= k).unionByName(wide.where(F.col("_n") >= k))
-    # no bound (a slab with fewer than k points): everything in the stratum is within it
-    d = F.coalesce(F.col("_d"), F.lit(float("inf"))) + F.lit(1e-9)
-    ranged = q.join(bound.select(qid, "_d"), qid, "left").withColumn("_d", d)
-    last = F.size("xcuts") - 1
-    reach = F.sequence(F.least(position(F.col("xcuts"), x - F.col("_d")), last),
-                       F.least(position(F.col("xcuts"), x + F.col("_d")), last))
-    ranged = ranged.select(qid, stratum, *qcols, "_d", F.explode(reach).alias("slab")).join(slabs, [stratum, "slab"])
-    aside = F.greatest(F.col("minx") - x, x - F.col("maxx"), F.lit(0.0))
-    left = F.sqrt(F.greatest(F.col("_d") * F.col("_d") - aside * aside, F.lit(0.0)))
-    left = F.when(F.col("_d") == float("inf"), F.col("_d")).otherwise(left) + F.lit(1e-9)
-    ranged = ranged.where(aside <= F.col("_d")).withColumn("_r", left).withColumn("_last", F.size("ycuts") - 1)
-    cells_in = F.sequence(F.least(position(F.col("ycuts"), y - F.col("_r")), F.col("_last")),
-                          F.least(position(F.col("ycuts"), y + F.col("_r")), F.col("_last")))
-    probes = ranged.select(qid, stratum, "slab", *qcols, F.explode(cells_in).alias("cell"))
-    return visit(probes).select(qid, F.col("rank").cast("int").alias("rank"), bid, "distance")
+    q = _kept(queries.select(qid, root_of(stratum).alias("node"), *[F.col(f"w_{i}").alias(c) for i, c in enumerate(qcols)]),
+              "knn-queries")
+    gap = _gap(n_dims, "q_", "q_")
+    corner = _norm([F.greatest(F.abs(F.col(f"q_{i}") - F.col(f"lo_{i}")), F.abs(F.col(f"q_{i}") - F.col(f"hi_{i}")))
+                    for i in range(n_dims)])
+    far = F.when(F.col("n") >= k, corner).otherwise(float("inf"))
+    at = q.join(t.levels[0], "node").select(qid, "node", *qcols, far.alias("_far"))
+    for level in t.levels[1:]:  # down to the nearest leaf
+        boxes = level.drop("far").withColumnRenamed("node", "_child").withColumnRenamed("parent", "node")
+        step = F.struct(F.coalesce(gap, F.lit(0.0)).alias("gap"), F.coalesce("_child", "node").alias("node"),
+                        F.least("_far", F.coalesce(far, F.lit(float("inf")))).alias("far"))
+        at = (at.join(boxes, "node", "left").groupBy(qid, *qcols).agg(F.min(step).alias("_s"))
+              .select(qid, F.col("_s.node").alias("node"), *qcols, F.col("_s.far").alias("_far")))
+    points = t.rows.withColumnRenamed(t.bid, bid)
+    seen = at.join(points, "node").groupBy(qid, "_far", *qcols).agg(
+        F.get(F.sort_array(F.collect_list(_dist(n_dims))), F.lit(k - 1)).alias("_k"))  # at most a leaf's rows
+    bound = _kept(seen.select(qid, (F.least(F.coalesce("_k", F.lit(float("inf"))), "_far") + SLACK).alias("_d")), "knn-bound")
+    probes = _within(t, q.join(bound, qid), "q_", "q_", "_d")
+    cand = probes.join(points, "node").select(qid, bid, _dist(n_dims).alias("distance"))
+    w = Window.partitionBy(qid).orderBy(F.round("distance", TIE_DIGITS), bid)
+    best = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select(qid, F.col("rank").cast("int").alias("rank"), bid, "distance")
+
+
+def leaf_pairs(tree: BoxTree, bounds: DataFrame) -> DataFrame:
+    """(left, right): pairs of different leaves of a stratum that may hold rows within the bound of one of the two; each once.
+
+    ``bounds``: (node, reach) of every leaf."""
+    d = tree.dims
+    boxes = tree.levels[0]
+    for level in tree.levels[1:]:
+        boxes = boxes.unionByName(level)
+    asking = bounds.join(boxes, "node").select(
+        F.col("node").alias("_own"), (F.col("reach") + SLACK).alias("reach"),
+        F.regexp_extract("node", "^(.*/)", 1).alias("node"),
+        *[F.col(f"{c}_{i}").alias(f"own_{c}_{i}") for c in ("lo", "hi") for i in range(d)])
+    found = _within(tree, asking, "own_lo_", "own_hi_", "reach").where(F.col("node") != F.col("_own"))
+    return found.select(F.least("node", "_own").alias("left"), F.greatest("node", "_own").alias("right")).distinct()
+
+
+def kth_distances(tree: BoxTree, k: int) -> DataFrame:
+    """(bid, value): distance of every row of the tree to its k-th nearest row, itself included (the last one if fewer)."""
+    d, bid = tree.dims, tree.bid
+    wcols = [f"w_{i}" for i in range(d)]
+    left = tree.rows.select(F.col(bid).alias("a"), "node", *[F.col(w).alias(f"q_{i}") for i, w in enumerate(wcols)])
+    right = tree.rows.select(F.col(bid).alias("b"), "node", *wcols)
+    own = left.join(right, "node").groupBy("a", "node", *[f"q_{i}" for i in range(d)]).agg(
+        F.slice(F.sort_array(F.collect_list(_dist(d))), 1, k).alias("near"))  # at most a leaf's rows
+    boxes = tree.levels[0]
+    for level in tree.levels[1:]:
+        boxes = boxes.unionByName(level)
+    own = _kept(own.join(boxes.select("node", "far"), "node").withColumn(
+        "bound", F.least(F.coalesce(F.get("near", F.lit(k - 1)), F.lit(float("inf"))), "far") + SLACK).drop("far"), "knn-own")
+    pairs = _kept(leaf_pairs(tree, own.groupBy("node").agg(F.max("bound").alias("reach"))), "knn-pairs")
+    one = own.select(F.col("node").alias("left"), "a", F.col("bound").alias("bound_a"), *[f"q_{i}" for i in range(d)])
+    two = own.select(F.col("node").alias("right"), F.col("a").alias("b"), F.col("bound").alias("bound_b"),
+                     *[F.col(f"q_{i}").alias(f"w_{i}") for i in range(d)])
+    met = pairs.join(one, "left").join(two, "right").select("a", "b", "bound_a", "bound_b", _dist(d).alias("d"))
+    met = met.where(F.col("d") <= F.greatest("bound_a", "bound_b"))
+    sides = F.array(F.when(F.col("d") <= F.col("bound_a"), F.struct(F.col("a").alias("a"), F.col("d").alias("d"))),
+                    F.when(F.col("d") <= F.col("bound_b"), F.struct(F.col("b").alias("a"), F.col("d").alias("d"))))
+    near = met.select(F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s")).select("s.*")
+    every = own.select("a", F.explode("near").alias("d")).unionByName(near)
+    w = Window.partitionBy("a").orderBy("d")
+    best = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.groupBy("a").agg(F.max("d").alias("value")).withColumnRenamed("a", bid)
 
 
 def distance_scale(base: DataFrame, key: str, stratum: str = "stratum", k: int = C.KNN_K,
-                   n_dims: int = len(C.KNN_FEATURES), cells: Cells | None = None) -> DataFrame:
+                   n_dims: int = len(C.KNN_FEATURES), tree: BoxTree | None = None) -> DataFrame:
     """K4: per stratum, the 95th percentile of the k-th neighbour distance
     (self included) over all of its rows; 1.0 when that is 0, 10.0 when the
     stratum has fewer than 2 rows.  → (stratum, n, scale)."""
-    sizes = base.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    qs = base.select(F.col(key).alias("query_id"), stratum, *[f"w_{i}" for i in range(n_dims)])
-    nn = knn(qs, base.withColumnRenamed(key, "neighbor_id"), k, n_dims, cells=cells)
-    kth = nn.groupBy("query_id").agg(F.max("distance").alias("value"))
-    per = percentiles_long(kth.join(qs.select("query_id", stratum), "query_id").select(stratum, "value"),
-                           [C.KNN_SCALE_PERCENTILE], [stratum])
-    out = sizes.join(per.select(stratum, F.col("value").alias("q")), stratum, "left")
+    t = tree or build_tree(base, k, n_dims, key, stratum)
+    sizes = _kept(base.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")), "knn-sizes")
+    root = F.regexp_extract("node", "^(.*/)", 1)
+    named = sizes.select(stratum, root_of(stratum).alias("_root"), "n")
+    kth = _kept(kth_distances(t, k).join(t.rows.select(t.bid, root.alias("_root")), t.bid).select("_root", "value"), "knn-kth")
+    # rows beyond the k lowest keys of their vector have k rows at distance 0; written out a thousand at a time
+    spare = named.join(kth.groupBy("_root").agg(F.count(F.lit(1)).alias("m")), "_root").select(
+        "_root", (F.col("n") - F.col("m")).alias("n")).where("n > 0")
+    runs = spare.select("_root", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1000))).alias("r"))
+    zeros = runs.repartition("_root", "r").select("_root", F.explode(F.sequence(F.lit(1).cast("long"), F.least(
+        F.lit(1000), F.col("n") - F.col("r") * 1000))).alias("_z")).select("_root", F.lit(0.0).alias("value"))
+    per = percentiles_long(kth.unionByName(zeros), [C.KNN_SCALE_PERCENTILE], ["_root"])
+    out = named.join(per.select("_root", F.col("value").alias("q")), "_root", "left")
     scale = (F.when(F.col("n") < 2, F.lit(C.KNN_SCALE_FALLBACK_SMALL))
              .when(F.col("q") == 0, F.lit(C.KNN_SCALE_FALLBACK_ZERO)).otherwise(F.col("q")))
     return out.select(stratum, "n", scale.alias("scale"))

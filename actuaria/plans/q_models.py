@@ -290,6 +290,15 @@ def m8_folds(spark, sf):
     return train.select(C.KEY, hash_fold(C.KEY, C.CV_FOLDS).alias("fold"))
 
 
+@register("m8_contiguous_folds", with_ctes(SPLIT_SQL, select="""
+SELECT policy_id, CAST(ntile(5) OVER (ORDER BY policy_id) - 1 AS INTEGER) AS fold FROM split WHERE split = 'train'
+"""))
+def m8_contiguous_folds(spark, sf):
+    """M8 as the search uses it: runs of the key order, the first n mod 5 of them one row longer."""
+    train, _ = training_frames(spark, sf)
+    return Mo.with_folds(train.select(C.KEY)).select(C.KEY, "fold")
+
+
 @register("m12_gain_importance")
 def m12_gain_importance(spark, sf):
     train, _ = training_frames(spark, sf)

@@ -341,6 +341,22 @@ def e18_corr_lower_policy(spark, sf):
     return E.correlation_matrix(E.encode_for_correlation(policy(spark, sf)), ENC_COLS, lower_only=True)
 
 
+EMBEDDING_DIMS = 64
+
+
+@register("e17_corr_wide_embeddings", """
+WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+SELECT 'e_' || CAST(a.i AS VARCHAR) AS var_a, 'e_' || CAST(b.i AS VARCHAR) AS var_b, round(corr(a.v, b.v), 6) AS corr
+FROM e a JOIN e b USING (vec_id) WHERE a.i < 64 AND b.i < 64 GROUP BY a.i, b.i
+""")
+def e17_corr_wide_embeddings(spark, sf):
+    """E17 on a wide frame: every pair of the 64 embedding components, from matrices of sums."""
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet")
+    names = [f"e_{i}" for i in range(EMBEDDING_DIMS)]
+    wide = emb.select(*[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    return E.correlation_matrix(wide, names)
+
+
 @register("e19_corr_target_policy", with_ctes(ENC_SQL, select=f"""
 SELECT feature, corr, CAST(row_number() OVER (ORDER BY corr DESC, feature) AS INTEGER) AS rank FROM (
 {G.union([f"SELECT '{c}' AS feature, round(corr(CAST({c} AS DOUBLE), CAST(charges AS DOUBLE)), 6) AS corr FROM enc"
@@ -551,6 +567,27 @@ def p5_label_mapping_policy(spark, sf):
     return P.label_mapping(policy(spark, sf), ["sex", "smoker"])
 
 
+@register("p4_label_encode_orders", """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS INTEGER) AS code,
+  CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS INTEGER) AS o_custkey,
+  CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus FROM orders
+""")
+def p4_label_encode_orders(spark, sf):
+    """P4 on columns with as many classes as rows, with very many, and with few."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("code"),
+                                          F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus")
+    return P.label_encode(o, ["code", "o_custkey", "o_orderstatus"])
+
+
+@register("p5_label_mapping_orders", """
+SELECT 'o_orderkey' AS "column", CAST(o_orderkey AS VARCHAR) AS class,
+  CAST(dense_rank() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT o_orderkey FROM orders)
+""")
+def p5_label_mapping_orders(spark, sf):
+    """P5 of a column with as many classes as rows."""
+    return P.label_mapping(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
 @register("p6_one_hot_region", with_ctes(select="""
 SELECT policy_id, age, sex, bmi, children, smoker, charges,
   CASE WHEN region = 'northwest' THEN 1 ELSE 0 END AS region_northwest,

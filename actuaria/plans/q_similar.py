@@ -71,12 +71,12 @@ def knn_inputs(spark, sf, queries: str = "test"):
 
 
 def neighbours(spark, sf, queries: str = "test"):
-    """Neighbours with their similarity; the search and the distance scale share one set of cells."""
+    """Neighbours with their similarity; the search and the distance scale share one tree."""
     base, q, pre = knn_inputs(spark, sf, queries)
-    cells = K.build_cells(base, C.KNN_K, len(C.KNN_FEATURES), "neighbor_id", "stratum", (0, 1), 64)
-    nn = K.knn(q, base, cells=cells)
+    tree = K.build_tree(base, C.KNN_K, len(C.KNN_FEATURES), "neighbor_id", "stratum")
+    nn = K.knn(q, base, tree=tree)
     nn = nn.join(q.select("query_id", "stratum"), "query_id")
-    scale = K.distance_scale(base.withColumnRenamed("neighbor_id", C.KEY), C.KEY, cells=cells)
+    scale = K.distance_scale(base.withColumnRenamed("neighbor_id", C.KEY), C.KEY, tree=tree)
     scales = {r["stratum"]: r["scale"] for r in scales_of(scale)}
     of = F.create_map(*[F.lit(v) for pair in scales.items() for v in pair]) if scales else F.create_map()
     sim = nn.withColumn("scale", of[F.col("stratum")]).withColumn("similarity", K.similarity())

@@ -165,3 +165,27 @@ def test_known_columns_shuffle_no_rows_by_name(spark):
                     assert "partial_" in below or "functions=[]" in below or "Generate explode" in below, below
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("literal, range_classes", [(512, 200_000), (3, 7), (0, 1)])
+def test_label_encode_of_many_classes_with_a_frequent_one(spark, literal, range_classes):
+    """Frequent, rare and missing classes; codes joined, literal, and ranked over several ranges alike."""
+    from actuaria.operators import preprocess as P
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 50 == 1 else f"c{i % 401}", "yn"[i % 2], "" if i == 5 else "z") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, _class0 string").repartition(6)
+    out = P.label_encode(df, ["a", "b", "_class0"][:2], literal, range_classes)
+    assert out.columns == df.columns and out.count() == len(rows)
+    codes = [{v: k for k, v in enumerate(sorted({r[c] for r in rows if r[c] is not None}))} for c in (1, 2)]
+    assert {r["id"]: (r["a"], r["b"], r["_class0"]) for r in out.collect()} == {
+        r[0]: (codes[0].get(r[1]), codes[1][r[2]], r[3]) for r in rows}
+    ranked = P.ranked_classes(P.class_counts(df, ["a", "b"]), range_classes).collect()
+    assert {(r["column"], r["class"]): r["code"] for r in ranked} == {
+        (c, v): k for c, m in zip("ab", codes) for v, k in m.items()}
+
+
+def test_categories_that_become_columns_are_bounded(spark):
+    from actuaria.operators import preprocess as P
+    df = spark.range(30).selectExpr("cast(id % 11 as string) c")
+    assert P.fit_categories(df, "c", 11) == sorted({str(i) for i in range(11)})
+    with pytest.raises(ValueError):
+        P.fit_categories(df, "c", 10)

@@ -88,3 +88,24 @@ def test_approx_method_is_close(spark):
     approx = {r["column"]: r for r in E.describe_numeric(li, ["l_extendedprice"], method="approx").collect()}
     for k in ("p25", "p50", "p75"):
         assert approx["l_extendedprice"][k] == pytest.approx(exact["l_extendedprice"][k], rel=1e-3)
+
+
+def test_wide_correlations_equal_those_of_pairs_with_missing_values(spark):
+    """Every pair over the rows where both are there, whatever the blocks; far from zero; a constant column."""
+    import numpy as np
+    from actuaria.operators import profile as P
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) + [0, 1e6, -5, 3, 0]
+    x[:, 4] = 2.0
+    rows = [tuple(None if (i * 7 + j) % 11 == 0 else float(v) for j, v in enumerate(r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{j} double" for j in range(5))).repartition(7)
+    cols = df.columns
+    for lower in (False, True):
+        pairs = {(r.var_a, r.var_b): r.corr for r in P.correlation_matrix(df, cols[:4], 6, lower).collect()}
+        wide = {(r.var_a, r.var_b): r.corr for r in P.wide_correlation_matrix(df, cols, 6, lower).collect()}
+        assert len(wide) == (10 if lower else 25)
+        assert all(wide[p] == pytest.approx(v, abs=2e-6) for p, v in pairs.items())
+        assert all(v is None for (a, b), v in wide.items() if "c4" in (a, b))
+    many = spark.range(50).selectExpr(*[f"cast(sin(id * {j + 1}) as double) as v{j}" for j in range(40)])
+    assert len(P.correlation_matrix(many, many.columns)._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert P.wide_correlation_matrix(many.limit(0), many.columns).count() == 0

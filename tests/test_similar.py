@@ -78,7 +78,7 @@ def test_isolated_query_is_exact(spark):
     base.append((999, "a", (40.0, 40.0)))
     queries = [(1, "a", (20.0, 20.0)), (2, "a", (39.0, 41.0)), (3, "a", (0.0, 0.0))]
     qs, bs = _frames(spark, queries, base, 2)
-    got = K.knn(qs, bs, k=5, n_dims=2, per_cell=8).collect()
+    got = K.knn(qs, bs, k=5, n_dims=2, leaf=8).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         res.setdefault(r["query_id"], []).append(r["neighbor_id"])
@@ -93,7 +93,7 @@ def test_knn_empty_inputs(spark):
 
 
 @pytest.mark.parametrize("shape", ["outlier", "cluster", "sparse stratum"])
-def test_cells_stay_small_under_skew(spark, shape):
+def test_leaves_stay_small_under_skew(spark, shape):
     rng = np.random.default_rng(7)
     pts = rng.uniform(size=(20_000, 2))
     strata = ["a"] * len(pts)
@@ -108,12 +108,68 @@ def test_cells_stay_small_under_skew(spark, shape):
     queries = [(i, s, tuple(map(float, p))) for i, (s, p) in enumerate(zip(strata, pts)) if i % 400 == 0]
     queries += [(10**6, strata[-1], (3.0, 3.0)), (10**6 + 1, "a", (900.0, -50.0))]
     qs, bs = _frames(spark, queries, base, 2)
-    cells = K.build_cells(bs, 5, 2, "neighbor_id", "stratum", (0, 1), 64)
-    nn = K.knn(qs, bs, k=5, n_dims=2, cells=cells)
-    sizes = cells.rows.groupBy("_bs", "slab", "cell").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 1024  # no cell holds much more than its share
-    assert cells.slabs.agg(F.sum(F.size("ycuts"))).first()[0] <= 2 * len(base) / 64 + 400  # and none is empty
+    tree = K.build_tree(bs, 5, 2, "neighbor_id", "stratum")
+    nn = K.knn(qs, bs, k=5, n_dims=2, tree=tree)
+    sizes = tree.rows.groupBy("node").count()
+    assert sizes.agg(F.max("count")).first()[0] <= K.LEAF and tree.rows.count() == len(base)
+    assert sizes.count() <= 4 * len(base) / K.LEAF + 4  # and few are nearly empty
     res = {}
     for r in sorted(nn.collect(), key=lambda r: (r["query_id"], r["rank"])):
         res.setdefault(r["query_id"], []).append(r["neighbor_id"])
     assert res == _brute(queries, base, 5)
+
+
+def test_rows_that_agree_in_some_dimensions_are_cut_in_the_others(spark):
+    """20,000 different vectors with the same first two coordinates: no join key holds more than a leaf."""
+    rng = np.random.default_rng(2)
+    base = [(i, "a", (1.0, 2.0, *(float(x) for x in rng.normal(size=3)))) for i in range(20_000)]
+    queries = [(i, "a", (1.0, 2.0 + i % 3, *(float(x) for x in rng.normal(size=3)))) for i in range(40)]
+    qs, bs = _frames(spark, queries, base, 5)
+    tree = K.build_tree(bs, 5, 5, "neighbor_id", "stratum")
+    assert tree.rows.groupBy("node").count().agg(F.max("count")).first()[0] <= K.LEAF
+    got = K.knn(qs, bs, k=5, n_dims=5, tree=tree)
+    res = {}
+    for r in sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        res.setdefault(r["query_id"], []).append(r["neighbor_id"])
+    assert res == _brute(queries, base, 5)
+
+
+@pytest.mark.parametrize("shape", ["plain", "copies", "far apart", "tiny"])
+def test_kth_distances_and_scale_equal_brute_force(spark, shape):
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(700, 3)).round(1)
+    if shape == "copies":
+        pts[:500] = pts[0]
+    if shape == "far apart":
+        pts[:300] += 1000
+        pts[300:303] = [[5000, 0, 0], [0, 5000, 0], [0, 0, 5000]]
+    if shape == "tiny":
+        pts = pts[:3]
+    strata = ["a" if i % 4 else "b" for i in range(len(pts))]
+    base = spark.createDataFrame([(i, s, *map(float, p)) for i, (s, p) in enumerate(zip(strata, pts))],
+                                 "k bigint, stratum string, w_0 double, w_1 double, w_2 double")
+    expected = {}
+    for s in set(strata):
+        own = pts[[x == s for x in strata]]
+        d = np.sort(np.sqrt(((own[:, None] - own[None]) ** 2).sum(axis=2)), axis=1)
+        kth = d[:, min(5, len(own)) - 1]
+        q = np.percentile(kth, 95)
+        expected[s] = (len(own), 10.0 if len(own) < 2 else q if q else 1.0)
+    got = {r["stratum"]: (r["n"], r["scale"]) for r in K.distance_scale(base, "k", n_dims=3).collect()}
+    assert got == {s: (n, pytest.approx(v)) for s, (n, v) in expected.items()}
+
+
+def test_rows_compared_for_the_scale_grow_with_the_base(spark):
+    def compared(n):
+        pts = np.random.default_rng(1).uniform(size=(n, 3))
+        base = spark.createDataFrame([(i, "a", *map(float, p)) for i, p in enumerate(pts)],
+                                     "k bigint, stratum string, w_0 double, w_1 double, w_2 double")
+        tree = K.build_tree(base, 5, 3, "k", "stratum")
+        reach = tree.rows.select("node").distinct().withColumn("reach", F.lit(2.5 * (5 / n) ** (1 / 3) / 1.6))
+        size = tree.rows.groupBy("node").count()
+        pairs = K.leaf_pairs(tree, reach)
+        return pairs.join(size.select(F.col("node").alias("left"), F.col("count").alias("x")), "left").join(
+            size.select(F.col("node").alias("right"), F.col("count").alias("y")), "right").agg(F.sum(F.col("x") * F.col("y"))).first()[0]
+
+    small, large = compared(6000), compared(24000)
+    assert large < 6 * small  # all pairs would be sixteen times as many
