@@ -21,9 +21,11 @@ base key.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -264,31 +266,100 @@ def neighbour_summary(records: DataFrame, qid: str = "query_id", charge: str = "
         F.round(F.percentile(charge, 0.5)).cast("int").alias("median"))
 
 
-def lsh_neighbours(queries: DataFrame, base: DataFrame, k: int, group: str, bucket_length: float = 0.5,
-                   num_tables: int = 6, seed: int = C.SPLIT_SEED) -> DataFrame:
-    """Approximate k nearest neighbours by random-projection LSH.
-
-    Both sides: (id, group, vec).  Candidates are the base rows of the query's ``group`` that share a hash in
-    at least one table; all of them are ranked by their exact distance, none is cut by a threshold.  The
-    result is (query_id, rank, neighbor_id, distance, found): ``found`` says how many neighbours the buckets
-    gave the query, so a shortfall is seen.  The group is part of the bucket key, so rows of different
-    groups never meet."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import vector_to_array
-    lsh = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(base)
-
-    def hashed(df: DataFrame, name: str) -> DataFrame:
-        return model.transform(df).select(F.col("id").alias(name), F.col(group).alias("_g"),
-                                          vector_to_array("vec").alias(f"_{name}"), F.posexplode("hashes").alias("_t", "_v")
-                                          ).withColumn("_b", vector_to_array("_v")[0]).drop("_v")
-
-    pairs = (hashed(queries, "query_id").join(hashed(base, "neighbor_id"), ["_g", "_t", "_b"])
-             .where(F.col("query_id") != F.col("neighbor_id")))
-    square = F.aggregate(F.zip_with("_query_id", "_neighbor_id", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                         lambda t, v: t + v)
-    scored = pairs.select("query_id", "neighbor_id", F.sqrt(square).alias("distance")).distinct()
+#: Random-projection trees, projections of each (a level takes the next one), rows of a bucket.
+TREES, PROJECTIONS, BUCKET = 6, 16, 96
+
+
+def _projections(dims: int, trees: int, seed: int) -> np.ndarray:
+    r = np.random.default_rng(seed).normal(size=(trees, PROJECTIONS, dims))
+    return r / np.linalg.norm(r, axis=2, keepdims=True)
+
+
+def _projected(df: DataFrame, group: str, trees: int, seed: int, name: str) -> DataFrame:
+    """(name, vec, node, proj): every row once per tree, at the root of its group, with its projections."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                vec = part.column("vec")
+                x = np.asarray(vec.flatten().to_numpy(), dtype=float).reshape(part.num_rows, -1)
+                for t, r in enumerate(_projections(x.shape[1], trees, seed)):
+                    p = x @ r.T
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id"), vec, pa.array([f"{t}/{g}/" for g in part.column("g").to_pylist()], pa.string()),
+                         pa.ListArray.from_arrays(np.arange(0, p.size + 1, PROJECTIONS, dtype=np.int32), p.ravel())],
+                        names=[name, "vec", "node", "proj"])
+
+    kind = df.schema["id"].dataType.simpleString()
+    rows = df.where(F.col("vec").isNotNull()).select("id", F.col("vec").cast("array<double>").alias("vec"), F.col(group).cast("string").alias("g"))
+    return rows.mapInArrow(run, f"{name} {kind}, vec array<double>, node string, proj array<double>")
+
+
+def _best_in_bucket(k: int):
+    def run(queries: pa.Table, base: pa.Table) -> pa.Table:
+        matrix = lambda t: np.asarray(t.column("vec").combine_chunks().flatten().to_numpy(), dtype=float).reshape(len(t), -1)
+        out: list[tuple] = [(queries.column("query_id").slice(0, 0).combine_chunks(),) * 2 + (np.zeros(0),)]
+        if len(queries) and len(base):
+            q, b, ids, own = matrix(queries), matrix(base), base.column("neighbor_id").combine_chunks(), queries.column("query_id").combine_chunks()
+            order = np.argsort(ids.to_numpy(), kind="stable")  # ties go to the lower id
+            b, ids = b[order], ids.take(pa.array(order))
+            for at in range(0, len(q), 256):
+                d = np.sqrt(((q[at:at + 256, None] - b[None]) ** 2).sum(axis=2))
+                d[own.slice(at, 256).to_numpy()[:, None] == ids.to_numpy()[None]] = np.inf
+                top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                i, j = np.nonzero(np.isfinite(np.take_along_axis(d, top, axis=1)))
+                out.append((own.take(pa.array(at + i)), ids.take(pa.array(top[i, j])), d[i, top[i, j]]))
+        return pa.table({"query_id": pa.chunked_array([o[0] for o in out]), "neighbor_id": pa.chunked_array([o[1] for o in out]),
+                         "distance": np.concatenate([o[2] for o in out])})
+    return run
+
+
+def forest_neighbours(queries: DataFrame, base: DataFrame, k: int, group: str, trees: int = TREES, bucket: int = BUCKET,
+                      seed: int = C.SPLIT_SEED) -> DataFrame:
+    """Approximate k nearest neighbours of the same ``group`` by a forest of random-projection trees.
+
+    Both sides: (id, group, vec).  In each tree a bucket with more than ``bucket`` rows, and only such a one, is refined: cut
+    at quantiles of one more random projection, so that even near copies part, and no bucket stays larger
+    (rows with equal vectors cannot be parted; reduce them to k + 1 before).  A query goes down to its bucket,
+    and at each level also into the buckets beside its own; all rows met are ranked by exact distance inside the
+    buckets.  So a query meets at most trees x (1 + 2 x levels) buckets.  The result is (query_id, rank,
+    neighbor_id, distance, found): ``found`` says how many neighbours the buckets gave the query."""
+    now = _kept(_projected(base, group, trees, seed, "neighbor_id"), "forest-rows")
+    at = _kept(_projected(queries, group, trees, seed, "query_id").withColumn("main", F.lit(True)), "forest-queries")
+    fractions = F.array(*[F.lit(j / FAN) for j in range(1, FAN)])
+    done, level = [], 0
+    digit = lambda child: F.substring(F.lit("0123456789abcdef"), child + 1, F.lit(1))
+    while True:
+        value = F.col("proj")[F.lit(level % PROJECTIONS)]
+        cuts = _kept(now.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("hi"), F.min(value).alias("lo"),
+                                             F.percentile_approx(value, fractions, 1000).alias("p"))
+                     .where((F.col("n") > bucket) & (F.col("lo") < F.col("hi")))
+                     .withColumn("p", F.array_distinct(F.filter("p", lambda c: c < F.col("hi"))))
+                     .select("node", F.when(F.size("p") > 0, F.col("p")).otherwise(F.array("lo")).alias("cuts")), "forest-cuts")
+        n_open = cuts.count()
+        if not n_open:
+            break
+        child = F.size(F.filter("cuts", lambda c: c < value))
+        moved = _kept(now.join(cuts, "node", "left").select(
+            "neighbor_id", "vec", "proj", F.col("cuts").isNotNull().alias("open"),
+            F.when(F.col("cuts").isNotNull(), F.concat("node", digit(child))).otherwise(F.col("node")).alias("node")), "forest-rows")
+        done.append(moved.where("NOT open").drop("open"))
+        now = moved.where("open").drop("open")
+        beside = F.filter(F.array(child - 1, child, child + 1), lambda c: (c == child) | (
+            F.col("main") & (c >= 0) & (c <= F.size("cuts"))))
+        steps = F.when(F.col("cuts").isNotNull(), F.transform(beside, lambda c: F.struct(
+            F.concat("node", digit(c)).alias("node"), (F.col("main") & (c == child)).alias("main")))).otherwise(
+            F.array(F.struct(F.col("node").alias("node"), F.col("main").alias("main"))))
+        at = _kept(at.join(cuts, "node", "left").select("query_id", "vec", "proj", F.explode(steps).alias("s"))
+                   .select("query_id", "vec", "proj", "s.*"), "forest-queries")
+        level += 1
+    for d in done:
+        now = now.unionByName(d)
+    kind, other = (f.dataType.simpleString() for f in (at.schema["query_id"], now.schema["neighbor_id"]))
+    asked = at.select("node", "query_id", "vec").groupBy("node")
+    best = asked.cogroup(now.select("node", "neighbor_id", "vec").groupBy("node")).applyInArrow(
+        _best_in_bucket(k), f"query_id {kind}, neighbor_id {other}, distance double").distinct()
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("query_id")).cast("int"))
+    top = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select("query_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", "distance",
+                      F.count(F.lit(1)).over(Window.partitionBy("query_id")).cast("int").alias("found"))

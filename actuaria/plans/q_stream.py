@@ -2,7 +2,6 @@
 the nested per-profile result (I11) and approximate neighbours (K3b)."""
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -149,16 +148,13 @@ def s7_profile_record_json(spark, sf):
 @register("k3b_lsh_embeddings")
 def k3b_lsh_embeddings(spark, sf):
     """Approximate neighbours of every embedding among the embeddings
-    with the same label, by random-projection LSH, then ranked exactly."""
-    raw = spark.read.parquet(f"{sf}/embeddings.parquet")
-    emb = raw.select(F.col("vec_id").alias("id"), "label", array_to_vector("embedding").alias("vec"))
-    # identical (label, vector) groups: only the k + 1 lowest ids can be returned
-    # (k neighbours plus the query itself), so a hot duplicate group cannot make a
-    # hash bucket quadratic
-    dup = Window.partitionBy("label", "embedding").orderBy("vec_id")
-    base = (raw.withColumn("_d", F.row_number().over(dup)).where(F.col("_d") <= C.KNN_K + 1)
-            .select(F.col("vec_id").alias("id"), "label", array_to_vector("embedding").alias("vec")))
-    return K.lsh_neighbours(emb, base, C.KNN_K, "label")
+    with the same label, by a forest of random-projection trees, ranked exactly."""
+    raw = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("embedding", "vec")
+    # identical (label, vector) groups: only the k + 1 lowest ids can be returned (k neighbours plus the query itself)
+    dup = Window.partitionBy("label", "vec").orderBy("vec_id")
+    base = raw.withColumn("_d", F.row_number().over(dup)).where(F.col("_d") <= C.KNN_K + 1)
+    return K.forest_neighbours(raw.withColumnRenamed("vec_id", "id"), base.withColumnRenamed("vec_id", "id").drop("_d"),
+                               C.KNN_K, "label")
 
 
 @register("s6_batch_results_csv", BATCH_ORACLE)

@@ -25,3 +25,47 @@ def test_lsh_recall_against_exact(spark):
     for lst in by_q.values():
         d = [x[1] for x in sorted(lst)]
         assert d == sorted(d)
+
+
+def test_a_cluster_of_near_copies_meets_few_pairs(spark):
+    """5,000 near copies: buckets stay small, every query finds k neighbours, and most of them are the nearest."""
+    from actuaria.operators import similar as K
+    rng = np.random.default_rng(0)
+    x = (np.ones((5000, 16)) + 1e-3 * rng.normal(size=(5000, 16))).astype(float)
+    base = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "id bigint, g string, vec array<double>").repartition(4)
+    sizes = []
+    inner = K._best_in_bucket
+
+    def counting(k):
+        run = inner(k)
+
+        def seen(queries, rows):
+            assert len(rows) <= K.BUCKET  # raised inside the task otherwise
+            return run(queries, rows)
+        return seen
+
+    K._best_in_bucket = counting
+    try:
+        got = K.forest_neighbours(base.where("id % 10 = 0"), base, 5, "g").collect()
+    finally:
+        K._best_in_bucket = inner
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append(r["neighbor_id"])
+        sizes.append(r["found"])
+    assert len(found) == 500 and set(sizes) == {5}
+    hits = 0
+    for i, near in found.items():
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len(set(near) & set(np.argsort(d)[:5].tolist()))
+    assert hits > 0.35 * 2500  # one shapeless ball in 16 dimensions: the hardest case; the real table is tested above
+
+
+def test_equal_vectors_missing_vectors_and_empty_tables(spark):
+    from actuaria.operators import similar as K
+    rows = [(i, "a", [1.0, 2.0]) for i in range(6)] + [(9, "a", None), (10, "b", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id bigint, g string, vec array<double>")
+    got = sorted((r["query_id"], r["rank"], r["neighbor_id"]) for r in K.forest_neighbours(df, df, 2, "g").collect())
+    assert got == [(i, k + 1, n) for i in range(6) for k, n in enumerate([j for j in range(6) if j != i][:2])]
+    assert K.forest_neighbours(df.limit(0), df, 2, "g").count() == 0 == K.forest_neighbours(df, df.limit(0), 2, "g").count()
