@@ -3,8 +3,8 @@
 Exact search without all pairs
 ------------------------------
 Base and query points live in the weighted space (feature × √weight).  The base
-rows of each stratum form a tree of boxes: a node with more than ``LEAF`` rows is cut, along the dimension in
-which its box is widest, at up to ``FAN`` - 1 quantiles, until every leaf is small.  Cuts follow the
+rows of each stratum form a tree of boxes: a node with more than ``LEAF`` rows is cut, along the two dimensions in
+which its box is widest, at up to ``FAN`` - 1 quantiles of each, until every leaf is small.  Cuts follow the
 data in all dimensions, so neither outliers, nor dense clusters, nor many rows that agree in some dimensions
 make a leaf large: rows of equal vectors are reduced to their k lowest keys first, and different ones can be cut.
 
@@ -34,7 +34,7 @@ from actuaria.operators.quantiles import percentiles_long
 from actuaria.session import scratch_path
 
 TIE_DIGITS = 9
-#: Rows of a leaf, and children of a node, at most.
+#: Rows of a leaf, and parts of a dimension that a node is cut into, at most.
 LEAF, FAN = 64, 4
 #: Slack of a bound, for the rounding of distances.
 SLACK = 2e-9
@@ -96,37 +96,45 @@ def build_tree(base: DataFrame, k: int, n_dims: int, bid: str, stratum: str, lea
             F.count(F.lit(1)).alias("n"), *[F.min(w).alias(f"lo_{i}") for i, w in enumerate(wcols)],
             *[F.max(w).alias(f"hi_{i}") for i, w in enumerate(wcols)],
             *[F.percentile_approx(w, fractions, 1000).alias(f"p_{i}") for i, w in enumerate(wcols)])
-        wide = F.array_max(F.array(*[F.struct((F.col(f"hi_{i}") - F.col(f"lo_{i}")).alias("s"), F.lit(i).alias("i"))
-                                     for i in range(n_dims)]))
-        box = box.withColumn("dim", F.when((F.col("n") > leaf) & (wide["s"] > 0), wide["i"]))
-        at = F.array(*[F.col(f"p_{i}") for i in range(n_dims)])[F.col("dim")]
-        lo, hi = (F.array(*[F.col(f"{c}_{i}") for i in range(n_dims)])[F.col("dim")] for c in ("lo", "hi"))
-        parts = F.least(F.lit(FAN), F.ceil(F.col("n") / leaf)).cast("int")
-        picked = F.transform(F.sequence(F.lit(1), parts - 1), lambda j: F.get(F.col("_at"), F.floor(j * FAN / parts).cast("int") - 1))
-        box = box.withColumn("_at", at).withColumn("_lo", lo).withColumn("_hi", hi)
-        cuts = F.array_sort(F.array_distinct(F.filter(picked, lambda c: c < F.col("_hi"))))
-        cuts = F.when(F.size(cuts) > 0, cuts).otherwise(F.array("_lo"))  # always two children at least
+        wide = F.sort_array(F.array(*[F.struct((F.col(f"hi_{i}") - F.col(f"lo_{i}")).alias("s"), F.lit(i).alias("i"))
+                                      for i in range(n_dims)]), asc=False)  # the two widest dimensions are cut
+        box = box.withColumn("_wide", wide).withColumn("open", (F.col("n") > leaf) & (F.col("_wide")[0]["s"] > 0))
+        parts = F.ceil(F.col("n") / leaf).cast("int")
+        other = F.least(F.lit(FAN), F.ceil(parts / FAN).cast("int"))
+
+        def cuts_of(which: int, wanted):
+            i = F.get("_wide", F.lit(which))["i"]
+            at, high = (F.array(*[F.col(f"{c}_{j}") for j in range(n_dims)])[i] for c in ("p", "hi"))
+            some = F.transform(F.sequence(F.lit(1), F.greatest(wanted - 1, F.lit(1))),
+                               lambda j: F.get(at, F.floor(j * FAN / wanted).cast("int") - 1))
+            return F.when(wanted > 1, F.array_sort(F.array_distinct(F.filter(some, lambda c: c < high))))
+
+        lowest = F.array(*[F.col(f"lo_{j}") for j in range(n_dims)])[F.col("_wide")[0]["i"]]
+        first = cuts_of(0, F.least(F.lit(FAN), parts))
+        first = F.when(F.size(first) > 0, first).otherwise(F.array(lowest))  # always two children at least
+        box = box.withColumn("cuts", F.when(F.col("open"), first)).withColumn("more", F.when(
+            F.col("open"), F.coalesce(cuts_of(1, other), F.array().cast("array<double>"))))
+        box = box.withColumn("dim", F.when(F.col("open"), F.col("_wide")[0]["i"])).withColumn("next", F.get("_wide", F.lit(1))["i"])
         diagonal = _norm([F.col(f"hi_{i}") - F.col(f"lo_{i}") for i in range(n_dims)])
-        box = box.select("node", F.expr("left(node, length(node) - 1)").alias("parent"), "n", "dim",
-                         F.when(F.col("dim").isNotNull(), cuts).alias("cuts"),
+        box = box.select("node", F.expr("left(node, length(node) - 1)").alias("parent"), "n", "dim", "next", "cuts", "more",
                          F.when(F.col("n") >= k, diagonal).otherwise(float("inf")).alias("far"),
                          *[f"{c}_{i}" for c in ("lo", "hi") for i in range(n_dims)])
         if levels:  # a box that holds k rows bounds the k-th distance of all rows inside
             above = levels[-1].select(F.col("node").alias("parent"), F.col("far").alias("_far"))
             box = box.join(above, "parent").withColumn("far", F.least("far", "_far")).drop("_far")
         box = _kept(box, "knn-boxes")
-        levels.append(box.drop("dim", "cuts"))
-        cut = box.where("dim IS NOT NULL").select("node", "dim", "cuts")
+        levels.append(box.drop("dim", "next", "cuts", "more"))
+        cut = box.where("dim IS NOT NULL").select("node", "dim", "next", "cuts", "more")
         if cut.isEmpty():
             rows = now
             for d in done:
                 rows = rows.unionByName(d)
             return BoxTree(rows, levels, n_dims, bid)
-        value = F.array(*wcols)[F.col("dim")]
-        child = F.size(F.filter("cuts", lambda c: c < value))
+        value, second = F.array(*wcols)[F.col("dim")], F.get(F.array(*wcols), F.coalesce("next", F.lit(0)))
+        child = FAN * F.size(F.filter("cuts", lambda c: c < value)) + F.size(F.filter("more", lambda c: c < second))
         moved = _kept(now.join(cut, "node", "left").withColumn("node", F.when(
             F.col("dim").isNotNull(), F.concat("node", F.substring(F.lit("0123456789abcdef"), child + 1, F.lit(1))))
-            .otherwise(F.col("node"))).withColumn("open", F.col("dim").isNotNull()).drop("dim", "cuts"), "knn-rows")
+            .otherwise(F.col("node"))).withColumn("open", F.col("dim").isNotNull()).drop("dim", "next", "cuts", "more"), "knn-rows")
         done.append(moved.where("NOT open").drop("open"))
         now = moved.where("open").drop("open")
 
