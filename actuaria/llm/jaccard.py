@@ -184,7 +184,7 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray, ranges: int):
             shingle, often, who, early = (np.concatenate(x) for x in zip(*parts))
             node = np.array([ids[i] for i in rows], dtype=np.int64)
             size = np.array([len(sets[i]) for i in rows], dtype=np.int32)
-            where = ((shingle >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            where = rolling.spread(shingle, ranges)
             where[often > 0] = -1 - node[who[often > 0]] % SALTS
             order = np.argsort(where, kind="stable")  # within a range: by class, then in the common order
             for at in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):

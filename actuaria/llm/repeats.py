@@ -196,7 +196,7 @@ def _pack_anchors(hot: np.ndarray, ranges: int, every: bool = False):
                 some = np.flatnonzero(rest)[a:a + (1 << 16)]
                 yield _packed_row(None, h[some], c[some], who[some] * 2 + 1, at[some], key, every)
             h, c, who, at = h[first], c[first], who[first], at[first]
-            where = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            where = rolling.spread(h, ranges)
             salted = np.isin(h, hot)
             where[salted] = -1 - (c[salted] % np.uint64(SALTS)).astype(np.int64)
             order = np.argsort(where, kind="stable")

@@ -29,6 +29,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def spread(h: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash, evenly even where the hashes were chosen for being small (hashed once more)."""
+    h = mix(h ^ np.uint64(BASE))
+    return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
 class Prefixes:
     """Hashes of any ranges of a buffer: equal bytes, wherever they lie, hash alike."""
 
