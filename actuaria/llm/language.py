@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actuaria.llm.common import in_parts, read
+from actuaria.llm.common import in_parts, read, release_memory
 
 BUCKET_BITS = 15
 ORDERS = (2, 3, 4)
@@ -239,6 +239,23 @@ def classify(rows: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def recognised(model: LanguageModel, least: float):
+    """A column function: whether a text's language is one of the model's, with a score of at least ``least``.
+
+    Only the texts go through Python, once; the other columns of the rows stay where they are."""
+    @F.arrow_udf("boolean")
+    def clear(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out: list[bool] = []
+            for at in range(0, len(texts), 1024):
+                lang, score = model.predict(texts.slice(at, 1024).to_pylist())
+                out += [x != UNKNOWN and s >= least for x, s in zip(lang, score)]
+            release_memory()
+            yield pa.array(out, pa.bool_())
+
+    return clear
+
+
 def held_out(id: Column) -> Column:
     """Whether the id belongs to the fold that is never learned from (a null id is in no fold)."""
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from actuaria.llm import catalog, common
+from actuaria.llm import catalog, common, jaccard, repeats
 
 from . import brute
 
@@ -82,3 +82,40 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.staged(stage(spark, docs, SF), "test-stage")
         assert docs.count() == 0
+
+
+def test_stages_on_null_ids_repeated_rows_and_clashing_names(spark, make_docs):
+    """Extra columns that are named like inner ones keep their values through every filtering stage."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:59] + ["other"])
+    rows = [(1, " ".join(words)), (2, near), (2, near), (3, "plain text with a few words of its own here"),
+            (3, "plain text with a few words of its own here"), (4, None), (4, None), (5, ""), (None, "no id, password: abcdefgh12"),
+            (None, "no id, password: abcdefgh12"), (None, "no id, another text"), (6, "token=abcdef123456 and the rest of it"),
+            (7, "123 456 !!")]
+    docs = make_docs(rows)
+    inner = ("id", "key", "blob", "spans", "range", "node", "component")
+    _, identify = corpus_pipeline.STAGES[0]
+    kept = identify(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert not {4, 5, 7} & {i for i, _ in found} and found[2, near] == 2 and found[None, "no id, another text"] == 1
+    _, dedup = corpus_pipeline.STAGES[1]
+    kept = dedup(spark, docs, SF)
+    assert kept.columns == docs.columns and all(r[c] == "x" for r in kept.collect() for c in inner)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        {(1, rows[0][1]), (3, rows[3][1]), (4, None), (5, ""), (None, rows[8][1]), (None, rows[10][1]), (6, rows[11][1]),
+         (7, "123 456 !!")})
+    _, mask = corpus_pipeline.STAGES[2]
+    kept = mask(spark, docs, SF)
+    assert kept.columns == docs.columns and all(r[c] == "x" for r in kept.collect() for c in inner)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        (i, t if t is None else t.replace("password: abcdefgh12", "*" * 20).replace("token=abcdef123456", "*" * 18))
+        for i, t in rows)
+
+
+@pytest.mark.parametrize("module", [jaccard, repeats])
+def test_ranges_are_even_where_the_least_hashes_are_chosen(module):
+    import numpy as np
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 200_000, dtype=np.uint64))[:20_000]  # the low end only
+    n = np.bincount(module.rolling.spread(h, 64), minlength=64)
+    assert len(n) == 64 and n.max() < 1.5 * n.mean() and n.min() > 0
