@@ -16,8 +16,9 @@ the rows in each block.  The last pass stops at the block and row where the
 budget is reached; only that block's rows are ever ranked, so a source that
 holds a third of all rows is no single group.
 
-Order keys are MD5 texts of (seed, source, pass, block) and (seed, pass, id), so the
-schedule of any pass is the order by (block_key, row_key).
+Order keys are MD5 texts of (seed, source, pass, block) and (seed, pass, id); a source plays its passes in turn, and each pass in
+the order of (block_key, row_key).  A row's ``place`` is the share of its source's budget that is played before it, so in the
+order of places all sources run side by side, and every stretch of the schedule holds them in the target proportions.
 
 Defined cases: null text: no tokens; a null source is a source of its own; a
 source without tokens weighs nothing and its rows play once; a null id is dealt
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from actuaria.llm.common import SPACE, read, staged
 
-SEED, SALTS, LEVELS, PASSES = "mix-1", 16, 5, 6
+SEED, SALTS, LEVELS, PASSES, DIGITS = "mix-1", 16, 5, 6, 3
 ENTROPY, MAX_REPEAT = 0.9, 4.0
 
 
@@ -142,16 +143,35 @@ def plan(rows: DataFrame, **targets) -> DataFrame:
                    (F.col("rest") - F.col("upto") + F.col("n")).alias("left")))
     cut = staged(cut.groupBy("source").agg(F.min_by(F.struct("block", "cut_block", "passes", "left"), "cut_block")
                                            .alias("c")).select("source", "c.*"), "mix-cuts")
-    inside = last.join(cut, ["source", "block"]).withColumn("key", row_key(F.col("passes"), F.col("id")))
-    run = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-    stop = (inside.groupBy("source", "key", "cut_block", "left").agg(F.sum("n_tokens").alias("n"))
-            .withColumn("upto", F.sum("n").over(run)).filter(F.col("upto") - F.col("n") < F.col("left"))
-            .groupBy("source", "cut_block").agg(F.max("key").alias("cut_row")))
+    inside = (last.join(cut, ["source", "block"]).withColumn("key", row_key(F.col("passes"), F.col("id")))
+              .groupBy("source", "key", "cut_block", "left").agg(F.sum("n_tokens").alias("n"))
+              .withColumn("part", F.substring("key", 1, DIGITS)))
+    # the part of the cut block in which the budget is reached, by the first digits of the rows' keys; only that part is ranked
+    run = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (inside.groupBy("source", "part").agg(F.sum("n").alias("n"), F.first("left").alias("left"))
+             .withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).filter(F.col("before") < F.col("left"))
+             .groupBy("source").agg(F.max(F.struct("part", "before")).alias("p")).select("source", "p.*"))
+    run = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    stop = (inside.join(parts, ["source", "part"])
+            .withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(run), F.lit(0)))
+            .filter(F.col("before") < F.col("left")).groupBy("source", "cut_block").agg(F.max("key").alias("cut_row")))
     return staged(sources.join(stop, "source", "left"), "mix-plan")
 
 
-def realised(rows: DataFrame, made: DataFrame) -> DataFrame:
-    """``rows`` with (id, source) repeated as planned, plus weight, play, block, block_key and row_key.
+def block_places(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """(source, play, block, first, size): the share of the source's budget before each block of each play, and the block's."""
+    blocks = rows.groupBy("source", block_of(F.col("id")).alias("block")).agg(F.sum("n_tokens").alias("n"))
+    plays = blocks.join(made.select("source", "tokens", "passes", "budget"), "source").withColumn(
+        "play", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
+    run = Window.partitionBy("source", "play").orderBy(block_key(F.col("source"), F.col("play"), F.col("block"))).rowsBetween(
+        Window.unboundedPreceding, -1)  # at most 256 blocks
+    whole = F.greatest("budget", F.lit(1))
+    return plays.select("source", "play", "block", ((F.col("play") * F.col("tokens") + F.coalesce(F.sum("n").over(run), F.lit(0)))
+                                                    / whole).alias("first"), (F.col("n") / whole).alias("size"))
+
+
+def realised(rows: DataFrame, made: DataFrame, places: DataFrame) -> DataFrame:
+    """``rows`` with (id, source) repeated as planned, plus weight, play, block, block_key, row_key and place.
 
     The plan has one row per source; salted, so that no source is a hot join key where it is too large to broadcast."""
     salted = made.select("source", "weight", "passes", "cut_block", "cut_row",
@@ -164,9 +184,11 @@ def realised(rows: DataFrame, made: DataFrame) -> DataFrame:
         (key == F.col("cut_block")) & (row_key(last, F.col("id")) <= F.col("cut_row"))), F.lit(False))
     plays = joined.withColumn("plays", last + extra.cast("long")).filter(F.col("plays") > 0)
     played = plays.withColumn("play", F.explode(F.sequence(F.lit(0).cast("long"), F.col("plays") - 1)))
+    played = played.join(places, ["source", "play", "block"]).withColumn("row_key", row_key(F.col("play"), F.col("id")))
+    share = F.conv(F.substring("row_key", 1, 8), 16, 10).cast("double") / (1 << 32)  # of the block's rows, before it
     return played.withColumns({
         "block_key": block_key(F.col("source"), F.col("play"), F.col("block")),
-        "row_key": row_key(F.col("play"), F.col("id"))}).drop("passes", "cut_block", "cut_row", "plays")
+        "place": F.col("first") + F.col("size") * share}).drop("passes", "cut_block", "cut_row", "plays", "first", "size")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -177,16 +199,18 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **targets) -> DataFrame:
     """The documents, each as often as the mixture plays it, with their columns, in the order of the schedule."""
-    made = plan(counted(docs), **targets)
+    sizes = counted(docs)
+    made = plan(sizes, **targets)
     rows = docs.select(docs["doc_id"].alias("id"), source_key(docs["source"]).alias("source"),
                        F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
-    order = ["play", "block_key", "row_key"]
-    return realised(rows, made).repartitionByRange(*order).sortWithinPartitions(*order).select("doc.*")
+    order = ["place", "source", "row_key"]
+    return realised(rows, made, staged(block_places(sizes, made), "mix-places")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc.*")
 
 
 def mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the schedule of the whole ``documents`` table: one row per play of a document."""
     rows = counted(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
-    return realised(rows, plan(rows)).select(
+    made = plan(rows)
+    return realised(rows, made, staged(block_places(rows, made), "mix-places")).select(
         F.col("id").alias("doc_id"), F.when(F.col("source") != "null", F.substring("source", 2, 1 << 30)).alias("source"),
-        "n_tokens", "weight", "play", "block", "block_key", "row_key")
+        "n_tokens", "weight", "play", "block", "block_key", "row_key", "place")

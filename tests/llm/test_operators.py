@@ -128,8 +128,9 @@ def test_mixture_meets_entropy_and_repetition(spark):
 def test_schedule_fills_the_budget(spark, make_docs):
     docs = make_docs([(i, "w " * (i % 7 + 1), "en", "big" if i % 10 else f"s{i % 30}") for i in range(600)])
     rows = mixing.counted(docs)
-    made = {r.source: r for r in mixing.plan(rows, max_repeat=3.0).collect()}
-    out = mixing.realised(rows, mixing.plan(rows, max_repeat=3.0)).collect()
+    planned = mixing.plan(rows, max_repeat=3.0)
+    made = {r.source: r for r in planned.collect()}
+    out = mixing.realised(rows, planned, mixing.block_places(rows, planned)).collect()
     played = defaultdict(int)
     for r in out:
         played[r.source] += r.n_tokens
@@ -137,7 +138,8 @@ def test_schedule_fills_the_budget(spark, make_docs):
         assert r.budget <= played[s] < r.budget + 7 + 1  # the row that reaches the budget is played whole
     assert {r.id for r in out} == set(range(600))
     assert mixing.mixed(docs, max_repeat=3.0).count() == len(out)
-    small = mixing.realised(rows, mixing.plan(rows, budget=500)).agg(F.sum("n_tokens")).first()[0]
+    planned = mixing.plan(rows, budget=500)
+    small = mixing.realised(rows, planned, mixing.block_places(rows, planned)).agg(F.sum("n_tokens")).first()[0]
     assert 500 <= small <= 500 + 8 * len(made)
 
 
