@@ -15,8 +15,9 @@ holds none, chunks and margins of that text are widened fourfold, up to the whol
 places (mostly words) are kept in a bounded dictionary per worker.
 
 Counts.  Documents are written as blocks: the block's distinct pairs once, and per document the places and
-multiplicities of its pairs.  Only a block's distinct pairs are shuffled, to be counted and to bring the counts back.
-The best count per A id is a table no larger than vocabulary A, and is broadcast.
+multiplicities of its pairs.  Only the blocks' distinct pairs are shuffled to be counted.  Up to ``SHARED`` different pairs
+(checked) the counts are broadcast to the blocks; beyond that each block's pairs are joined to them.  The best count per A id
+is a table no larger than vocabulary A, and is broadcast.
 
 Defined cases: texts that are null, empty, or whose joined tokens of A or B differ from " " + text have no tokens
 (zeros, empty digest); special strings in texts are plain text; equal long texts are encoded once and counted as
@@ -29,11 +30,14 @@ import base64
 import hashlib
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +48,8 @@ from actuaria.llm.tokens import vocabulary_path
 
 VOCABULARY_A, RANKS_A, VOCABULARY_B = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Code points of a chunk and of its margins, fragments composed at once, pieces kept per worker and their length,
-#: links and documents per block.
-CHUNK, MARGIN, FAN, KEPT, SHORT, LINKS, DOCS = 8192, 512, 8, 200_000, 64, 1 << 19, 4096
+#: pieces encoded at once, bytes of groups and documents per block, different pairs whose counts may be broadcast.
+CHUNK, MARGIN, FAN, KEPT, SHORT, TOGETHER, BYTES, DOCS, SHARED = 8192, 512, 16, 200_000, 64, 512, 1 << 23, 4096, 1 << 21
 #: Bits of a B id in a pair's code.
 B_BITS = 15
 
@@ -54,14 +58,15 @@ STABLE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces that both encoders of vocabulary A split alike.
 PLAIN = re.compile(r"[\x21-\x7eÀ-ɏ]+").fullmatch
 
-Piece = tuple[bytes, bytes, int] | None
 _loaded: dict = {}
 
 
 # ---- tokens
 
 class Vocabularies(dict):
-    """Both encoders, and the aligned pieces met so far: {piece: (groups, links, tokens of A and B)}; None if not aligned."""
+    """Both encoders, and the groups of pieces met lately; None where a piece's bytes differ.
+
+    When the dictionary is full it becomes the older one, from which pieces that are met again move back."""
 
     def __init__(self, path_a: str, ranks_a: str, path_b: str):
         import public_tokenizers
@@ -70,6 +75,7 @@ class Vocabularies(dict):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
+        self.older: dict[str, bytes | None] = {}
         self.a = Tokenizer.from_file(path_a)
         self.a.no_truncation()
         self.a.no_padding()
@@ -78,13 +84,18 @@ class Vocabularies(dict):
             table = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
         self.plain_a = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table,
                                          special_tokens={}).encode_ordinary
-        self.bytes_a = {v: k for k, v in table.items()}
+        size = max(max(table.values()) + 1, self.a.get_vocab_size(with_added_tokens=True))
+        self.bytes_a = [b""] * size
+        for k, v in table.items():
+            self.bytes_a[v] = k
+        self.size_a = np.array([len(x) for x in self.bytes_a])
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces) or len(pieces) > 1 << B_BITS:
             raise ValueError("vocabulary B holds a blank after another character, or has too many pieces")
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.size_b = np.array([len(x) for x in self.bytes_b])
 
     def ids_a(self, piece: str) -> list[int]:
         return self.plain_a(" " + piece) if PLAIN(piece) else self.a.encode(" " + piece, add_special_tokens=False).ids
@@ -94,30 +105,57 @@ class Vocabularies(dict):
         raw = (" " + piece).encode()
         a = self.ids_a(piece)
         b = self.b.encode(piece, num_threads=1) if b is None else b
-        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+        bytes_a, bytes_b = self.bytes_a, self.bytes_b
+        parts_a, parts_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
+        if b"".join(parts_b) != raw or b"".join(parts_a) != raw:
             return None
-        return a, _ends(parts_a), b, _ends(parts_b)
+        return a, list(accumulate(map(len, parts_a))), b, list(accumulate(map(len, parts_b)))
 
     def learn(self, pieces: set[str]) -> None:
-        """Adds the short ones of the pieces of a part; the dictionary starts anew when it is full."""
-        new = [p for p in pieces if p not in self and len(p) <= SHORT]
-        if len(self) + len(new) > KEPT:
+        """Adds the short ones of the pieces of a part."""
+        if len(self) > KEPT:
+            self.older = dict(self)
             self.clear()
-            new = [p for p in pieces if len(p) <= SHORT]
-        for p, b in zip(new, self.b.encode(new, num_threads=1)):
-            self[p] = closed_piece(self.tokens(p, b))
-
-    def aligned(self, pieces: list[str]) -> list[Piece]:
-        return [self[p] if p in self else closed_piece(self.tokens(p)) for p in pieces]
-
-
-def _ends(parts: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for p in parts:
-        at += len(p)
-        out.append(at)
-    return out
+        missing = [p for p in pieces if p not in self and len(p) <= SHORT]
+        new = []
+        for p in missing:
+            if p in self.older:
+                self[p] = self.older[p]
+            else:
+                new.append(p)
+        plain = [p for p in new if PLAIN(p)]
+        for at in range(0, len(plain), TOGETHER):
+            self._learn_together(plain[at:at + TOGETHER])
+        for p in new:
+            if p not in self:
+                self[p] = piece_groups(self.tokens(p))
+
+    def _learn_together(self, pieces: list[str]) -> None:
+        """Pieces without white space, encoded as one text with blanks between them (stable places).
+
+        Where B's bytes are not those of the text, nothing is added, and the pieces are looked at one by one."""
+        text = " ".join(pieces)
+        a, b = self.plain_a(" " + text), self.b.encode(text, num_threads=1)
+        if b"".join([self.bytes_b[i] for i in b]) != b" " + text.encode():
+            return
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        to_a, to_b = np.searchsorted(ends_a, common, "right").tolist(), np.searchsorted(ends_b, common, "right").tolist()
+        a, b = [str(i) for i in a], [str(i) for i in b]
+        groups, i, j = [], 0, 0
+        for x, y in zip(to_a, to_b):
+            groups.append(a[i] + "|" + b[j] if x - i == y - j == 1 else ",".join(a[i:x]) + "|" + ",".join(b[j:y]))
+            i, j = x, y
+        size = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        first = 0
+        for p, last in zip(pieces, np.searchsorted(common, size, "right").tolist()):
+            self[p] = ";".join(groups[first:last]).encode()
+            first = last
+
+    def aligned(self, pieces: list[str]) -> bytes | None:
+        """Groups of the pieces one after the other; None if one of them is not aligned."""
+        got = [self[p] if p in self else piece_groups(self.tokens(p)) for p in pieces]
+        return None if None in got else b";".join(got)
 
 
 def vocabularies(paths: tuple[str, str, str]) -> Vocabularies:
@@ -130,20 +168,38 @@ def group_text(a: list[int], b: list[int]) -> bytes:
     return (",".join(map(str, a)) + "|" + ",".join(map(str, b))).encode()
 
 
-def group_links(a: list[int], b: list[int]) -> bytes:
-    """Links of a group: 64-bit numbers, the pair's code in the lower half and how often it is linked above."""
-    if len(a) * len(b) == 1:
-        return (1 << 32 | a[0] << B_BITS | b[0]).to_bytes(8, "little")
-    x, n = np.unique(np.array(a, dtype=np.uint64), return_counts=True)
-    y, m = np.unique(np.array(b, dtype=np.uint64), return_counts=True)
-    codes = (x[:, None] << np.uint64(B_BITS) | y).ravel()
-    times = np.outer(n.astype(np.uint64), m.astype(np.uint64)).ravel()
-    out, most = [], np.uint64(0xFFFFFFFF)
-    while len(codes):
-        out.append((np.minimum(times, most) << np.uint64(32) | codes).tobytes())
-        more = times > most
-        codes, times = codes[more], times[more] - most
-    return b"".join(out)
+_BLANKS = bytes(c if 48 <= c <= 57 else 32 for c in range(256))
+#: Links of a group up to which it is written out; of larger groups equal links are counted first.
+WIDE = 4096
+
+
+def parsed(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups as text to (A ids per group, B ids per group, and for all links: group, pair code, how often)."""
+    if not body:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none, none
+    raw = np.frombuffer(body + b";", dtype=np.uint8)
+    mark = raw[(raw < 48) | (raw > 57)]  # what follows each number
+    value = np.fromstring(body.translate(_BLANKS).decode(), dtype=np.int64, sep=" ")
+    ends = np.cumsum(mark == 59)
+    group = ends - (mark == 59)  # group of each number
+    in_b = (np.cumsum(mark == 124) - (mark == 124) - group).astype(bool)  # bars before it, less the groups before
+    n = int(ends[-1])
+    n_b = np.bincount(group[in_b], minlength=n)
+    n_a = np.bincount(group, minlength=n) - n_b
+    first_a = np.cumsum(n_a + n_b) - n_a - n_b
+    links = n_a * n_b
+    at = np.flatnonzero(links <= WIDE)
+    owner = np.repeat(at, links[at])
+    local = np.arange(len(owner)) - np.repeat(np.cumsum(links[at]) - links[at], links[at])
+    codes = value[first_a[owner] + local // n_b[owner]] << B_BITS | value[first_a[owner] + n_a[owner] + local % n_b[owner]]
+    parts = [(owner, codes, np.ones(len(owner), dtype=np.int64))]
+    for g in np.flatnonzero(links > WIDE).tolist():
+        x, k = np.unique(value[first_a[g]:first_a[g] + n_a[g]], return_counts=True)
+        y, m = np.unique(value[first_a[g] + n_a[g]:first_a[g] + n_a[g] + n_b[g]], return_counts=True)
+        parts.append((np.full(len(x) * len(y), g), (x[:, None] << B_BITS | y).ravel(), np.outer(k, m).ravel()))
+    owner, codes, times = (np.concatenate(p) for p in zip(*parts))
+    return n_a, n_b, owner, codes, times
 
 
 # ---- the monoid
@@ -151,80 +207,68 @@ def group_links(a: list[int], b: list[int]) -> bytes:
 @dataclass
 class Fragment:
     """Tokens that end in a byte range.  Without a common end (``closed`` false) all are in ``a`` and ``b``; else these
-    hold the tokens up to the first common end, ``tail_a`` and ``tail_b`` those after the last one, and the rest is closed."""
+    hold the tokens up to the first common end, ``tail_a`` and ``tail_b`` those after the last one, ``body`` the groups between."""
     a: list[int]
     b: list[int]
     closed: bool = False
     tail_a: list[int] = ()
     tail_b: list[int] = ()
     body: bytes = b""
-    links: bytes = b""
-    n_a: int = 0
-    n_b: int = 0
-    n_groups: int = 0
 
-    def add_groups(self, body: bytes, links: bytes, n_a: int, n_b: int, n_groups: int) -> None:
-        self.body = self.body + b";" + body if self.body and body else self.body or body
-        self.links += links
-        self.n_a, self.n_b, self.n_groups = self.n_a + n_a, self.n_b + n_b, self.n_groups + n_groups
+
+def _joined(*bodies: bytes) -> bytes:
+    return b";".join([x for x in bodies if x])
 
 
 def compose(x: Fragment, y: Fragment) -> Fragment:
     """The fragment of two neighbouring ranges."""
     if not x.closed:
-        return Fragment([*x.a, *y.a], [*x.b, *y.b], y.closed, y.tail_a, y.tail_b, y.body, y.links, y.n_a, y.n_b, y.n_groups)
-    out = Fragment(x.a, x.b, True, x.tail_a, x.tail_b, x.body, x.links, x.n_a, x.n_b, x.n_groups)
-    if not y.closed:
-        out.tail_a, out.tail_b = [*x.tail_a, *y.a], [*x.tail_b, *y.b]
-        return out
+        return Fragment([*x.a, *y.a], [*x.b, *y.b], y.closed, y.tail_a, y.tail_b, y.body)
     a, b = [*x.tail_a, *y.a], [*x.tail_b, *y.b]
-    out.add_groups(group_text(a, b), group_links(a, b), len(a), len(b), 1)
-    out.add_groups(y.body, y.links, y.n_a, y.n_b, y.n_groups)
-    out.tail_a, out.tail_b = y.tail_a, y.tail_b
-    return out
+    if not y.closed:
+        return Fragment(x.a, x.b, True, a, b, x.body)
+    return Fragment(x.a, x.b, True, y.tail_a, y.tail_b, _joined(x.body, group_text(a, b), y.body))
 
 
 def fragment(tokens: tuple[list, list, list, list], lo: int, hi: int) -> Fragment:
     """The fragment of the tokens whose ends lie in (lo, hi]."""
     a, ends_a, b, ends_b = tokens
-    i, i_end = int(np.searchsorted(ends_a, lo, "right")), int(np.searchsorted(ends_a, hi, "right"))
-    j, j_end = int(np.searchsorted(ends_b, lo, "right")), int(np.searchsorted(ends_b, hi, "right"))
-    common = [e for e in ends_a[i:i_end] if e in set(ends_b[j:j_end])] if i_end - i < 16 else np.intersect1d(
-        ends_a[i:i_end], ends_b[j:j_end]).tolist()
-    if not common:
-        return Fragment(a[i:i_end], b[j:j_end])
-    out, bodies, links = None, [], []
-    for e in common:
-        to_i, to_j = int(np.searchsorted(ends_a, e, "right")), int(np.searchsorted(ends_b, e, "right"))
-        if out is None:
-            out = Fragment(a[i:to_i], b[j:to_j], True)
+    i, i_end = bisect_right(ends_a, lo), bisect_right(ends_a, hi)
+    j, j_end = bisect_right(ends_b, lo), bisect_right(ends_b, hi)
+    part = a[i:i_end], ends_a[i:i_end], b[j:j_end], ends_b[j:j_end]
+    groups = list(closed_groups(part))
+    if not groups:
+        return Fragment(part[0], part[2])
+    n_a, n_b = sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups)
+    return Fragment(*groups[0], True, part[0][n_a:], part[2][n_b:], b";".join([group_text(*g) for g in groups[1:]]))
+
+
+def closed_groups(tokens: tuple[list, list, list, list]) -> Iterator[tuple[list, list]]:
+    """(A ids, B ids) of the groups between common ends."""
+    a, ends_a, b, ends_b = tokens
+    i = j = first_a = first_b = 0
+    while i < len(a) and j < len(b):
+        if ends_a[i] == ends_b[j]:
+            i, j = i + 1, j + 1
+            yield a[first_a:i], b[first_b:j]
+            first_a, first_b = i, j
+        elif ends_a[i] < ends_b[j]:
+            i += 1
         else:
-            bodies.append(group_text(a[i:to_i], b[j:to_j]))
-            links.append(group_links(a[i:to_i], b[j:to_j]))
-            out.n_a, out.n_b, out.n_groups = out.n_a + to_i - i, out.n_b + to_j - j, out.n_groups + 1
-        i, j = to_i, to_j
-    out.body, out.links, out.tail_a, out.tail_b = b";".join(bodies), b"".join(links), a[i:i_end], b[j:j_end]
-    return out
+            j += 1
 
 
-def closed_piece(tokens: tuple[list, list, list, list] | None) -> Piece:
-    """(groups, links, tokens of A + tokens of B shifted by 40 bits) of a piece between stable places."""
+def piece_groups(tokens: tuple[list, list, list, list] | None) -> bytes | None:
+    """The groups of a piece between stable places as text."""
     if tokens is None:
         return None
-    a, ends_a, b, ends_b = tokens
-    if len(a) == len(b) == 1:
-        return group_text(a, b), group_links(a, b), 1 | 1 << 40
-    whole = finished(fragment(tokens, -1, ends_a[-1]))
-    return whole.body, whole.links, len(a) | len(b) << 40
+    return ";".join([f"{a[0]}|{b[0]}" if len(a) == len(b) == 1 else ",".join(map(str, a)) + "|" + ",".join(map(str, b))
+                     for a, b in closed_groups(tokens)]).encode()
 
 
-def finished(whole: Fragment) -> Fragment:
-    """The fragment of a whole text with its prefix as the first group."""
-    out = Fragment([], [], True)
-    if whole.a or whole.b:
-        out.add_groups(group_text(whole.a, whole.b), group_links(whole.a, whole.b), len(whole.a), len(whole.b), 1)
-        out.add_groups(whole.body, whole.links, whole.n_a, whole.n_b, whole.n_groups)
-    return out
+def finished(whole: Fragment) -> bytes:
+    """The groups of a whole text."""
+    return _joined(group_text(whole.a, whole.b), whole.body) if whole.a or whole.b else b""
 
 
 # ---- blocks of documents
@@ -234,8 +278,19 @@ BLOCK = ("block bigint, id array<{id}>, key array<string>, n_a array<bigint>, n_
          "codes binary, held binary")
 
 
+def _squeezed(a: np.ndarray) -> bytes:
+    """Small numbers as compressed bytes, plane by plane."""
+    planes = a.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _spread(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
 class Blocks:
-    """Packs aligned documents into blocks."""
+    """Packs documents, as (id, key, copies, groups as text), into blocks of a bounded size."""
 
     def __init__(self, id_type: pa.DataType, source: int, keep: bool, limit: tuple[int, int]):
         longs, strings = pa.list_(pa.int64()), pa.list_(pa.string())
@@ -243,41 +298,46 @@ class Blocks:
                                  ("n_b", longs), ("n_groups", longs), ("n_links", longs), ("digest", strings),
                                  ("groups", strings), *((c, pa.binary()) for c in ("first", "place", "times", "codes", "held"))])
         self.number, self.keep = TaskContext.get().partitionId() << 33 | source, keep
-        self.docs, self.links, self.limit = [], 0, limit
+        self.docs, self.bytes, self.limit = [], 0, limit
 
-    def put(self, id, key, copies: int, body: bytes, links: bytes, n_a: int, n_b: int, n_groups: int) -> Iterator[pa.RecordBatch]:
-        self.docs.append((id, key, copies, n_a, n_b, n_groups, hashlib.sha256(body).hexdigest() if body else "",
-                          body.decode() if self.keep else None, links))
-        self.links += len(links) // 8
-        if self.links >= self.limit[0] or len(self.docs) >= self.limit[1]:
+    def put(self, id, key, copies: int, body: bytes) -> Iterator[pa.RecordBatch]:
+        self.docs.append((id, key, copies, body))
+        self.bytes += len(body)
+        if self.bytes >= self.limit[0] or len(self.docs) >= self.limit[1]:
             yield from self.close()
 
     def close(self) -> Iterator[pa.RecordBatch]:
         if not self.docs:
             return
-        id, key, copies, n_a, n_b, n_groups, digest, groups, links = zip(*self.docs)
-        size = np.array([len(x) // 8 for x in links])
-        entry = np.frombuffer(b"".join(links), dtype="<u8")
-        doc = np.repeat(np.arange(len(size), dtype=np.uint64), size)
-        pair = doc << np.uint64(32) | entry & np.uint64(0xFFFFFFFF)
+        id, key, copies, bodies = zip(*self.docs)
+        n_groups = np.array([b.count(b";") + 1 if b else 0 for b in bodies])
+        n_a, n_b, owner, codes, times = parsed(_joined(*bodies))
+        doc = np.repeat(np.arange(len(bodies)), n_groups)  # of each group
+        sums = lambda per_group: np.diff(np.append(0, np.cumsum(per_group))[np.append(0, np.cumsum(n_groups))])
+        total = sums(np.bincount(owner, times, len(n_a)).astype(np.int64)) if len(owner) else np.zeros(len(bodies), np.int64)
+        pair = doc[owner] << 32 | codes if len(owner) else codes
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
-        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else order
-        times = np.add.reduceat((entry >> np.uint64(32))[order], first) if len(first) else entry
-        owner = (pair[first] >> np.uint64(32)).astype(np.int64)
-        codes, place = np.unique(pair[first].astype(np.uint32), return_inverse=True)
-        held = np.bincount(place, weights=np.array(copies, dtype=np.float64)[owner], minlength=len(codes)).astype(np.int64)
-        total = np.zeros(len(size), dtype=np.uint64)
-        np.add.at(total, owner, times)
-        bounds = np.searchsorted(owner, np.arange(len(size) + 1))
-        row = {"block": self.number, "id": id, "key": key, "n_a": n_a, "n_b": n_b, "n_groups": n_groups,
-               "n_links": total.astype(np.int64).tolist(), "digest": digest, "groups": groups,
-               "first": bounds.astype("<i8").tobytes(), "place": place.astype("<u4").tobytes(),
-               "times": times.astype("<u8").tobytes() if len(times) and times.max() >> np.uint64(32) else
-               times.astype("<u4").tobytes(), "codes": codes.astype("<u4").tobytes(), "held": held.astype("<i8").tobytes()}
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else order
+        times = np.add.reduceat(times[order], first) if len(first) else times
+        holder = pair[first] >> 32
+        codes, place = np.unique(pair[first] & 0xFFFFFFFF, return_inverse=True)
+        held = np.bincount(place, np.array(copies, dtype=np.float64)[holder], len(codes)).astype(np.int64)
+        step = np.diff(place, prepend=0)  # within a document places ascend
+        bounds = np.searchsorted(holder, np.arange(len(bodies) + 1))
+        row = {"block": self.number, "id": id, "key": key, "n_a": sums(n_a).tolist(), "n_b": sums(n_b).tolist(),
+               "n_groups": n_groups.tolist(), "n_links": total.tolist(),
+               "digest": [hashlib.sha256(b).hexdigest() if b else "" for b in bodies],
+               "groups": [b.decode() for b in bodies] if self.keep else [None] * len(bodies), "first": _squeezed(bounds),
+               "place": _squeezed(np.where(step < 0, -2 * step - 1, 2 * step)), "times": _squeezed(times),
+               "codes": _squeezed(np.diff(codes, prepend=0)), "held": _squeezed(held)}
         yield pa.RecordBatch.from_pylist([row], schema=self.schema)
         self.number += 2
-        self.docs, self.links = [], 0
+        self.docs, self.bytes = [], 0
+
+
+def block_codes(row: dict) -> np.ndarray:
+    return np.cumsum(_spread(row["codes"]))
 
 
 def _align_short(paths, id_type: pa.DataType, keep: bool, limit: tuple[int, int]):
@@ -287,14 +347,7 @@ def _align_short(paths, id_type: pa.DataType, keep: bool, limit: tuple[int, int]
             texts = [STABLE.split(t) if t else [] for t in batch.column("text").to_pylist()]
             voc.learn(set().union(*texts))
             for id, pieces in zip(batch.column("id").to_pylist(), texts):
-                got = voc.aligned(pieces)
-                if not got or None in got:
-                    yield from blocks.put(id, None, 1, b"", b"", 0, 0, 0)
-                    continue
-                body, links, count = zip(*got)
-                body, count = b";".join(body), sum(count)
-                yield from blocks.put(id, None, 1, body, b"".join(links), count & (1 << 40) - 1, count >> 40,
-                                      body.count(b";") + 1)
+                yield from blocks.put(id, None, 1, voc.aligned(pieces) or b"")
         yield from blocks.close()
     return run
 
@@ -325,20 +378,18 @@ def _slices(chunk: int, margin: int):
     return run
 
 
-FRAGMENTS = ("key string, wide int, idx int, of int, ok boolean, found boolean, closed boolean, a binary, b binary, tail_a binary, "
-             "tail_b binary, body binary, links binary, n_a bigint, n_b bigint, n_groups bigint")
-_FRAGMENT = pa.schema([("key", pa.string()), *((c, pa.int32()) for c in ("wide", "idx", "of")),
+FRAGMENTS = ("key string, copies bigint, wide int, idx int, of int, ok boolean, found boolean, closed boolean, a binary, b binary, tail_a binary, "
+             "tail_b binary, body binary")
+_FRAGMENT = pa.schema([("key", pa.string()), ("copies", pa.int64()), *((c, pa.int32()) for c in ("wide", "idx", "of")),
                        *((c, pa.bool_()) for c in ("ok", "found", "closed")),
-                       *((c, pa.binary()) for c in ("a", "b", "tail_a", "tail_b", "body", "links")),
-                       *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups"))])
+                       *((c, pa.binary()) for c in ("a", "b", "tail_a", "tail_b", "body"))])
 _IDS = ("a", "b", "tail_a", "tail_b")
 
 
-def _row(key: str, wide: int, idx: int, of: int, part: Fragment | None, found: bool = True) -> pa.RecordBatch:
+def _row(key: str, copies: int, wide: int, idx: int, of: int, part: Fragment | None, found: bool = True) -> pa.RecordBatch:
     f = part or Fragment([], [])
-    row = {"key": key, "wide": wide, "idx": idx, "of": of, "ok": part is not None, "found": found, "closed": f.closed,
-           "body": f.body, "links": f.links, "n_a": f.n_a, "n_b": f.n_b, "n_groups": f.n_groups,
-           **{c: np.array(getattr(f, c), dtype="<u4").tobytes() for c in _IDS}}
+    row = {"key": key, "copies": copies, "wide": wide, "idx": idx, "of": of, "ok": part is not None, "found": found, "closed": f.closed,
+           "body": f.body, **{c: np.array(getattr(f, c), dtype="<u4").tobytes() for c in _IDS}}
     return pa.RecordBatch.from_pylist([row], schema=_FRAGMENT)
 
 
@@ -359,12 +410,10 @@ def chunk_fragment(voc: Vocabularies, text: str, lo: int, hi: int, starts: bool,
         if out is not None and last > left + 1 and k == last:
             pieces = [text[x + 1:y] for x, y in zip(cuts[left + 1:last], cuts[left + 2:last + 1])]
             voc.learn(set(pieces))
-            got = voc.aligned(pieces)
-            if None in got:
+            between = voc.aligned(pieces)
+            if between is None:
                 return None, True
-            body, links, count = zip(*got)
-            body, count = b";".join(body), sum(count)
-            out.add_groups(body, b"".join(links), count & (1 << 40) - 1, count >> 40, body.count(b";") + 1)
+            out.body = _joined(out.body, between)
         tokens = voc.tokens(text[begin + 1:end])
         if tokens is None:
             return None, True
@@ -374,13 +423,18 @@ def chunk_fragment(voc: Vocabularies, text: str, lo: int, hi: int, starts: bool,
     return out or Fragment([], []), True
 
 
+def _fragment_of(r: dict) -> Fragment | None:
+    a, b, tail_a, tail_b = (np.frombuffer(r[c], "<u4").tolist() for c in _IDS)
+    return Fragment(a, b, r["closed"], tail_a, tail_b, r["body"]) if r["ok"] else None
+
+
 def _chunk_fragments(paths):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabularies(paths)
         for batch in in_parts(batches, 64):
             for r in batch.to_pylist():
                 part, found = chunk_fragment(voc, r["slice"], r["lo"], r["hi"], r["whole_left"], r["whole_right"])
-                yield _row(r["key"], r["wide"], r["idx"], r["of"], part, found)
+                yield _row(r["key"], r["copies"], r["wide"], r["idx"], r["of"], part, found)
     return run
 
 
@@ -389,10 +443,8 @@ def _compose_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     open_: tuple | None = None
     for batch in in_parts(batches, 64):
         for r in batch.to_pylist():
-            at = (r["key"], r["wide"], r["idx"] // FAN, -(-r["of"] // FAN))
-            part = Fragment(*(np.frombuffer(r[c], "<u4").tolist() for c in ("a", "b")), r["closed"],
-                            *(np.frombuffer(r[c], "<u4").tolist() for c in ("tail_a", "tail_b")),
-                            r["body"], r["links"], r["n_a"], r["n_b"], r["n_groups"]) if r["ok"] else None
+            at = (r["key"], r["copies"], r["wide"], r["idx"] // FAN, -(-r["of"] // FAN))
+            part = _fragment_of(r)
             if open_ and open_[0] == at:
                 open_[1].append(part)
             else:
@@ -413,17 +465,19 @@ def _composed(parts: list[Fragment | None]) -> Fragment | None:
 
 
 def long_fragments(texts: DataFrame, paths, chunk: int, margin: int) -> DataFrame:
-    """(key, ... one whole fragment) of the long texts (key, text): chunks, then rounds of ``FAN`` fragments into one."""
+    """(key, copies, ... one whole fragment) of the long texts (key, text): chunks, then rounds of ``FAN`` fragments into one."""
     open_, parts = texts.select("key", F.lit(0).alias("wide"), "text"), None
     while True:
         slices = open_.mapInArrow(_slices(chunk, margin), SLICES)
         one = slices.groupBy("key", "wide", "idx", "of").agg(F.first(F.struct(  # equal texts once; spreads the chunks of a text
-            "lo", "hi", "whole_left", "whole_right", "slice")).alias("s")).select("key", "wide", "idx", "of", "s.*")
+            "lo", "hi", "whole_left", "whole_right", "slice")).alias("s"), F.count(F.lit(1)).alias("copies")).select(
+                "key", "copies", "wide", "idx", "of", "s.*")
         got = staged(one.mapInArrow(_chunk_fragments(paths), FRAGMENTS), "align-fragments")
         again = got.filter("NOT found").select("key").distinct()
-        ready = got.join(again, "key", "left_anti")
+        last = again.isEmpty()
+        ready = got if last else got.join(again, "key", "left_anti")
         parts = ready if parts is None else parts.unionByName(ready)
-        if again.isEmpty():
+        if last:
             break
         open_ = open_.join(again, "key", "left_semi").withColumn("wide", F.col("wide") + 1)
     left = parts.agg(F.max("of")).first()[0] or 1
@@ -441,9 +495,8 @@ def _long_blocks(id_type: pa.DataType, keep: bool, limit: tuple[int, int]):
         blocks = Blocks(id_type, 1, keep, limit)
         for batch in in_parts(batches, 64):
             for r in batch.to_pylist():
-                f = finished(Fragment(*(np.frombuffer(r[c], "<u4").tolist() for c in ("a", "b")), True, (), (), r["body"],
-                                      r["links"], r["n_a"], r["n_b"], r["n_groups"])) if r["ok"] else Fragment([], [])
-                yield from blocks.put(None, r["key"], r["copies"], f.body, f.links, f.n_a, f.n_b, f.n_groups)
+                whole = _fragment_of(r)
+                yield from blocks.put(None, r["key"], r["copies"], finished(whole) if whole else b"")
         yield from blocks.close()
     return run
 
@@ -456,16 +509,36 @@ PAIRS = "block bigint, place int, code bigint, held bigint"
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_parts(batches, 1):
         for r in batch.to_pylist():
-            codes = np.frombuffer(r["codes"], "<u4")
+            codes = block_codes(r)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(codes), r["block"], dtype=np.int64)), pa.array(np.arange(len(codes), dtype=np.int32)),
-                 pa.array(codes.astype(np.int64)), pa.array(np.frombuffer(r["held"], "<i8"))],
-                names=["block", "place", "code", "held"])
+                 pa.array(codes), pa.array(_spread(r["held"]))], names=["block", "place", "code", "held"])
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, held) of the pairs of a task's blocks, added up over a few blocks at a time."""
+    codes, held, size = [], [], 0
+
+    def added() -> pa.RecordBatch:
+        code, place = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.bincount(place, np.concatenate(held).astype(np.float64)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "held"])
+
+    for batch in in_parts(batches, 1):
+        for r in batch.to_pylist():
+            codes.append(block_codes(r))
+            held.append(_spread(r["held"]))
+            size += len(codes[-1])
+        if size >= 1 << 21:
+            yield added()
+            codes, held, size = [], [], 0
+    if size:
+        yield added()
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """(code, a_id, b_id, n_docs, best) of every linked pair: in how many documents, and whether no pair of its A id has more."""
-    counts = (blocks.select("block", "codes", "held").mapInArrow(_pairs, PAIRS).groupBy("code")
+    counts = (blocks.select("codes", "held").mapInArrow(_held, "code bigint, held bigint").groupBy("code")
               .agg(F.sum("held").alias("n_docs"))
               .select("code", F.shiftright("code", B_BITS).cast("int").alias("a_id"),
                       (F.col("code") % (1 << B_BITS)).cast("int").alias("b_id"), "n_docs"))
@@ -479,52 +552,75 @@ RESULT = ("id {id}, key string, n_a bigint, n_b bigint, n_groups bigint, n_links
           "groups_sha256 string, groups string")
 
 
-def _sums(id_type: pa.DataType):
+def block_sums(r: dict, count: np.ndarray, best: np.ndarray, id_type: pa.DataType) -> pa.Table:
+    """Result rows of a block whose pairs have these counts."""
+    step = _spread(r["place"])
+    place = np.cumsum(np.where(step & 1, -(step + 1) // 2, step // 2))
+    first, times = _spread(r["first"]), _spread(r["times"])
+    within = lambda x: np.diff(np.append(0, np.cumsum(x))[first])
+    longs = {"n_a": r["n_a"], "n_b": r["n_b"], "n_groups": r["n_groups"], "n_links": r["n_links"],
+             "n_best": within(times * best[place]), "count_sum": within(times * count[place])}
+    return pa.table({"id": pa.array(r["id"], id_type), "key": pa.array(r["key"], pa.string()),
+                     **{k: pa.array(v, pa.int64()) for k, v in longs.items()},
+                     "groups_sha256": pa.array(r["digest"], pa.string()), "groups": pa.array(r["groups"], pa.string())})
+
+
+def _joined_sums(id_type: pa.DataType):
     def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
         [r] = blocks.to_pylist()
-        n = len(r["codes"]) // 4
+        n = len(_spread(r["codes"]))
         count, best = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
         if len(found):
             at = found.column("f_place").to_numpy()
             count[at], best[at] = found.column("n_docs").to_numpy(), found.column("best").to_numpy()
-        place, first = np.frombuffer(r["place"], "<u4"), np.frombuffer(r["first"], "<i8")
-        times = np.frombuffer(r["times"], "<u8" if len(r["times"]) == 8 * len(place) else "<u4").astype(np.int64)
-        within = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
-        longs = {"n_a": r["n_a"], "n_b": r["n_b"], "n_groups": r["n_groups"], "n_links": r["n_links"],
-                 "n_best": within(times * best[place]), "count_sum": within(times * count[place])}
-        return pa.table({"id": pa.array(r["id"], id_type), "key": pa.array(r["key"], pa.string()),
-                         **{k: pa.array(v, pa.int64()) for k, v in longs.items()},
-                         "groups_sha256": pa.array(r["digest"], pa.string()), "groups": pa.array(r["groups"], pa.string())})
+        return block_sums(r, count, best, id_type)
+    return run
+
+
+def _shared_sums(shared, id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, count, best = shared.value
+        for batch in in_parts(batches, 1):
+            for r in batch.to_pylist():
+                at = np.searchsorted(code, block_codes(r))
+                yield from block_sums(r, count[at], best[at], id_type).combine_chunks().to_batches()
     return run
 
 
+def row_sums(blocks: DataFrame, kind, shared: int = SHARED) -> DataFrame:
+    """Result rows of all blocks."""
+    counts = pair_counts(blocks).select("code", "n_docs", "best")
+    schema, arrow = RESULT.format(id=kind.simpleString()), to_arrow_type(kind)
+    if counts.count() <= shared:  # a few bytes a pair
+        t = counts.orderBy("code").toArrow()
+        arrays = tuple(t.column(c).to_numpy() for c in ("code", "n_docs", "best"))
+        return blocks.mapInArrow(_shared_sums(blocks.sparkSession.sparkContext.broadcast(arrays), arrow), schema)
+    pairs = blocks.select("block", "codes", "held").mapInArrow(_pairs, PAIRS)
+    found = pairs.join(counts, "code").select(F.col("block").alias("f_block"), F.col("place").alias("f_place"), "n_docs", "best")
+    return blocks.groupBy("block").cogroup(found.groupBy("f_block")).applyInArrow(_joined_sums(arrow), schema)
+
+
 def aligned_blocks(docs: DataFrame, id: str = "doc_id", text: str = "text", a: str = VOCABULARY_A, ranks: str = RANKS_A,
                    b: str = VOCABULARY_B, chunk: int = CHUNK, margin: int = MARGIN, keep: bool = False,
-                   limit: tuple[int, int] = (LINKS, DOCS)) -> tuple[DataFrame, DataFrame]:
+                   limit: tuple[int, int] = (BYTES, DOCS)) -> tuple[DataFrame, DataFrame]:
     """(blocks of all documents, (id, key) of the long ones, which the blocks hold once under their key)."""
     paths = tuple(vocabulary_path(x) for x in (a, ranks, b))
     rows = docs.select(docs[id].alias("id"), docs[text].alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) >= chunk
     keyed = rows.filter(long).select("id", F.sha2("text", 256).alias("key"), "text")
     names = staged(keyed.select("id", "key"), "align-long")
-    copies = names.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    whole = long_fragments(keyed.select("key", "text"), paths, chunk, margin).join(copies, "key")
+    whole = long_fragments(keyed.select("key", "text"), paths, chunk, margin)
     arrow, schema = to_arrow_type(docs.schema[id].dataType), BLOCK.format(id=docs.schema[id].dataType.simpleString())
     short = rows.filter(~long).mapInArrow(_align_short(paths, arrow, keep, limit), schema)
     return staged(short.unionByName(whole.mapInArrow(_long_blocks(arrow, keep, limit), schema)), "align-blocks"), names
 
 
 def alignments(docs: DataFrame, id: str = "doc_id", text: str = "text", chunk: int = CHUNK, margin: int = MARGIN,
-               keep: bool = False, **more) -> DataFrame:
+               keep: bool = False, shared: int = SHARED, **more) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row; with ``keep`` also the groups
     (`a1,a2|b1;a3|b2`).  ``more``: vocabularies and block limits of `aligned_blocks`."""
     blocks, names = aligned_blocks(docs, id, text, chunk=chunk, margin=margin, keep=keep, **more)
-    counts = pair_counts(blocks).select("code", "n_docs", "best")
-    pairs = blocks.select("block", "codes", "held").mapInArrow(_pairs, PAIRS)
-    found = pairs.join(counts, "code").select(F.col("block").alias("f_block"), F.col("place").alias("f_place"), "n_docs", "best")
-    kind = docs.schema[id].dataType
-    rows = staged(blocks.drop("held").groupBy("block").cogroup(found.groupBy("f_block")).applyInArrow(
-        _sums(to_arrow_type(kind)), RESULT.format(id=kind.simpleString())), "align-rows")
+    rows = staged(row_sums(blocks, docs.schema[id].dataType, shared), "align-rows")
     of_long = names.join(rows.filter("key IS NOT NULL").drop("id"), "key").select(*rows.columns)
     every = rows.filter("key IS NULL").unionByName(of_long)
     return every.select(F.col("id").alias(id), *[c for c in rows.columns if c not in ("id", "key", "groups")],

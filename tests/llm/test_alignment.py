@@ -123,17 +123,19 @@ def test_composition_is_associative():
             assert (list(done.tail_a), list(done.tail_b)) == ([], [])
 
 
-def test_many_links_of_one_pair_are_split():
-    links = alignment.group_links([5] * 70_000, [6] * 70_000)
-    values = [int.from_bytes(links[k:k + 8], "little") for k in range(0, len(links), 8)]
-    assert {v & 0xFFFFFFFF for v in values} == {5 << 15 | 6} and sum(v >> 32 for v in values) == 70_000 ** 2
+def test_wide_groups_are_counted_before_they_are_written_out():
+    body = b"7|8;" + b",".join([b"5"] * 300) + b"|" + b",".join([b"6"] * 299 + [b"4"]) + b";1,2|3"
+    n_a, n_b, group, codes, times = alignment.parsed(body)
+    assert (n_a.tolist(), n_b.tolist()) == ([1, 300, 2], [1, 300, 1])
+    assert sorted(zip(group.tolist(), codes.tolist(), times.tolist())) == sorted(
+        [(0, 7 << 15 | 8, 1), (1, 5 << 15 | 6, 300 * 299), (1, 5 << 15 | 4, 300), (2, 1 << 15 | 3, 1), (2, 2 << 15 | 3, 1)])
 
 
-@pytest.mark.parametrize("limit", [(1 << 19, 7), (300, 4096)])
-def test_few_documents_or_links_per_block(spark, texts, limit):
+@pytest.mark.parametrize("limit, shared", [((1 << 23, 7), 1 << 21), ((9000, 4096), 0), ((1 << 23, 7), 0)])
+def test_few_documents_per_block_and_both_ways_of_counting(spark, texts, limit, shared):
     rows = dict(list(texts.items())[:40])
     docs = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
-    assert found(alignment.alignments(docs, limit=limit)) == plain(list(rows.items()))
+    assert found(alignment.alignments(docs, limit=limit, shared=shared)) == plain(list(rows.items()))
     assert alignment.aligned_blocks(docs, limit=limit)[0].count() > 5
 
 
@@ -144,6 +146,6 @@ def test_a_full_dictionary_starts_anew(texts, monkeypatch):
     for t in list(texts.values())[:20]:
         pieces = alignment.STABLE.split(t)
         voc.learn(set(pieces[:60]))
-        assert len(voc) <= 120
-        assert b";".join(p[0] for p in voc.aligned(pieces)).decode() == ";".join(
+        assert len(voc) <= 120 and len(voc.older) <= 120
+        assert voc.aligned(pieces).decode() == ";".join(
             ",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in plain_groups(t))
