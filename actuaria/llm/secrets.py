@@ -146,7 +146,8 @@ def findings(ledger: DataFrame, rules=BASE_RULES) -> DataFrame:
             .select("blob", F.transform("spans", lambda s: F.struct(
                 s["start"].alias("start"), F.col("rule").alias("rule"), s["stop"].alias("stop"),
                 F.col("kind").alias("kind"))).alias("spans")))
-    hits = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # a pair that two writers scanned, or a retried append wrote twice, counts once
+    hits = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     return hits.select("blob", text.alias("spans"), *(_count(r.kind).alias(f"n_{r.kind}") for r in rules))
 
