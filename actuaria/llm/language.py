@@ -130,7 +130,7 @@ class LanguageModel:
         return lang, score
 
 
-def _runs(index: list[int], texts: list[str], size: int = 1 << 20) -> Iterator[list[int]]:
+def _runs(index: list[int], texts: list[str], size: int = 1 << 18) -> Iterator[list[int]]:
     """Runs of row numbers of about ``size`` characters."""
     run, n = [], 0
     for i in index:
