@@ -6,6 +6,7 @@ from actuaria.llm import alignment, fingerprint, fixity, jaccard, language, mixi
 QUERIES = {
     "op1_fingerprints": fingerprint.fingerprint_documents,
     "op2_secret_scan": secrets.secret_scan,
+    "ledger_passes": secrets.ledger_passes,
     "op3_mixture_schedule": mixing.mix_documents,
     "op4_repeat_removal": repeats.dedup_documents,
     "op5_topk_search": topk.nearest_embeddings,
@@ -21,6 +22,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "ledger_passes": secrets.PASSES_SQL,
     "op5_topk_search": topk.NEAREST_SQL,
     "op8_fixity_audit": fixity.FIXITY_SQL,
     "op8_record_audit": fixity.RECORD_SQL,

@@ -48,7 +48,9 @@ def release_memory() -> None:
 def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that a task holds few texts at a time.
 
-    What a batch has left free is released: workers outlive their tasks and share an executor's memory."""
+    What a batch, or an earlier task, has left free is released: workers outlive their tasks and share an
+    executor's memory."""
+    release_memory()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -56,6 +58,12 @@ def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa
         release_memory()
 
 
+def release_after(*groups: pa.Table, least: int = 1 << 20) -> None:
+    """Release what the work on a group of at least ``least`` bytes has left free; small groups leave little."""
+    if sum(g.nbytes for g in groups) >= least:
+        release_memory()
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -7,11 +7,15 @@ records).  ``FAN`` consecutive keys form a node that covers one ordered id range
 ``FAN`` nodes form the next level, up to one node per file, and file roots are
 combined by ranges of the file number up to the archive's root.  Every node is one
 grouped aggregate over at most ``FAN`` children, so no group grows with the archive.
-A leaf hashes digests and lengths of the records of its key, not their offsets.
+A node hashes its records and their offset ranges relative to its own start, so a
+branch that has only moved as a whole keeps its hash.
 
 The audit compares the roots of two replicas and joins the children of
 mismatching nodes only, level by level, down to the records: a damaged, missing
 or additional record costs one branch, also where it moves the records behind it.
+Records are joined under open leaves only.  All others are taken from the primary:
+equal hashes vouch for their bytes and layout, and the starts of the equal nodes
+tell how far they have moved.
 ``record_report`` gives every record its status by identity (a record that only lies
 elsewhere is ``shifted``); ``audit_report`` compares what lies at each position.
 
@@ -22,6 +26,8 @@ replica everything is ``missing``; extra columns are ignored.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,14 +74,15 @@ def keyed_records(records: DataFrame) -> DataFrame:
 
 
 def parents(nodes: DataFrame, number: Column, *tree: str) -> DataFrame:
-    """The level above: ``FAN`` consecutive nodes make one; its hash covers the
-    children's numbers and hashes in order; ``start`` and ``stop`` are their offset range."""
+    """The level above: ``FAN`` consecutive nodes make one; its hash covers the children's numbers and hashes in order
+    and where each lies within the parent; ``start`` and ``stop`` are its offset range, ``pos`` its first position."""
+    kid = lambda k: F.concat_ws(":", k["node"], k["start"] - F.col("start"), k["stop"] - F.col("start"),
+                                k["pos"] - F.col("pos"), k["hash"])
     return (nodes.withColumn("up", number).groupBy(*tree, "up")
-            .agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("kids"),
-                 F.min("start").alias("start"), F.max("stop").alias("stop"))
-            .select(*tree, F.col("up").alias("node"), "start", "stop",
-                    F.sha2(F.array_join(F.transform("kids", lambda k: F.concat_ws(
-                        ":", k["node"], k["hash"])), ","), 256).alias("hash")))
+            .agg(F.sort_array(F.collect_list(F.struct("node", "start", "stop", "pos", "hash"))).alias("kids"),
+                 F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("pos").alias("pos"))
+            .select(*tree, F.col("up").alias("node"), "start", "stop", "pos",
+                    F.sha2(F.array_join(F.transform("kids", kid), ","), 256).alias("hash")))
 
 
 def _depth(nodes: int) -> int:
@@ -88,31 +95,35 @@ def _depth(nodes: int) -> int:
 def build_tree(leaves: DataFrame, depth: int, file_depth: int) -> list[DataFrame]:
     """Levels from the records up: ``depth`` within each file, then ``file_depth`` over the files.
 
-    Every level has (file, node, start, stop, hash); above the files ``file`` is 0 and ``node`` numbers
+    Every level has (file, node, start, stop, pos, hash); above the files ``file`` is 0 and ``node`` numbers
     ranges of files."""
-    each = F.sort_array(F.collect_list(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")),
-                                                   "copy", "length", "sha")))
+    record = F.struct("copy", F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id"), "pos", "offset", "length", "sha")
+    own = lambda r: F.concat_ws("|", r["id"], r["copy"], r["pos"] - F.col("pos"), r["offset"] - F.col("start"),
+                                r["length"], r["sha"])
     level = (leaves.groupBy("file", F.col("slot").alias("node"))  # one record, save for equal or null ids
-             .agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"),
-                  F.sha2(F.array_join(each, ","), 256).alias("hash")))
+             .agg(F.sort_array(F.collect_list(record)).alias("own"), F.min("offset").alias("start"),
+                  F.max(F.col("offset") + F.col("length")).alias("stop"), F.min("pos").alias("pos"))
+             .select("file", "node", "start", "stop", "pos",
+                     F.sha2(F.array_join(F.transform("own", own), ","), 256).alias("hash")))
     levels = [staged(level, "merkle")]
     for _ in range(depth):
         levels.append(staged(parents(levels[-1], F.floor(F.col("node") / FAN).cast("long"), "file"), "merkle"))
-    top = levels[-1].select(F.lit(0).cast("long").alias("file"), F.col("file").alias("node"), "start", "stop", "hash")
+    top = levels[-1].withColumns({"node": F.col("file"), "file": F.lit(0).cast("long")})
     for _ in range(file_depth):
         top = staged(parents(top, F.floor(F.col("node") / FAN).cast("long"), "file"), "merkle")
         levels.append(top)
     return levels
 
 
-def mismatches(a: DataFrame, b: DataFrame, within: DataFrame | None) -> DataFrame:
-    """(file, node) whose hashes differ between two replicas, or that one of them lacks;
-    only below the mismatching parents ``within``, where given."""
+def compared(a: DataFrame, b: DataFrame, within: DataFrame | None) -> DataFrame:
+    """(file, node, differs, d_pos, d_offset) of two replicas' nodes of one level, only below the mismatching parents
+    ``within``, where given: whether the hashes differ (or one replica lacks the node), and how far an equal node has moved."""
     def side(level: DataFrame, name: str) -> DataFrame:
-        level = level.select("file", "node", F.col("hash").alias(name))
+        level = level.select("file", "node", *(F.col(c).alias(f"{c}_{name}") for c in ("start", "pos", "hash")))
         return level if within is None else level.join(within, ["file", "node"], "left_semi")
-    return (side(a, "ha").join(side(b, "hb"), ["file", "node"], "full")
-            .filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("file", "node"))
+    return side(a, "a").join(side(b, "b"), ["file", "node"], "full").select(
+        "file", "node", (~F.col("hash_a").eqNullSafe(F.col("hash_b"))).alias("differs"),
+        (F.col("pos_b") - F.col("pos_a")).alias("d_pos"), (F.col("start_b") - F.col("start_a")).alias("d_offset"))
 
 
 def children(nodes: DataFrame, files: bool) -> DataFrame:
@@ -121,8 +132,15 @@ def children(nodes: DataFrame, files: bool) -> DataFrame:
     return kid.select(F.col("node").alias("file"), F.lit(0).cast("long").alias("node")) if files else kid
 
 
+PLACES = "file bigint, slot bigint, open boolean, d_pos bigint, d_offset bigint"
+
+
 def _descend(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Mismatching leaves (file, slot) of two replicas' keyed records, and the nodes opened at each level from the root."""
+    """The leaves of mismatching files, and the nodes opened at each level from the root.
+
+    A leaf (file, slot) is open if its own hash differs; else it lies under an equal node, which says how far its
+    records have moved (d_pos, d_offset).  Files without a row here are equal throughout."""
+    spark = primary.sparkSession
     size = primary.select("file").unionByName(replica.select("file")).agg(
         F.min("file").alias("low"), F.max("file").alias("high")).first()
     depth = max(1, _depth(FILE_IDS))
@@ -130,83 +148,111 @@ def _descend(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, list[in
     file_depth = max(1, _depth(max(abs(size["low"] or 0), abs(size["high"] or 0)) + 1))
     a, b = build_tree(primary, depth, file_depth), build_tree(replica, depth, file_depth)
     opened: list[int] = []
-    within = None
+    within, places = None, spark.createDataFrame([], PLACES)
     for at in range(len(a) - 1, -1, -1):
-        found = staged(mismatches(a[at], b[at], within), "mismatch")
-        opened.append(found.count())
+        found = staged(compared(a[at], b[at], within), "mismatch")
+        bad = found.filter("differs").select("file", "node")
+        opened.append(bad.count())
+        if at < depth:  # below the files: what is equal settles its whole range of leaves
+            slots = F.sequence(F.col("node") * FAN ** at, (F.col("node") + 1) * FAN ** at - 1)
+            places = places.unionByName(found.filter("NOT differs").select(
+                "file", F.explode(slots).alias("slot"), F.lit(False).alias("open"), "d_pos", "d_offset"))
         if not opened[-1]:
-            return found.select("file", F.col("node").alias("slot")), opened
+            return staged(places, "warc-places"), opened
         if at:
-            within = children(found, files=at == depth + 1)
-    return found.select("file", F.col("node").alias("slot")), opened
+            within = children(bad, files=at == depth + 1)
+    nothing = F.lit(None).cast("long")
+    return staged(places.unionByName(bad.select("file", F.col("node").alias("slot"), F.lit(True).alias("open"),
+                                                nothing.alias("d_pos"), nothing.alias("d_offset"))), "warc-places"), opened
+
 
+@dataclass
+class Located:
+    """Keyed records of two replicas, the leaves of mismatching files (``PLACES``) and the nodes opened at each level."""
 
-def _located(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
-    """Keyed records of both replicas, the differing ones among them, and the nodes opened."""
+    primary: DataFrame
+    replica: DataFrame
+    places: DataFrame
+    opened: list[int]
+
+    def to_join(self, moved: bool) -> tuple[DataFrame, DataFrame]:
+        """The records of both replicas that have to be compared one by one: those of open leaves and,
+        if ``moved``, of leaves that lie elsewhere."""
+        which = self.places.filter(F.col("open") | (F.lit(moved) & ((F.col("d_pos") != 0) | (F.col("d_offset") != 0))))
+        return tuple(x.join(which.select("file", "slot"), ["file", "slot"], "left_semi") for x in (self.primary, self.replica))
+
+    def settled(self) -> DataFrame:
+        """The primary's records outside open leaves, with how far they have moved; the tree vouches for their bytes."""
+        return self.primary.join(self.places, ["file", "slot"], "left").filter(
+            "open IS NULL OR NOT open").withColumns(
+                {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("d_pos", "d_offset")}).drop("open")
+
+
+def located(primary: DataFrame, replica: DataFrame) -> Located:
+    """Build both trees and descend into their mismatching branches."""
     a = staged(keyed_records(primary), "warc-keyed")
     b = staged(keyed_records(replica), "warc-keyed")
-    leaves, opened = _descend(a, b)
-    keys = ["file", "slot", "who", "copy"]
-    who = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("sha")))
+    return Located(a, b, *_descend(a, b))
 
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.join(leaves, ["file", "slot"], "left_semi").withColumn("who", who).select(
-            *keys, F.col("pos").alias(f"{name}_pos"), F.col("sha").alias(f"{name}_sha"))
 
-    bad = (side(a, "a").join(side(b, "b"), keys, "full").filter(~F.col("a_sha").eqNullSafe(F.col("b_sha")))
-           .select(*keys, "a_pos", "b_pos"))
-    return a.withColumn("who", who), b.withColumn("who", who), staged(bad, "mismatch"), opened
+KEYS = ["file", "slot", "who", "copy"]
+
+
+def _by_identity(found: Located) -> DataFrame:
+    """The records of open leaves of both replicas, side by side."""
+    who = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("sha")))
+    a, b = (x.withColumn("who", who) for x in found.to_join(moved=False))
+    r = b.select(*KEYS, F.col("id").alias("replica_id"), F.col("pos").alias("replica_pos"),
+                 F.col("offset").alias("replica_offset"), F.col("sha").alias("replica_sha"))
+    return a.select(*KEYS, "id", "pos", "offset", "length", "sha").join(r, KEYS, "full")
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, list[int]]:
     """Differing records (file, pos) of two replicas, with the position in the replica of an additional one, and
     the nodes opened at each level from the root."""
-    _, _, bad, opened = _located(primary, replica)
-    return bad.select("file", F.coalesce("a_pos", "b_pos").alias("pos")), opened
+    found = located(primary, replica)
+    bad = _by_identity(found).filter(~F.col("sha").eqNullSafe(F.col("replica_sha")))
+    return bad.select("file", F.coalesce("pos", "replica_pos").alias("pos")), found.opened
+
+
+REPORT = ["file", "id", "pos", "replica_pos", "offset", "replica_offset", "length", "sha", "replica_sha", "status"]
 
 
 def record_report(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """Every record of either replica by its identity: intact, shifted (only its position or offset differs),
-    altered, missing (in the replica) or additional."""
-    a, b, bad, _ = _located(primary, replica)
-    keys = ["file", "slot", "who", "copy"]
-    r = b.select(*keys, F.col("id").alias("replica_id"), F.col("pos").alias("replica_pos"),
-                 F.col("offset").alias("replica_offset"), F.col("sha").alias("replica_sha"))
-    both = a.select(*keys, "id", "pos", "offset", "length", "sha").join(r, keys, "full")
+    altered, missing (in the replica) or additional.
+
+    Records of open leaves are joined; all others are the primary's, moved as the equal node above them has moved."""
+    found = located(primary, replica)
     moved = (F.col("pos") != F.col("replica_pos")) | (F.col("offset") != F.col("replica_offset"))
     status = (F.when(F.col("replica_sha").isNull(), "missing").when(F.col("sha").isNull(), "additional")
-              .when(F.col("bad"), "altered").when(moved, "shifted").otherwise("intact"))
-    return both.join(bad.select(*keys, F.lit(True).alias("bad")), keys, "left").select(
-        "file", F.coalesce("id", "replica_id").alias("id"), "pos", "replica_pos", "offset", "replica_offset",
-        "length", "sha", "replica_sha", status.alias("status"))
-
-
-def _layout(rows: DataFrame, name: str) -> DataFrame:
-    """One digest a file of what lies where."""
-    return rows.groupBy("file").agg(F.sum(F.xxhash64("id", "pos", "offset", "length").cast("decimal(38,0)")).alias(name))
+              .when(F.col("sha") != F.col("replica_sha"), "altered").when(moved, "shifted").otherwise("intact"))
+    joined = _by_identity(found).withColumns({"status": status, "id": F.coalesce("id", "replica_id")})
+    rest = found.settled().withColumns({
+        "replica_pos": F.col("pos") + F.col("d_pos"), "replica_offset": F.col("offset") + F.col("d_offset"),
+        "replica_sha": F.col("sha"),
+        "status": F.when((F.col("d_pos") != 0) | (F.col("d_offset") != 0), "shifted").otherwise("intact")})
+    return joined.select(*REPORT).unionByName(rest.select(*REPORT))
 
 
 def audit_report(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """What lies at each position of either replica: intact, altered (other bytes, or the same ones at another
     offset), missing (nothing in the replica) or additional.  Which records are damaged: :func:`record_report`.
 
-    Positions are compared only in files with a differing record or layout."""
-    bad, _ = audit(primary, replica)
-    other = _layout(primary, "la").join(_layout(replica, "lb"), "file", "full").filter(
-        ~F.col("la").eqNullSafe(F.col("lb")))
-    files = staged(bad.select("file").unionByName(other.select("file")).distinct(), "mismatch")
+    Positions are compared in open leaves and in those that lie elsewhere; the rest is intact where it is."""
+    found = located(primary, replica)
     keys = ["file", "pos"]
-    r = replica.join(files, "file", "left_semi").select(
-        *keys, F.col("offset").alias("replica_offset"), F.col("length").alias("replica_length"),
-        F.col("sha").alias("replica_sha"))
-    both = primary.join(files, "file", "left_semi").select(*keys, "id", "offset", "length", "sha").join(r, keys, "full")
+    a, b = found.to_join(moved=True)
+    r = b.select(*keys, F.col("offset").alias("replica_offset"), F.col("length").alias("replica_length"),
+                 F.col("sha").alias("replica_sha"))
+    both = a.select(*keys, "id", "offset", "length", "sha").join(r, keys, "full")
     same = ((F.col("sha") == F.col("replica_sha")) & (F.col("offset") == F.col("replica_offset"))
             & (F.col("length") == F.col("replica_length")))
     status = (F.when(F.col("replica_sha").isNull(), "missing").when(F.col("sha").isNull(), "additional")
               .when(same, "intact").otherwise("altered"))
-    clean = primary.join(files, "file", "left_anti").select(
+    rest = found.settled().filter("d_pos = 0 AND d_offset = 0").select(
         *keys, "id", "offset", "length", "sha", F.col("sha").alias("replica_sha"), F.lit("intact").alias("status"))
-    return both.select(*keys, "id", "offset", "length", "sha", "replica_sha", status.alias("status")).unionByName(clean)
+    return both.select(*keys, "id", "offset", "length", "sha", "replica_sha", status.alias("status")).unionByName(rest)
 
 
 def damaged(pages: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actuaria.llm import rolling
-from actuaria.llm.common import in_parts, read, staged
+from actuaria.llm.common import in_parts, read, release_after, staged
 from actuaria.llm.components import components
 
 #: Shingle length; size of a group part; frequent shingles that are told to every task.
@@ -204,6 +204,12 @@ POSTINGS = "shingle bigint, often int, node bigint, size int"
 
 
 def _postings(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    out = _range_postings(key, table)
+    release_after(table)
+    return out
+
+
+def _range_postings(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Postings of one range: entries whose shingle another class of a fitting size has in its prefix.
 
     Ranges below 0 hold salted frequent shingles, which are all kept."""
@@ -292,6 +298,12 @@ class TokenGroup:
 
 
 def _inside(table: pa.Table) -> pa.Table:
+    out = _group_links(table)
+    release_after(table)
+    return out
+
+
+def _group_links(table: pa.Table) -> pa.Table:
     """Edges of a spanning forest of the links between the members of one group part."""
     node = table.column("node").to_pylist()
     sets = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("shingles")]
@@ -305,6 +317,12 @@ def _inside(table: pa.Table) -> pa.Table:
 
 
 def _across(queries: pa.Table, members: pa.Table) -> pa.Table:
+    out = _query_links(queries, members)
+    release_after(queries, members)
+    return out
+
+
+def _query_links(queries: pa.Table, members: pa.Table) -> pa.Table:
     """Edges between queries and the members of the group that they open."""
     forest = Forest()
     if len(queries) and len(members):

@@ -179,3 +179,41 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_versions(docs, scratch_path(spark, "secret-ledger"))
     return out.select("path.doc_id", "n_assign", "n_access", "n_hex",
                       F.sha2(F.col("spans"), 256).alias("base_sha256"), "spans", "blob")
+
+
+#: The hex rule's second version, of the incremental passes: only runs of the length of a digest of 128 bits or more.
+LONGER_HEX = Rule("hex", 2, r"[0-9a-f]{32,}")
+
+
+def ledger_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query: ``documents`` as a store that grows between scans, by one ledger.
+
+    The first pass sees the rows with even ids, the second all of them, the third all of them under a new version of one
+    rule.  Per pass: rows seen, distinct blobs among them, (blob, rule version) pairs that it scanned, pairs that the
+    ledger holds after it, and hex spans found in all rows seen."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    ledger = scratch_path(spark, "secret-ledger")
+    passes = ((docs.filter("doc_id % 2 = 0"), BASE_RULES), (docs, BASE_RULES), (docs, (*BASE_RULES[:2], LONGER_HEX)))
+    out, before = [], 0
+    for number, (versions, rules) in enumerate(passes, 1):
+        seen = scan_versions(versions, ledger, rules).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.countDistinct("blob").alias("n_blobs"),
+            F.coalesce(F.sum("n_hex"), F.lit(0).cast("long")).alias("n_hex")).first()
+        pairs = read_ledger(spark, ledger).count()
+        out.append((number, seen["n_rows"], seen["n_blobs"], pairs - before, pairs, seen["n_hex"]))
+        before = pairs
+    return spark.createDataFrame(out, "pass int, n_rows bigint, n_blobs bigint, n_scanned bigint, n_ledger bigint, n_hex bigint")
+
+
+PASSES_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT count(*) FILTER (doc_id % 2 = 0) AS even_rows, count(*) AS all_rows,
+  count(DISTINCT text) FILTER (doc_id % 2 = 0) AS even, count(DISTINCT text) AS every,
+  coalesce(sum(len(regexp_extract_all(text, '[0-9a-f]{24,}'))) FILTER (doc_id % 2 = 0), 0) AS even_hex,
+  coalesce(sum(len(regexp_extract_all(text, '[0-9a-f]{24,}'))), 0) AS all_hex,
+  coalesce(sum(len(regexp_extract_all(text, '[0-9a-f]{32,}'))), 0) AS long_hex FROM d)
+SELECT CAST(1 AS INTEGER) AS pass, even_rows AS n_rows, even AS n_blobs, 3 * even AS n_scanned, 3 * even AS n_ledger,
+  CAST(even_hex AS BIGINT) AS n_hex FROM n
+UNION ALL SELECT CAST(2 AS INTEGER), all_rows, every, 3 * (every - even), 3 * every, CAST(all_hex AS BIGINT) FROM n
+UNION ALL SELECT CAST(3 AS INTEGER), all_rows, every, every, 4 * every, CAST(long_hex AS BIGINT) FROM n
+"""

@@ -1,10 +1,10 @@
 """Token counts by overlap resynchronisation (operator 10).
 
 Counts the tokens that a vocabulary file gives a whole text.  A text of up to
-``chunk`` code points is encoded as it is.  A huge one is cut into overlapping
-chunks that are rows of their own, so that its chunks run in parallel; each
-chunk is encoded with offsets, and neighbours are spliced at a common token
-start inside their overlap.  Such a start is proven stable if the character
+``chunk`` code points is encoded as it is.  A longer one is cut into overlapping
+chunks that are rows of their own and are dealt over all tasks by (text, chunk);
+each chunk is encoded with offsets, once, its joints are written, and neighbours
+are spliced at a common token start inside their overlap.  Such a start is proven stable if the character
 before it is ASCII white space: the vocabulary drops white space before it
 splits words, so nothing left of that point can change what follows and the
 reverse.  Where an overlap holds no such point, the overlaps of that text are
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from actuaria.llm.common import in_parts, read, staged
 
 #: Code points per chunk, first overlap on each side of a joint, and words kept per worker.
-CHUNK, OVERLAP, KEPT_WORDS = 65_536, 256, 500_000
+CHUNK, OVERLAP, KEPT_WORDS = 16_384, 256, 500_000
+#: Chunks that a task holds as Python strings at a time.
+CHUNKS_AT_ONCE = 64
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 _tokenizers: dict = {}
@@ -111,7 +113,7 @@ CHUNK_SCHEMA = ("key string, idx int, n bigint, head_at array<bigint>, head_rank
 def _encode_chunks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, _ = tokenizer(path)
-        for batch in batches:
+        for batch in in_parts(batches, CHUNKS_AT_ONCE):
             rows = []
             for r in batch.to_pylist():
                 enc = tok.encode(r["slice"], add_special_tokens=False)
@@ -163,7 +165,9 @@ def huge_counts(texts: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     """(key, n_tokens) of the huge texts (key, text), widening overlaps until every joint is proven."""
     open_, done = texts.withColumn("w", F.lit(overlap)), None
     while True:
-        counted = staged(splice(chunks(open_, chunk).mapInArrow(_encode_chunks(path), CHUNK_SCHEMA)), "token-splice")
+        dealt = chunks(open_, chunk).repartition("key", "idx")  # a text's chunks start out in one task
+        encoded = staged(dealt.mapInArrow(_encode_chunks(path), CHUNK_SCHEMA), "token-chunks")
+        counted = staged(splice(encoded), "token-splice")
         ready = counted.filter(F.col("n_tokens").isNotNull())
         done = ready if done is None else done.unionByName(ready)
         if counted.filter(F.col("n_tokens").isNull()).isEmpty():
