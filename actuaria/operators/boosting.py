@@ -11,10 +11,11 @@ Sums are exact.  Residuals are rounded to multiples of a power of two that lets
 block leave the exact range of a double, nor a total that of a 64-bit integer; so a tree does not depend
 on how rows are dealt over tasks, nor on which of the two ways of growing it comes from:
 
-* ``grow_levels``: blocks stay distributed; per level one aggregate over all blocks, of which the driver
-  sees only the splits; after each tree the predictions are written with the blocks to the shared folder.
+* ``grow_levels``: rows stay distributed; per level one job, whose tasks sum the histograms of their rows; the driver
+  adds these up and takes the splits.
 * ``grow_whole``: where the packed table is below ``WHOLE_BYTES`` (checked), it is broadcast and
-  the models are dealt over tasks, which saves a job per level: thousands for a search.
+  the models are dealt over tasks, which saves a job per level: thousands for a search.  A task works on
+  ``PART_ROWS`` rows at a time, so that what it reads and writes stays in the processor's cache.
 
 Rows without a label or key take no part in fitting; a null or NaN feature value lies right of every split.
 """
@@ -27,16 +28,21 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actuaria.operators.quantiles import percentiles_long, to_long
-from actuaria.session import scratch_path
+from actuaria.session import ensure_checkpoint_dir, scratch_path
 
 #: Bins of a feature, rows of a block, size up to which the packed table is broadcast, least gain of a split.
 MAX_BINS, BLOCK_ROWS, WHOLE_BYTES, LEAST_GAIN = 256, 1 << 18, 64 << 20, 1e-6
 #: Nodes of a level (over all models) and rows x models that are worked on at once in a task.
 NODES, CELLS = 2048, 1 << 20
+#: Combinations that features share one joint code for; rows, and rows x models, that a task works on at once.
+JOINT, PART_ROWS, PART_CELLS = 2048, 1 << 17, 1 << 20
+#: Trees after which distributed predictions are written to the shared folder.
+LINEAGE = 25
 NO_FOLD = 255
 
 
@@ -201,9 +207,11 @@ def unpack(batch_rows: list[dict], n_features: int) -> Rows:
 # ---- growing
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ x >> np.uint64(33)
+    x = x ^ x >> np.uint64(33)
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x *= np.uint64(by)
+        x ^= x >> np.uint64(33)
+    return x
 
 
 def in_bag(rows: Rows, specs: list[Spec], tree: int) -> np.ndarray:
@@ -240,12 +248,6 @@ class Trees:
         self.feature, self.bin = np.full(shape, -1, np.int16), np.zeros(shape, np.int16)
         self.gain, self.g, self.n = np.zeros(shape), np.zeros(shape), np.zeros(shape, np.int64)
 
-    def step(self, codes: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Where rows (models, rows) at ``node`` go one level down; rows at a leaf stay."""
-        f = np.take_along_axis(self.feature, node, axis=1)
-        right = codes[np.arange(codes.shape[0]), np.maximum(f, 0)] > np.take_along_axis(self.bin, node, axis=1)
-        return np.where(f >= 0, 2 * node + 1 + right, node)
-
     def set_children(self, m, at, g_left, n_left) -> None:
         for child, g, n in ((2 * at + 1, g_left, n_left), (2 * at + 2, self.g[m, at] - g_left, self.n[m, at] - n_left)):
             self.g[m, child], self.n[m, child] = g, n
@@ -287,45 +289,117 @@ def soft(g: np.ndarray, alpha) -> np.ndarray:
     return np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0)
 
 
-def histograms(rows: Rows, g: np.ndarray, slot: np.ndarray, k: int, widths: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per feature the (slots, bins) sums of ``g`` and counts, of the rows whose slot (models, rows) is not -1."""
-    m, r = np.nonzero(slot >= 0)
-    s, w, codes = slot[m, r].astype(np.int64), g[m, r], rows.codes[r]
-    out = []
-    for f, width in enumerate(widths):
-        at = s * width + codes[:, f]
-        out.append((np.bincount(at, w, k * width).reshape(k, width), np.bincount(at, None, k * width).reshape(k, width)))
-    return out
+class Cells:
+    """Codes as growing reads them: by feature, and features that take few combinations together as one joint code.
+
+    A sum over rows is taken once per joint code and then over the combinations of each bin; sums are exact, so they are the same."""
+
+    def __init__(self, rows: Rows, widths: list[int]):
+        most = min(JOINT, max(256, len(rows) // 32))
+        self.codes = np.ascontiguousarray(rows.codes.T)
+        self.starts = np.cumsum([0, *widths])
+        joint: list[list] = []  # code of each row, number of combinations, features
+        for f in sorted(range(len(widths)), key=lambda f: -widths[f]):
+            best = None
+            for k, (code, size, _) in enumerate(joint):
+                if not len(rows) or size * widths[f] > most << 8:
+                    continue
+                both = code * widths[f] + self.codes[f]
+                there = np.bincount(both, minlength=size * widths[f]) > 0
+                found = int(there.sum())
+                if found <= most and (best is None or found / size < best[0]):
+                    best = (found / size, k, both, there, found)
+            if best is None:
+                joint.append([self.codes[f].astype(np.int64), widths[f], [f]])
+            else:
+                _, k, both, there, found = best
+                joint[k] = [(np.cumsum(there) - 1)[both], found, [*joint[k][2], f]]
+        self.size = max((size for _, size, _ in joint), default=1)
+        self.groups = []
+        for code, size, features in joint:
+            parts = []
+            for f in features:
+                bin_of = np.zeros(size, dtype=np.int64)
+                bin_of[code] = self.codes[f]
+                order = np.argsort(bin_of, kind="stable")
+                bins, first = np.unique(bin_of[order], return_index=True)
+                parts.append((self.starts[f] + bins, order, first))
+            self.groups.append((code.astype(np.uint16 if size <= 1 << 16 else np.int64), parts))
+
+    def sums(self, g: dict[int, np.ndarray], m: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, bins of all features) sums of ``g[m]`` and counts over the rows of each node."""
+        out = np.zeros((len(lists), self.starts[-1])), np.zeros((len(lists), self.starts[-1]), np.int64)
+        size = [len(x) for x in lists]
+        for a, b in _parts(size, CELLS):
+            rows, n = np.concatenate(lists[a:b]), b - a
+            w = np.concatenate([g[m[x]].take(lists[x]) for x in range(a, b)])
+            shift = np.repeat(np.arange(n) * self.size, size[a:b]) if n > 1 else 0
+            for code, parts in self.groups:
+                at = code.take(rows)
+                if n > 1:
+                    at = at + shift
+                for total, found in zip(out, (np.bincount(at, w, n * self.size), np.bincount(at, None, n * self.size))):
+                    found = found.reshape(n, self.size)
+                    for bins, order, first in parts:
+                        total[a:b, bins] = np.add.reduceat(found[:, order], first, axis=1)
+        return out
 
 
-def best_splits(hist: list[tuple[np.ndarray, np.ndarray]], specs: list[Spec], columns: np.ndarray, scale: float):
+def _parts(size: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of the list that hold ``most`` rows at most, or one entry."""
+    a = total = 0
+    for b, n in enumerate(size):
+        if b > a and total + n > most:
+            yield a, b
+            a, total = b, 0
+        total += n
+    if size:
+        yield a, len(size)
+
+
+def best_splits(hg: np.ndarray, hn: np.ndarray, specs: list[Spec], columns: np.ndarray, scale: float, widths: list[int]):
     """(feature, bin, gain, left sum, left count) of the best split of each slot; gain 0 where there is none.
 
     ``specs`` and ``columns`` per slot.  Ties go to the first feature, then to the lowest bin."""
     alpha, lam, least = (np.array([getattr(s, c) for s in specs], dtype=float)[:, None] for c in ("alpha", "lam", "min_leaf"))
-    g, n = hist[0][0].sum(axis=1)[:, None], hist[0][1].sum(axis=1)[:, None]
-    k = len(specs)
-    score = lambda a, b: soft(a / scale, alpha) ** 2 / np.maximum(b + lam, 1e-300)
-    whole = score(g, n)
-    feature, at, gain = np.full(k, -1, np.int16), np.zeros(k, np.int16), np.zeros(k)
-    g_left, n_left = np.zeros(k), np.zeros(k, np.int64)
-    every = np.arange(k)
-    for f, (hg, hn) in enumerate(hist):
-        if hg.shape[1] < 2:
-            continue
-        lg, ln = np.cumsum(hg[:, :-1], axis=1), np.cumsum(hn[:, :-1], axis=1)
-        rn = n - ln
-        got = np.where((ln >= least) & (rn >= least), score(lg, ln) + score(g - lg, rn) - whole, 0.0)
-        top = np.argmax(got, axis=1)
-        better = columns[:, f] & (got[every, top] > np.maximum(gain, LEAST_GAIN))
-        i = every[better]
-        feature[i], at[i], gain[i] = f, top[i], got[i, top[i]]
-        g_left[i], n_left[i] = lg[i, top[i]], ln[i, top[i]]
-    return feature, at, gain, g_left, n_left
+    starts = np.cumsum([0, *widths])
+    feature_of = np.repeat(np.arange(len(widths)), widths)
+    last = np.zeros(starts[-1], dtype=bool)
+    last[starts[1:] - 1] = True
+    g, n = hg[:, :widths[0]].sum(axis=1)[:, None], hn[:, :widths[0]].sum(axis=1)[:, None]
+
+    def score(a, b):
+        x = np.abs(a / scale)
+        x -= alpha
+        np.maximum(x, 0.0, out=x)
+        x *= x
+        x /= np.maximum(b + lam, 1e-300)
+        return x
+
+    def left(h, whole):  # running sums of each feature: the total is taken off where the next one starts
+        out = h.copy()
+        out[:, starts[1:-1]] -= whole
+        return np.cumsum(out, axis=1, out=out)
+
+    lg, ln = left(hg, g), left(hn, n)
+    rn = n - ln
+    got = score(lg, ln)
+    got += score(g - lg, rn)
+    got -= score(g, n)
+    got[(ln < least) | (rn < least) | last | ~columns[:, feature_of]] = 0.0
+    top = np.argmax(got, axis=1)
+    every = np.arange(len(specs))
+    gain = got[every, top]
+    found = gain > LEAST_GAIN
+    take = lambda x: np.where(found, x, 0)
+    return (np.where(found, feature_of[top], -1).astype(np.int16), take(top - starts[feature_of[top]]).astype(np.int16),
+            take(gain), take(lg[every, top]), take(ln[every, top]))
 
 
 def residuals(rows: Rows, pred: np.ndarray, scale: float) -> np.ndarray:
-    return np.rint((rows.y - pred) * scale)
+    out = rows.y - pred
+    out *= scale
+    return np.rint(out, out=out)
 
 
 def may_split(trees: Trees, specs: list[Spec], depth: int, m: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -335,42 +409,100 @@ def may_split(trees: Trees, specs: list[Spec], depth: int, m: np.ndarray, at: np
     return (trees.n[m, at] >= least[m]) & (deep[m] > depth)
 
 
-def grow_tree(rows: Rows, specs: list[Spec], pred: np.ndarray, tree: int, scale: float, widths: list[int]) -> tuple[Trees, np.ndarray]:
-    """One tree of each model on rows that are all here, and what it adds to each row's prediction."""
-    depth = max(s.depth for s in specs)
-    bag, columns, g = in_bag(rows, specs, tree), drawn_columns(specs, len(widths), tree), residuals(rows, pred, scale)
-    trees = Trees(len(specs), depth)
-    node = np.zeros(pred.shape, dtype=np.int64)
-    m, at = np.arange(len(specs)), np.zeros(len(specs), dtype=np.int64)
-    hist = histograms(rows, g, np.where(bag, m[:, None], -1), len(m), widths)
-    trees.g[m, 0], trees.n[m, 0] = hist[0][0].sum(axis=1), hist[0][1].sum(axis=1)
-    for d in range(depth):
+@dataclass
+class Part:
+    """Some rows, how they are read, and the predictions (models, rows) so far."""
+    rows: Rows
+    cells: Cells
+    pred: np.ndarray
+
+    def start(self, specs: list[Spec], tree: int, scale: float) -> None:
+        """Draw the rows of a tree; all rows stand at the root."""
+        self.bag = in_bag(self.rows, specs, tree)
+        self.scale, self.g, self.where = scale, {}, {}
+
+    def open(self, m: np.ndarray) -> None:
+        for x in set(m.tolist()) - self.where.keys():
+            self.where[x] = {0: np.arange(len(self.rows))}
+
+    def sums(self, m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Histograms of the nodes (m, at)."""
+        self.open(m)
+        lists = []
+        for x, node in zip(m.tolist(), at.tolist()):
+            if x not in self.g:
+                self.g[x] = residuals(self.rows, self.pred[x], self.scale)
+            here = self.where[x][node]
+            lists.append(here.take(np.flatnonzero(self.bag[x].take(here))))
+        return self.cells.sums(self.g, m, lists)
+
+    def split(self, m: np.ndarray, at: np.ndarray, feature: np.ndarray, most: np.ndarray) -> None:
+        for x, node, f, b in zip(m.tolist(), at.tolist(), feature.tolist(), most.tolist()):
+            here = self.where[x].pop(node)
+            right = self.cells.codes[f].take(here) > b
+            self.where[x][2 * node + 1], self.where[x][2 * node + 2] = here.take(np.flatnonzero(~right)), here.take(np.flatnonzero(right))
+
+    def take(self, splits: list[tuple], models: np.ndarray) -> None:
+        """Go down all splits of ``models``, level by level."""
+        for m, *more in splits:
+            own = np.isin(m, models)
+            self.open(m[own])
+            self.split(m[own], *(c[own] for c in more))
+
+    def end(self, x: int, weights: np.ndarray) -> None:
+        """Add to the predictions what each row's last position weighs."""
+        pred = self.pred[x]
+        for node, here in self.where.pop(x).items():
+            pred[here] += weights[node]
+        self.g.pop(x, None)
+
+
+def parts_of(rows: Rows, starts: np.ndarray, widths: list[int]) -> list[Part]:
+    out = []
+    for a in range(0, max(len(rows), 1), PART_ROWS):
+        some = Rows(*(x[a:a + PART_ROWS] for x in (rows.codes, rows.y, rows.mark, rows.fold)))
+        cells = Cells(some, widths)
+        out.append(Part(replace(some, codes=some.codes[:0]), cells, np.repeat(starts[:, None], len(some), axis=1)))
+    return out
+
+
+def sums_of(parts: list[Part], m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hg, hn = parts[0].sums(m, at)
+    for part in parts[1:]:
+        g, n = part.sums(m, at)
+        hg += g
+        hn += n
+    return hg, hn
+
+
+def grow_tree(parts: list[Part], specs: list[Spec], x: int, columns: np.ndarray, scale: float, widths: list[int], trees: Trees) -> None:
+    """One tree of model ``x`` on rows that are all here, written to ``trees``; the rows are left at their last positions."""
+    m, at = np.array([x]), np.zeros(1, dtype=np.int64)
+    hg, hn = sums_of(parts, m, at)
+    trees.g[x, 0], trees.n[x, 0] = hg[0, :widths[0]].sum(), hn[0, :widths[0]].sum()
+    for d in range(specs[x].depth):
         go = np.flatnonzero(may_split(trees, specs, d, m, at))
         if not len(go):
             break
-        m, at, hist = m[go], at[go], [(a[go], b[go]) for a, b in hist]
-        f, b, gain, gl, nl = best_splits(hist, [specs[x] for x in m], columns[m], scale)
+        m, at, hg, hn = m[go], at[go], hg[go], hn[go]
+        f, b, gain, gl, nl = best_splits(hg, hn, [specs[x]] * len(m), columns[m], scale, widths)
         go = np.flatnonzero(f >= 0)
         if not len(go):
             break
-        m, at, hist = m[go], at[go], [(x[go], y[go]) for x, y in hist]
-        trees.feature[m, at], trees.bin[m, at], trees.gain[m, at] = f[go], b[go], gain[go]
+        m, at, hg, hn, f, b = m[go], at[go], hg[go], hn[go], f[go], b[go]
+        trees.feature[m, at], trees.bin[m, at], trees.gain[m, at] = f, b, gain[go]
         trees.set_children(m, at, gl[go], nl[go])
-        node = trees.step(rows.codes, node)
+        for part in parts:
+            part.split(m, at, f, b)
         left, right = 2 * at + 1, 2 * at + 2
         least = may_split(trees, specs, d + 1, m, left) | may_split(trees, specs, d + 1, m, right)
-        m, left, right, hist = m[least], left[least], right[least], [(x[least], y[least]) for x, y in hist]
+        m, left, right, hg, hn = m[least], left[least], right[least], hg[least], hn[least]
         if not len(m):
             break
         small = np.where(trees.n[m, left] <= trees.n[m, right], left, right)
-        place = np.full(trees.feature.shape, -1, dtype=np.int64)
-        place[m, small] = np.arange(len(m))
-        part = histograms(rows, g, np.where(bag, np.take_along_axis(place, node, axis=1), -1), len(m), widths)
-        hist = [(np.concatenate([a, x - a]), np.concatenate([c, y - c])) for (a, c), (x, y) in zip(part, hist)]
+        pg, pn = sums_of(parts, m, small)
+        hg, hn = np.concatenate([pg, hg - pg]), np.concatenate([pn, hn - pn])
         m, at = np.concatenate([m, m]), np.concatenate([small, left + right - small])
-    trees.keep_best(specs)
-    w = trees.weights(specs, scale)
-    return trees, np.take_along_axis(w, node, axis=1)
 
 
 def tree_row(trees: Trees, weights: np.ndarray, m: int, cuts: list[np.ndarray]) -> dict:
@@ -427,15 +559,24 @@ def grow_batch(rows: Rows, specs: list[Spec], means: dict[int, float], scale: fl
     widths = [len(c) + 1 for c in cuts]
     order = sorted(range(len(specs)), key=lambda m: -specs[m].rounds)
     specs = [specs[m] for m in order]
-    pred = np.array([np.full(len(rows), means[s.fold]) for s in specs]).reshape(len(specs), len(rows))
+    parts = parts_of(rows, np.array([means[s.fold] for s in specs], dtype=np.float64), widths)
     found = []
     for t in range(specs[0].rounds if specs else 0):
         live = sum(s.rounds > t for s in specs)
-        trees, add = grow_tree(rows, specs[:live], pred[:live], t, scale, widths)
-        pred[:live] += add
+        now = specs[:live]
+        trees, columns = Trees(live, max(s.depth for s in now)), drawn_columns(now, len(widths), t)
+        for part in parts:
+            part.start(now, t, scale)
+        for x in range(live):
+            grow_tree(parts, now, x, columns, scale, widths, trees)
+        trees.keep_best(now)
+        w = trees.weights(now, scale)
+        for part in parts:
+            for x in range(live):
+                part.end(x, w[x])
         if keep:
-            w = trees.weights(specs[:live], scale)
             found += [{"model": order[m], "tree": t, **tree_row(trees, w, m, cuts)} for m in range(live)]
+    pred = np.concatenate([part.pred for part in parts], axis=1)
     scores = [(order[m], *x) for m, x in enumerate(held_out_scores(rows, specs, pred))]
     return found, scores
 
@@ -444,7 +585,7 @@ def grow_whole(table: Binned, specs: list[Spec], keep: bool) -> DataFrame:
     """Trees (``keep``) or held-out scores of all models; the packed table, whose size was checked, goes to every task."""
     spark = table.blocks.sparkSession
     shared = spark.sparkContext.broadcast([r.asDict() for r in table.blocks.collect()])
-    tasks = batches_of(specs, table.n, 2 * spark.sparkContext.defaultParallelism)
+    tasks = batches_of(specs, table.n, 8 * spark.sparkContext.defaultParallelism)
     features, means, scale, cuts = len(table.features), table.means, table.scale, table.cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,166 +610,138 @@ def grow_whole(table: Binned, specs: list[Spec], keep: bool) -> DataFrame:
     return dealt.mapInArrow(run, TREE if keep else SCORE)
 
 
-# ---- distributed blocks, one aggregate per level
+# ---- distributed parts, one job per level
 
-STATE = BLOCK + ", pred binary"
-HIST = "m int, at int, parent boolean, g binary, n binary"
-LEVEL = "m int, node int, feature int, bin int, gain double, g_left double, n_left bigint, g_all double, n_all bigint, g binary, n binary"
-_LEVEL = pa.schema([("m", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()), ("gain", pa.float64()),
-                    ("g_left", pa.float64()), ("n_left", pa.int64()), ("g_all", pa.float64()), ("n_all", pa.int64()),
-                    ("g", pa.binary()), ("n", pa.binary())])
+def _pieces(rows: int, features: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                for a in range(0, r["n"], rows):
+                    n = min(rows, r["n"] - a)
+                    cut = lambda c, width: pa.array([r[c][a * width:(a + n) * width]], pa.binary())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([n], pa.int32()), cut("codes", features), cut("y", 8), cut("mark", 8), cut("fold", 1)],
+                        names=["n", "codes", "y", "mark", "fold"])
+    return run
 
 
-def _rows_of(record: dict, features: int, models: int) -> tuple[Rows, np.ndarray]:
-    rows = unpack([record], features)
-    return rows, np.frombuffer(record["pred"], np.float64).reshape(models, len(rows))
+def _parts_of_pieces(features: int, starts: np.ndarray, widths: list[int]):
+    def run(records: Iterator) -> Iterator[Part]:
+        for r in records:
+            yield from parts_of(unpack([r], features), starts, widths)
+    return run
 
 
-def _level_sums(table: Binned, specs: list[Spec], trees: Trees, levels: int, tree: int, m: np.ndarray, at: np.ndarray):
-    """Histograms of the nodes (m, at), summed over all blocks of a task."""
-    features, scale, widths = len(table.features), table.scale, table.widths
-    place = np.full(trees.feature.shape, -1, dtype=np.int64)
-    place[m, at] = np.arange(len(m))
+def _splits_of(trees: Trees) -> list[list[tuple]]:
+    """The splits of all models, level by level: (models, positions, features, bins)."""
+    out, m, at = [], *np.nonzero(trees.feature >= 0)
+    level = np.floor(np.log2(at + 1)).astype(int)
+    for d in range(int(level.max(initial=-1)) + 1):
+        x, node = m[level == d], at[level == d]
+        out.append((x, node, trees.feature[x, node], trees.bin[x, node]))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _level_sums(specs: list[Spec], tree: int, scale: float, splits: list[tuple], m: np.ndarray, at: np.ndarray):
+    """Histograms of the nodes (m, at), summed over the parts of a task."""
+    def run(parts: Iterator[Part]) -> Iterator[np.ndarray]:
         total = None
-        for batch in batches:
-            for record in batch.to_pylist():
-                rows, pred = _rows_of(record, features, len(specs))
-                node = np.zeros(pred.shape, dtype=np.int64)
-                for _ in range(levels):
-                    node = trees.step(rows.codes, node)
-                slot = np.where(in_bag(rows, specs, tree), np.take_along_axis(place, node, axis=1), -1)
-                hist = histograms(rows, residuals(rows, pred, scale), slot, len(m), widths)
-                part = [np.concatenate([h[k] for h in hist], axis=1).astype(np.int64) for k in (0, 1)]
-                total = part if total is None else [a + b for a, b in zip(total, part)]
+        for part in parts:
+            part.start(specs, tree, scale)
+            part.take(splits, m)
+            hg, hn = part.sums(m, at)
+            found = np.stack([hg.astype(np.int64), hn])
+            total = found if total is None else total + found
         if total is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(m.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array([False] * len(m)),
-                 *(pa.array([x.tobytes() for x in t], pa.binary()) for t in total)], names=["m", "at", "parent", "g", "n"])
-    return run
-
-
-def _level_splits(table: Binned, specs: list[Spec], columns: np.ndarray, small: dict[tuple[int, int], int]):
-    """Sums of one node over all tasks; where its parent's histogram is there, the sibling's too; best split of each."""
-    widths, scale = table.widths, table.scale
-    edges = np.cumsum(widths)[:-1]
-
-    def run(found: pa.Table) -> pa.Table:
-        rows = found.to_pylist()
-        m, at = rows[0]["m"], rows[0]["at"]
-        whole = [r for r in rows if r["parent"]]
-        sums = [sum(np.frombuffer(r[c], np.int64) for r in rows if not r["parent"]) for c in ("g", "n")]
-        nodes = [(small.get((m, at), at), sums)]
-        if whole:
-            other = 4 * at + 3 - nodes[0][0]
-            nodes.append((other, [np.frombuffer(whole[0][c], np.int64) - s for c, s in zip(("g", "n"), sums)]))
-        out = []
-        for node, (g, n) in nodes:
-            hist = [(a[None].astype(float), b[None]) for a, b in zip(np.split(g, edges), np.split(n, edges))]
-            f, b, gain, gl, nl = best_splits(hist, [specs[m]], columns[m][None], scale)
-            out.append({"m": m, "node": node, "feature": int(f[0]), "bin": int(b[0]), "gain": float(gain[0]),
-                        "g_left": float(gl[0]), "n_left": int(nl[0]), "g_all": float(hist[0][0].sum()),
-                        "n_all": int(hist[0][1].sum()), "g": g.tobytes(), "n": n.tobytes()})
-        return pa.Table.from_pylist(out, schema=_LEVEL)
+            yield total
     return run
 
 
-def _add_tree(table: Binned, specs: list[Spec], trees: Trees, weights: np.ndarray, levels: int, live: int):
-    features = len(table.features)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for record in batch.to_pylist():
-                rows, pred = _rows_of(record, features, len(specs))
-                node = np.zeros((live, len(rows)), dtype=np.int64)
-                for _ in range(levels):
-                    node = trees.step(rows.codes, node)
-                pred = pred.copy()
-                pred[:live] += np.take_along_axis(weights, node, axis=1)
-                out = {**record, "pred": pred.tobytes()}
-                yield pa.RecordBatch.from_arrays([pa.array([out[f.name]], f.type) for f in batch.schema], schema=batch.schema)
+def _add_tree(specs: list[Spec], splits: list[tuple], weights: np.ndarray):
+    def run(parts: Iterator[Part]) -> Iterator[Part]:
+        for part in parts:
+            part.pred = part.pred.copy()
+            part.g, part.where = {}, {x: {0: np.arange(len(part.rows))} for x in range(len(specs))}
+            part.take(splits, np.arange(len(specs)))
+            for x in range(len(specs)):
+                part.end(x, weights[x])
+            yield part
     return run
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _added(found: RDD, tasks: int) -> np.ndarray:
+    """The sum of what the tasks found: nodes of a level by bins, the size of the models."""
+    return sum(found.collect()) if tasks <= 64 else found.treeReduce(lambda a, b: a + b)
 
 
 def grow_levels(table: Binned, specs: list[Spec], keep: bool) -> DataFrame:
-    """As ``grow_whole``, with the blocks distributed: a job per level, and a written table of predictions per tree."""
+    """As ``grow_whole``, with the rows dealt over tasks: a job per level, whose tasks sum histograms of their rows.
+
+    Rows and predictions are kept by the executors (memory, then disk); every ``LINEAGE`` trees they are also written to the
+    shared folder, from which a lost part is made again."""
     spark = table.blocks.sparkSession
     order = sorted(range(len(specs)), key=lambda m: -specs[m].rounds)
     specs = [specs[m] for m in order]
-    features, scale = len(table.features), table.scale
-    means = np.array([table.means[s.fold] for s in specs])
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pred = [np.repeat(means, n).tobytes() for n in batch.column("n").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.binary())], names=[*batch.schema.names, "pred"])
-
-    state = _written(table.blocks.mapInArrow(start, STATE), "boost-state")
-    rows: list[dict] = []
+    features, scale, widths = len(table.features), table.scale, table.widths
+    most = max(1, min(PART_ROWS, PART_CELLS // max(len(specs), 1)))
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-table.n // 4096)), -(-table.n // (PART_ROWS * 16)))
+    size = max(1, min(most, -(-table.n // tasks)))
+    dealt = table.blocks.mapInArrow(_pieces(size, features), BLOCK)
+    starts = np.array([table.means[s.fold] for s in specs], dtype=np.float64)
+    state = dealt.repartition(tasks).rdd.mapPartitions(_parts_of_pieces(features, starts, widths)).persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(spark)
+    rows, made = [], [state]
     for t in range(specs[0].rounds if specs else 0):
         live = sum(s.rounds > t for s in specs)
         now, depth = specs[:live], max(s.depth for s in specs[:live])
-        current = state if live == len(specs) else state.mapInArrow(_first_models(live, len(specs)), STATE)
         trees, columns = Trees(live, depth), drawn_columns(now, features, t)
         m, at = np.arange(live), np.zeros(live, dtype=np.int64)
-        parents, small, levels = None, {}, 0
+        small, hg, hn, d = at, None, None, 0
         while len(m):
-            sums = current.mapInArrow(_level_sums(table, now, trees, levels, t, m, at), HIST)
-            if parents is not None:  # a node's sums come under its parent, whose histogram joins them
-                sums = sums.withColumn("at", F.floor((F.col("at") - 1) / 2).cast("int"))
-                split = spark.createDataFrame([(int(a), int((b - 1) // 2)) for a, b in zip(m, at)], "m int, node int")
-                sums = sums.unionByName(parents.join(F.broadcast(split), ["m", "node"]).select(
-                    "m", F.col("node").alias("at"), F.lit(True).alias("parent"), "g", "n"))
-                small = {(int(a), int((b - 1) // 2)): int(b) for a, b in zip(m, at)}
-            parents = _written(sums.groupBy("m", "at").applyInArrow(_level_splits(table, now, columns, small), LEVEL),
-                               "boost-level")
-            found = parents.drop("g", "n").toArrow()  # one row per node: the size of the models
-            c = {x: found.column(x).to_numpy() for x in found.column_names}
-            mm, node = c["m"].astype(np.int64), c["node"].astype(np.int64)
-            if levels == 0:
-                trees.g[mm, node], trees.n[mm, node] = c["g_all"], c["n_all"]
-            go = may_split(trees, now, levels, mm, node) & (c["feature"] >= 0)
-            mm, node = mm[go], node[go]
-            trees.feature[mm, node], trees.bin[mm, node], trees.gain[mm, node] = (c[x][go] for x in ("feature", "bin", "gain"))
-            trees.set_children(mm, node, c["g_left"][go], c["n_left"][go])
-            levels += 1
-            left, right = 2 * node + 1, 2 * node + 2
-            again = (may_split(trees, now, levels, mm, left) | may_split(trees, now, levels, mm, right)) if len(mm) else go[:0]
-            mm, left, right = mm[again], left[again], right[again]
-            m, at = mm, np.where(trees.n[mm, left] <= trees.n[mm, right], left, right)
-        depth_used = levels
+            part = _added(state.mapPartitions(_level_sums(now, t, scale, _splits_of(trees), m, small)), tasks)
+            if d == 0:
+                hg, hn = part
+                trees.g[m, 0], trees.n[m, 0] = hg[:, :widths[0]].sum(axis=1), hn[:, :widths[0]].sum(axis=1)
+            else:
+                hg, hn = np.concatenate([part[0], hg - part[0]]), np.concatenate([part[1], hn - part[1]])
+                m, at = np.concatenate([m, m]), np.concatenate([small, at])
+            go = may_split(trees, now, d, m, at)
+            m, at, hg, hn = m[go], at[go], hg[go], hn[go]
+            f, b, gain, gl, nl = best_splits(hg, hn, [now[x] for x in m], columns[m], scale, widths)
+            go = f >= 0
+            m, at, hg, hn = m[go], at[go], hg[go], hn[go]
+            trees.feature[m, at], trees.bin[m, at], trees.gain[m, at] = f[go], b[go], gain[go]
+            trees.set_children(m, at, gl[go], nl[go])
+            d += 1
+            left, right = 2 * at + 1, 2 * at + 2
+            again = (may_split(trees, now, d, m, left) | may_split(trees, now, d, m, right)) if len(m) and d < depth else go[:0]
+            m, left, right, hg, hn = m[again], left[again], right[again], hg[again], hn[again]
+            small = np.where(trees.n[m, left] <= trees.n[m, right], left, right)
+            at = left + right - small
+        splits = _splits_of(trees)
         trees.keep_best(now)
         weights = trees.weights(now, scale)
         if keep:
             rows += [{"model": order[k], "tree": t, **tree_row(trees, weights, k, table.cuts)} for k in range(live)]
-        state = _written(state.mapInArrow(_add_tree(table, specs, trees, weights, depth_used, live), STATE), "boost-state")
+        if keep and t + 1 == specs[0].rounds:
+            break
+        state = state.mapPartitions(_add_tree(now, splits, weights)).persist(StorageLevel.MEMORY_AND_DISK)
+        if (t + 1) % LINEAGE == 0:
+            state.checkpoint()
+        made.append(state)
+        if len(made) > 2:  # the last but one was made by the jobs of this tree
+            made.pop(0).unpersist()
     if keep:
+        for old in made:
+            old.unpersist()
         return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_TREE))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for record in batch.to_pylist():
-                part, pred = _rows_of(record, features, len(specs))
-                got = held_out_scores(part, specs, pred)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(order, pa.int32()), *(pa.array([x[k] for x in got], t) for k, t in enumerate(
-                        (pa.int64(), pa.float64(), pa.float64(), pa.float64())))], names=["model", "n", "sse", "sum_y", "sum_yy"])
-    return state.mapInArrow(score, SCORE).groupBy("model").agg(*(F.sum(c).alias(c) for c in ("n", "sse", "sum_y", "sum_yy")))
-
-
-def _first_models(live: int, models: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [p[:8 * live * n] for p, n in zip(batch.column("pred").to_pylist(), batch.column("n").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cut, pa.binary())], schema=batch.schema)
-    return run
+    def score(parts: Iterator[Part]) -> Iterator[tuple]:
+        for part in parts:
+            for k, found in enumerate(held_out_scores(part.rows, specs, part.pred)):
+                yield (order[k], *found)
+    return spark.createDataFrame(state.mapPartitions(score), SCORE).groupBy("model").agg(
+        *(F.sum(c).alias(c) for c in ("n", "sse", "sum_y", "sum_yy")))
 
 
 def grow(table: Binned, specs: list[Spec], keep: bool = True, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
@@ -636,6 +749,12 @@ def grow(table: Binned, specs: list[Spec], keep: bool = True, whole_bytes: int =
     return (grow_whole if table.n_bytes <= whole_bytes else grow_levels)(table, specs, keep)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ---- fitted models
 
 @dataclass

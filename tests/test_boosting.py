@@ -177,3 +177,41 @@ def test_many_values_empty_and_null_rows(spark):
     assert 0 < model.predict(np.array([[1000.0, 1.0]]))[0] < 2000 and np.isfinite(model.predict(np.array([[np.nan, 1.0]]))[0])
     [none] = B.fit(B.bin_rows(df.limit(0), ["a", "b"], "y", "k"), [B.Spec(3, 2, 0.1)])
     assert none.predict(np.array([[1.0, 1.0]]))[0] == 0.0
+
+
+def test_sums_over_joint_codes_and_parts_equal_those_of_each_feature(small, monkeypatch):
+    """Features that take few combinations together share one pass over the rows; parts of the rows add up."""
+    rng = np.random.default_rng(4)
+    n, widths = 5000, [2, 40, 40, 2, 7]
+    codes = rng.integers(0, 2, (n, 5)).astype(np.uint8)
+    codes[:, 1], codes[:, 4] = rng.integers(0, 39, n), rng.integers(0, 7, n)  # the last bin stays empty
+    codes[:, 2] = codes[:, 1] * codes[:, 0]
+    rows = B.Rows(codes, rng.normal(size=n), np.arange(n, dtype=np.uint64), np.full(n, B.NO_FOLD, np.uint8))
+    cells = B.Cells(rows, widths)
+    assert len(cells.groups) < 5
+    g = {3: rng.integers(-1000, 1000, n).astype(float)}
+    lists = [np.arange(n), np.flatnonzero(codes[:, 4] == 3), np.zeros(0, np.int64)]
+    sums, counts = cells.sums(g, np.array([3, 3, 3]), lists)
+    for k, here in enumerate(lists):
+        for f, width in enumerate(widths):
+            at = slice(sum(widths[:f]), sum(widths[:f + 1]))
+            assert sums[k, at].tolist() == np.bincount(codes[here, f], g[3][here], width).tolist()
+            assert counts[k, at].tolist() == np.bincount(codes[here, f], None, width).tolist()
+    one = B.grow_batch(rows, MANY, dict.fromkeys((0, 1, 2, B.NO_FOLD), 0.0), 2.0 ** 20, [np.arange(w - 1.0) for w in widths], True)
+    monkeypatch.setattr(B, "PART_ROWS", 700)
+    assert B.grow_batch(rows, MANY, dict.fromkeys((0, 1, 2, B.NO_FOLD), 0.0), 2.0 ** 20, [np.arange(w - 1.0) for w in widths], True) == one
+
+
+def test_distributed_growing_takes_one_job_a_level(spark, small, monkeypatch):
+    """Three levels of six trees: a job each, and what dealing, the lineage and the result take; nothing written per level."""
+    monkeypatch.setattr(B, "LINEAGE", 3)
+    spec = [B.Spec(6, 3, 0.3, 0.8, lam=1.0)]
+    whole = sorted(map(repr, B.grow(small[3], spec).collect()))
+    spark.sparkContext.setJobGroup("levels", "levels")
+    try:
+        got = B.grow_levels(small[3], spec, True)
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels"))
+    assert sorted(map(repr, got.collect())) == whole
+    assert 18 <= jobs <= 18 + 6
