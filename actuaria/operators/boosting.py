@@ -802,19 +802,26 @@ class BoostedTrees:
                         "right": near(self.right), **{c: getattr(self, c)[a:b].tolist() for c in ("threshold", "value", "cover", "gain")}})
         return out
 
-    def predict(self, x: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
-        """Predictions of rows (n, features): all trees of a part are walked down in step, for as many rows as fit."""
+    def predict(self, x: np.ndarray, cells: int = 1 << 20, most: int = 1 << 15) -> np.ndarray:
+        """Predictions of rows (n, features): all trees of a part are walked down in step, for ``most`` rows x trees at a time.
+
+        A prediction adds up its trees in parts whose size goes by ``cells``."""
         out = np.full(len(x), self.start)
         step = max(1, min(len(x), 4096))
         trees = max(1, cells // step)
-        for r in range(0, len(x), step):
-            part = x[r:r + step]
-            at = np.arange(len(part))
-            for t in range(0, len(self.root), trees):
-                node = np.repeat(self.root[t:t + trees][:, None], len(part), axis=1)
+        child = np.stack([self.left, self.right], axis=1).ravel()
+        values = np.ascontiguousarray(x).ravel()
+        for t in range(0, len(self.root), trees):
+            root = self.root[t:t + trees][:, None]
+            block = max(2, most // len(root))
+            for r in range(0, len(x), block):
+                rows = np.arange(min(r, max(len(x) - 2, 0)), min(r + block, len(x)))  # one row alone would be added up pairwise
+                at = rows * x.shape[1]
+                node = np.repeat(root, len(rows), axis=1)
                 for _ in range(self.depth):
-                    node = np.where(part[at, self.feature[node]] <= self.threshold[node], self.left[node], self.right[node])
-                out[r:r + step] += self.value[node].sum(axis=0)
+                    beyond = ~(values.take(self.feature.take(node) + at) <= self.threshold.take(node))
+                    node = child.take(2 * node + beyond)
+                out[r:r + block] += self.value.take(node).sum(axis=0)[r - rows[0]:]
         return out
 
     def importance(self) -> np.ndarray:

@@ -215,3 +215,18 @@ def test_distributed_growing_takes_one_job_a_level(spark, small, monkeypatch):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels"))
     assert sorted(map(repr, got.collect())) == whole
     assert 18 <= jobs <= 18 + 6
+
+
+def test_prediction_holds_few_cells_at_once(small):
+    """Rows are walked down in blocks that stay small, whatever the number of trees; the sums are those of all rows at once."""
+    import tracemalloc
+    model = B.fit(small[3], [B.Spec(40, 3, 0.1)])[0]
+    model = B.BoostedTrees.of(model.features, model.start, [{**r, "tree": 40 * k + r["tree"]} for k in range(10) for r in model.rows()])
+    x = table(4096, 7)[0]
+    tracemalloc.start()
+    got = model.predict(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 << 20
+    assert np.array_equal(got, model.predict(x, most=1 << 22)) and np.array_equal(got[:1], model.predict(x, most=2)[:1])
+    assert model.predict(x[:0]).shape == (0,)
