@@ -230,3 +230,45 @@ def test_prediction_holds_few_cells_at_once(small):
     assert peak < 6 << 20
     assert np.array_equal(got, model.predict(x, most=1 << 22)) and np.array_equal(got[:1], model.predict(x, most=2)[:1])
     assert model.predict(x[:0]).shape == (0,)
+
+
+def wide_rows(n=3000):
+    rng = np.random.default_rng(9)
+    codes = np.column_stack([rng.integers(0, 30, n), rng.integers(0, 2, n), rng.integers(0, 12, n), rng.integers(0, 5, n)]).astype(np.uint8)
+    y = (codes @ np.array([3.0, 400.0, -20.0, 9.0])) + rng.normal(size=n).round(3) * 30
+    return (B.Rows(codes, y, np.arange(n, dtype=np.uint64), (np.arange(n) % 3).astype(np.uint8)),
+            dict.fromkeys((0, 1, 2, B.NO_FOLD), float(y.mean().round(2))), [np.arange(w - 1.0) for w in (30, 2, 12, 5)])
+
+
+def test_models_in_step_share_the_operations_of_a_level(monkeypatch):
+    """Six models of four levels and five trees: histograms are asked for once a level and tree, not once a model."""
+    rows, means, cuts = wide_rows()
+    specs = [B.Spec(5, 4, 0.1, 0.8, 0.7, lam=1.0, fold=k % 3, seed=k // 3) for k in range(6)]
+    calls, run = [], B.Part.sums
+    monkeypatch.setattr(B.Part, "sums", lambda part, m, at: calls.append(len(m)) or run(part, m, at))
+    B.grow_batch(rows, specs, means, 2.0 ** 20, cuts, False)
+    assert len(calls) == 5 * 4
+
+
+@pytest.mark.parametrize("change", [{"PAIRS": 1}, {"PAIRS": 7000}, {"SLIM": 0}, {"SLIM": 1 << 20}, {"SOUGHT": 1}, {"PART_ROWS": 500}])
+def test_trees_do_not_depend_on_what_is_worked_on_at_once(monkeypatch, change):
+    rows, means, cuts = wide_rows()
+    specs = [*MANY, B.Spec(4, 6, 0.2, 0.9, min_split=5, fold=1), B.Spec(4, 3, 0.2, alpha=40.0, lam=1.5, fold=2)]
+    found, scores = B.grow_batch(rows, specs, means, 2.0 ** 20, cuts, True)
+    for name, value in change.items():
+        monkeypatch.setattr(B, name, value)
+    other, again = B.grow_batch(rows, specs, means, 2.0 ** 20, cuts, True)
+    assert other == found
+    assert sorted(again) == sorted(scores)
+
+
+def test_small_and_joint_sums_agree(monkeypatch):
+    rows, _, cuts = wide_rows()
+    cells = B.Cells(rows, [len(c) + 1 for c in cuts])
+    slot = np.arange(len(rows)) % 50
+    w = np.random.default_rng(2).integers(-999, 999, len(rows)).astype(float)
+    got = []
+    for slim in (0, 1 << 20):
+        monkeypatch.setattr(B, "SLIM", slim)
+        got.append(cells.at(np.arange(len(rows)), w, slot, 51))
+    assert all(np.array_equal(a, b) for a, b in zip(*got)) and not got[0][1][50].any()
